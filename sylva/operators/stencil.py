@@ -9,7 +9,7 @@ tiles; a pixel goes to every tile whose rim it reaches, one shuffle in all.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -51,7 +51,7 @@ def _inside(axis: str) -> Column:
     return F.col(axis).between(0, F.col(AXES[axis][1]) - 1)
 
 
-def _mean_along(df: DataFrame, values: list[str], axis: str, k: int) -> DataFrame:
+def _sum_along(df: DataFrame, values: list[str], axis: str, k: int) -> DataFrame:
     lo, hi = k // 2, k - 1 - k // 2
     lane = _lane(axis)
     running = lane.rowsBetween(Window.unboundedPreceding, 0)
@@ -60,7 +60,7 @@ def _mean_along(df: DataFrame, values: list[str], axis: str, k: int) -> DataFram
         wide = wide.withColumn(f"_s_{v}", F.sum(v).over(running))
     for v in values:
         before = F.coalesce(F.lag(f"_s_{v}", lo + 1).over(lane), F.lit(0.0))
-        wide = wide.withColumn(v, (F.lead(f"_s_{v}", hi).over(lane) - before) / k)
+        wide = wide.withColumn(v, F.lead(f"_s_{v}", hi).over(lane) - before)
     return wide.filter(_inside(axis)).drop(*[f"_s_{v}" for v in values])
 
 
@@ -70,8 +70,9 @@ def box_mean(df: DataFrame, meta: DataFrame, k: int, **named: str) -> DataFrame:
     out = df.withColumns({name: F.col(src).cast("double") for name, src in named.items()})
     out = with_size(out, meta)
     for axis in ("col", "row"):
-        out = _mean_along(out, list(named), axis, k)
-    return out.drop("height", "width")
+        out = _sum_along(out, list(named), axis, k)
+    # Dividing once at the end keeps sums of whole numbers exact.
+    return out.withColumns({name: F.col(name) / (k * k) for name in named}).drop("height", "width")
 
 
 def _max_along(df: DataFrame, v: str, axis: str, s: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -13,6 +13,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def pin(df: DataFrame, **values: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection may be merged into every later use; a generated row is
+    not, which matters for array expressions used many times."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 

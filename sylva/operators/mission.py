@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import (
-    distance, high, let, low, point_in_rings, rotate_ring, rotate_x, rotate_y, vertical_crossings,
+    distance, high, let, low, pin, point_in_rings, rotate_ring, rotate_x, rotate_y, vertical_crossings,
 )
 from sylva.session import materialize
 
@@ -42,18 +42,18 @@ def spacing(blocks: DataFrame) -> DataFrame:
 def _pivoted(blocks: DataFrame) -> DataFrame:
     """Adds the centre of the outer ring's bounding box; the outer ring is first."""
     outer = F.element_at("rings", 1)
-    return blocks.withColumn("px", (low(outer, "x") + high(outer, "x")) / 2.0).withColumn("py", (low(outer, "y") + high(outer, "y")) / 2.0)
+    return pin(blocks, px=(low(outer, "x") + high(outer, "x")) / 2.0, py=(low(outer, "y") + high(outer, "y")) / 2.0)
 
 
 def _local(blocks: DataFrame, degrees: Column) -> DataFrame:
-    return _pivoted(blocks).withColumn(
-        "local", F.transform("rings", lambda r: rotate_ring(r, F.col("px"), F.col("py"), -degrees)))
+    turned = F.transform("rings", lambda r: rotate_ring(r, F.col("px"), F.col("py"), -degrees))
+    return pin(_pivoted(blocks), local=turned)
 
 
 def coverage_lines(blocks: DataFrame) -> DataFrame:
     """One row per flight line: ``line, x`` in the rotated frame, with ``local`` rings."""
     pts = F.flatten("local")
-    b = _local(spacing(blocks), F.col("direction")).withColumn("_x0", low(pts, "x")).withColumn("_x1", high(pts, "x"))
+    b = pin(_local(spacing(blocks), F.col("direction")), _x0=low(pts, "x"), _x1=high(pts, "x"))
     s = F.col("line_spacing")
     n = F.floor((F.col("_x1") - F.col("_x0") - s / 2.0) / s).cast("int")
     xs = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: F.col("_x0") + s / 2.0 + k * s)).otherwise(
@@ -64,7 +64,7 @@ def coverage_lines(blocks: DataFrame) -> DataFrame:
 
 def coverage_runs(lines: DataFrame) -> DataFrame:
     """``fid, line, part, x, y0, y1, n``: inside stretches with an inset from the edge."""
-    crossed = lines.withColumn("_ys", vertical_crossings(F.col("x"), F.col("local"))).filter(F.size("_ys") >= 2)
+    crossed = pin(lines, _ys=vertical_crossings(F.col("x"), F.col("local"))).filter(F.size("_ys") >= 2)
     pairs = crossed.select(
         "fid", "line", "x", "px", "py", "direction", "waypoint_spacing", "_ys",
         F.explode(F.sequence(F.lit(0), F.floor(F.size("_ys") / 2).cast("int") - 1)).alias("part"))
@@ -326,7 +326,7 @@ def suggest_direction(blocks: DataFrame) -> DataFrame:
         return let(turned, lambda xs: F.array_max(xs) - F.array_min(xs))
 
     tries = F.transform(F.sequence(F.lit(0), F.lit(ANGLES - 1)), lambda d: F.struct(width(d.cast("double")).alias("width"), d.alias("deg")))
-    best = b.withColumn("_b", F.array_min(tries))
+    best = pin(b, _b=F.array_min(tries))
     lines = lambda w: F.greatest(F.lit(1), F.ceil(w / F.col("line_spacing")).cast("int"))
     current = ((F.col("direction") % 180) + 180) % 180
     return best.select(
@@ -336,8 +336,8 @@ def suggest_direction(blocks: DataFrame) -> DataFrame:
 
 def coverage_failure(blocks: DataFrame) -> DataFrame:
     """``fid, reason``: why a block has no waypoint, with numbers and what to try."""
-    b = _pivoted(spacing(blocks)).withColumn("_o", rotate_ring(F.element_at("rings", 1), F.col("px"), F.col("py"), -F.col("direction")))
-    b = b.withColumn("width", high(F.col("_o"), "x") - low(F.col("_o"), "x")).withColumn("height", high(F.col("_o"), "y") - low(F.col("_o"), "y"))
+    b = pin(_pivoted(spacing(blocks)), _o=rotate_ring(F.element_at("rings", 1), F.col("px"), F.col("py"), -F.col("direction")))
+    b = pin(b, width=high(F.col("_o"), "x") - low(F.col("_o"), "x"), height=high(F.col("_o"), "y") - low(F.col("_o"), "y"))
     small = (F.col("width") < F.col("line_spacing")) | (F.col("height") < F.col("waypoint_spacing"))
     too_small = F.format_string(
         "The survey area is about %.0fm x %.0fm along this flight direction; these settings need %.0fm between lines "
@@ -400,12 +400,12 @@ def corridor_lanes(blocks: DataFrame) -> DataFrame:
     pts = F.flatten("rings")
     diagonal = distance(low(pts, "x"), low(pts, "y"), high(pts, "x"), high(pts, "y"))
     reach = F.least(F.lit(LANE_CAP), F.ceil(diagonal / F.col("line_spacing")).cast("int") + 1)
-    wide = b.withColumn("_reach", reach).select("fid", "rings", "line_spacing", "_reach")
+    wide = pin(b, _reach=reach).select("fid", "rings", "line_spacing", "_reach")
     centre = smooth_tangent(resample_line(b.select("fid", "path", "waypoint_spacing"), F.col("waypoint_spacing")))
     lanes = centre.join(wide, "fid").withColumn("lane", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))))
     off = F.col("lane") * F.col("line_spacing")
     placed = (
-        lanes.withColumn("_px", F.col("x") - F.col("dy") * off).withColumn("_py", F.col("y") + F.col("dx") * off)
+        pin(lanes, _px=F.col("x") - F.col("dy") * off, _py=F.col("y") + F.col("dx") * off)
         .withColumn("_in", point_in_rings(F.col("_px"), F.col("_py"), F.col("rings")))
         .select("fid", "lane", "k", F.col("_px").alias("x"), F.col("_py").alias("y"), "_in")
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import POINTS, clip_to_box, high, let, low, point_in_rings, ring_area, vertical_crossings
+from sylva.functions.geometry import POINTS, clip_to_box, high, let, low, pin, point_in_rings, ring_area, vertical_crossings
 from sylva.operators.graph import connected_components
 from sylva.operators.stencil import with_size
 from sylva.session import materialize
@@ -239,7 +239,7 @@ def cover(polys: DataFrame, side: float) -> DataFrame:
     met = F.exists("rings", lambda r: _edge_touches(r, x0, y0, x0 + s, y0 + s))
     inside = point_in_rings(x0 + s / 2, y0 + s / 2, F.col("rings"))
     return (
-        cells.withColumn("_met", met).withColumn("whole", ~F.col("_met") & inside)
+        pin(pin(cells, _met=met), whole=~F.col("_met") & inside)
         .filter(F.col("_met") | F.col("whole"))
         .select("fid", "i", "j", "whole", F.when(~F.col("whole"), F.col("rings")).alias("rings"))
     )
@@ -302,22 +302,21 @@ def clip_grid(polys: DataFrame, w: float = 50.0, h: float = 50.0) -> DataFrame:
     Holes are cut the same way and subtracted. Cells no edge meets are all in
     or all out; only boundary cells are cut."""
     pts = _all_points(F.col("rings"))
-    boxes = polys.select("fid", "rings", *[f(pts, a).alias(f"{a}{n}") for a in "xy" for f, n in ((low, "min"), (high, "max"))])
-    grid = fishnet(boxes, w, h)
+    boxes = pin(polys.select("fid", "rings"), **{f"{a}{n}": f(pts, a) for a in "xy" for f, n in ((low, "min"), (high, "max"))})
+    biggest = F.array_max(F.transform("rings", lambda r: ring_area(r)))
+    grid = fishnet(pin(boxes, _most=biggest), w, h)
     corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
     met = F.exists("rings", lambda r: _edge_touches(r, *corners))
     inside = point_in_rings((corners[0] + corners[2]) / 2, (corners[1] + corners[3]) / 2, F.col("rings"))
     cut = F.transform("rings", lambda r: clip_to_box(r, *corners))
-    biggest = F.array_max(F.transform("rings", lambda r: ring_area(r)))
     signed = F.aggregate(
-        F.zip_with("rings", cut, lambda r, c: F.when(F.size(c) < 3, 0.0).otherwise(
-            let(ring_area(c), lambda area: F.when(ring_area(r) == biggest, area).otherwise(-area)))),
+        F.zip_with("rings", "pieces", lambda r, c: F.when(F.size(c) < 3, 0.0).otherwise(
+            let(ring_area(c), lambda area: F.when(ring_area(r) == F.col("_most"), area).otherwise(-area)))),
         F.lit(0.0), lambda acc, v: acc + v)
     full = (corners[2] - corners[0]) * (corners[3] - corners[1])
+    cells = pin(pin(grid, _met=met), pieces=F.when(F.col("_met"), cut))
     return (
-        grid.withColumn("_met", met)
-        .withColumn("area", F.when(F.col("_met"), signed).when(inside, full).otherwise(0.0))
-        .withColumn("pieces", F.when(F.col("_met"), cut))
+        pin(cells, area=F.when(F.col("_met"), signed).when(inside, full).otherwise(0.0))
         .filter("area > 0")
         .select("fid", "cell_row", "cell_col", "x0", "y0", "x1", "y1", "area", "pieces")
     )
@@ -327,9 +326,10 @@ def cells_inside(polys: DataFrame, q: float) -> DataFrame:
     """``fid, i, j``: cells of side q whose centre is inside, by scan lines."""
     pts, s = _all_points(F.col("rings")), F.lit(float(q))
     lanes = (
-        polys.withColumn("_i0", F.floor(low(pts, "x") / s)).withColumn("_i1", F.floor(high(pts, "x") / s))
-        .withColumn("i", F.explode(F.sequence("_i0", "_i1")))
-        .withColumn("ys", vertical_crossings((F.col("i") + 0.5) * s, F.col("rings")))
+        pin(
+            pin(polys, _i0=F.floor(low(pts, "x") / s), _i1=F.floor(high(pts, "x") / s))
+            .withColumn("i", F.explode(F.sequence("_i0", "_i1"))),
+            ys=vertical_crossings((F.col("i") + 0.5) * s, F.col("rings")))
         .filter(F.size("ys") >= 2).select("fid", "i", "ys")
     )
     spans = lanes.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ys") - 1, F.lit(2))))

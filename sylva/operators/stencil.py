@@ -315,13 +315,12 @@ def band_matrix(taps: np.ndarray, out: int) -> np.ndarray:
 
 def smooth(window: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian that consumes its radius on each side.
-
-    Rounded so that the result is the same whatever window it was cut from."""
+    """
     taps = gaussian_taps(sigma)
     shrink = len(taps) - 1
     rows = band_matrix(taps, window.shape[0] - shrink)
     cols = rows if window.shape[0] == window.shape[1] else band_matrix(taps, window.shape[1] - shrink)
-    return np.round(rows @ window @ cols.T, 9)
+    return rows @ window @ cols.T
 
 
 def gaussian(df: DataFrame, meta: DataFrame, value: str, sigma: float, tile: int = 512, name: str = "smooth") -> DataFrame:
@@ -407,7 +406,8 @@ def peak_cells(
         cols = np.arange(frame.col0, frame.col1)[None, :]
         parts = []
         for s in scales:
-            around = smooth(inner(exg, frame, int(4.0 * s + 0.5) + s), s)
+            # Rounded, so that equal values stay equal whatever window they were cut from.
+            around = np.round(smooth(inner(exg, frame, int(4.0 * s + 0.5) + s), s), 9)
             top = _slide_max(_slide_max(around, s).T, s).T
             signal = around[s:around.shape[0] - s, s:around.shape[1] - s]
             m = margin_of(s)

@@ -139,11 +139,11 @@ def framed(spark: SparkSession, sf: str) -> DataFrame:
     sq = "array(struct({x} AS x, {y} AS y), struct({x} + {s} AS x, {y} AS y), struct({x} + {s} AS x, {y} + {s} AS y), struct({x} AS x, {y} + {s} AS y))"
     outer, hole = sq.format(x="x0", y="y0", s="s"), sq.format(x="x0 + s / 4", y="y0 + s / 4", s="s / 2")
     return table(spark, sf, "part").selectExpr(
-        "p_partkey AS fid", "CAST((p_partkey % 50) * 20 + 500000.25D AS DOUBLE) AS x0", "CAST((p_partkey div 50) * 40 + 9500000.25D AS DOUBLE) AS y0",
+        "p_partkey AS fid", "CAST((p_partkey % 50) * 20 + 500000.125D AS DOUBLE) AS x0", "CAST((p_partkey div 50) * 40 + 9500000.125D AS DOUBLE) AS y0",
         "CASE WHEN p_partkey % 3 = 0 THEN 8D ELSE 16D END AS s").selectExpr("fid", f"array({outer}, {hole}) AS rings", "x0", "y0", "s")
 
 
-FRAMED = """framed AS (SELECT p_partkey AS fid, CAST((p_partkey % 50) * 20 + 500000.25 AS DOUBLE) AS x0, CAST((p_partkey // 50) * 40 + 9500000.25 AS DOUBLE) AS y0,
+FRAMED = """framed AS (SELECT p_partkey AS fid, CAST((p_partkey % 50) * 20 + 500000.125 AS DOUBLE) AS x0, CAST((p_partkey // 50) * 40 + 9500000.125 AS DOUBLE) AS y0,
   CASE WHEN p_partkey % 3 = 0 THEN 8.0::DOUBLE ELSE 16.0::DOUBLE END AS s FROM part)"""
 
 # Even-odd membership of a point (x, y) in a framed square f.
@@ -224,8 +224,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LINES = """lines0 AS (SELECT o_orderkey AS fid, CAST(o_orderkey % 97 AS DOUBLE) AS ax, CAST(o_orderkey % 89 AS DOUBLE) AS ay,
-  CAST((o_orderkey * 7) % 197 AS DOUBLE) AS bx, CAST((o_orderkey * 5) % 189 AS DOUBLE) AS by FROM orders),
-lines AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay)) AS length FROM lines0)"""
+  CAST((o_orderkey * 7) % 197 AS DOUBLE) AS bx, CAST((o_orderkey * 5) % 189 AS DOUBLE) AS b_y FROM orders),
+lines AS (SELECT *, sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)) AS length FROM lines0)"""
 
 
 def zigzags(spark: SparkSession, sf: str) -> DataFrame:

@@ -100,7 +100,7 @@ def _(spark, sf):
 
 @query("j6_nms", "WITH RECURSIVE " + I.CLUSTERED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY sigma DESC, fid) AS rn FROM clustered),
 step(raster_id, rn, kept) AS (SELECT raster_id, 1::BIGINT, [{'fid': fid, 'x': x, 'y': y, 's': sigma}] FROM rk WHERE rn = 1
-  UNION ALL SELECT s.raster_id, r.rn, CASE WHEN len(list_filter(s.kept, k -> (k.x - r.x) * (k.x - r.x) + (k.y - r.y) * (k.y - r.y) <= k.s * k.s)) > 0 THEN s.kept
+  UNION ALL SELECT s.raster_id, r.rn, CASE WHEN len(list_filter(s.kept, lambda k: (k.x - r.x) * (k.x - r.x) + (k.y - r.y) * (k.y - r.y) <= k.s * k.s)) > 0 THEN s.kept
     ELSE list_append(s.kept, {'fid': r.fid, 'x': r.x, 'y': r.y, 's': r.sigma}) END FROM step s JOIN rk r ON r.raster_id = s.raster_id AND r.rn = s.rn + 1)
 SELECT unnest(kept).fid AS fid FROM step QUALIFY rn = max(rn) OVER (PARTITION BY raster_id)""")
 def _(spark, sf):
@@ -113,7 +113,7 @@ _I = "(greatest(0, least(k.x + k.w / 2, r.cx + r.w / 2) - greatest(k.x - k.w / 2
 
 @query("j7_box_nms", "WITH RECURSIVE " + I.BOXES + """, rk AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, fid) AS rn FROM boxes WHERE score > 0.25),
 step(window_id, rn, kept) AS (SELECT window_id, 1::BIGINT, [{'fid': fid, 'x': cx, 'y': cy, 'w': w, 'h': h}] FROM rk WHERE rn = 1
-  UNION ALL SELECT s.window_id, r.rn, CASE WHEN len(list_filter(s.kept, k -> """ + f"{_I} / (k.w * k.h + r.w * r.h - {_I})" + """ > 0.45)) > 0 THEN s.kept
+  UNION ALL SELECT s.window_id, r.rn, CASE WHEN len(list_filter(s.kept, lambda k: """ + f"{_I} / (k.w * k.h + r.w * r.h - {_I})" + """ > 0.45)) > 0 THEN s.kept
     ELSE list_append(s.kept, {'fid': r.fid, 'x': r.cx, 'y': r.cy, 'w': r.w, 'h': r.h}) END FROM step s JOIN rk r ON r.window_id = s.window_id AND r.rn = s.rn + 1)
 SELECT unnest(kept).fid AS fid FROM step QUALIFY rn = max(rn) OVER (PARTITION BY window_id)""")
 def _(spark, sf):
@@ -161,10 +161,10 @@ def _(spark, sf):
 
 
 def _bridges_sql() -> str:
-    sql = "WITH " + I.LINES + ", l0 AS (SELECT fid, ax, ay, bx, by, length FROM lines)"
+    sql = "WITH " + I.LINES + ", l0 AS (SELECT fid, ax, ay, bx, b_y, length FROM lines)"
     for i in range(5):
-        sql += f""", u{i} AS (SELECT x, y, count(*) AS n FROM (SELECT ax AS x, ay AS y FROM l{i} UNION ALL SELECT bx, by FROM l{i}) GROUP BY ALL),
-l{i + 1} AS (SELECT l.* FROM l{i} l JOIN u{i} p ON p.x = l.ax AND p.y = l.ay JOIN u{i} q ON q.x = l.bx AND q.y = l.by WHERE NOT (length < 40 AND p.n > 1 AND q.n > 1))"""
+        sql += f""", u{i} AS (SELECT x, y, count(*) AS n FROM (SELECT ax AS x, ay AS y FROM l{i} UNION ALL SELECT bx, b_y FROM l{i}) GROUP BY ALL),
+l{i + 1} AS (SELECT l.* FROM l{i} l JOIN u{i} p ON p.x = l.ax AND p.y = l.ay JOIN u{i} q ON q.x = l.bx AND q.y = l.b_y WHERE NOT (length < 40 AND p.n > 1 AND q.n > 1))"""
     return sql + " SELECT fid, round(length, 6) AS length FROM l5"
 
 
@@ -174,11 +174,11 @@ def _(spark, sf):
 
 
 @query("j12_riparian_conflict", "WITH " + I.RECT + """, river AS (SELECT CAST((s_suppkey * 37) % 100 * 50 AS DOUBLE) AS ax, CAST((s_suppkey * 53) % 40 * 100 AS DOUBLE) AS ay,
-  CAST((s_suppkey * 37) % 100 * 50 + 300 AS DOUBLE) AS bx, CAST((s_suppkey * 53) % 40 * 100 + 25 AS DOUBLE) AS by FROM supplier),
+  CAST((s_suppkey * 37) % 100 * 50 + 300 AS DOUBLE) AS bx, CAST((s_suppkey * 53) % 40 * 100 + 25 AS DOUBLE) AS b_y FROM supplier),
 cells AS (SELECT fid, i + 0.5 AS x, j + 0.5 AS y FROM (SELECT fid, y0, h, unnest(range(x0::BIGINT, (x0 + w)::BIGINT)) AS i FROM rect), LATERAL (SELECT unnest(range(y0::BIGINT, (y0 + h)::BIGINT)) AS j)),
-near AS (SELECT fid, x, y FROM cells c WHERE EXISTS (SELECT 1 FROM (SELECT *, greatest(0, least(1, ((c.x - ax) * (bx - ax) + (c.y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t FROM river
-   WHERE c.x BETWEEN ax - 20 AND bx + 20 AND c.y BETWEEN ay - 20 AND by + 20) r
-  WHERE sqrt((c.x - ax - t * (bx - ax)) * (c.x - ax - t * (bx - ax)) + (c.y - ay - t * (by - ay)) * (c.y - ay - t * (by - ay))) <= 20))
+near AS (SELECT fid, x, y FROM cells c WHERE EXISTS (SELECT 1 FROM (SELECT *, greatest(0, least(1, ((c.x - ax) * (bx - ax) + (c.y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS t FROM river
+   WHERE c.x BETWEEN ax - 20 AND bx + 20 AND c.y BETWEEN ay - 20 AND b_y + 20) r
+  WHERE sqrt((c.x - ax - t * (bx - ax)) * (c.x - ax - t * (bx - ax)) + (c.y - ay - t * (b_y - ay)) * (c.y - ay - t * (b_y - ay))) <= 20))
 SELECT fid, CAST(count(*) AS DOUBLE) AS area FROM near GROUP BY fid""")
 def _(spark, sf):
     river = I.table(spark, sf, "supplier").selectExpr(
@@ -197,10 +197,10 @@ def _(spark, sf):
 
 @query("g5_clip_to_box", "WITH " + I.RECT + """ SELECT fid, (least(x0 + w, x0 + 20) - greatest(x0, x0 + 4)) * (least(y0 + h, y0 + 5) - greatest(y0, y0 + 0.5::DOUBLE)) AS area FROM rect WHERE w > 4 AND h > 0.5""")
 def _(spark, sf):
-    from sylva.functions.geometry import clip_to_box, ring_area
+    from sylva.functions.geometry import clip_to_box, pin, ring_area
 
     x0, y0 = F.col("x0"), F.col("y0")
-    cut = I.rectangles(spark, sf).withColumn("cut", clip_to_box(F.col("pts"), x0 + 4, y0 + 0.5, x0 + 20, y0 + 5))
+    cut = pin(I.rectangles(spark, sf), cut=clip_to_box(F.col("pts"), x0 + 4, y0 + 0.5, x0 + 20, y0 + 5))
     return cut.withColumn("area", F.when(F.size("cut") >= 3, ring_area(F.col("cut"))).otherwise(0.0)).filter("area > 0").select("fid", "area")
 
 
@@ -223,7 +223,7 @@ SELECT img.stem, img.name AS image_name, min(lab.name) AS label_name FROM img JO
 def _(spark, sf):
     p = I.table(spark, sf, "part").withColumn("stem", F.expr("concat('tile_', p_partkey % 700, '_', p_partkey)"))
     images = p.select(F.concat("stem", F.lit(".tiff")).alias("name"))
-    labels = p.filter("p_partkey % 3 <> 0").select(F.concat(F.col("stem"), F.explode(F.array(F.lit(".tif"), F.lit(".png")))).alias("name"))
+    labels = p.filter("p_partkey % 3 <> 0").select(F.explode(F.array(*[F.concat("stem", F.lit(e)) for e in (".tif", ".png")])).alias("name"))
     return field.pair_by_stem(images, labels)
 
 

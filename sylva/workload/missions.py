@@ -22,8 +22,8 @@ LANES = TURNED + """, ext AS (SELECT fid, any_value(ls) AS ls, any_value(ws) AS
 ln AS (SELECT fid, ws, k AS line, lo + ls / 2 + k * ls AS x FROM (SELECT *, unnest(range(0, greatest(1, floor((hi - lo - ls / 2) / ls)::BIGINT + 1))) AS k FROM ext) WHERE (hi - lo - ls / 2) >= 0
   UNION ALL SELECT fid, ws, 0, (lo + hi) / 2 FROM ext WHERE (hi - lo - ls / 2) < 0)"""
 
-RUNS = LANES + """, edge AS (SELECT a.fid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM rot a JOIN rot b ON a.fid = b.fid AND b.i = a.i % a.n + 1),
-cr AS (SELECT l.fid, l.line, l.x, l.ws, (by - ay) * (l.x - ax) / (bx - ax) + ay AS y FROM ln l JOIN edge e ON e.fid = l.fid AND (ax > l.x) <> (bx > l.x)),
+RUNS = LANES + """, edge AS (SELECT a.fid, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM rot a JOIN rot b ON a.fid = b.fid AND b.i = a.i % a.n + 1),
+cr AS (SELECT l.fid, l.line, l.x, l.ws, (b_y - ay) * (l.x - ax) / (bx - ax) + ay AS y FROM ln l JOIN edge e ON e.fid = l.fid AND (ax > l.x) <> (bx > l.x)),
 cn AS (SELECT *, row_number() OVER (PARTITION BY fid, line ORDER BY y) AS rn FROM cr),
 sp2 AS (SELECT a.fid, a.line, CAST((a.rn - 1) // 2 AS INT) AS part, a.x, a.ws, a.y AS lo, b.y AS hi FROM cn a JOIN cn b ON a.fid = b.fid AND a.line = b.line AND b.rn = a.rn + 1 WHERE a.rn % 2 = 1 AND b.y - a.y >= 0.000001),
 ins AS (SELECT *, least(2, (hi - lo) / 2 - 0.000001) AS t FROM sp2),
@@ -59,7 +59,7 @@ def _(spark, sf):
 
 
 @query("m6_suggest_direction", "WITH " + SPACED + """, a AS (SELECT b.fid, b.ls, b.direction, d, v.pts FROM sp b JOIN verts v USING (fid), (SELECT unnest(range(0, 180)) AS d)),
-x AS (SELECT fid, ls, direction, d, list_transform(pts, p -> (p.x - pts[1].x) * cos(-d * pi() / 180) - (p.y - pts[1].y) * sin(-d * pi() / 180)) AS xs FROM a),
+x AS (SELECT fid, ls, direction, d, list_transform(pts, lambda p: (p.x - pts[1].x) * cos(-d * pi() / 180) - (p.y - pts[1].y) * sin(-d * pi() / 180)) AS xs FROM a),
 wd AS (SELECT fid, ls, direction, d, round(list_max(xs) - list_min(xs), 6) AS w FROM x)
 SELECT fid, first(w ORDER BY w, d) AS best_width, CAST(greatest(1, ceil(first(w ORDER BY w, d) / any_value(ls))) AS INT) AS lines_at_best,
   CAST(greatest(1, ceil(first(w) FILTER (d = direction) / any_value(ls))) AS INT) AS lines_at_current FROM wd GROUP BY fid""")
@@ -109,8 +109,8 @@ def _(spark, sf):
 
 
 @query("m8_coverage_failure", "WITH " + SPACED + """, n AS (SELECT fid, w / 8 AS w, h AS h, ls, ws FROM sp WHERE NOT ell AND direction = 0)
-SELECT fid, w < ls OR h < ws AS too_small, CASE WHEN w < ls OR h < ws THEN printf('The survey area is about %.0fm x %.0fm along this flight direction; these settings need %.0fm between lines and %.0fm between waypoints. Lower the GSD, altitude, overlap or image size, or check the selected polygon.', w, h, ls, ws)
-  ELSE printf('The area (%.0fm x %.0fm) should hold lines %.0fm apart, but no sampled point is inside; the polygon may be very thin, self-intersecting or oddly shaped. Try another flight direction.', w, h, ls) END AS reason FROM n""")
+SELECT fid, w < ls OR h < ws AS too_small, CASE WHEN w < ls OR h < ws THEN printf('The survey area is about %.0fm x %.0fm along this flight direction; these settings need %.0fm between lines and %.0fm between waypoints. Lower the GSD, altitude, overlap or image size, or check the selected polygon.', floor(w + 0.5), h, ls, ws)
+  ELSE printf('The area (%.0fm x %.0fm) should hold lines %.0fm apart, but no sampled point is inside; the polygon may be very thin, self-intersecting or oddly shaped. Try another flight direction.', floor(w + 0.5), h, ls) END AS reason FROM n""")
 def _(spark, sf):
     narrow = I.blocks(spark, sf).filter("NOT ell AND direction = 0").withColumn(
         "rings", F.expr("transform(rings, r -> transform(r, p -> struct(x0 + (p.x - x0) / 8 AS x, p.y AS y)))"))

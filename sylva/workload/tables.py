@@ -107,7 +107,7 @@ def _(spark, sf):
 
 @query("p18_identify", "WITH " + I.POINTS + """, hit AS (SELECT * FROM newp WHERE x BETWEEN 500100 AND 500400 AND y BETWEEN 9500050 AND 9500900),
 att AS (SELECT o_orderkey AS fid, c AS attachment_id, concat('/p/', o_orderkey, '_', c) AS photo_path FROM orders, (SELECT unnest([3, 1, 2]) AS c) WHERE (o_orderkey + c) % 3 <> 0)
-SELECT h.fid, x, y, min(attachment_id) AS attachment_id, concat('/p/', h.fid, '_', min(attachment_id)) AS photo_path FROM hit h JOIN att USING (fid) GROUP BY ALL""")
+SELECT fid, x, y, min(attachment_id) AS attachment_id, min_by(photo_path, attachment_id) AS photo_path FROM hit h JOIN att USING (fid) GROUP BY fid, x, y""")
 def _(spark, sf):
     att = I.table(spark, sf, "orders").selectExpr("o_orderkey AS fid", "explode(array(3, 1, 2)) AS attachment_id").filter("(fid + attachment_id) % 3 <> 0").withColumn(
         "photo_path", F.expr("concat('/p/', fid, '_', attachment_id)"))
@@ -245,9 +245,9 @@ def _(spark, sf):
     return I.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", geo.round_mm(F.col("l_quantity") / 16).alias("mm"))
 
 
-@query("g3_dist_point_segment", "WITH " + I.LINES + """, p AS (SELECT *, CAST(fid % 50 AS DOUBLE) AS px, CAST(fid % 70 AS DOUBLE) AS py, (bx - ax) * (bx - ax) + (by - ay) * (by - ay) AS l2 FROM lines),
-q AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / l2)) ELSE 0 END AS t FROM p)
-SELECT fid, round(sqrt((ax + t * (bx - ax) - px) * (ax + t * (bx - ax) - px) + (ay + t * (by - ay) - py) * (ay + t * (by - ay) - py)), 6) AS d FROM q""")
+@query("g3_dist_point_segment", "WITH " + I.LINES + """, p AS (SELECT *, CAST(fid % 50 AS DOUBLE) AS px, CAST(fid % 70 AS DOUBLE) AS py, (bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) AS l2 FROM lines),
+q AS (SELECT *, CASE WHEN l2 > 0 THEN greatest(0, least(1, ((px - ax) * (bx - ax) + (py - ay) * (b_y - ay)) / l2)) ELSE 0 END AS t FROM p)
+SELECT fid, round(sqrt((ax + t * (bx - ax) - px) * (ax + t * (bx - ax) - px) + (ay + t * (b_y - ay) - py) * (ay + t * (b_y - ay) - py)), 6) AS d FROM q""")
 def _(spark, sf):
     px, py = (F.col("fid") % 50).cast("double"), (F.col("fid") % 70).cast("double")
     return I.lines(spark, sf).select("fid", F.round(geo.dist_point_segment(px, py, *[F.col(c) for c in ("ax", "ay", "bx", "by")]), 6).alias("d"))

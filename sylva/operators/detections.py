@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.bands import CONFIDENCE_CUT, conf_filter, geo_x, geo_y
 from sylva.operators.raster import DETECTOR_INPUT
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 # Overlap limit; one detector run gives at most this many boxes.
 IOU_CUT = 0.45
@@ -54,7 +54,7 @@ def box_nms(
     hold more, its best ``most`` boxes are settled first, then everything they
     overlap is removed by a grid join, and the rest takes another round.
     """
-    undecided = boxes.filter(conf_filter(F.col("score"), conf)).select(*_BOX)
+    undecided = spread(boxes.filter(conf_filter(F.col("score"), conf)).select(*_BOX), "window_id")
     order = Window.partitionBy("window_id").orderBy(F.desc("score"), "fid")
     schema = undecided.schema
     kept: DataFrame | None = None

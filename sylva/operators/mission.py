@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylva.functions.geometry import (
     distance, high, let, low, pin, point_in_rings, rotate_ring, rotate_x, rotate_y, vertical_crossings,
 )
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 # Planner defaults and limits.
 DEFAULTS = dict(altitude=100.0, gsd=5.0, img_w=4000, img_h=3000, front=80.0, side=70.0, direction=0.0, speed=8.0, minutes=20.0)
@@ -117,39 +118,53 @@ def _tours(first: np.ndarray, last: np.ndarray, starts: int) -> tuple[np.ndarray
     return walk, back
 
 
-def order_runs(runs: DataFrame, areas: DataFrame) -> DataFrame:
-    """Flight order of the runs of each block.
-
-    ``runs``: ``fid, run_id, ax, ay, bx, by, off_legs, longest``: two ends,
-    legs inside the run that leave the area, longest leg inside. ``areas``: ``fid,
-    rings`` in the same frame. Adds ``pos, reversed`` and per block
-    ``off_polygon_legs``. Up to 60 runs every run and direction is tried as the
-    start; beyond that only the first run. The fewest legs outside wins, then
-    the shortest longest leg, then the earliest start."""
-    schema = "fid long, run_id long, pos int, reversed boolean, off_polygon_legs long"
-
-    def solve(runs_: pd.DataFrame, area: pd.DataFrame) -> pd.DataFrame:
-        if runs_.empty or area.empty:
-            return pd.DataFrame({"fid": [], "run_id": [], "pos": [], "reversed": [], "off_polygon_legs": []})
-        r = runs_.sort_values("run_id", ignore_index=True)
-        first, last = r[["ax", "ay"]].to_numpy(), r[["bx", "by"]].to_numpy()
-        rings = [[(p["x"], p["y"]) for p in ring] for ring in area["rings"].iloc[0]]
-        starts = len(r) if len(r) <= MULTI_START_RUNS else 1
-        walk, back = _tours(first, last, starts)
+_TOUR = T.StructType().add("walk", T.ArrayType(T.IntegerType())).add("back", T.ArrayType(T.BooleanType())).add("off", T.LongType())
+
+
+@F.pandas_udf(_TOUR)
+def _tour(
+    ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, off_legs: pd.Series, longest: pd.Series,
+    ring_x: pd.Series, ring_y: pd.Series, ring_n: pd.Series,
+) -> pd.DataFrame:
+    """Best walk over the runs of each block; one row is one block."""
+    out = []
+    for xa, ya, xb, yb, inner, most, rx, ry, rn in zip(ax, ay, bx, by, off_legs, longest, ring_x, ring_y, ring_n):
+        first, last = np.column_stack([xa, ya]), np.column_stack([xb, yb])
+        ends = np.cumsum(rn)
+        rings = [list(zip(rx[e - n:e], ry[e - n:e])) for n, e in zip(rn, ends)]
+        walk, back = _tours(first, last, len(first) if len(first) <= MULTI_START_RUNS else 1)
         leave = np.where(back[:, :-1, None], first[walk[:, :-1]], last[walk[:, :-1]])
         enter = np.where(back[:, 1:, None], last[walk[:, 1:]], first[walk[:, 1:]])
         mid = (leave + enter) / 2.0
-        off = (~_inside(mid[..., 0], mid[..., 1], rings)).sum(axis=1) + int(r["off_legs"].sum())
+        off = (~_inside(mid[..., 0], mid[..., 1], rings)).sum(axis=1) + int(np.sum(inner))
         legs = np.sqrt(((enter - leave) ** 2).sum(axis=2))
-        longest = np.maximum(legs.max(axis=1, initial=0.0), r["longest"].max())
-        best = np.lexsort((np.arange(len(off)), longest, off))[0]
-        return pd.DataFrame({
-            "fid": r["fid"].iloc[0], "run_id": r["run_id"].to_numpy()[walk[best]], "pos": np.arange(len(r), dtype="int32"),
-            "reversed": back[best], "off_polygon_legs": int(off[best])})
+        score = np.maximum(legs.max(axis=1, initial=0.0), np.max(most))
+        best = np.lexsort((np.arange(len(off)), score, off))[0]
+        out.append((walk[best].astype("int32"), back[best], int(off[best])))
+    return pd.DataFrame(out, columns=["walk", "back", "off"])
 
-    ends = runs.select("fid", "run_id", "ax", "ay", "bx", "by", "off_legs", "longest")
-    tour = ends.groupBy("fid").cogroup(areas.select("fid", "rings").groupBy("fid")).applyInPandas(solve, schema)
-    return runs.join(tour, ["fid", "run_id"])
+
+def order_runs(runs: DataFrame, areas: DataFrame) -> DataFrame:
+    """Flight order of the runs of each block: adds ``pos, reversed`` and per block
+    ``off_polygon_legs``.
+
+    ``runs``: ``fid, run_id, ax, ay, bx, by, off_legs, longest`` and anything
+    else: two ends, legs inside the run that leave the area, longest leg inside.
+    ``areas``: ``fid, rings`` in the same frame. Up to 60 runs every run and
+    direction is tried as the start; beyond that only the first run. The fewest
+    legs outside wins, then the shortest longest leg, then the earliest start.
+    A block travels as one row of run ends, never with its waypoints."""
+    carried = ["run_id"] + [c for c in runs.columns if c not in ("fid", "run_id")]
+    rows = spread(runs, "fid").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_runs"))
+    flat = F.flatten("rings")
+    shapes = areas.select(
+        "fid", F.transform(flat, lambda p: p["x"]).alias("_rx"), F.transform(flat, lambda p: p["y"]).alias("_ry"),
+        F.transform("rings", lambda r: F.size(r)).alias("_rn"))
+    ends = [F.col("_runs")[c] for c in ("ax", "ay", "bx", "by", "off_legs", "longest")]
+    toured = rows.join(shapes, "fid").withColumn("_t", _tour(*ends, "_rx", "_ry", "_rn")).drop("_rx", "_ry", "_rn")
+    steps = toured.select("fid", "_runs", F.col("_t.off").alias("off_polygon_legs"), F.posexplode(F.arrays_zip("_t.walk", "_t.back")).alias("pos", "_s"))
+    return steps.select("fid", F.element_at("_runs", F.col("_s.walk") + 1).alias("_r"), "pos", F.col("_s.back").alias("reversed"), "off_polygon_legs").select(
+        "fid", "_r.*", "pos", "reversed", "off_polygon_legs")
 
 
 def _in_flight_order(ordered: DataFrame) -> DataFrame:
@@ -162,7 +177,6 @@ def coverage_points(blocks: DataFrame) -> DataFrame:
     """``fid, seq, x, y, off_polygon_legs``: the whole flight of each block in order."""
     lines = coverage_lines(blocks)
     runs = coverage_runs(lines).withColumn("run_id", F.col("line").cast("long") * (1 << 20) + F.col("part"))
-    runs = materialize(runs)
     m = F.col("n") - 2
     longest = F.when(m > 0, F.col("waypoint_spacing")).otherwise(F.col("y1") - F.col("y0"))
     ends = runs.withColumn("ax", F.col("x")).withColumn("ay", F.col("y0")).withColumn("bx", F.col("x")).withColumn("by", F.col("y1"))
@@ -202,7 +216,7 @@ def timed(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``points``: ``fid, seq, x, y, speed``. Sums inside chunks are shifted by the
     totals of the chunks before: one row per chunk is all a plan brings together."""
     seconds = F.when(F.col("speed") > 0, F.col("leg") / F.col("speed")).otherwise(0.0)
-    legs = _with_leg(points, chunk).withColumn("_s", seconds)
+    legs = materialize(_with_leg(points, chunk).withColumn("_s", seconds))
     lane = Window.partitionBy("fid", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     part = legs.withColumn("_in", F.sum("_s").over(lane))
     before = Window.partitionBy("fid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -256,31 +270,39 @@ def _cuts_of_long_plans(flown: DataFrame) -> DataFrame:
         jump = materialize(jump.join(jump.select("fid", F.col("s").alias("n"), F.col("n").alias("_n2")), ["fid", "n"]).select("fid", "s", F.col("_n2").alias("n")))
 
 
-def split_by_budget(points: DataFrame, long_plan: int = LONG_PLAN) -> DataFrame:
-    """``fid, part, sequence, seq, x, y``: battery-sized parts with shared seams.
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _cut_list(t: pd.Series, minutes: pd.Series) -> pd.Series:
+    return pd.Series([_cuts(np.asarray(v), float(m) * 60.0) for v, m in zip(t, minutes)])
 
-    ``points``: ``fid, seq (dense from 0), x, y, speed, minutes``. The cut
-    waypoint closes one part and opens the next; its leg counts for neither.
-    Plans up to ``long_plan`` waypoints are cut in one bounded group each, to
-    which only times travel; longer ones by joins."""
-    flown = materialize(timed(points.select("fid", "seq", "x", "y", "speed", "minutes")))
 
-    def find(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        cuts = _cuts(pdf["t"].to_numpy(), float(pdf["minutes"].iloc[0]) * 60.0)
-        return pd.DataFrame({"fid": key[0], "cut": cuts})
+def budget_cuts(flown: DataFrame, long_plan: int = LONG_PLAN) -> DataFrame:
+    """``fid, cut``: waypoints where a new part starts, for ``timed`` waypoints.
 
+    Plans up to ``long_plan`` waypoints are cut from one bounded array of times
+    each; longer ones by joins."""
     slim = flown.select("fid", "seq", "t", "speed", "minutes")
     is_long = slim.groupBy("fid").count().filter(F.col("count") > long_plan).select("fid")
-    usual = slim
-    if not is_long.isEmpty():
-        usual = slim.join(is_long, "fid", "left_anti")
-    cuts = usual.groupBy("fid").applyInPandas(find, "fid long, cut long")
-    if usual is not slim:
+    some_long = not is_long.isEmpty()
+    usual = slim.join(is_long, "fid", "left_anti") if some_long else slim
+    times = spread(usual, "fid").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("_t"), F.max("minutes").alias("minutes"))
+    cuts = times.select("fid", F.explode(_cut_list(F.col("_t")["t"], "minutes")).alias("cut"))
+    if some_long:
         cuts = cuts.unionByName(_cuts_of_long_plans(slim.join(is_long, "fid", "left_semi")))
+    return cuts
+
+
+def split_by_budget(points: DataFrame, long_plan: int = LONG_PLAN) -> DataFrame:
+    """``fid, part, sequence, seq, x, y``: battery-sized parts with shared seams.
+
+    ``points``: ``fid, seq (dense from 0), x, y, speed, minutes``. The cut
+    waypoint closes one part and opens the next; its leg counts for neither."""
+    flown = materialize(timed(points.select("fid", "seq", "x", "y", "speed", "minutes")))
+    return place_parts(flown, materialize(budget_cuts(flown, long_plan)))
+
 
+def place_parts(flown: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Waypoints of all parts from timed waypoints and their cuts."""
     # Parts as intervals of seq, then per chunk the part it opens with.
-    numbered = materialize(cuts)
     lane = Window.partitionBy("fid").orderBy("cut")
     starts = numbered.withColumn("_p", (F.row_number().over(lane) + 1).cast("int")).withColumn(
         "_prev", F.coalesce(F.lag("cut").over(lane), F.lit(0).cast("long")))
@@ -400,20 +422,25 @@ def corridor_lanes(blocks: DataFrame) -> DataFrame:
     pts = F.flatten("rings")
     diagonal = distance(low(pts, "x"), low(pts, "y"), high(pts, "x"), high(pts, "y"))
     reach = F.least(F.lit(LANE_CAP), F.ceil(diagonal / F.col("line_spacing")).cast("int") + 1)
-    wide = pin(b, _reach=reach).select("fid", "rings", "line_spacing", "_reach")
+    box = dict(_xa=low(pts, "x"), _xb=high(pts, "x"), _ya=low(pts, "y"), _yb=high(pts, "y"))
+    wide = pin(b, _reach=reach, **box).select("fid", "rings", "line_spacing", "_reach", *box)
     centre = smooth_tangent(resample_line(b.select("fid", "path", "waypoint_spacing"), F.col("waypoint_spacing")))
-    lanes = centre.join(wide, "fid").withColumn("lane", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))))
+    lanes = spread(centre.join(wide, "fid"), "fid", "k").withColumn("lane", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))))
     off = F.col("lane") * F.col("line_spacing")
-    placed = (
+    in_box = F.col("_px").between(F.col("_xa"), F.col("_xb")) & F.col("_py").between(F.col("_ya"), F.col("_yb"))
+    inside = materialize(
         pin(lanes, _px=F.col("x") - F.col("dy") * off, _py=F.col("y") + F.col("dx") * off)
-        .withColumn("_in", point_in_rings(F.col("_px"), F.col("_py"), F.col("rings")))
-        .select("fid", "lane", "k", F.col("_px").alias("x"), F.col("_py").alias("y"), "_in")
+        .filter(in_box).filter(point_in_rings(F.col("_px"), F.col("_py"), F.col("rings")))
+        .select("fid", "lane", "k", F.col("_px").alias("x"), F.col("_py").alias("y"))
     )
-    used = placed.filter("_in").groupBy("fid", F.abs("lane").alias("_l")).count().filter("_l > 0")
+    used = inside.groupBy("fid", F.abs("lane").alias("_l")).count().filter("_l > 0")
     # Lane pairs 1..m are flown when all of them are used: the rank equals the lane.
     rank = F.row_number().over(Window.partitionBy("fid").orderBy("_l"))
     flown = used.withColumn("_r", rank).filter(F.col("_r") == F.col("_l")).select("fid", "_l")
-    split = runs(placed, F.col("_in"), ["fid", "lane"], "k").withColumn("_l", F.abs("lane"))
+    # Points outside are gone, so a stretch ends where k skips a number.
+    along = Window.partitionBy("fid", "lane").orderBy("k")
+    starts = F.coalesce((F.lag("k").over(along) != F.col("k") - 1).cast("int"), F.lit(1))
+    split = inside.withColumn("_st", starts).withColumn("run", F.sum("_st").over(along)).drop("_st").withColumn("_l", F.abs("lane"))
     outer = split.filter("_l > 0").join(flown, ["fid", "_l"], "left_semi")
     return split.filter("_l = 0").unionByName(outer).drop("_l")
 

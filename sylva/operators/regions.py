@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sylva.functions.geometry import POINTS, clip_to_box, high, let, low, pin, point_in_rings, ring_area, vertical_crossings
 from sylva.operators.graph import connected_components
 from sylva.operators.stencil import with_size
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 ROW_STRIDE = 1 << 32
 CELL = ["raster_id", "row", "col"]
@@ -71,9 +71,10 @@ def label_cells(mask: DataFrame, diagonal: bool = False, tile: int = 512) -> Dat
         return pd.DataFrame({"raster_id": key[0], "row": r, "col": c, "local": ids[_label_grid(index, diagonal)]})
 
     local = materialize(
-        mask.select("raster_id", F.col("row").cast("int"), F.col("col").cast("int"))
-        .groupBy("raster_id", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
-        .applyInPandas(kernel, "raster_id string, row int, col int, local long")
+        spread(
+            mask.select("raster_id", F.col("row").cast("int"), F.col("col").cast("int"))
+            .withColumn("_tr", F.floor(F.col("row") / tile)).withColumn("_tc", F.floor(F.col("col") / tile)), "raster_id", "_tr", "_tc")
+        .groupBy("raster_id", "_tr", "_tc").applyInPandas(kernel, "raster_id string, row int, col int, local long")
     )
     node = lambda c: F.struct("raster_id", F.col(c).alias("local"))
     joined: DataFrame | None = None
@@ -157,9 +158,11 @@ def fill_holes(cells: DataFrame, meta: DataFrame, px_size: float, max_area: floa
             "raster_id": raster_id, "row": row[keep].astype("int32"), "col": col[keep].astype("int32"),
             "part": ids[label][keep] if len(r) else ids, "open": open_[label][keep] if len(r) else rim, "rim": rim[keep]})
 
-    spread = with_size(cells.select(*CELL), meta)
+    keys = ["raster_id", "_tr", "_tc", "height", "width"]
+    placed = with_size(cells.select(*CELL), meta).withColumn("_tr", F.floor(F.col("row") / tile).cast("int")).withColumn(
+        "_tc", F.floor(F.col("col") / tile).cast("int"))
     back = materialize(
-        spread.groupBy("raster_id", F.floor(F.col("row") / tile).cast("int"), F.floor(F.col("col") / tile).cast("int"), "height", "width")
+        spread(placed, *keys).groupBy(*keys)
         .applyInPandas(kernel, "raster_id string, row int, col int, part long, open boolean, rim boolean")
     )
     # Across tile borders: background meets background, a region, or a tile that was never opened.

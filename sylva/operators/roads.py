@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.geometry import endpoints, line_length, round_mm
 from sylva.operators.regions import CELL, ROW_STRIDE, cell_id, label_cells
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 _EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
@@ -65,7 +65,7 @@ def trace_lines(thin: DataFrame, meta: DataFrame, min_dangle: float = 5.0) -> Da
         path = [p for i, p in enumerate(path) if i == 0 or p != path[i - 1]]
         return pd.DataFrame({"raster_id": [key[0]], "line_id": [key[1]], "rows": [[int(p[0]) for p in path]], "cols": [[int(p[1]) for p in path]]})
 
-    walked = body.unionByName(tips).groupBy("raster_id", "line_id").applyInPandas(
+    walked = spread(body.unionByName(tips), "raster_id", "line_id").groupBy("raster_id", "line_id").applyInPandas(
         order, "raster_id string, line_id long, rows array<int>, cols array<int>")
     lines = walked.join(meta.select("raster_id", "xmin", "ymax", "px_size"), "raster_id").select(
         "raster_id", "line_id",

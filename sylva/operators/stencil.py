@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 # Focus gate.
 BLUR_WINDOW_PX = 25
@@ -289,12 +289,13 @@ def over_tiles(
         last = F.least(F.floor((F.col(size) - 1) / tile), F.floor((F.col(axis) + halo) / tile)).cast("int")
         return F.explode(F.sequence(first, last))
 
-    spread = sized.withColumn("_tr", tiles("row", "height")).withColumn("_tc", tiles("col", "width"))
+    placed = sized.withColumn("_tr", tiles("row", "height")).withColumn("_tc", tiles("col", "width"))
+    keys = ["raster_id", "_tr", "_tc", "height", "width"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return kernel(Frame(key, tile, halo), pdf)
 
-    return spread.groupBy("raster_id", "_tr", "_tc", "height", "width").applyInPandas(run, schema)
+    return spread(placed, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def gaussian_taps(sigma: float) -> np.ndarray:

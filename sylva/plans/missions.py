@@ -6,45 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.projection import utm_to_wgs84
-from sylva.operators.mission import (
-    corridor_points, coverage_points, cross_hatch, plan_totals, split_by_budget,
-)
+from sylva.operators.mission import budget_cuts, corridor_points, coverage_points, cross_hatch, place_parts, timed
 from sylva.session import materialize
 
 
 def _finish(points: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Waypoints with parts, and one row of totals per plan."""
     settings = blocks.select("fid", "altitude", "speed", "minutes")
-    flight = materialize(points.join(settings.select("fid", "speed", "minutes"), "fid"))
-    waypoints = split_by_budget(flight).join(settings.select("fid", "altitude", "speed"), "fid").drop("seq")
-    legs = flight.groupBy("fid").agg(F.max("off_polygon_legs").alias("off_polygon_legs"))
-    totals = plan_totals(flight).join(legs, "fid")
+    flown = materialize(timed(points.join(settings, "fid")))
+    cuts = materialize(budget_cuts(flown))
+    waypoints = place_parts(flown, cuts).drop("seq").join(settings.select("fid", "altitude", "speed"), "fid")
+    made = cuts.groupBy("fid").agg(F.count("*").alias("_cuts"))
+    metres = F.sum("leg")
+    totals = (
+        flown.groupBy("fid").agg(
+            metres.alias("total_distance_m"), F.when(F.max("speed") > 0, metres / F.max("speed") / 60.0).otherwise(0.0).alias("total_minutes"),
+            F.max("off_polygon_legs").alias("off_polygon_legs"), F.count("*").alias("_n"))
+        .join(made, "fid", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(0)))
+        .withColumn("parts", (F.col("_cuts") + 1).cast("int")).withColumn("waypoints", F.col("_n") + F.col("_cuts")).drop("_n", "_cuts")
+    )
     return waypoints, totals
 
 
-def _with_parts(waypoints: DataFrame, totals: DataFrame) -> DataFrame:
-    parts = waypoints.groupBy("fid").agg(F.max("part").alias("parts"), F.count("*").alias("waypoints"))
-    return totals.join(parts, "fid")
+_SUMS = ("total_distance_m", "total_minutes", "off_polygon_legs", "parts", "waypoints")
 
 
 def coverage_plan(blocks: DataFrame, crosshatch: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(waypoints, plans)``: waypoints ``fid, part, sequence, x, y, altitude,
-    speed``; plans with parts, distance, minutes and legs outside the area."""
+    speed``; plans with parts, waypoints, distance, minutes, legs outside the area.
+
+    A block without any waypoint has no plan row; ``coverage_failure`` says why."""
     waypoints, totals = _finish(coverage_points(blocks), blocks)
     if crosshatch:
         turned = blocks.withColumn("direction", F.col("direction") + 90)
         more, more_totals = _finish(coverage_points(turned), turned)
-        waypoints = cross_hatch(materialize(waypoints), more)
-        both = totals.unionByName(more_totals)
-        totals = both.groupBy("fid").agg(*[F.sum(c).alias(c) for c in ("total_distance_m", "total_minutes", "off_polygon_legs")])
-    waypoints = materialize(waypoints)
-    return waypoints, _with_parts(waypoints, totals)
+        waypoints = cross_hatch(waypoints, more)
+        totals = totals.unionByName(more_totals).groupBy("fid").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return waypoints, totals
 
 
 def corridor_plan(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for blocks that also carry a centre line ``path``."""
-    waypoints, totals = _finish(corridor_points(blocks), blocks)
-    waypoints = materialize(waypoints)
-    return waypoints, _with_parts(waypoints, totals)
+    return _finish(corridor_points(blocks), blocks)
 
 
 def to_wgs84(waypoints: DataFrame, wkid: int) -> DataFrame:

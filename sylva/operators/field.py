@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import ring_area, ring_perimeter, signed_area, thinness
+from sylva.functions.geometry import pin, ring_area, ring_perimeter, signed_area, thinness
 from sylva.operators.numbering import median
+from sylva.session import materialize
 
 # Biomass and sliver factors, accessibility bands.
 WOOD_DENSITY = 600.0
@@ -110,7 +111,7 @@ def require_pairs(pairs: DataFrame) -> DataFrame:
 def ring_measures(rings: DataFrame) -> DataFrame:
     """Area, length and thinness per ring; rings without length are skipped."""
     return (
-        rings.withColumn("area", ring_area(F.col("pts"))).withColumn("length", ring_perimeter(F.col("pts")))
+        pin(rings, area=ring_area(F.col("pts")), length=ring_perimeter(F.col("pts")))
         .filter("length > 0").withColumn("thinness", thinness(F.col("area"), F.col("length")))
     )
 
@@ -118,7 +119,7 @@ def ring_measures(rings: DataFrame) -> DataFrame:
 def slivers(rings: DataFrame) -> DataFrame:
     """``fid, sliver_area`` of features with a suspicious part, with the medians and
     limits used. Two passes: exact medians first, then one filter."""
-    parts = ring_measures(rings).select("fid", "area", "thinness")
+    parts = materialize(ring_measures(rings).select("fid", "area", "thinness"))
     mid_area, mid_thin = median(parts, F.col("area")), median(parts, F.col("thinness"))
     if mid_area is None:
         mid_area = mid_thin = 0.0
@@ -133,7 +134,7 @@ def slivers(rings: DataFrame) -> DataFrame:
 
 def largest_ring(rings: DataFrame) -> DataFrame:
     """Adds ``outer``: the ring with the largest absolute area of each feature."""
-    sized = rings.filter(F.size("pts") >= 3).withColumn("_a", F.abs(signed_area(F.col("pts"))))
+    sized = pin(rings.filter(F.size("pts") >= 3), _a=F.abs(signed_area(F.col("pts"))))
     top = sized.groupBy("fid").agg(F.min(F.struct((-F.col("_a")).alias("a"), "part")).alias("_t")).select("fid", F.col("_t.part").alias("_top"))
     return sized.join(top, "fid").withColumn("outer", F.col("part") == F.col("_top")).drop("_a", "_top")
 

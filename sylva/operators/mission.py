@@ -54,7 +54,7 @@ def _local(blocks: DataFrame, degrees: Column) -> DataFrame:
 def coverage_lines(blocks: DataFrame) -> DataFrame:
     """One row per flight line: ``line, x`` in the rotated frame, with ``local`` rings."""
     pts = F.flatten("local")
-    b = pin(_local(spacing(blocks), F.col("direction")), _x0=low(pts, "x"), _x1=high(pts, "x"))
+    b = pin(_local(spacing(spread(blocks, "fid")), F.col("direction")), _x0=low(pts, "x"), _x1=high(pts, "x"))
     s = F.col("line_spacing")
     n = F.floor((F.col("_x1") - F.col("_x0") - s / 2.0) / s).cast("int")
     xs = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: F.col("_x0") + s / 2.0 + k * s)).otherwise(
@@ -155,7 +155,7 @@ def order_runs(runs: DataFrame, areas: DataFrame) -> DataFrame:
     legs outside wins, then the shortest longest leg, then the earliest start.
     A block travels as one row of run ends, never with its waypoints."""
     carried = ["run_id"] + [c for c in runs.columns if c not in ("fid", "run_id")]
-    rows = spread(runs, "fid").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_runs"))
+    rows = runs.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_runs"))
     flat = F.flatten("rings")
     shapes = areas.select(
         "fid", F.transform(flat, lambda p: p["x"]).alias("_rx"), F.transform(flat, lambda p: p["y"]).alias("_ry"),
@@ -341,10 +341,12 @@ def cross_hatch(first: DataFrame, second: DataFrame) -> DataFrame:
 def suggest_direction(blocks: DataFrame) -> DataFrame:
     """Whole degree with the least width across, and line counts there and at the
     present direction. A narrow projection: each block row tries its own angles."""
-    b = _pivoted(spacing(blocks)).withColumn("_outer", F.element_at("rings", 1))
+    b = _pivoted(spacing(spread(blocks, "fid")))
+    b = pin(b, _outer=F.transform(F.element_at("rings", 1), lambda p: F.struct((p["x"] - F.col("px")).alias("x"), (p["y"] - F.col("py")).alias("y"))))
 
     def width(deg: Column) -> Column:
-        turned = F.transform("_outer", lambda p: rotate_x(p["x"], p["y"], F.col("px"), F.col("py"), -deg))
+        rad = -deg * F.pi() / 180.0
+        turned = let(F.struct(F.cos(rad).alias("c"), F.sin(rad).alias("s")), lambda t: F.transform("_outer", lambda p: F.col("px") + p["x"] * t["c"] - p["y"] * t["s"]))
         return let(turned, lambda xs: F.array_max(xs) - F.array_min(xs))
 
     tries = F.transform(F.sequence(F.lit(0), F.lit(ANGLES - 1)), lambda d: F.struct(width(d.cast("double")).alias("width"), d.alias("deg")))
@@ -460,7 +462,7 @@ def corridor_points(blocks: DataFrame) -> DataFrame:
     ends = legs.groupBy("fid", "run_id").agg(
         F.min_by("x", "k").alias("ax"), F.min_by("y", "k").alias("ay"), F.max_by("x", "k").alias("bx"), F.max_by("y", "k").alias("by"),
         F.sum("_off").alias("off_legs"), F.max("_leg").alias("longest"), F.count("*").alias("n"), F.min("k").alias("_k0"))
-    flown = _in_flight_order(order_runs(ends, rings))
+    flown = _in_flight_order(order_runs(spread(ends, "fid"), rings))
     pts = keyed.select("fid", "run_id", "k", "x", "y").join(flown.select("fid", "run_id", "n", "_k0", "reversed", "_before", "off_polygon_legs"), ["fid", "run_id"])
     step = F.col("k") - F.col("_k0")
     at = F.when(F.col("reversed"), F.col("n") - 1 - step).otherwise(step)

@@ -18,6 +18,7 @@ def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int =
     parts = materialize(
         df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
+    # One row per range partition, so this single ordered window stays small.
     before = counts.withColumn(
         "_shift", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).select("_part", "_shift")
@@ -35,45 +36,35 @@ def cell_ids(df: DataFrame, order: list[str], by: list[str] | None = None, name:
     return number_rows(df, order, name)
 
 
-def order_values(df: DataFrame, value: Column, ranks: list[int], few: int = FEW) -> dict[int, float]:
-    """Exact values at 0-based ranks.
+def order_values(vals: DataFrame, ranks: list[int], n: int, few: int = FEW) -> dict[int, float]:
+    """Exact values at 0-based ranks of the ``n`` values in column ``v``.
 
-    Approximate quantiles bracket the ranks, a count places the bracket, and the
-    search goes on inside it until few distinct values are left; copies of one
-    value count as one."""
-    vals = df.select(value.cast("double").alias("v")).filter("v is not null")
-    skipped, total = 0, vals.count()
-    lo_rank, hi_rank = min(ranks), max(ranks)
+    While the values are many, approximate quantiles bracket the ranks, a count
+    places the bracket, and the search goes on inside it. Copies of one value
+    count as one, so a value shared by a third of the rows is no burden."""
+    skipped = 0
     while True:
-        distinct = vals.groupBy("v").count()
-        head = distinct.limit(few + 1).count()
-        if head <= few:
-            rows = distinct.orderBy("v").collect()
+        if n <= few or vals.agg(F.approx_count_distinct("v")).first()[0] <= few // 2:
             out, seen = {}, skipped
-            for r in rows:
-                for k in ranks:
-                    if seen <= k < seen + r["count"]:
-                        out[k] = r["v"]
+            for r in vals.groupBy("v").count().orderBy("v").collect():
+                out.update({k: r["v"] for k in ranks if seen <= k < seen + r["count"]})
                 seen += r["count"]
             return out
-        here = total - skipped if skipped == 0 else None
-        n = here or vals.count()
-        a = max(0.0, (lo_rank - skipped) / n - 0.001)
-        b = min(1.0, (hi_rank - skipped + 1) / n + 0.001)
-        lo, hi = vals.agg(F.percentile_approx("v", F.array(F.lit(a), F.lit(b)), 10000).alias("q")).first()["q"]
-        row = vals.agg(
-            F.count_if(F.col("v") < lo).alias("below"), F.count_if(F.col("v").between(lo, hi)).alias("inside")).first()
-        if not (skipped + row["below"] <= lo_rank and hi_rank < skipped + row["below"] + row["inside"]):
-            raise RuntimeError("approximate bracket missed the rank")
-        skipped += row["below"]
-        vals = vals.filter(F.col("v").between(lo, hi))
-        total = skipped + row["inside"]
+        a = max(0.0, (min(ranks) - skipped) / n - 0.001)
+        b = min(1.0, (max(ranks) - skipped + 1) / n + 0.001)
+        lo, hi = vals.agg(F.percentile_approx("v", F.array(F.lit(a), F.lit(b)), 10000)).first()[0]
+        within = F.col("v").between(lo, hi)
+        row = vals.agg(F.count_if(F.col("v") < lo).alias("below"), F.count_if(within).alias("inside")).first()
+        if not (skipped + row["below"] <= min(ranks) and max(ranks) < skipped + row["below"] + row["inside"]):
+            raise RuntimeError("the approximate bracket missed the rank")
+        skipped, n, vals = skipped + row["below"], row["inside"], vals.filter(within)
 
 
 def median(df: DataFrame, value: Column, few: int = FEW) -> float | None:
     """Exact median; an even count averages the middle two."""
-    n = df.filter(value.isNotNull()).count()
+    vals = df.select(value.cast("double").alias("v")).filter("v is not null")
+    n = vals.count()
     if n == 0:
         return None
-    got = order_values(df, value, [(n - 1) // 2, n // 2], few)
+    got = order_values(vals, [(n - 1) // 2, n // 2], n, few)
     return (got[(n - 1) // 2] + got[n // 2]) / 2.0

@@ -305,7 +305,7 @@ def clip_grid(polys: DataFrame, w: float = 50.0, h: float = 50.0) -> DataFrame:
     Holes are cut the same way and subtracted. Cells no edge meets are all in
     or all out; only boundary cells are cut."""
     pts = _all_points(F.col("rings"))
-    boxes = pin(polys.select("fid", "rings"), **{f"{a}{n}": f(pts, a) for a in "xy" for f, n in ((low, "min"), (high, "max"))})
+    boxes = pin(spread(polys.select("fid", "rings"), "fid"), **{f"{a}{n}": f(pts, a) for a in "xy" for f, n in ((low, "min"), (high, "max"))})
     biggest = F.array_max(F.transform("rings", lambda r: ring_area(r)))
     grid = fishnet(pin(boxes, _most=biggest), w, h)
     corners = [F.col(c) for c in ("x0", "y0", "x1", "y1")]

@@ -77,10 +77,10 @@ def detect_trees(
     p = dict(PROFILES[profile])
     given = dict(sigma=sigma, exg_threshold=exg_threshold, min_smooth=min_smooth, min_density=min_density)
     p.update({k: v for k, v in given.items() if v is not None})
-    parts = []
-    for px_size in sizes_of(meta):
+    parts, sizes = [], sizes_of(meta)
+    for px_size in sizes:
         of_size = meta.filter(F.col("px_size") == px_size)
-        own = pixels.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes_of(meta)) > 1 else pixels
+        own = pixels.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes) > 1 else pixels
         cands = tree_candidates(own, of_size, px_size, exclude_blurry=exclude_blurry, tile=tile, **p)
         ready = materialize(cands.withColumn("x", F.col("col").cast("double")).withColumn("y", F.col("row").cast("double")))
         parts.append(nms(ready, keys=["raster_id"]))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sylva.operators.field import require_bands
 from sylva.operators.raster import to_pixels
+from sylva.session import materialize
 
 # Table names tried in this order.
 CRUISE_TABLES = ("TREE DATA", "DATA POHON")
@@ -38,11 +39,13 @@ def read_raster(spark: SparkSession, path: str, meta: DataFrame | None = None) -
 
 
 def raster_meta(pixels: DataFrame, xmin: float, ymax: float, px_size: float, wkid: int, bands: int = 3) -> DataFrame:
-    """One row per raster, sized from its pixels."""
-    return pixels.groupBy("raster_id").agg(
+    """One row per raster, sized from its pixels.
+
+    Written out, so that Spark knows how small it is when it plans the joins."""
+    return materialize(pixels.groupBy("raster_id").agg(
         F.lit(xmin).alias("xmin"), F.lit(ymax).alias("ymax"), F.lit(px_size).alias("px_size"),
         (F.max("col") + 1).cast("int").alias("width"), (F.max("row") + 1).cast("int").alias("height"),
-        F.lit(bands).alias("bands"), F.lit(wkid).alias("wkid"))
+        F.lit(bands).alias("bands"), F.lit(wkid).alias("wkid")))
 
 
 def cruise_points(table: DataFrame, wkid: int) -> DataFrame:

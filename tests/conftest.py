@@ -10,6 +10,6 @@ from sylva.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", "sylva-tests", **{"spark.sql.execution.arrow.pyspark.enabled": "true"})
+    session = local_session("8", "sylva-tests", **{"spark.sql.shuffle.partitions": "4", "spark.sql.execution.arrow.pyspark.enabled": "true"})
     yield session
     session.stop()

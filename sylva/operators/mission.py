@@ -397,13 +397,17 @@ def resample_line(lines: DataFrame, step: float | Column) -> DataFrame:
 
 def smooth_tangent(points: DataFrame, reach: int = TANGENT_REACH) -> DataFrame:
     """Adds the unit vector ``dx, dy`` from ``reach`` points behind to ``reach`` ahead."""
-    around = Window.partitionBy("fid").orderBy("k").rowsBetween(-reach, reach)
+    # Points near a chunk border also go to the chunk beyond it.
+    here, place = F.floor(F.col("k") / CHUNK), F.col("k") % CHUNK
+    beside = F.array_compact(F.array(here, F.when(place < reach, here - 1), F.when(place >= CHUNK - reach, here + 1)))
+    points = points.withColumn("_chunk", F.explode(beside))
+    around = Window.partitionBy("fid", "_chunk").orderBy("k").rowsBetween(-reach, reach)
     ddx = F.last("x").over(around) - F.first("x").over(around)
     ddy = F.last("y").over(around) - F.first("y").over(around)
     vec = points.withColumn("_dx", ddx).withColumn("_dy", ddy).withColumn("_l", F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")))
     ok = F.col("_l") > TINY
     return vec.withColumn("dx", F.when(ok, F.col("_dx") / F.col("_l")).otherwise(1.0)).withColumn(
-        "dy", F.when(ok, F.col("_dy") / F.col("_l")).otherwise(0.0)).drop("_dx", "_dy", "_l")
+        "dy", F.when(ok, F.col("_dy") / F.col("_l")).otherwise(0.0)).filter(here == F.col("_chunk")).drop("_dx", "_dy", "_l", "_chunk")
 
 
 def runs(df: DataFrame, inside: Column, by: list[str], order: str) -> DataFrame:

@@ -15,8 +15,9 @@ def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int =
 
     Range partitions are numbered on their own and shifted by the row counts of
     the partitions before them: only one count per partition is put in order."""
+    # Written first: finding the range bounds would otherwise run the input twice.
     parts = materialize(
-        df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
+        materialize(df).repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     counts = parts.groupBy("_part").count()
     # One row per range partition, so this single ordered window stays small.
     before = counts.withColumn(
@@ -31,9 +32,13 @@ def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int =
 
 def cell_ids(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "Cell_ID") -> DataFrame:
     """1..n per output cell, over the layer or per source polygon."""
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
-    return number_rows(df, order, name)
+    if not by:
+        return number_rows(df, order, name)
+    # Numbered over the layer, then shifted per polygon, so that a polygon with
+    # very many cells is not sorted by one task.
+    numbered = number_rows(df, by + order, "_all")
+    first = numbered.groupBy(*by).agg(F.min("_all").alias("_first"))
+    return numbered.join(first, by).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
 
 
 def order_values(vals: DataFrame, ranks: list[int], n: int, few: int = FEW) -> dict[int, float]:

@@ -225,19 +225,11 @@ def _edge_touches(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column)
         lambda hit: hit)
 
 
-def cover(polys: DataFrame, side: float) -> DataFrame:
-    """``fid, i, j, whole, rings``: grid cells of each polygon. ``whole`` cells
-    are met by no edge and lie inside; cells outside are gone; only the rest
-    needs an exact test, and only they keep the rings."""
+def _judged(cells: DataFrame, side: float) -> DataFrame:
+    """Of ``fid, i, j, rings``: drop cells outside, mark ``whole`` ones.
+
+    A cell met by no edge is all in or all out; only the others keep the rings."""
     s = F.lit(float(side))
-    pts = _all_points(F.col("rings"))
-    spans = polys.select(
-        "fid", "rings", F.floor(low(pts, "x") / s).alias("i0"), F.floor(high(pts, "x") / s).alias("i1"),
-        F.floor(low(pts, "y") / s).alias("j0"), F.floor(high(pts, "y") / s).alias("j1"))
-    cells = (
-        spans.withColumn("i", F.explode(F.sequence("i0", "i1")))
-        .withColumn("j", F.explode(F.sequence("j0", "j1")))
-    )
     x0, y0 = F.col("i") * s, F.col("j") * s
     met = F.exists("rings", lambda r: _edge_touches(r, x0, y0, x0 + s, y0 + s))
     inside = point_in_rings(x0 + s / 2, y0 + s / 2, F.col("rings"))
@@ -248,6 +240,20 @@ def cover(polys: DataFrame, side: float) -> DataFrame:
     )
 
 
+def cover(polys: DataFrame, side: float) -> DataFrame:
+    """``fid, i, j, whole, rings``: the grid cells of each polygon."""
+    s = F.lit(float(side))
+    pts = _all_points(F.col("rings"))
+    spans = pin(
+        spread(polys.select("fid", "rings"), "fid"), i0=F.floor(low(pts, "x") / s), i1=F.floor(high(pts, "x") / s),
+        j0=F.floor(low(pts, "y") / s), j1=F.floor(high(pts, "y") / s))
+    cells = (
+        spans.withColumn("i", F.explode(F.sequence("i0", "i1")))
+        .withColumn("j", F.explode(F.sequence("j0", "j1"))).drop("i0", "i1", "j0", "j1")
+    )
+    return _judged(cells, side)
+
+
 def usual_size(polys: DataFrame) -> float:
     """A grid side in the order of the polygons' own size."""
     pts = _all_points(F.col("rings"))
@@ -255,22 +261,52 @@ def usual_size(polys: DataFrame) -> float:
     return float(2.0 ** round(math.log2(max(got or 1.0, 1e-6))))
 
 
-def points_inside(points: DataFrame, polys: DataFrame, id_: str = "fid", side: float | None = None) -> DataFrame:
+CROWDED_PAIRS = 100_000
+DEEPEST_SPLIT = 16
+
+
+def points_inside(
+    points: DataFrame, polys: DataFrame, id_: str = "fid", side: float | None = None, crowded: int = CROWDED_PAIRS,
+) -> DataFrame:
     """Ids of points inside at least one polygon.
 
     Cells that lie wholly inside settle their points by an equi-semi-join; only
-    points of boundary cells meet the rings."""
+    points of boundary cells meet the rings. Where very many points meet very
+    many rings in one cell, the cell is split in four and judged again: most of
+    the rings then cover a quarter wholly or not at all."""
     side = side or usual_size(polys)
-    grid = cover(polys.select("fid", "rings"), side)
-    placed = points.withColumn("i", F.floor(F.col("x") / F.lit(side))).withColumn("j", F.floor(F.col("y") / F.lit(side)))
-    whole = grid.filter("whole").select("i", "j").distinct()
-    sure = placed.join(whole, ["i", "j"], "left_semi").select(id_)
-    partial = grid.filter(~F.col("whole")).select("i", "j", "rings")
-    tested = (
-        placed.join(whole, ["i", "j"], "left_anti").join(partial, ["i", "j"])
-        .filter(point_in_rings(F.col("x"), F.col("y"), F.col("rings"))).select(id_)
-    )
-    return sure.unionByName(tested).distinct()
+    grid = materialize(cover(polys, side))
+    left = points.select(F.col(id_).alias("_id"), "x", "y")
+    found: DataFrame | None = None
+    for depth in range(DEEPEST_SPLIT + 1):
+        placed = left.withColumn("i", F.floor(F.col("x") / F.lit(side))).withColumn("j", F.floor(F.col("y") / F.lit(side)))
+        whole = grid.filter("whole").select("i", "j").distinct()
+        partial = grid.filter(~F.col("whole"))
+        open_ = placed.join(whole, ["i", "j"], "left_anti").join(partial.select("i", "j").distinct(), ["i", "j"], "left_semi")
+        here = placed.join(whole, ["i", "j"], "left_semi").select("_id")
+        busy = (
+            open_.groupBy("i", "j").agg(F.count("*").alias("n"))
+            .join(partial.groupBy("i", "j").agg(F.count("*").alias("m")), ["i", "j"])
+            .filter(F.col("n") * F.col("m") > crowded).select("i", "j")
+        )
+        last = depth == DEEPEST_SPLIT
+        busy = materialize(busy.limit(0) if last else busy)
+        some = not busy.isEmpty()
+        easy = open_.join(busy, ["i", "j"], "left_anti") if some else open_
+        tested = easy.join(partial.select("i", "j", "rings"), ["i", "j"]).filter(point_in_rings(F.col("x"), F.col("y"), F.col("rings"))).select("_id")
+        here = here.unionByName(tested)
+        found = here if found is None else found.unionByName(here)
+        if not some:
+            return found.distinct().withColumnRenamed("_id", id_)
+        quarter = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+        split = (
+            partial.join(busy, ["i", "j"], "left_semi").withColumn("_q", quarter)
+            .withColumn("i", F.col("i") * 2 + F.col("_q.a")).withColumn("j", F.col("j") * 2 + F.col("_q.b")).select("fid", "i", "j", "rings")
+        )
+        left = materialize(open_.join(busy, ["i", "j"], "left_semi").select("_id", "x", "y"))
+        side = side / 2
+        grid = materialize(_judged(split, side))
+    raise AssertionError("the last level has no crowded cells")
 
 
 def erase_points(points: DataFrame, polys: DataFrame, id_: str = "fid", side: float | None = None) -> DataFrame:

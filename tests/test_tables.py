@@ -88,8 +88,8 @@ def test_points_inside_against_brute_force(spark):
                 want.add(k)
     df = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(p)], "fid long, x double, y double")
     pdf = spark.createDataFrame(polys, "fid long, rings array<array<struct<x:double,y:double>>>")
-    for side in (None, 3.0, 64.0):
-        assert {r["fid"] for r in regions.points_inside(df, pdf, side=side).collect()} == want
+    for side, crowded in ((None, 100_000), (3.0, 100_000), (64.0, 20)):
+        assert {r["fid"] for r in regions.points_inside(df, pdf, side=side, crowded=crowded).collect()} == want
     assert regions.erase_points(df, pdf).count() == 400 - len(want)
 
 

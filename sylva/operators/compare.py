@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.operators.spatial import nearest_within
+from sylva.session import materialize
 
 # Fixed value: matching distance in metres.
 MATCH_DISTANCE_M = 3.0
@@ -18,7 +19,8 @@ def compare_detections(old: DataFrame, new: DataFrame, d: float = MATCH_DISTANCE
     that ask for the same one the lowest fid has it and the others are lost,
     with no second choice."""
     wanted = nearest_within(old, new, d).select(F.col("qid").alias("fid"), F.col("rid").alias("partner"))
-    claims = wanted.groupBy("partner").agg(F.min("fid").alias("fid"))
+    # Both sides of the answer need the claims; the search behind them runs once.
+    claims = materialize(wanted.groupBy("partner").agg(F.min("fid").alias("fid")))
     olds = (
         old.select("fid", "x", "y").join(claims, "fid", "left")
         .withColumn("status", F.when(F.col("partner").isNull(), "lost").otherwise("matched"))

@@ -1,6 +1,6 @@
 """Distance joins as equi-joins on grid cells, safe when one cell is crowded.
 
-A grid of side ``d`` turns "within d" into a hash join on 3 x 3 cells. When a
+A grid of side ``2d`` turns "within d" into a hash join on four cells. When a
 cell holds more than ``LEAF`` points it is split in four, again and again, so
 that no join key ever meets an unbounded list of partners: a query walks down
 the split cells, dropping those whose box is farther than the best box so far.
@@ -146,12 +146,14 @@ def nearest_within(
     keys = keys or []
     if d <= 0:
         raise ValueError("the search distance must be positive")
-    queries = explode_around(
-        left.select(F.col(left_id).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys,
-                    cell_of(F.col("x"), d).alias("i"), cell_of(F.col("y"), d).alias("j"))
-    )
+    # With cells of side 2d a search disc meets two cells per axis, so a query
+    # is sent to four keys, not nine.
+    side, reach = 2.0 * d, d * (1 + 1e-9)
+    span = lambda c: F.explode(F.sequence(cell_of(F.col(c) - reach, side), cell_of(F.col(c) + reach, side)))
+    asked = left.select(F.col(left_id).alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys)
+    queries = asked.withColumn("i", span("qx")).withColumn("j", span("qy"))
     points = right.select(F.col(right_id).alias("rid"), "x", "y", *keys)
-    return nearest_in_cells(queries, points, d, d, keys, inclusive, leaf)
+    return nearest_in_cells(queries, points, d, side, keys, inclusive, leaf)
 
 
 def cover_cells(rings: DataFrame, side: float) -> DataFrame:

@@ -17,6 +17,12 @@ from sylva.sources.readers import raster_meta
 XMIN, YMAX, PX, WKID = 500000.0, 9500000.0, 0.5, 32750
 
 
+def raster_a(k: str) -> str:
+    """The one raster's id, as a value of the row: a literal would turn the join
+    with the metadata into one without a key."""
+    return f"CASE WHEN {k} < 0 THEN 'B' ELSE 'A' END AS raster_id"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -30,7 +36,7 @@ def pixels(spark: SparkSession, sf: str, alpha: bool = False) -> DataFrame:
     k = "o_orderkey"
     a = f"CASE WHEN {k} % 613 = 7 THEN 0D ELSE 255D END" if alpha else "CAST(NULL AS DOUBLE)"
     return table(spark, sf, "orders").selectExpr(
-        "'A' AS raster_id", f"CAST({k} div 100 AS INT) AS row", f"CAST({k} % 100 AS INT) AS col", f"{k} AS k"
+        raster_a(k), f"CAST({k} div 100 AS INT) AS row", f"CAST({k} % 100 AS INT) AS col", f"{k} AS k"
     ).withColumn(
         "_kind", F.expr("CASE WHEN col div 20 = 2 THEN 'bare' WHEN col div 20 = 4 THEN 'water' "
                         "WHEN (row % 20 - 10) * (row % 20 - 10) + (col % 20 - 10) * (col % 20 - 10) < 36 THEN 'crown' ELSE 'other' END")
@@ -240,7 +246,7 @@ ZIGZAGS = "zig AS (SELECT c_custkey AS fid, CAST(c_custkey % 40 * 64 AS DOUBLE)
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     """Sample points in and around the raster, on pixel borders too."""
     return table(spark, sf, "events").selectExpr(
-        "event_id AS fid", "'A' AS raster_id", "500000 + (event_id % 220) * 0.25D - 1.25D AS x",
+        "event_id AS fid", raster_a("event_id"), "500000 + (event_id % 220) * 0.25D - 1.25D AS x",
         "9500000 - (event_id % 700) * 0.25D + 1.25D AS y", "CASE WHEN event_id % 3 = 0 THEN 'Water/river' WHEN event_id % 3 = 1 THEN 'Sungai/air' ELSE 'my own' END AS cls")
 
 

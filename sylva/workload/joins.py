@@ -69,7 +69,7 @@ def _(spark, sf):
     ev = I.table(spark, sf, "events")
     events = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     x, y = "CAST(500000 + (event_id % 220) * 0.25D - 1.25D AS STRING)", "CAST(9500000 - (event_id % 700) * 0.25D + 1.25D AS STRING)"
-    asked = events.selectExpr("event_id", "'A' AS raster_id", REQUESTS.format(x=x, y=y) + " AS line")
+    asked = events.selectExpr("event_id", I.raster_a("event_id"), REQUESTS.format(x=x, y=y) + " AS line")
     out = I.scratch(spark, "replies")
     sampling.sample_stream(asked, I.pixels(spark, sf), I.meta(spark, sf), out, I.scratch(spark, "ck")).awaitTermination()
     return spark.read.parquet(out).select("event_id", "reply")
@@ -91,7 +91,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev = I.table(spark, sf, "events")
     stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf).selectExpr(
-        "'A' AS raster_id", "500000 + (event_id % 220) * 0.25D - 1.25D AS x", "9500000 - (event_id % 700) * 0.25D + 1.25D AS y",
+        I.raster_a("event_id"), "500000 + (event_id % 220) * 0.25D - 1.25D AS x", "9500000 - (event_id % 700) * 0.25D + 1.25D AS y",
         "CASE WHEN event_id % 3 = 0 THEN 'Water/river' WHEN event_id % 3 = 1 THEN 'Sungai/air' ELSE 'my own' END AS cls")
     out = I.scratch(spark, "clicks")
     sampling.collect_samples(stream, I.pixels(spark, sf), I.meta(spark, sf), out, I.scratch(spark, "ck")).awaitTermination()
@@ -125,7 +125,7 @@ WINDOWS = """wins AS (SELECT window_id, (window_id % 7) * 100 AS x0, (window_id
 
 def _windows(spark, sf):
     return I.boxes(spark, sf).select("window_id").distinct().selectExpr(
-        "window_id", "'A' AS raster_id", "(window_id % 7) * 100 AS x0", "(window_id % 11) * 90 AS y0", "320 + (window_id % 3) * 160 AS w", "320 + (window_id % 2) * 320 AS h")
+        "window_id", I.raster_a("window_id"), "(window_id % 7) * 100 AS x0", "(window_id % 11) * 90 AS y0", "320 + (window_id % 3) * 160 AS w", "320 + (window_id % 2) * 320 AS h")
 
 
 @query("j8_boxes_to_points", "WITH " + I.BOXES + ", " + WINDOWS + """, p AS (SELECT fid, score, CAST(round_even(x0 + cx * (cw / 640.0::DOUBLE), 0) AS INT) AS px, CAST(round_even(y0 + cy * (ch / 640.0::DOUBLE), 0) AS INT) AS py FROM boxes JOIN wins USING (window_id))
@@ -278,7 +278,7 @@ o AS (SELECT *, greatest(0, least(CAST(trunc((l + r) / 2 - hw) AS INT), 1279)) A
 SELECT fid, x_off, y_off, least(CAST(trunc(hw * 2) AS INT), 1280 - x_off) AS w, least(CAST(trunc(hh * 2) AS INT), 1540 - y_off) AS h FROM o""")
 def _(spark, sf):
     feats = I.rectangles(spark, sf).selectExpr(
-        "fid", "'A' AS raster_id", "500000 + x0 / 8 AS xmin", "500000 + x0 / 8 + w AS xmax", "9500000 - (y0 / 8 + h * 20) AS ymin", "9500000 - y0 / 8 AS ymax")
+        "fid", I.raster_a("fid"), "500000 + x0 / 8 AS xmin", "500000 + x0 / 8 + w AS xmax", "9500000 - (y0 / 8 + h * 20) AS ymin", "9500000 - y0 / 8 AS ymax")
     meta = spark.range(1).selectExpr("'A' AS raster_id", "500000D AS xmin", "9500000D AS ymax", "0.5D AS px_size", "1280 AS width", "1540 AS height")
     return verdicts.crop_windows(feats, meta).drop("raster_id")
 

@@ -111,11 +111,14 @@ IOU = "(SELECT i / (k.w * k.h + r.w * r.h - i) FROM (SELECT greatest(0, least(k.
 _I = "(greatest(0, least(k.x + k.w / 2, r.cx + r.w / 2) - greatest(k.x - k.w / 2, r.cx - r.w / 2)) * greatest(0, least(k.y + k.h / 2, r.cy + r.h / 2) - greatest(k.y - k.h / 2, r.cy - r.h / 2)))"
 
 
-@query("j7_box_nms", "WITH RECURSIVE " + I.BOXES + """, rk AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, fid) AS rn FROM boxes WHERE score > 0.25),
+KEPT_BOXES = "WITH RECURSIVE " + I.BOXES + """, rk AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, fid) AS rn FROM boxes WHERE score > 0.25),
 step(window_id, rn, kept) AS (SELECT window_id, 1::BIGINT, [{'fid': fid, 'x': cx, 'y': cy, 'w': w, 'h': h}] FROM rk WHERE rn = 1
   UNION ALL SELECT s.window_id, r.rn, CASE WHEN len(list_filter(s.kept, lambda k: """ + f"{_I} / (k.w * k.h + r.w * r.h - {_I})" + """ > 0.45)) > 0 THEN s.kept
-    ELSE list_append(s.kept, {'fid': r.fid, 'x': r.cx, 'y': r.cy, 'w': r.w, 'h': r.h}) END FROM step s JOIN rk r ON r.window_id = s.window_id AND r.rn = s.rn + 1)
-SELECT unnest(kept).fid AS fid FROM step QUALIFY rn = max(rn) OVER (PARTITION BY window_id)""")
+    ELSE list_append(s.kept, {'fid': r.fid, 'x': r.cx, 'y': r.cy, 'w': r.w, 'h': r.h}) END FROM step s JOIN rk r ON r.window_id = s.window_id AND r.rn = s.rn + 1),
+kept AS (SELECT window_id, unnest(kept).fid AS fid FROM step QUALIFY rn = max(rn) OVER (PARTITION BY window_id))"""
+
+
+@query("j7_box_nms", KEPT_BOXES + " SELECT fid FROM kept")
 def _(spark, sf):
     return detections.box_nms(I.boxes(spark, sf)).select("fid")
 
@@ -134,7 +137,12 @@ def _(spark, sf):
     return detections.boxes_to_points(I.boxes(spark, sf), _windows(spark, sf), I.meta(spark, sf))
 
 
-@query("c4_dedup_detections")
+@query("c4_dedup_detections", KEPT_BOXES + ", " + WINDOWS + """, pts AS (SELECT b.fid, concat('A', b.window_id) AS raster_id, b.score, CAST(round_even(x0 + cx * (cw / 640.0::DOUBLE), 0) AS INT) AS px,
+  CAST(round_even(y0 + cy * (ch / 640.0::DOUBLE), 0) AS INT) AS py FROM kept JOIN boxes b USING (fid) JOIN wins ON wins.window_id = b.window_id),
+e AS (SELECT a.fid AS a, b.fid AS b FROM pts a JOIN pts b ON a.raster_id = b.raster_id AND a.fid <> b.fid WHERE sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) < 5),
+reach(node, id) AS (SELECT fid, fid FROM pts UNION SELECT e.b, r.id FROM reach r JOIN e ON e.a = r.node), comp AS (SELECT node, min(id) AS c FROM reach GROUP BY node),
+best AS (SELECT pts.* FROM comp JOIN pts ON fid = node QUALIFY row_number() OVER (PARTITION BY c ORDER BY score DESC, fid) = 1)
+SELECT fid, raster_id, px, py, 500000 + px * 0.5::DOUBLE AS geo_x, 9500000 - py * 0.5::DOUBLE AS geo_y, score, 2 AS sigma, 1.0::DOUBLE AS crown_r, 'model' AS source FROM best""")
 def _(spark, sf):
     # Each group of windows is its own raster, so that points do not pile up.
     windows = _windows(spark, sf).withColumn("raster_id", F.concat(F.lit("A"), F.col("window_id").cast("string")))

@@ -1,10 +1,17 @@
-"""Pixel expressions over ``r, g, b, alpha`` and the pixel/map transforms."""
+"""Pixel expressions over ``r, g, b, alpha`` and the pixel/map transforms.
+
+``of`` looks a band up: a column of a pixel table by default, a field of an
+array element when the same expression runs over a tile."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+Band = Callable[[str], Column]
+
 # Thresholds that results depend on.
 REFERENCE_GSD_M = 0.05
 CLEARED_EXG = 26
@@ -19,35 +26,35 @@ CONFIDENCE_CUT = 0.25
 MIN_CLEARING_M2 = 100.0
 
 
-def valid_mask() -> Column:
+def valid_mask(of: Band = F.col) -> Column:
     """Alpha decides if there is one; else any band lit and not white padding."""
-    r, g, b, a = (F.col(c) for c in ("r", "g", "b", "alpha"))
+    r, g, b, a = (of(c) for c in ("r", "g", "b", "alpha"))
     lit = (r > 0) | (g > 0) | (b > 0)
     white = (r > WHITE_PADDING_ABOVE) & (g > WHITE_PADDING_ABOVE) & (b > WHITE_PADDING_ABOVE)
     return F.when(a.isNotNull(), a > 0).otherwise(lit & ~white)
 
 
-def exg() -> Column:
+def exg(of: Band = F.col) -> Column:
     """Excess green, 2g - r - b."""
-    return 2.0 * F.col("g") - F.col("r") - F.col("b")
+    return 2.0 * of("g") - of("r") - of("b")
 
 
-def veg_mask(threshold: float) -> Column:
-    return valid_mask() & (exg() > threshold)
+def veg_mask(threshold: float, of: Band = F.col) -> Column:
+    return valid_mask(of) & (exg(of) > threshold)
 
 
-def brightness() -> Column:
-    return (F.col("r") + F.col("g") + F.col("b")) / 3.0
+def brightness(of: Band = F.col) -> Column:
+    return (of("r") + of("g") + of("b")) / 3.0
 
 
-def water_mask() -> Column:
+def water_mask(of: Band = F.col) -> Column:
     """Dark and neutral to blue."""
-    return (brightness() < WATER_BRIGHTNESS_MAX) & (F.col("b") >= F.col("r"))
+    return (brightness(of) < WATER_BRIGHTNESS_MAX) & (of("b") >= of("r"))
 
 
-def fresh_color(bright_min: float = FRESH_BRIGHTNESS_MIN) -> Column:
+def fresh_color(bright_min: float = FRESH_BRIGHTNESS_MIN, of: Band = F.col) -> Column:
     """Bright and reddish: bare soil, not road or river."""
-    return (brightness() > bright_min) & (F.col("r") >= F.col("b"))
+    return (brightness(of) > bright_min) & (of("r") >= of("b"))
 
 
 def cleared_mask(

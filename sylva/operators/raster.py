@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +62,30 @@ def to_pixels(tiles: DataFrame, bands: list[str] | None = None) -> DataFrame:
     )
 
 
+TILE = ["raster_id", "tile_row", "tile_col", "row0", "col0", "h", "w"]
+
+
+def is_tiles(df: DataFrame) -> bool:
+    return "tile_row" in df.columns
+
+
+def as_pixels(df: DataFrame) -> DataFrame:
+    return to_pixels(df, [c for c in df.columns if c not in TILE]) if is_tiles(df) else df
+
+
+def map_bands(df: DataFrame, **made: Callable[[Callable[[str], Column]], Column]) -> DataFrame:
+    """New bands from old ones, for a pixel table or, element by element, for a
+    tile table. ``map_bands(df, exg=exg)`` keeps the shape of its input."""
+    if not is_tiles(df):
+        return df.select("raster_id", "row", "col", *[fn(F.col).alias(name) for name, fn in made.items()])
+    cells = F.arrays_zip(*[c for c in df.columns if c not in TILE])
+
+    def over(fn: Callable) -> Column:
+        return F.transform(cells, lambda p: fn(lambda band: p[band]))
+
+    return df.select(*TILE, *[over(fn).alias(name) for name, fn in made.items()])
+
+
 def _starts(size: Column, window: Column, stride: Column) -> Column:
     """0, stride, ... and one last window flush to the far edge."""
     room = F.greatest(size - window, F.lit(0))

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.raster import TILE, is_tiles, map_bands
 from sylva.session import materialize, spread
 
 # Focus gate.
@@ -244,6 +245,10 @@ class Frame:
         r0, c0 = max(0, self.row0 - self.halo), max(0, self.col0 - self.halo)
         r1, c1 = min(self.height, self.row1 + self.halo), min(self.width, self.col1 + self.halo)
         out = np.zeros((r1 - r0, c1 - c0), dtype=dtype)
+        if "h" in pdf.columns:
+            for r, c, h, w, v in zip(pdf["row"], pdf["col"], pdf["h"], pdf["w"], pdf[value]):
+                out[r - r0:r - r0 + h, c - c0:c - c0 + w] = np.asarray(v, dtype=dtype).reshape(h, w)
+            return out
         out[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = 1 if value is None else pdf[value].to_numpy()
         return out
 
@@ -275,14 +280,52 @@ class Frame:
         return pd.DataFrame(data)
 
 
+def _rectangles(tiles: DataFrame, tile: int, halo: int) -> DataFrame:
+    """The part of each stored tile that a kernel tile or its halo needs."""
+    def targets(first: str, size: str, end: str) -> Column:
+        lo = F.greatest(F.lit(0), F.floor((F.col(first) - halo) / tile).cast("int"))
+        hi = F.least(F.floor((F.col(end) - 1) / tile), F.floor((F.col(first) + F.col(size) - 1 + halo) / tile)).cast("int")
+        return F.explode(F.sequence(lo, hi))
+
+    def bounds(first: str, size: str, target: str) -> tuple[Column, Column]:
+        start = F.greatest(F.col(first), F.col(target) * tile - halo)
+        stop = F.least(F.col(first) + F.col(size), (F.col(target) + 1) * tile + halo)
+        return start.cast("int"), stop.cast("int")
+
+    aimed = tiles.withColumn("_tr", targets("row0", "h", "height")).withColumn("_tc", targets("col0", "w", "width"))
+    (ra, rb), (ca, cb) = bounds("row0", "h", "_tr"), bounds("col0", "w", "_tc")
+    cut = aimed.withColumn("_ra", ra).withColumn("_rb", rb).withColumn("_ca", ca).withColumn("_cb", cb).filter("_ra < _rb AND _ca < _cb")
+    # The stored width under its own name: inside a lambda "w" would be the new column below.
+    cut = cut.withColumn("_stride", F.col("w"))
+    whole = (F.col("_cb") - F.col("_ca") == F.col("w")) & (F.col("_rb") - F.col("_ra") == F.col("h"))
+
+    def part(band: str) -> Column:
+        line = lambda r: F.slice(F.col(band), (r - F.col("row0")) * F.col("_stride") + (F.col("_ca") - F.col("col0")) + 1, F.col("_cb") - F.col("_ca"))
+        return F.when(whole, F.col(band)).otherwise(F.flatten(F.transform(F.sequence(F.col("_ra"), F.col("_rb") - 1), line)))
+
+    bands = [c for c in tiles.columns if c not in TILE and c not in ("height", "width")]
+    return cut.select(
+        "raster_id", "_tr", "_tc", "height", "width", F.col("_ra").alias("row"), F.col("_ca").alias("col"),
+        (F.col("_rb") - F.col("_ra")).alias("h"), (F.col("_cb") - F.col("_ca")).alias("w"), *[part(b).alias(b) for b in bands])
+
+
 def over_tiles(
     df: DataFrame, meta: DataFrame, tile: int, halo: int, schema: str,
     kernel: Callable[[Frame, pd.DataFrame], pd.DataFrame],
 ) -> DataFrame:
     """Run a numpy kernel per tile on the tile's cells and those within ``halo``.
 
-    Groups are bounded by (tile + 2 halo) squared cells whatever the raster."""
+    Groups are bounded by (tile + 2 halo) squared cells whatever the raster. A
+    tile table is exchanged as rectangles of bare values, which is several times
+    less to shuffle than rows of pixels."""
     sized = with_size(df, meta)
+    keys = ["raster_id", "_tr", "_tc", "height", "width"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(Frame(key, tile, halo), pdf)
+
+    if is_tiles(df):
+        return spread(_rectangles(sized, tile, halo), *keys).groupBy(*keys).applyInPandas(run, schema)
 
     def tiles(axis: str, size: str) -> Column:
         first = F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile).cast("int"))
@@ -290,11 +333,6 @@ def over_tiles(
         return F.explode(F.sequence(first, last))
 
     placed = sized.withColumn("_tr", tiles("row", "height")).withColumn("_tc", tiles("col", "width"))
-    keys = ["raster_id", "_tr", "_tc", "height", "width"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(Frame(key, tile, halo), pdf)
-
     return spread(placed, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -332,7 +370,7 @@ def gaussian(df: DataFrame, meta: DataFrame, value: str, sigma: float, tile: int
         out = smooth(frame.mirrored(pdf, value), sigma)
         return frame.cells(np.ones(out.shape, dtype=bool), **{name: out})
 
-    slim = df.select("raster_id", "row", "col", F.col(value).cast("double").alias(value))
+    slim = map_bands(df, **{value: lambda of: of(value).cast("double")})
     return over_tiles(slim, meta, max(tile, 2 * halo), halo, f"raster_id string, row int, col int, {name} double", kernel)
 
 
@@ -371,16 +409,18 @@ def peak_cells(
 ) -> DataFrame:
     """All peak gates of all scales in one pass over haloed tiles.
 
-    ``pixels``: ``raster_id, row, col, exg, veg, valid, grey``. Emits only the
+    ``pixels``: a pixel or tile table of ``exg, veg, valid, grey``. Emits only the
     peaks: ``raster_id, row, col, sigma``. Same result as gaussian, box_mean,
     box_max, core_mask and local_maxima one after the other, with one shuffle.
     """
     halo = max(int(4.0 * s + 0.5) + s for s in scales)
     halo = max([halo, (blur_window or 0) + 2] + [margin_of(s) for s in scales])
-    gated = F.when(F.col("veg"), F.col("exg")).otherwise(0.0)
-    slim = pixels.select(
-        "raster_id", "row", "col", gated.alias("exg"), F.col("veg").cast("byte").alias("veg"),
-        F.col("valid").cast("byte").alias("valid"), *(["grey"] if blur_window else []))
+    wanted = dict(
+        exg=lambda of: F.when(of("veg"), of("exg")).otherwise(0.0), veg=lambda of: of("veg").cast("byte"),
+        valid=lambda of: of("valid").cast("byte"))
+    if blur_window:
+        wanted["grey"] = lambda of: of("grey")
+    slim = map_bands(pixels, **wanted)
 
     def inner(window: np.ndarray, frame: Frame, reach: int, odd: int = 0) -> np.ndarray:
         """The window cut down to the core plus ``reach`` cells on each side."""

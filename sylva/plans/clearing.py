@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.bands import CLEARED_EXG, FRESH_BRIGHTNESS_MIN, MIN_CLEARING_M2, SMOOTH_PX, exg, fresh_color, valid_mask, water_mask
 from sylva.operators.field import area_ha
+from sylva.operators.raster import as_pixels, map_bands
 from sylva.operators.regions import CELL, erase_regions, fill_holes, label_cells, label_regions
 from sylva.operators.stencil import Frame, _cross, grid_objects, over_tiles, segment_mean, smooth
 from sylva.operators.verdicts import apply_verdicts, crop_windows
@@ -25,17 +26,18 @@ def cleared_cells(
     pixels: DataFrame, meta: DataFrame, threshold: float = CLEARED_EXG, smooth_px: float = SMOOTH_PX,
     opening: int = OPENING, closing: int = CLOSING, fresh: bool = False, bright_min: float = FRESH_BRIGHTNESS_MIN, tile: int = 512,
 ) -> DataFrame:
-    """Sparse cleared mask: smoothing, threshold, opening and closing in one exchange.
+    """Sparse cleared mask of a pixel or tile table: smoothing, threshold, opening and closing in one exchange.
 
     Validity, water and colour read the raw bands and travel as one flag."""
-    allowed = valid_mask() & ~water_mask()
-    if fresh:
-        allowed = allowed & fresh_color(bright_min)
-    slim = pixels.select(*CELL, exg().alias("exg"), allowed.cast("byte").alias("ok"))
+    def allowed(of) -> Column:
+        base = valid_mask(of) & ~water_mask(of)
+        return (base & fresh_color(bright_min, of) if fresh else base).cast("byte")
+
+    slim = map_bands(pixels, exg=exg, ok=allowed)
     steps = [("erode", opening), ("dilate", opening), ("dilate", closing), ("erode", closing)]
     reach = sum(n for _, n in steps)
     if reach == 0 and smooth_px <= 1:
-        return slim.filter((F.col("exg") < threshold) & (F.col("ok") == 1)).select(*CELL)
+        return as_pixels(slim).filter((F.col("exg") < threshold) & (F.col("ok") == 1)).select(*CELL)
     radius = int(4.0 * smooth_px + 0.5) if smooth_px > 1 else 0
     halo = reach + radius
 
@@ -57,7 +59,7 @@ def cleared_cells(
 
 def cleared_objects(pixels: DataFrame, meta: DataFrame, threshold: float = CLEARED_EXG, px: int = OBJECT_PX) -> DataFrame:
     """Cleared mask by square objects in place of single pixels."""
-    labelled = grid_objects(pixels.select(*CELL, exg().alias("exg"), valid_mask().alias("valid")), meta, px)
+    labelled = grid_objects(as_pixels(map_bands(pixels, exg=exg, valid=valid_mask)), meta, px)
     return segment_mean(labelled, threshold).filter("cleared").select(*CELL)
 
 

@@ -11,6 +11,7 @@ from sylva.functions.bands import CONFIDENCE_CUT, REFERENCE_GSD_M, brightness, e
 from sylva.operators.detections import IOU_CUT, box_nms, boxes_to_points
 from sylva.operators.graph import dedup, nms
 from sylva.operators.numbering import number_rows
+from sylva.operators.raster import as_pixels, map_bands
 from sylva.operators.regions import CELL, erase_points, label_plateaus
 from sylva.operators.stencil import BLUR_WINDOW_PX, peak_cells, refine_centroid
 from sylva.operators.verdicts import apply_verdicts, tree_crops
@@ -47,11 +48,10 @@ def tree_candidates(
 ) -> DataFrame:
     """Peaks of all scales, moved to their crowns: ``fid, raster_id, row, col, sigma``."""
     scales = sorted({scaled(s, px_size) for s in (sigma, *extra_scales)}, reverse=True)
-    banded = pixels.select(
-        *CELL, exg().alias("exg"), veg_mask(exg_threshold).alias("veg"), valid_mask().alias("valid"), brightness().alias("grey"))
+    banded = map_bands(pixels, exg=exg, veg=lambda of: veg_mask(exg_threshold, of), valid=valid_mask, grey=brightness)
     blur = scaled(BLUR_WINDOW_PX, px_size, 5) if exclude_blurry else None
     peaks = materialize(peak_cells(banded, meta, scales, min_smooth, min_density, blur, tile))
-    moved = []
+    moved, banded = [], as_pixels(banded)
     for s in scales:
         points = label_plateaus(peaks.filter(F.col("sigma") == s)).withColumn("fid", F.struct("raster_id", "label"))
         radius = s if refine_radius is None else scaled(refine_radius, px_size)
@@ -68,7 +68,7 @@ def detect_trees(
     min_smooth: float | None = None, min_density: float | None = None, exclude_blurry: bool = False,
     exclude_cleared: bool = False, exclude: DataFrame | None = None, replies: DataFrame | None = None, tile: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(trees, summary)``.
+    """``(trees, summary)`` of a pixel or tile table.
 
     Trees: ``fid, raster_id, px, py, geo_x, geo_y, crown_r, sigma``. Optional
     steps in this order: cleared ground, vision replies, exclude polygons."""

@@ -115,6 +115,22 @@ def test_three_crowns(spark, tile):
     assert {t["crown_r"] for t in trees.collect()} == {0.6}
 
 
+@pytest.mark.parametrize("stored", [64])
+def test_tile_tables_give_the_same_answers(spark, stored):
+    r, g, b = bare()
+    px, meta = raster(spark, r, g + crowns()[1] / 4, b)
+    tiles = to_tiles(px, stored).cache()
+    a = {tuple(x) for x in cleared_cells(px, meta, 18, tile=150).collect()}
+    assert a and a == {tuple(x) for x in cleared_cells(tiles, meta, 18, tile=150).collect()}
+    one = dense(stencil.gaussian(px, meta, "g", 2.0, tile=100), r.shape, "smooth")
+    two = dense(stencil.gaussian(tiles, meta, "g", 2.0, tile=100), r.shape, "smooth")
+    assert np.allclose(one, two, rtol=0, atol=1e-9)
+    px, meta = raster(spark, *crowns())
+    args = dict(sigma=12, exg_threshold=30, min_smooth=20, min_density=0.0)
+    found = {tuple(t) for t in detect_trees(to_tiles(px, stored), meta, "forest", **args)[0].collect()}
+    assert len(found) == 3 and found == {tuple(t) for t in detect_trees(px, meta, "forest", **args)[0].collect()}
+
+
 def test_exclude_area_and_cleared_ground(spark):
     px, meta = raster(spark, *crowns())
     ymax = 9500000.0 + 400 * PX

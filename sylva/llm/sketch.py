@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import query, shingles, table
@@ -115,15 +116,8 @@ def union_fingerprints(prints: DataFrame, by: list[str], k: int = K) -> DataFram
 
 
 PAIR = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, part int, edge string, text string")
-
-
-def _pair(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray, k: int) -> tuple:
-    half = len(text) // 2
-    edited = text[: len(text) - half] + following[:half]
-    changed = own if edited == text else sketch(edited, k)
-    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), pack(own), pack(changed),
-            resemblance(own, changed, k), resemblance(own, other, k))
+        "near_edited double, near_next double")
+RANGES_A_TASK = 8
 
 
 def with_next(docs: DataFrame, k: int = K) -> DataFrame:
@@ -131,52 +125,58 @@ def with_next(docs: DataFrame, k: int = K) -> DataFrame:
 
     The next document is that with the next id, after the last the first; a null
     id comes first, and rows of one id are in the order of their texts' hashes. A
-    single document is its own next. Rows are in range partitions; a task walks
-    its own in order, and only a partition's first and last text leave it, to meet
-    in a join on the partition."""
+    single document is its own next.
+
+    Keys alone are first put in ranges, whose starts come to the driver, a few for
+    each task. Texts then move once, to their range; a range's first text also goes
+    to the range before, as what follows its last. A task walks its ranges in order
+    and holds two texts at a time."""
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select(
-        F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("id"), "text")
+    ids = materialize(keyed.select("doc_id", "tie"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ids.repartitionByRange(n * RANGES_A_TASK, "doc_id", "tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "tie")).alias("s"))
+    starts = sorted((r["s"]["doc_id"] is not None, r["s"]["doc_id"] or 0, r["s"]["tie"]) for r in ranged.collect())
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, tie in zip(batch["id"], batch["tie"], strict=True):
+                key = (doc_id is not None, int(doc_id or 0), tie)
+                at = bisect_right(starts, key) - 1
+                out.append([at, (at - 1) % len(starts)] if starts[at] == key else [at])
+            yield pd.DataFrame({"to": out})
+
+    key = F.struct(F.col("doc_id").cast("string").alias("id"), "tie")
+    spread = keyed.withColumn("_r", F.pandas_udf(place, "to array<int>")(key)).select(
+        F.posexplode("_r.to").alias("extra", "range"), F.col("doc_id"), "tie", "text")
+    ordered = spread.repartition(n, "range").sortWithinPartitions("range", "extra", "doc_id", "tie", "text")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PAIR.split(", ")]
-        last = None
+        last = None  # range, id, text and sketch of the document that waits for its next
         for batch in batches:
             rows = []
-            for part, doc_id, text in batch.itertuples(index=False):
+            for extra, where, doc_id, text in batch.itertuples(index=False):
                 own = sketch(text, k)
-                if last is None:
-                    rows.append((doc_id, None, None, None, None, None, None, part, "first", text))
-                else:
-                    rows.append((*_pair(last[1], last[2], last[3], text, own, k), part, None, None))
-                last = (part, doc_id, text, own)
-            yield _frame(rows, names)
-        if last is not None:
-            yield _frame([(last[1], None, None, None, None, None, None, last[0], "last", last[2])], names)
-
-    walked = materialize(ordered.mapInPandas(walk, PAIR))
-    firsts = walked.where("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
-    lasts = walked.where("edge = 'last'").select("doc_id", "part", "text")
-    # Partition numbers only, one for each range partition.
-    order = walked.where("edge = 'last'").select("part")
-    w = Window.orderBy("part")
-    turn = order.select("part", F.coalesce(F.lead("part").over(w), F.min("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next_part"))
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in PAIR.split(", ")]
-        for batch in batches:
-            yield _frame([(*_pair(i, a, sketch(a, k), b, sketch(b, k), k), None, None, None) for i, a, b in batch.itertuples(index=False)], names)
+                if last is not None and last[0] == where:
+                    rows.append((*_pair(*last[1:], text, own, k),))
+                last = None if extra else (where, doc_id, text, own)
+            yield _frame(rows)
+
+    return ordered.select("extra", "range", F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(walk, PAIR)
 
-    seams = lasts.join(turn, "part").join(firsts, "next_part").select(F.col("doc_id").cast("string").alias("id"), "text", "next_text")
-    return walked.where("edge is null").unionByName(seams.mapInPandas(join, PAIR)).drop("part", "edge", "text")
+
+def _pair(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray, k: int) -> tuple:
+    half = len(text) // 2
+    edited = text[: len(text) - half] + following[:half]
+    changed = own if edited == text else sketch(edited, k)
+    return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), pack(own), pack(changed),
+            resemblance(own, changed, k), resemblance(own, other, k))
 
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names, dtype=object)
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in PAIR.split(", ")], dtype=object)
     out["doc_id"] = pd.array([None if i is None else int(i) for i in out["doc_id"]], "Int64")
-    out["n_chars"] = pd.array(out["n_chars"], "Int64")
-    out["part"] = pd.array(out["part"], "Int32")
-    return out.astype({"near_edited": float, "near_next": float})
+    return out.astype({"n_chars": "int64", "near_edited": float, "near_next": float})
 
 
 @query("op7_fingerprints")

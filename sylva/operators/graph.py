@@ -20,7 +20,8 @@ def _checksum(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Minima are written out: what is left is a plain join, where Spark splits a hub's partition.
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return (
         both.filter(F.col("v") > F.col("u")).join(least, "u")
         .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -30,7 +31,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -46,7 +47,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     state = _checksum(current)
     while state[0] > 0:
-        current = materialize(_small_star(_large_star(current)))
+        current = materialize(_small_star(materialize(_large_star(current))))
         after = _checksum(current)
         if after == state:
             break

@@ -187,6 +187,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     its posterior under even odds. ``und``, 0 and no bits for a null text, one
     without a letter, or a model without languages. Only the text is looked at."""
     docs = docs.drop("lang_pred", "score", "bits_per_byte")
+    return _scored(docs, model).select(*docs.columns, f"{_OWN}.*")
+
+
+_OWN = "_lang_of_text"
+
+
+def _scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -203,8 +210,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 out.loc[own, "bits_per_byte"] = low / [len(texts.iloc[i].encode("utf-8", "replace")) for i in own]
             yield out
 
-    scored = docs.withColumn("_lang", F.pandas_udf(of, PREDICTED)(F.col("text")))
-    return scored.select(*docs.columns, "_lang.*")
+    return docs.withColumn(_OWN, F.pandas_udf(of, PREDICTED)(F.col("text")))
 
 
 def _parts(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
@@ -222,7 +228,9 @@ def learn_rows(docs: DataFrame, m: int = 4, held: int = 2) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5, most_bits: float = 8.0) -> DataFrame:
     """Rejects what is in no known language: ``und``, an undecided score, or a best code that isn't shorter than the bytes themselves."""
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score) & (F.col("bits_per_byte") < most_bits)).select(*docs.columns)
+    x = _scored(docs, model)
+    known = (x[_OWN]["lang_pred"] != UNKNOWN) & (x[_OWN]["score"] >= least_score) & (x[_OWN]["bits_per_byte"] < most_bits)
+    return x.where(known).select(*docs.columns)
 
 
 @query("op5_language_id")

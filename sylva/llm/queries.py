@@ -1,4 +1,4 @@
 """All queries of this subpackage, and their SQL."""
 
-from sylva.llm import langid, neardup, packing, secrets, sketch, toxicity, warc  # noqa: F401
+from sylva.llm import classlm, langid, neardup, packing, secrets, sketch, toxicity, warc  # noqa: F401
 from sylva.llm.common import ORACLE, QUERIES  # noqa: F401

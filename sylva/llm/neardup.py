@@ -32,6 +32,7 @@ BANDS, ROWS = 40, 6
 PLAUSIBLE = 0.7
 BLOCK = 1024
 _STEPS = [0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0]
+_MANY = 1 << 18
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -44,25 +45,40 @@ def _slab(s: int) -> tuple[float, float]:
 
 
 def _poisson(height: float) -> np.ndarray:
-    p = [exp(-height) * height**i / factorial(i) for i in range(24)]
-    return np.cumsum(p)
+    return np.cumsum([exp(-height) * height**i / factorial(i) for i in range(24)])
 
 
-def darts(elements: np.ndarray, weights: np.ndarray, slab: int, k: int):
-    """(rank, coordinate, name) of the darts in a slab that lie under the elements' weights."""
-    low, high = _slab(slab)
+#: By slab; all from the last on are of height 1.
+_DRAWS = [_poisson(_slab(s)[1] - _slab(s)[0]) for s in range(6)]
+
+
+def darts(elements: np.ndarray, weights: np.ndarray, slabs: range, k: int):
+    """(rank, coordinate, name) of the darts in some slabs that lie under the elements' weights."""
     whole = np.ceil(weights).astype(int)
     cell_of = np.repeat(np.arange(len(elements)), whole)
     level = np.arange(len(cell_of)) - np.repeat(np.cumsum(whole) - whole, whole)
+    s = np.arange(slabs.start, slabs.stop)
     with np.errstate(over="ignore"):
-        cell = mix(elements[cell_of] + U(0x9E3779B97F4A7C15) * (level.astype(U) * U(1 << 20) + U(slab + 1)))
-        n = np.searchsorted(_poisson(high - low), _unit(cell), side="right")
-        at = np.repeat(np.arange(len(cell)), n)
+        place = (level.astype(U) << U(20))[None, :] + (s + 1).astype(U)[:, None]
+        cell = mix(elements[cell_of][None, :] + U(0x9E3779B97F4A7C15) * place)
+        u = _unit(cell)
+        n = np.zeros(cell.shape, int)
+        own = min(max(0, 5 - slabs.start), len(s))  # slabs with a draw of their own
+        for i in range(own):
+            n[i] = np.searchsorted(_DRAWS[s[i]], u[i], side="right")
+        n[own:] = np.searchsorted(_DRAWS[5], u[own:], side="right")
+        n = n.ravel()
+        at = np.repeat(np.arange(len(n)), n)
         turn = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        name = mix(cell[at] + U(0xD1342543DE82EF95) * (turn.astype(U) + U(1)))
-        rank = low + (high - low) * _unit(mix(name + U(1)))
-        height = level[at] + _unit(mix(name + U(2)))
+        name = mix(cell.ravel()[at] + U(0xD1342543DE82EF95) * (turn.astype(U) + U(1)))
+        low = np.array([_slab(x)[0] for x in s])[at // len(cell_of)]
+        tall = np.array([_slab(x)[1] - _slab(x)[0] for x in s])[at // len(cell_of)]
+        rank = low + tall * _unit(mix(name + U(1)))
+        at %= len(cell_of)
         coordinate = (mix(name + U(3)) % U(k)).astype(int)
+        if whole.max() == 1 and (weights == 1).all():
+            return rank, coordinate, name
+        height = level[at] + _unit(mix(name + U(2)))
     under = height < weights[cell_of[at]]
     return rank[under], coordinate[under], name[under]
 
@@ -78,21 +94,24 @@ def signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.nd
     if not len(elements):
         return out[:0]
     best = np.full(k, np.inf)
-    enough, slab = k * (log(k) + 2) / weights.sum(), 0
+    enough, done = k * (log(k) + 1) / weights.sum(), 0
+    # So many slabs as will likely fill all coordinates, then twice as many, and so on; ranks only grow.
+    more = 1
+    while _slab(more)[0] < enough:
+        more += 1
     while True:
-        # A slab's ranks are all above those before it.
-        rank, coordinate, name = darts(elements, weights, slab, k)
-        order = np.argsort(-rank, kind="stable")
-        c, r = coordinate[order], rank[order]
-        new = np.full(k, np.inf)
-        new[c] = r  # the last to be put is the least
-        got = np.zeros(k, U)
-        got[c] = name[order]
-        better = new < best
-        best[better], out[better] = new[better], got[better]
-        slab += 1
-        if _slab(slab)[0] >= enough / 4 and np.isfinite(best).all():
+        for start in range(done, done + more, step := max(1, _MANY // len(elements))):
+            rank, coordinate, name = darts(elements, weights, range(start, min(start + step, done + more)), k)
+            order = np.argsort(-rank)
+            c, r = coordinate[order], rank[order]
+            new, got = np.full(k, np.inf), np.zeros(k, U)
+            new[c], got[c] = r, name[order]  # the last to be put is the least
+            better = new < best
+            best[better], out[better] = new[better], got[better]
+        done += more
+        if np.isfinite(best).all():
             return out
+        more = max(1, done // 2)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

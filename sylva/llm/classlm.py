@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import query, remainder, table
+from sylva.llm.common import box, query, remainder, table, unbox
 from sylva.session import materialize
 
 CLASSES = 64
@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "far"])
 
     row = F.monotonically_increasing_id()
-    part = materialize(docs.withColumn("_row", row).withColumn("_x", F.pandas_udf(of, _SCORED)("text")).drop("text"))
+    part = materialize(docs.select(box(docs, "text"), row.alias("_row"), F.pandas_udf(of, _SCORED)("text").alias("_x")))
     far = part.select("_row", F.explode("_x.far").alias("f")).select("_row", "f.w", "f.n")
     # Only words that are not near meet the table of counts.
     met = far.join(model.counts.withColumnRenamed("n", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
@@ -224,9 +224,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("logs"), F.sum("n").alias("n"))
     out = part.join(more, "_row", "left")
     n, logs = F.coalesce("n", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    kept = [x for x in docs.columns if x != "text"]
     return out.select(
-        *kept, F.col("_x.n_tokens").alias("n_tokens"), (F.col("_x.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        *unbox(docs, "text"), F.col("_x.n_tokens").alias("n_tokens"), (F.col("_x.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("_x.base_score") + logs - n * float(np.log10(base_low))).alias("base_score"),
         (F.col("_x.score") + logs - n * float(np.log10(rest_low))).alias("score"))

@@ -33,6 +33,15 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def box(docs: DataFrame, *leave_out: str) -> Column:
+    """A row's own columns in one struct, so that no name of theirs can clash with a working column."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in leave_out]).alias("doc")
+
+
+def unbox(docs: DataFrame, *leave_out: str) -> list[Column]:
+    return [F.col("doc")[c].alias(c) for c in docs.columns if c not in leave_out]
+
+
 U = np.uint64
 _P, _Q = 0x9E6D62D06F6A9A9B, 0xC2B2AE3D27D4EB4F  # odd multipliers
 _WORD = np.zeros(256, bool)

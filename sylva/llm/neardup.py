@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import U, mix, query, shingles, table
+from sylva.llm.common import U, box, mix, query, shingles, table, unbox
 from sylva.operators.graph import connected_components
 from sylva.session import materialize
 
@@ -285,9 +285,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each class; see ``classes``."""
     kept = materialize(classes(docs, **how).where("keep").select("k1", "k2").distinct())
-    named = docs.withColumns(dict(zip(("_k1", "_k2"), _names(docs), strict=True)))
-    one = named.join(kept.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_semi")
-    return one.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    one = docs.select(box(docs), *_names(docs)).join(kept, ["k1", "k2"], "left_semi")
+    return one.dropDuplicates(["k1", "k2"]).select(*unbox(docs))
 
 
 @query("op10_near_duplicates")

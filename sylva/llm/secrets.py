@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.llm.common import query, table
+from sylva.llm.common import box, query, table, unbox
 from sylva.session import materialize
 
 
@@ -62,7 +62,7 @@ def trigram_query(rule: Rule) -> list[list[str]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_key", F.xxhash64("_text"))
+    return docs.select(box(docs), F.coalesce(F.col("text"), F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
 
 
 def build_index(docs: DataFrame, rules=RULES, shard_texts: int = SHARD_TEXTS) -> DataFrame:
@@ -121,8 +121,8 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with ``spans``: array<struct<start, rank, kind, end>> by start, then kind.
 
     Places are code points, the end exclusive. A null text is empty. Every row
-    comes back, repeated rows too; other columns stay as they are (names that
-    begin with an underscore or ``cand_`` are taken, ``spans`` is replaced)."""
+    comes back, repeated rows too; other columns stay as they are, but a column
+    ``spans`` is replaced."""
     docs = docs.drop("spans")
     texts = _keyed(docs)
     wanted = materialize(candidates(build_index(docs.select("text"), rules), rules))
@@ -133,7 +133,7 @@ def find_secrets(docs: DataFrame, rules=RULES) -> DataFrame:
         here = F.coalesce(F.col(f"cand_{r.kind}"), F.lit(False)) if trigram_query(r) else F.col("_text").rlike(r.pattern)
         lists.append(F.when(here, _spans(r)).otherwise(none))
     out = texts.withColumn("spans", F.array_sort(F.concat(*lists)))
-    return out.select(*docs.columns, "spans")
+    return out.select(*unbox(docs), "spans")
 
 
 def span_text(spans: Column) -> Column:
@@ -151,9 +151,10 @@ def redact(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     walked = F.aggregate("_merged", start, lambda acc, s: F.struct(
         s["end"].alias("at"), F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")))
-    done = found.withColumn("_merged", merged).withColumn("_walked", walked)
+    done = found.select(box(found, "spans"), "text", "spans").withColumn("_merged", merged).withColumn("_walked", walked)
     text = F.concat(F.col("_walked.out"), F.substring(F.col("text"), F.col("_walked.at") + 1, F.length("text")))
-    return done.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text"))).drop("spans", "_merged", "_walked")
+    masked = F.when(F.size("spans") > 0, text).otherwise(F.col("text"))
+    return done.select(*[masked.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in found.columns if c != "spans"])
 
 
 def _sql() -> str:

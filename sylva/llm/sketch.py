@@ -86,8 +86,8 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
             got = [sketch(t, k) for t in texts]
             yield pd.DataFrame({"fingerprint": [pack(x) for x in got], "distinct_shingles": [distinct(x, k) for x in got]})
 
-    out = docs.withColumn("_f", F.pandas_udf(of, "fingerprint string, distinct_shingles double")(F.col("text")))
-    return out.select(*docs.columns, "_f.*")
+    out = docs.withColumn("_fingerprint_of_text", F.pandas_udf(of, "fingerprint string, distinct_shingles double")(F.col("text")))
+    return out.select(*docs.columns, "_fingerprint_of_text.*")
 
 
 def union_fingerprints(prints: DataFrame, by: list[str], k: int = K) -> DataFrame:

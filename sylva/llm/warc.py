@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -117,12 +116,17 @@ class _Bundle:
         footer = b"".join(struct.pack("<II", *x) for x in entries) + struct.pack("<IBI", len(entries), 0, SEEK_MAGIC)
         return b"".join(self.frames) + index + _skip(SEEK_TABLE, footer)
 
+    def row(self) -> pd.DataFrame:
+        content = self.done()
+        return pd.DataFrame({"bundle_id": [hashlib.sha256(content).hexdigest()[:32]], "n_records": [len(self.index)], "content": [content]})
+
 
 def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = 3) -> DataFrame:
     """Bundles of the rows of ``classify``, one table row each, about ``bundle_bytes`` of compressed data long.
 
     Partitions stay where they are; a task holds one open bundle. A record larger
-    than a frame has a frame of its own. No rows give no bundle."""
+    than a frame has a frame of its own. No rows give no bundle. A bundle's id is
+    that of its content."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now = _Bundle(frame_bytes, level)
@@ -130,10 +134,10 @@ def write_bundles(records: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_byt
             for row in batch.itertuples(index=False):
                 now.add(_name(row.page_id), _record(row))
                 if now.size >= bundle_bytes:
-                    yield pd.DataFrame({"bundle_id": [uuid.uuid4().hex], "n_records": [len(now.index)], "content": [now.done()]})
+                    yield now.row()
                     now = _Bundle(frame_bytes, level)
         if now.index:
-            yield pd.DataFrame({"bundle_id": [uuid.uuid4().hex], "n_records": [len(now.index)], "content": [now.done()]})
+            yield now.row()
 
     # Ids travel as text: pandas would make a column with nulls floating.
     ids = [F.col(c).cast("string").alias(c) for c in ("page_id", "refers_to")]
@@ -182,8 +186,10 @@ def parse(record: bytes) -> dict:
 
 
 def _table(rows: list[dict]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")], dtype=object)
+    for c in ("page_id", "refers_to"):
+        out[c] = pd.array(out[c].to_list(), "Int64")
+    return out.astype({"payload_bytes": "int64"})
 
 
 def read_records(bundles: DataFrame) -> DataFrame:
@@ -217,7 +223,7 @@ def read_index(bundles: DataFrame) -> DataFrame:
 
 
 def lookup(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records whose record_id is in ``wanted``; only their frames are unpacked."""
+    """The records whose record_id is in ``wanted``; only their frames are unpacked. ``bundles`` is a written table, as it is read twice."""
     places = read_index(bundles).join(wanted.select("record_id").distinct(), "record_id", "left_semi")
     # One row for a frame: a frame's records are few, a bundle's many.
     places = places.groupBy("bundle_id", "frame").agg(F.collect_list(F.struct("start", "length")).alias("spans"))

@@ -27,7 +27,6 @@ TINY = 1e-6
 MULTI_START_RUNS = 60
 ANGLES = 180
 TANGENT_REACH = 3
-LANE_CAP = 500
 
 
 def _spacing(gsd: Column, pixels: Column, overlap: Column) -> Column:
@@ -121,18 +120,14 @@ def _tours(first: np.ndarray, last: np.ndarray, starts: int) -> tuple[np.ndarray
 _TOUR = T.StructType().add("walk", T.ArrayType(T.IntegerType())).add("back", T.ArrayType(T.BooleanType())).add("off", T.LongType())
 
 
-@F.pandas_udf(_TOUR)
-def _tour(
-    ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, off_legs: pd.Series, longest: pd.Series,
-    ring_x: pd.Series, ring_y: pd.Series, ring_n: pd.Series,
-) -> pd.DataFrame:
+def _best_walks(multi_start: int, ax, ay, bx, by, off_legs, longest, ring_x, ring_y, ring_n) -> pd.DataFrame:
     """Best walk over the runs of each block; one row is one block."""
     out = []
     for xa, ya, xb, yb, inner, most, rx, ry, rn in zip(ax, ay, bx, by, off_legs, longest, ring_x, ring_y, ring_n):
         first, last = np.column_stack([xa, ya]), np.column_stack([xb, yb])
         ends = np.cumsum(rn)
         rings = [list(zip(rx[e - n:e], ry[e - n:e])) for n, e in zip(rn, ends)]
-        walk, back = _tours(first, last, len(first) if len(first) <= MULTI_START_RUNS else 1)
+        walk, back = _tours(first, last, len(first) if len(first) <= multi_start else 1)
         leave = np.where(back[:, :-1, None], first[walk[:, :-1]], last[walk[:, :-1]])
         enter = np.where(back[:, 1:, None], last[walk[:, 1:]], first[walk[:, 1:]])
         mid = (leave + enter) / 2.0
@@ -144,18 +139,25 @@ def _tour(
     return pd.DataFrame(out, columns=["walk", "back", "off"])
 
 
-def order_runs(runs: DataFrame, areas: DataFrame) -> DataFrame:
+def order_runs(runs: DataFrame, areas: DataFrame, multi_start: int = MULTI_START_RUNS) -> DataFrame:
     """Flight order of the runs of each block: adds ``pos, reversed`` and per block
     ``off_polygon_legs``.
 
     ``runs``: ``fid, run_id, ax, ay, bx, by, off_legs, longest`` and anything
     else: two ends, legs inside the run that leave the area, longest leg inside.
-    ``areas``: ``fid, rings`` in the same frame. Up to 60 runs every run and
-    direction is tried as the start; beyond that only the first run. The fewest
+    ``areas``: ``fid, rings`` in the same frame. In blocks of up to
+    ``multi_start`` runs every run and direction is tried as the start, in larger
+    ones only the first run: a rule of the plan, not of its execution. The fewest
     legs outside wins, then the shortest longest leg, then the earliest start.
     A block travels as one row of run ends, never with its waypoints."""
     carried = ["run_id"] + [c for c in runs.columns if c not in ("fid", "run_id")]
     rows = runs.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_runs"))
+    @F.pandas_udf(_TOUR)
+    def _tour(
+        ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, off: pd.Series, most: pd.Series, rx: pd.Series, ry: pd.Series, rn: pd.Series,
+    ) -> pd.DataFrame:
+        return _best_walks(multi_start, ax, ay, bx, by, off, most, rx, ry, rn)
+
     flat = F.flatten("rings")
     shapes = areas.select(
         "fid", F.transform(flat, lambda p: p["x"]).alias("_rx"), F.transform(flat, lambda p: p["y"]).alias("_ry"),
@@ -173,7 +175,7 @@ def _in_flight_order(ordered: DataFrame) -> DataFrame:
     return ordered.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def coverage_points(blocks: DataFrame) -> DataFrame:
+def coverage_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> DataFrame:
     """``fid, seq, x, y, off_polygon_legs``: the whole flight of each block in order."""
     lines = coverage_lines(blocks)
     runs = coverage_runs(lines).withColumn("run_id", F.col("line").cast("long") * (1 << 20) + F.col("part"))
@@ -182,7 +184,7 @@ def coverage_points(blocks: DataFrame) -> DataFrame:
     ends = runs.withColumn("ax", F.col("x")).withColumn("ay", F.col("y0")).withColumn("bx", F.col("x")).withColumn("by", F.col("y1"))
     ends = ends.withColumn("off_legs", F.lit(0)).withColumn("longest", longest)
     local = _local(blocks, F.col("direction")).select("fid", F.col("local").alias("rings"))
-    flown = _in_flight_order(order_runs(ends, local))
+    flown = _in_flight_order(order_runs(ends, local, multi_start))
     pts = flown.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     along = F.when(F.col("reversed"), F.col("n") - 1 - F.col("_k")).otherwise(F.col("_k"))
     y = F.when(along == F.col("n") - 1, F.col("y1")).otherwise(F.col("y0") + along * F.col("waypoint_spacing"))
@@ -194,7 +196,6 @@ def coverage_points(blocks: DataFrame) -> DataFrame:
 
 
 CHUNK = 4096
-LONG_PLAN = 2_000_000
 
 
 def _with_leg(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -214,7 +215,11 @@ def timed(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Adds ``t``: seconds flown since the plan's first waypoint, and ``leg``.
 
     ``points``: ``fid, seq, x, y, speed``. Sums inside chunks are shifted by the
-    totals of the chunks before: one row per chunk is all a plan brings together."""
+    totals of the chunks before: one row per chunk is all a plan brings together.
+    Negative ``minutes``, where there are any, fail the job."""
+    if "minutes" in points.columns:
+        wrong = F.raise_error(F.lit("minutes must not be negative")).cast("double")
+        points = points.withColumn("minutes", F.when(F.col("minutes") < 0, wrong).otherwise(F.col("minutes")))
     seconds = F.when(F.col("speed") > 0, F.col("leg") / F.col("speed")).otherwise(0.0)
     legs = materialize(_with_leg(points, chunk).withColumn("_s", seconds))
     lane = Window.partitionBy("fid", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -226,25 +231,23 @@ def timed(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
         "t", F.col("_base") + F.col("_in")).drop("_base", "_in", "_s")
 
 
-def _cuts(t: np.ndarray, budget: float) -> np.ndarray:
-    """Indices where a new part starts: the first waypoint past the budget, again and again."""
-    out, at = [], 0
-    while True:
-        at = int(np.searchsorted(t, t[at] + budget, side="right"))
-        if at >= len(t):
-            return np.array(out, dtype=np.int64)
-        out.append(at)
-
-
-def _cuts_of_long_plans(flown: DataFrame) -> DataFrame:
-    """``fid, cut`` for plans too long for one group.
+def budget_cuts(flown: DataFrame) -> DataFrame:
+    """``fid, cut``: waypoints where a new part starts, for ``timed`` waypoints.
 
     Where a part that starts at any waypoint would end is found for all
     waypoints at once, in buckets of one budget; the cuts really made are then
     reached from waypoint 0 by doubling, so rounds grow with the logarithm of
-    the number of parts."""
+    the number of parts. Without minutes every leg that takes time is cut;
+    without speed nothing is."""
+    given = flown.filter(F.col("speed") > 0)
+    at_once = given.filter((F.col("minutes") == 0) & (F.col("leg") > 0)).select("fid", F.col("seq").alias("cut"))
+    flown = given.filter(F.col("minutes") > 0)
+    return _cuts_by_doubling(flown).unionByName(at_once)
+
+
+def _cuts_by_doubling(flown: DataFrame) -> DataFrame:
     budget = F.col("minutes") * 60.0
-    ways = flown.filter((F.col("speed") > 0) & (F.col("minutes") > 0)).select("fid", "seq", "t", budget.alias("b"))
+    ways = flown.select("fid", "seq", "t", budget.alias("b"))
     asked = ways.select("fid", F.lit(None).cast("long").alias("i"), F.col("seq").alias("s"), (F.col("t") + F.col("b")).alias("at"), "b", F.lit(0).alias("kind"))
     given = ways.select("fid", F.col("seq").alias("i"), F.lit(None).cast("long").alias("s"), F.col("t").alias("at"), "b", F.lit(1).alias("kind"))
     bucket = F.floor(F.col("at") / F.col("b"))
@@ -270,34 +273,13 @@ def _cuts_of_long_plans(flown: DataFrame) -> DataFrame:
         jump = materialize(jump.join(jump.select("fid", F.col("s").alias("n"), F.col("n").alias("_n2")), ["fid", "n"]).select("fid", "s", F.col("_n2").alias("n")))
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _cut_list(t: pd.Series, minutes: pd.Series) -> pd.Series:
-    return pd.Series([_cuts(np.asarray(v), float(m) * 60.0) for v, m in zip(t, minutes)])
-
-
-def budget_cuts(flown: DataFrame, long_plan: int = LONG_PLAN) -> DataFrame:
-    """``fid, cut``: waypoints where a new part starts, for ``timed`` waypoints.
-
-    Plans up to ``long_plan`` waypoints are cut from one bounded array of times
-    each; longer ones by joins."""
-    slim = flown.select("fid", "seq", "t", "speed", "minutes")
-    is_long = slim.groupBy("fid").count().filter(F.col("count") > long_plan).select("fid")
-    some_long = not is_long.isEmpty()
-    usual = slim.join(is_long, "fid", "left_anti") if some_long else slim
-    times = spread(usual, "fid").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("_t"), F.max("minutes").alias("minutes"))
-    cuts = times.select("fid", F.explode(_cut_list(F.col("_t")["t"], "minutes")).alias("cut"))
-    if some_long:
-        cuts = cuts.unionByName(_cuts_of_long_plans(slim.join(is_long, "fid", "left_semi")))
-    return cuts
-
-
-def split_by_budget(points: DataFrame, long_plan: int = LONG_PLAN) -> DataFrame:
+def split_by_budget(points: DataFrame) -> DataFrame:
     """``fid, part, sequence, seq, x, y``: battery-sized parts with shared seams.
 
     ``points``: ``fid, seq (dense from 0), x, y, speed, minutes``. The cut
     waypoint closes one part and opens the next; its leg counts for neither."""
     flown = materialize(timed(points.select("fid", "seq", "x", "y", "speed", "minutes")))
-    return place_parts(flown, materialize(budget_cuts(flown, long_plan)))
+    return place_parts(flown, materialize(budget_cuts(flown)))
 
 
 def place_parts(flown: DataFrame, numbered: DataFrame) -> DataFrame:
@@ -359,18 +341,14 @@ def suggest_direction(blocks: DataFrame) -> DataFrame:
 
 
 def coverage_failure(blocks: DataFrame) -> DataFrame:
-    """``fid, reason``: why a block has no waypoint, with numbers and what to try."""
+    """Why a block has no waypoint: ``fid, width, height, line_spacing,
+    waypoint_spacing, too_small, cause``, sizes along the flight direction."""
     b = pin(_pivoted(spacing(blocks)), _o=rotate_ring(F.element_at("rings", 1), F.col("px"), F.col("py"), -F.col("direction")))
     b = pin(b, width=high(F.col("_o"), "x") - low(F.col("_o"), "x"), height=high(F.col("_o"), "y") - low(F.col("_o"), "y"))
     small = (F.col("width") < F.col("line_spacing")) | (F.col("height") < F.col("waypoint_spacing"))
-    too_small = F.format_string(
-        "The survey area is about %.0fm x %.0fm along this flight direction; these settings need %.0fm between lines "
-        "and %.0fm between waypoints. Lower the GSD, altitude, overlap or image size, or check the selected polygon.",
-        "width", "height", "line_spacing", "waypoint_spacing")
-    odd = F.format_string(
-        "The area (%.0fm x %.0fm) should hold lines %.0fm apart, but no sampled point is inside; the polygon may be very "
-        "thin, self-intersecting or oddly shaped. Try another flight direction.", "width", "height", "line_spacing")
-    return b.select("fid", small.alias("too_small"), F.when(small, too_small).otherwise(odd).alias("reason"))
+    return b.select(
+        "fid", "width", "height", "line_spacing", "waypoint_spacing", small.alias("too_small"),
+        F.when(small, "smaller than the spacing").otherwise("no sampled point inside").alias("cause"))
 
 
 # ---- corridors ---------------------------------------------------------------
@@ -427,7 +405,7 @@ def corridor_lanes(blocks: DataFrame) -> DataFrame:
     b = spacing(blocks)
     pts = F.flatten("rings")
     diagonal = distance(low(pts, "x"), low(pts, "y"), high(pts, "x"), high(pts, "y"))
-    reach = F.least(F.lit(LANE_CAP), F.ceil(diagonal / F.col("line_spacing")).cast("int") + 1)
+    reach = F.ceil(diagonal / F.col("line_spacing")).cast("int") + 1
     box = dict(_xa=low(pts, "x"), _xb=high(pts, "x"), _ya=low(pts, "y"), _yb=high(pts, "y"))
     wide = pin(b, _reach=reach, **box).select("fid", "rings", "line_spacing", "_reach", *box)
     centre = smooth_tangent(resample_line(b.select("fid", "path", "waypoint_spacing"), F.col("waypoint_spacing")))
@@ -451,7 +429,7 @@ def corridor_lanes(blocks: DataFrame) -> DataFrame:
     return split.filter("_l = 0").unionByName(outer).drop("_l")
 
 
-def corridor_points(blocks: DataFrame) -> DataFrame:
+def corridor_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> DataFrame:
     """The whole corridor flight of each block in order: ``fid, seq, x, y``."""
     lanes = materialize(corridor_lanes(blocks))
     rings = blocks.select("fid", "rings")
@@ -466,7 +444,7 @@ def corridor_points(blocks: DataFrame) -> DataFrame:
     ends = legs.groupBy("fid", "run_id").agg(
         F.min_by("x", "k").alias("ax"), F.min_by("y", "k").alias("ay"), F.max_by("x", "k").alias("bx"), F.max_by("y", "k").alias("by"),
         F.sum("_off").alias("off_legs"), F.max("_leg").alias("longest"), F.count("*").alias("n"), F.min("k").alias("_k0"))
-    flown = _in_flight_order(order_runs(spread(ends, "fid"), rings))
+    flown = _in_flight_order(order_runs(spread(ends, "fid"), rings, multi_start))
     pts = keyed.select("fid", "run_id", "k", "x", "y").join(flown.select("fid", "run_id", "n", "_k0", "reversed", "_before", "off_polygon_legs"), ["fid", "run_id"])
     step = F.col("k") - F.col("_k0")
     at = F.when(F.col("reversed"), F.col("n") - 1 - step).otherwise(step)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.functions.bands import metres_per_px
+
 # Detector and mask-model scan windows, in pixels.
 DETECTOR_WINDOW = 1024
 DETECTOR_OVERLAP = 200
@@ -29,7 +31,9 @@ def read_window(pixels: DataFrame, x0: int, y0: int, w: int, h: int) -> DataFram
 
 
 def to_tiles(pixels: DataFrame, size: int = 256, bands: list[str] | None = None) -> DataFrame:
-    """One row per tile with its bands as row-major arrays; a tile is a bounded group."""
+    """One row per tile with its bands as row-major arrays; a tile is a bounded group.
+
+    Cells that aren't there, in a tile's box, are null in all bands."""
     bands = bands or BANDS
     cell = F.array_sort(F.collect_list(F.struct("row", "col", *bands)))
     tiles = (
@@ -41,6 +45,15 @@ def to_tiles(pixels: DataFrame, size: int = 256, bands: list[str] | None = None)
         .agg(cell.alias("_cells"))
     )
     ends = lambda f, name: f(F.transform("_cells", lambda c: c[name]))
+    tiles = tiles.withColumns({"_r0": ends(F.array_min, "row"), "_c0": ends(F.array_min, "col"), "_w": ends(F.array_max, "col") - ends(F.array_min, "col") + 1, "_h": ends(F.array_max, "row") - ends(F.array_min, "row") + 1})
+    at = F.transform("_cells", lambda c: (c["row"] - F.col("_r0")) * F.col("_w") + c["col"] - F.col("_c0"))
+    absent = F.array_except(F.sequence(F.lit(0), F.col("_h") * F.col("_w") - 1), at)
+    kinds = dict(pixels.dtypes)
+    blank = lambda i: F.struct(
+        (F.col("_r0") + F.floor(i / F.col("_w"))).cast(kinds["row"]).alias("row"), (F.col("_c0") + i % F.col("_w")).cast(kinds["col"]).alias("col"),
+        *[F.lit(None).cast(kinds[b]).alias(b) for b in bands])
+    tiles = tiles.withColumn("_cells", F.when(F.size("_cells") == F.col("_h") * F.col("_w"), F.col("_cells")).otherwise(
+        F.array_sort(F.concat("_cells", F.transform(absent, blank)))))
     return tiles.select(
         "raster_id", "tile_row", "tile_col",
         ends(F.array_min, "row").alias("row0"), ends(F.array_min, "col").alias("col0"),
@@ -51,6 +64,7 @@ def to_tiles(pixels: DataFrame, size: int = 256, bands: list[str] | None = None)
 
 
 def to_pixels(tiles: DataFrame, bands: list[str] | None = None) -> DataFrame:
+    """Cells with a value in some band."""
     bands = bands or BANDS
     return tiles.select(
         "raster_id", "row0", "col0", "w", F.posexplode(F.arrays_zip(*bands)).alias("_i", "_v")
@@ -59,7 +73,7 @@ def to_pixels(tiles: DataFrame, bands: list[str] | None = None) -> DataFrame:
         (F.col("row0") + F.floor(F.col("_i") / F.col("w"))).cast("int").alias("row"),
         (F.col("col0") + F.col("_i") % F.col("w")).cast("int").alias("col"),
         *[F.col("_v")[b].alias(b) for b in bands],
-    )
+    ).filter(F.coalesce(*[F.when(F.col(b).isNotNull(), 1) for b in bands]).isNotNull())
 
 
 TILE = ["raster_id", "tile_row", "tile_col", "row0", "col0", "h", "w"]
@@ -124,3 +138,17 @@ def stitch_windows(probs: DataFrame) -> DataFrame:
     return probs.groupBy("raster_id", "row", "col").agg(
         F.max_by("prob", F.struct("y0", "x0")).alias("prob")
     )
+
+
+def in_metres(meta: DataFrame) -> DataFrame:
+    """``meta`` with ``px_m``: the cell size for scale and area, also where cells are in degrees."""
+    return meta.withColumn("px_m", metres_per_px(F.col("px_size")))
+
+
+def sizes_of(meta: DataFrame) -> list[float]:
+    """Distinct cell sizes in metres; each gets kernels of its own size."""
+    return [r[0] for r in in_metres(meta).select("px_m").distinct().orderBy("px_m").collect()]
+
+
+def of_cell_size(meta: DataFrame, px_m: float) -> DataFrame:
+    return in_metres(meta).filter(F.col("px_m") == px_m).drop("px_m")

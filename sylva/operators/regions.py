@@ -314,11 +314,12 @@ def erase_points(points: DataFrame, polys: DataFrame, id_: str = "fid", side: fl
     return points.join(points_inside(points.select(id_, "x", "y"), polys, id_, side), id_, "left_anti")
 
 
-def erase_regions(cells: DataFrame, polys: DataFrame, xmin: float, ymax: float, px_size: float) -> DataFrame:
-    """Region cells whose centre is outside every exclude polygon."""
-    centred = cells.withColumn("x", F.lit(xmin) + (F.col("col") + 0.5) * px_size).withColumn("y", F.lit(ymax) - (F.col("row") + 0.5) * px_size)
+def erase_regions(cells: DataFrame, polys: DataFrame, meta: DataFrame) -> DataFrame:
+    """Region cells whose centre is outside every exclude polygon; places come from each raster's ``meta``."""
+    frame = meta.select("raster_id", F.col("xmin").alias("_x"), F.col("ymax").alias("_y"), F.col("px_size").alias("_px"))
+    centred = cells.join(frame, "raster_id").withColumn("x", F.col("_x") + (F.col("col") + 0.5) * F.col("_px")).withColumn("y", F.col("_y") - (F.col("row") + 0.5) * F.col("_px"))
     keyed = centred.withColumn("_id", F.struct(*CELL))
-    return erase_points(keyed, polys, "_id").drop("_id", "x", "y")
+    return erase_points(keyed, polys, "_id").select(*cells.columns)
 
 
 def fishnet(boxes: DataFrame, w: float = 50.0, h: float = 50.0) -> DataFrame:

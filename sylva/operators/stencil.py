@@ -247,7 +247,9 @@ class Frame:
         out = np.zeros((r1 - r0, c1 - c0), dtype=dtype)
         if "h" in pdf.columns:
             for r, c, h, w, v in zip(pdf["row"], pdf["col"], pdf["h"], pdf["w"], pdf[value]):
-                out[r - r0:r - r0 + h, c - c0:c - c0 + w] = np.asarray(v, dtype=dtype).reshape(h, w)
+                # Nulls are cells that aren't there.
+                known = np.asarray(v, dtype=float)
+                out[r - r0:r - r0 + h, c - c0:c - c0 + w] = np.nan_to_num(known, nan=0.0).astype(dtype).reshape(h, w)
             return out
         out[pdf["row"].to_numpy() - r0, pdf["col"].to_numpy() - c0] = 1 if value is None else pdf[value].to_numpy()
         return out

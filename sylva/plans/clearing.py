@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.bands import CLEARED_EXG, FRESH_BRIGHTNESS_MIN, MIN_CLEARING_M2, SMOOTH_PX, exg, fresh_color, valid_mask, water_mask
 from sylva.operators.field import area_ha
-from sylva.operators.raster import as_pixels, map_bands
+from sylva.operators.raster import as_pixels, map_bands, of_cell_size, sizes_of
 from sylva.operators.regions import CELL, erase_regions, fill_holes, label_cells, label_regions
 from sylva.operators.stencil import Frame, _cross, grid_objects, over_tiles, segment_mean, smooth
 from sylva.operators.verdicts import apply_verdicts, crop_windows
@@ -64,30 +66,46 @@ def cleared_objects(pixels: DataFrame, meta: DataFrame, threshold: float = CLEAR
 
 
 def detect_clearing(
-    pixels: DataFrame, meta: DataFrame, px_size: float, *, threshold: float = CLEARED_EXG, smooth_px: float = SMOOTH_PX,
+    pixels: DataFrame, meta: DataFrame, *, threshold: float = CLEARED_EXG, smooth_px: float = SMOOTH_PX,
     opening: int = OPENING, closing: int = CLOSING, min_area_m2: float = MIN_CLEARING_M2, hole_m2: float = HOLE_M2, fresh: bool = False,
-    method: str = "exg", exclude: DataFrame | None = None, replies: DataFrame | None = None,
-    xmin: float = 0.0, ymax: float = 0.0, tile: int = 512,
+    method: str = "exg", exclude: DataFrame | None = None, replies: DataFrame | None = None, tile: int = 512,
 ) -> tuple[DataFrame, DataFrame]:
     """``(regions, summary)``: small regions go first, then the replies are applied,
-    then excluded ground is cut out."""
+    then excluded ground is cut out.
+
+    Cell size and corner are each raster's own, from ``meta``; cells in degrees
+    count in metres for areas."""
     if method == "objects":
         mask = cleared_objects(pixels, meta, threshold)
     else:
         mask = cleared_cells(pixels, meta, threshold, smooth_px, opening, closing, fresh, tile=tile)
-    cells = materialize(fill_holes(label_cells(mask, tile=tile), meta, px_size, hole_m2, tile))
-    regions = materialize(label_regions(cells, px_size).filter(F.col("area") >= min_area_m2))
+    labelled = materialize(label_cells(mask, tile=tile))
+    sizes = sizes_of(meta)
+
+    def by_size(cells: DataFrame, step) -> DataFrame:
+        """A step that takes one cell size, over the rasters of each."""
+        parts = []
+        for px_m in sizes:
+            of_size = of_cell_size(meta, px_m)
+            own = cells.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes) > 1 else cells
+            parts.append(step(own, of_size, px_m))
+        return reduce(DataFrame.unionByName, parts)
+
+    measure = lambda cells: by_size(cells, lambda own, of_size, px_m: label_regions(own, px_m))
+    cells = materialize(by_size(labelled, lambda own, of_size, px_m: fill_holes(own, of_size, px_m, hole_m2, tile)))
+    regions = materialize(measure(cells).filter(F.col("area") >= min_area_m2))
     rejected = 0
     if replies is not None:
-        extent = regions.join(meta.select("raster_id", F.col("xmin").alias("_x"), F.col("ymax").alias("_y")), "raster_id").select(
+        frame = meta.select("raster_id", F.col("xmin").alias("_x"), F.col("ymax").alias("_y"), F.col("px_size").alias("_px"))
+        extent = regions.join(frame, "raster_id").select(
             F.struct("raster_id", "label").alias("fid"), "raster_id",
-            (F.col("_x") + F.col("col0") * px_size).alias("xmin"), (F.col("_x") + (F.col("col1") + 1) * px_size).alias("xmax"),
-            (F.col("_y") - (F.col("row1") + 1) * px_size).alias("ymin"), (F.col("_y") - F.col("row0") * px_size).alias("ymax"))
+            (F.col("_x") + F.col("col0") * F.col("_px")).alias("xmin"), (F.col("_x") + (F.col("col1") + 1) * F.col("_px")).alias("xmax"),
+            (F.col("_y") - (F.col("row1") + 1) * F.col("_px")).alias("ymin"), (F.col("_y") - F.col("row0") * F.col("_px")).alias("ymax"))
         keyed = regions.withColumn("fid", F.struct("raster_id", "label"))
         kept, said = apply_verdicts(keyed, replies, crops=crop_windows(extent, meta))
         regions = materialize(kept.drop("fid"))
         rejected = said.first()["rejected"]
     if exclude is not None:
-        left = erase_regions(cells.join(regions.select("raster_id", "label"), ["raster_id", "label"], "left_semi"), exclude, xmin, ymax, px_size)
-        regions = label_regions(materialize(left), px_size)
+        left = erase_regions(cells.join(regions.select("raster_id", "label"), ["raster_id", "label"], "left_semi"), exclude, meta)
+        regions = measure(materialize(left))
     return regions, area_ha(regions).withColumn("rejected_by_ai_count", F.lit(rejected).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.projection import utm_to_wgs84
-from sylva.operators.mission import budget_cuts, corridor_points, coverage_points, cross_hatch, place_parts, timed
+from sylva.operators.mission import MULTI_START_RUNS, budget_cuts, corridor_points, coverage_points, cross_hatch, place_parts, timed
 from sylva.session import materialize
 
 
@@ -31,23 +31,24 @@ def _finish(points: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]
 _SUMS = ("total_distance_m", "total_minutes", "off_polygon_legs", "parts", "waypoints")
 
 
-def coverage_plan(blocks: DataFrame, crosshatch: bool = False) -> tuple[DataFrame, DataFrame]:
+def coverage_plan(blocks: DataFrame, crosshatch: bool = False, multi_start: int = MULTI_START_RUNS) -> tuple[DataFrame, DataFrame]:
     """``(waypoints, plans)``: waypoints ``fid, part, sequence, x, y, altitude,
     speed``; plans with parts, waypoints, distance, minutes, legs outside the area.
 
-    A block without any waypoint has no plan row; ``coverage_failure`` says why."""
-    waypoints, totals = _finish(coverage_points(blocks), blocks)
+    ``multi_start``: up to how many runs a block's order is searched from every
+    run. A block without any waypoint has no plan row; ``coverage_failure`` says why."""
+    waypoints, totals = _finish(coverage_points(blocks, multi_start), blocks)
     if crosshatch:
         turned = blocks.withColumn("direction", F.col("direction") + 90)
-        more, more_totals = _finish(coverage_points(turned), turned)
+        more, more_totals = _finish(coverage_points(turned, multi_start), turned)
         waypoints = cross_hatch(waypoints, more)
         totals = totals.unionByName(more_totals).groupBy("fid").agg(*[F.sum(c).alias(c) for c in _SUMS])
     return waypoints, totals
 
 
-def corridor_plan(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+def corridor_plan(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> tuple[DataFrame, DataFrame]:
     """The same for blocks that also carry a centre line ``path``."""
-    return _finish(corridor_points(blocks), blocks)
+    return _finish(corridor_points(blocks, multi_start), blocks)
 
 
 def to_wgs84(waypoints: DataFrame, wkid: int) -> DataFrame:

@@ -11,7 +11,7 @@ from sylva.functions.bands import CONFIDENCE_CUT, REFERENCE_GSD_M, brightness, e
 from sylva.operators.detections import IOU_CUT, box_nms, boxes_to_points
 from sylva.operators.graph import dedup, nms
 from sylva.operators.numbering import number_rows
-from sylva.operators.raster import as_pixels, map_bands
+from sylva.operators.raster import as_pixels, in_metres, map_bands, of_cell_size, sizes_of
 from sylva.operators.regions import CELL, erase_points, label_plateaus
 from sylva.operators.stencil import BLUR_WINDOW_PX, peak_cells, refine_centroid
 from sylva.operators.verdicts import apply_verdicts, tree_crops
@@ -34,14 +34,6 @@ def scaled(size: float, px_size: float, least: int = 1) -> int:
     return max(least, int(round(size * scale)))
 
 
-def sizes_of(meta: DataFrame) -> list[float]:
-    """Distinct cell sizes; each gets kernels of its own size."""
-    found = [r[0] for r in meta.select("px_size").distinct().orderBy("px_size").limit(101).collect()]
-    if len(found) > 100:
-        raise ValueError("more than 100 different cell sizes; resample or split the job")
-    return found
-
-
 def tree_candidates(
     pixels: DataFrame, meta: DataFrame, px_size: float, sigma: float, exg_threshold: float, min_smooth: float,
     min_density: float, extra_scales: tuple, refine_radius: float | None, exclude_blurry: bool, tile: int,
@@ -79,18 +71,19 @@ def detect_trees(
     p.update({k: v for k, v in given.items() if v is not None})
     parts, sizes = [], sizes_of(meta)
     for px_size in sizes:
-        of_size = meta.filter(F.col("px_size") == px_size)
+        of_size = of_cell_size(meta, px_size)
         own = pixels.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes) > 1 else pixels
         cands = tree_candidates(own, of_size, px_size, exclude_blurry=exclude_blurry, tile=tile, **p)
-        ready = materialize(cands.withColumn("x", F.col("col").cast("double")).withColumn("y", F.col("row").cast("double")))
-        parts.append(nms(ready, keys=["raster_id"]))
-    kept = reduce(DataFrame.unionByName, parts)
-    m = meta.select("raster_id", "xmin", "ymax", "px_size")
+        parts.append(cands.withColumn("x", F.col("col").cast("double")).withColumn("y", F.col("row").cast("double")))
+    # Ids are given over all cell sizes: exclusion and replies go by them.
+    every = number_rows(reduce(DataFrame.unionByName, parts).withColumnRenamed("fid", "_of_size"), ["raster_id", "_of_size"], "fid", start=0).drop("_of_size")
+    kept = nms(materialize(every), keys=["raster_id"])
+    m = in_metres(meta).select("raster_id", "xmin", "ymax", "px_size", "px_m")
     trees = materialize(
         kept.join(m, "raster_id").select(
             "fid", "raster_id", F.col("col").alias("px"), F.col("row").alias("py"),
             geo_x(F.col("col"), F.col("xmin"), F.col("px_size")).alias("geo_x"), geo_y(F.col("row"), F.col("ymax"), F.col("px_size")).alias("geo_y"),
-            F.bround(F.col("sigma") * F.col("px_size"), 2).alias("crown_r"), "sigma"))
+            F.bround(F.col("sigma") * F.col("px_m"), 2).alias("crown_r"), "sigma"))
     found = ground = approved = final = trees
     if exclude_cleared:
         ground = approved = final = materialize(drop_on_mask(found, cleared_cells(pixels, meta, CLEARED_FILTER_EXG, tile=tile)))
@@ -104,7 +97,7 @@ def detect_trees(
         final = materialize(erase_points(placed, exclude).drop("x", "y"))
     # Trees too near the rim to be shown to a model are dropped, but not as rejected.
     summary = detection_summary(found, ground, approved, final).withColumn("rejected_by_ai_count", F.lit(rejected).cast("long"))
-    area = meta.agg(F.sum(F.col("width") * F.col("height") * F.col("px_size") * F.col("px_size") / 10000.0)).first()[0]
+    area = in_metres(meta).agg(F.sum(F.col("width") * F.col("height") * F.col("px_m") * F.col("px_m") / 10000.0)).first()[0]
     return final, summary.withColumn("area_ha", F.lit(area))
 
 
@@ -130,7 +123,7 @@ def dedup_detections(
     """Raw boxes of overlapping windows to one point per crown."""
     parts = []
     for px_size in sizes_of(meta):
-        of_size = meta.filter(F.col("px_size") == px_size)
+        of_size = of_cell_size(meta, px_size)
         mine = windows.join(of_size.select("raster_id"), "raster_id", "left_semi")
         points = boxes_to_points(box_nms(boxes, conf, iou), mine, of_size)
         s = scaled(DETECTOR_SIGMA, px_size)

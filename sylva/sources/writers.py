@@ -30,7 +30,7 @@ def tree_layer(trees: DataFrame) -> DataFrame:
     return trees.select(
         F.col("geo_x").alias("x"), F.col("geo_y").alias("y"), has("crown_r", "double", 0.0).alias("crown_r"),
         has("sigma", "int", 0).alias("sigma_px"), has("score", "double", 0.0).alias("score"),
-        F.substring(has("source", "string", "exg"), 1, 10).alias("source"))
+        has("source", "string", "exg").alias("source"))
 
 
 def write_points(trees: DataFrame, path: str) -> None:

@@ -47,6 +47,12 @@ def _(spark, sf):
     return R.to_pixels(R.to_tiles(I.pixels(spark, sf, alpha=True), 32)).select("row", "col", "r", "g", "b", "alpha")
 
 
+@query("s4_tiles_with_gaps", "WITH " + I.PIX + " SELECT row, col, r, g, b FROM pix WHERE (row * 3 + col) % 7 <> 0 AND row % 50 < 47")
+def _(spark, sf):
+    holed = I.pixels(spark, sf).filter("(row * 3 + col) % 7 <> 0 AND row % 50 < 47")
+    return R.to_pixels(R.to_tiles(holed, 32)).select("row", "col", "r", "g", "b")
+
+
 @query("s7_write_points", """SELECT 500000.0::DOUBLE + o_orderkey % 100 AS x, 9500000.0::DOUBLE AS y, 0.0::DOUBLE AS crown_r, CAST(o_orderkey % 7 AS INT) AS sigma_px,
   CASE WHEN o_orderkey % 2 = 0 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score, 'exg' AS source FROM orders""")
 def _(spark, sf):
@@ -371,7 +377,7 @@ SELECT label, count(*) * 0.25::DOUBLE AS area FROM kept GROUP BY label""")
 def _(spark, sf):
     polys = I.framed(spark, sf).selectExpr("fid", "transform(rings, r -> transform(r, p -> struct(p.x AS x, p.y - 100 AS y))) AS rings")
     cells = G.label_cells(I.crown_mask(spark, sf))
-    left = G.erase_regions(cells, polys, I.XMIN, I.YMAX, I.PX)
+    left = G.erase_regions(cells, polys, I.meta(spark, sf))
     return left.groupBy("label").agg((F.count("*") * F.lit(I.PX * I.PX)).alias("area"))
 
 
@@ -399,7 +405,7 @@ def _(spark, sf):
 
 @query("c2_detect_clearing")
 def _(spark, sf):
-    regions, _summary = detect_clearing(I.pixels(spark, sf), I.meta(spark, sf), I.PX, smooth_px=1, opening=2, closing=3)
+    regions, _summary = detect_clearing(I.pixels(spark, sf), I.meta(spark, sf), smooth_px=1, opening=2, closing=3)
     return regions
 
 

@@ -104,17 +104,24 @@ def old_points(spark: SparkSession, sf: str) -> DataFrame:
         "CAST(9500000 + (o_orderkey div 100) * 10 AS DOUBLE) AS y")
 
 
-def new_points(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").filter("o_orderkey % 11 <> 0").selectExpr(
+def all_points(spark: SparkSession, sf: str) -> DataFrame:
+    """One point for every order."""
+    return table(spark, sf, "orders").selectExpr(
         "o_orderkey AS fid",
         "500000 + (o_orderkey % 100) * 10 + ((o_orderkey * 37) % 13) * 0.25D - 1.5D + CASE WHEN o_orderkey % 17 = 0 THEN 5 ELSE 0 END AS x",
         "9500000 + (o_orderkey div 100) * 10 + ((o_orderkey * 11) % 7) * 0.25D - 0.75D AS y")
 
 
+def new_points(spark: SparkSession, sf: str) -> DataFrame:
+    """The second survey: every eleventh place is gone."""
+    return all_points(spark, sf).filter("fid % 11 <> 0")
+
+
 POINTS = """oldp AS (SELECT o_orderkey AS fid, CAST(500000 + (o_orderkey % 100) * 10 + CASE WHEN o_orderkey % 29 = 0 THEN 8 ELSE 0 END AS DOUBLE) AS x,
   CAST(9500000 + (o_orderkey // 100) * 10 AS DOUBLE) AS y FROM orders),
-newp AS (SELECT o_orderkey AS fid, (500000 + (o_orderkey % 100) * 10 + ((o_orderkey * 37) % 13) * 0.25 - 1.5 + CASE WHEN o_orderkey % 17 = 0 THEN 5 ELSE 0 END)::DOUBLE AS x,
-  (9500000 + (o_orderkey // 100) * 10 + ((o_orderkey * 11) % 7) * 0.25 - 0.75)::DOUBLE AS y FROM orders WHERE o_orderkey % 11 <> 0)"""
+allp AS (SELECT o_orderkey AS fid, (500000 + (o_orderkey % 100) * 10 + ((o_orderkey * 37) % 13) * 0.25 - 1.5 + CASE WHEN o_orderkey % 17 = 0 THEN 5 ELSE 0 END)::DOUBLE AS x,
+  (9500000 + (o_orderkey // 100) * 10 + ((o_orderkey * 11) % 7) * 0.25 - 0.75)::DOUBLE AS y FROM orders),
+newp AS (SELECT * FROM allp WHERE fid % 11 <> 0)"""
 
 # Nearest new point per old point below 3 m, then first claim wins.
 MATCHED = POINTS + """, offs AS (SELECT a, b FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)),

@@ -40,14 +40,14 @@ def _(spark, sf):
 ERASED = "WITH " + I.POINTS + ", " + I.FRAMED.replace("framed AS", "f AS")
 
 
-@query("j2_erase_points", ERASED + " SELECT fid, x, y FROM newp p WHERE NOT EXISTS (SELECT 1 FROM f WHERE " + I.IN_FRAME + ")")
+@query("j2_erase_points", ERASED + " SELECT fid, x, y FROM allp p WHERE NOT EXISTS (SELECT 1 FROM f WHERE " + I.IN_FRAME + ")")
 def _(spark, sf):
-    return regions.erase_points(I.new_points(spark, sf), I.framed(spark, sf)).select("fid", "x", "y")
+    return regions.erase_points(I.all_points(spark, sf), I.framed(spark, sf)).select("fid", "x", "y")
 
 
-@query("g1_point_in_rings", ERASED + " SELECT fid FROM newp p WHERE EXISTS (SELECT 1 FROM f WHERE " + I.IN_FRAME + ")")
+@query("g1_point_in_rings", ERASED + " SELECT fid FROM allp p WHERE EXISTS (SELECT 1 FROM f WHERE " + I.IN_FRAME + ")")
 def _(spark, sf):
-    return regions.points_inside(I.new_points(spark, sf), I.framed(spark, sf))
+    return regions.points_inside(I.all_points(spark, sf), I.framed(spark, sf))
 
 
 SAMPLED = "WITH " + I.PIX + ", " + I.CLICKS + """, hit AS (SELECT c.fid, c.x, c.y, c.cls, p.r::INT AS r, p.g::INT AS g, p.b::INT AS b FROM clickcell c LEFT JOIN pix p ON p.row = c.pr AND p.col = c.pc)"""
@@ -268,12 +268,12 @@ def _(spark, sf):
     return I.replies(spark, sf).filter("status = 'ok'").select("batch", F.explode(parse_verdicts(F.col("text"))).alias("idx", "yes"))
 
 
-@query("a9_detection_summary", "WITH " + I.POINTS + ", " + I.FRAMED.replace("framed AS", "f AS") + """, a AS (SELECT * FROM newp WHERE fid % 5 <> 0), b AS (SELECT * FROM a WHERE fid % 7 <> 0),
+@query("a9_detection_summary", "WITH " + I.POINTS + ", " + I.FRAMED.replace("framed AS", "f AS") + """, a AS (SELECT * FROM allp WHERE fid % 5 <> 0), b AS (SELECT * FROM a WHERE fid % 7 <> 0),
 c AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f WHERE """ + I.IN_FRAME + """))
-SELECT (SELECT count(*) FROM c) AS tree_count, (SELECT count(*) FROM newp) - (SELECT count(*) FROM a) AS filtered_cleared_count,
+SELECT (SELECT count(*) FROM c) AS tree_count, (SELECT count(*) FROM allp) - (SELECT count(*) FROM a) AS filtered_cleared_count,
   (SELECT count(*) FROM a) - (SELECT count(*) FROM b) AS rejected_by_ai_count, (SELECT count(*) FROM b) - (SELECT count(*) FROM c) AS excluded_by_area_count""")
 def _(spark, sf):
-    found = I.new_points(spark, sf).withColumn("raster_id", F.lit("A")).withColumn("py", F.col("fid")).withColumn("px", F.lit(0).cast("long"))
+    found = I.all_points(spark, sf).withColumn("raster_id", F.lit("A")).withColumn("py", F.col("fid")).withColumn("px", F.lit(0).cast("long"))
     mask = found.filter("fid % 5 = 0").select("raster_id", F.col("py").alias("row"), F.col("px").alias("col"))
     ground = drop_on_mask(found, mask)
     seen = ground.filter("fid % 7 <> 0")

@@ -108,13 +108,11 @@ def _(spark, sf):
     return mission.runs(lane, inside, ["fid", "lane"], "k").select("fid", "lane", "k", "run")
 
 
-@query("m8_coverage_failure", "WITH " + SPACED + """, n AS (SELECT fid, w / 8 AS w, h AS h, ls, ws FROM sp WHERE NOT ell AND direction = 0)
-SELECT fid, w < ls OR h < ws AS too_small, CASE WHEN w < ls OR h < ws THEN printf('The survey area is about %.0fm x %.0fm along this flight direction; these settings need %.0fm between lines and %.0fm between waypoints. Lower the GSD, altitude, overlap or image size, or check the selected polygon.', floor(w + 0.5), h, ls, ws)
-  ELSE printf('The area (%.0fm x %.0fm) should hold lines %.0fm apart, but no sampled point is inside; the polygon may be very thin, self-intersecting or oddly shaped. Try another flight direction.', floor(w + 0.5), h, ls) END AS reason FROM n""")
+@query("m8_coverage_failure", "WITH " + TURNED + """, e AS (SELECT fid, any_value(ls) AS ls, any_value(ws) AS ws, max(x) - min(x) AS w, max(y) - min(y) AS h FROM rot GROUP BY fid)
+SELECT fid, round(w, 5) AS width, round(h, 5) AS height, ls::DOUBLE AS line_spacing, ws::DOUBLE AS waypoint_spacing, w < ls OR h < ws AS too_small,
+  CASE WHEN w < ls OR h < ws THEN 'smaller than the spacing' ELSE 'no sampled point inside' END AS cause FROM e""")
 def _(spark, sf):
-    narrow = I.blocks(spark, sf).filter("NOT ell AND direction = 0").withColumn(
-        "rings", F.expr("transform(rings, r -> transform(r, p -> struct(x0 + (p.x - x0) / 8 AS x, p.y AS y)))"))
-    return mission.coverage_failure(narrow)
+    return mission.coverage_failure(I.blocks(spark, sf)).withColumns({c: F.round(c, 5) for c in ("width", "height")})
 
 
 # ---- lines and parts ---------------------------------------------------------

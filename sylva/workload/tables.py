@@ -79,9 +79,9 @@ def _(spark, sf):
     return field.area_ha(field.ring_measures(I.rectangles(spark, sf))).select("polygon_count", F.round("area_ha", 6).alias("area_ha"))
 
 
-@query("a13_bbox", "WITH " + I.POINTS + " SELECT fid % 7 AS block, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM newp GROUP BY 1")
+@query("a13_bbox", "WITH " + I.POINTS + " SELECT fid % 7 AS block, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax FROM allp GROUP BY 1")
 def _(spark, sf):
-    return field.bbox(I.new_points(spark, sf).withColumn("block", F.col("fid") % 7), ["block"])
+    return field.bbox(I.all_points(spark, sf).withColumn("block", F.col("fid") % 7), ["block"])
 
 
 @query("a15_sample_counts", "WITH " + I.SAMPLES + " SELECT cls, count(*) AS n FROM samples GROUP BY cls")
@@ -105,13 +105,13 @@ def _(spark, sf):
     return I.dem(spark, sf).select("row", "col", field.slope_class(F.col("v")).alias("slope_class"))
 
 
-@query("p18_identify", "WITH " + I.POINTS + """, hit AS (SELECT * FROM newp WHERE x BETWEEN 500100 AND 500400 AND y BETWEEN 9500050 AND 9500900),
+@query("p18_identify", "WITH " + I.POINTS + """, hit AS (SELECT * FROM allp WHERE x BETWEEN 500100 AND 500400 AND y BETWEEN 9500050 AND 9500900),
 att AS (SELECT o_orderkey AS fid, c AS attachment_id, concat('/p/', o_orderkey, '_', c) AS photo_path FROM orders, (SELECT unnest([3, 1, 2]) AS c) WHERE (o_orderkey + c) % 3 <> 0)
 SELECT fid, x, y, min(attachment_id) AS attachment_id, min_by(photo_path, attachment_id) AS photo_path FROM hit h JOIN att USING (fid) GROUP BY fid, x, y""")
 def _(spark, sf):
     att = I.table(spark, sf, "orders").selectExpr("o_orderkey AS fid", "explode(array(3, 1, 2)) AS attachment_id").filter("(fid + attachment_id) % 3 <> 0").withColumn(
         "photo_path", F.expr("concat('/p/', fid, '_', attachment_id)"))
-    return field.identify(I.new_points(spark, sf), att, 500100, 9500050, 500400, 9500900)
+    return field.identify(I.all_points(spark, sf), att, 500100, 9500050, 500400, 9500900)
 
 
 # ---- order and numbering -----------------------------------------------------
@@ -136,9 +136,9 @@ def _(spark, sf):
     return field.longest_part(parts).select("fid", "part", F.round("length", 6).alias("length"))
 
 
-@query("w7_cell_ids", "WITH " + I.POINTS + """ SELECT fid, row_number() OVER (ORDER BY y, x, fid) AS "Cell_ID", row_number() OVER (PARTITION BY fid % 5 ORDER BY y, x, fid) AS in_block FROM newp""")
+@query("w7_cell_ids", "WITH " + I.POINTS + """ SELECT fid, row_number() OVER (ORDER BY y, x, fid) AS "Cell_ID", row_number() OVER (PARTITION BY fid % 5 ORDER BY y, x, fid) AS in_block FROM allp""")
 def _(spark, sf):
-    numbered = numbering.cell_ids(I.new_points(spark, sf), ["y", "x", "fid"]).withColumn("block", F.col("fid") % 5)
+    numbered = numbering.cell_ids(I.all_points(spark, sf), ["y", "x", "fid"]).withColumn("block", F.col("fid") % 5)
     return numbering.cell_ids(numbered, ["y", "x", "fid"], ["block"], "in_block").select("fid", "Cell_ID", "in_block")
 
 
@@ -155,10 +155,10 @@ def _(spark, sf):
     return c.filter("sigma = 20").select("fid", F.lit(20).alias("sigma")).unionByName(c.filter("fid % 2 = 0").select("fid", F.lit(12).alias("sigma")))
 
 
-@query("u5_group_by_crs", "WITH " + I.POINTS + " SELECT fid, x, y, CAST(32700 + 46 + fid % 9 AS INT) AS wkid FROM newp")
+@query("u5_group_by_crs", "WITH " + I.POINTS + " SELECT fid, x, y, CAST(32700 + 46 + fid % 9 AS INT) AS wkid FROM allp")
 def _(spark, sf):
     path = I.scratch(spark, "by_wkid")
-    writers.write_by_wkid(I.new_points(spark, sf).withColumn("wkid", (F.col("fid") % 9 + 32746).cast("int")), path)
+    writers.write_by_wkid(I.all_points(spark, sf).withColumn("wkid", (F.col("fid") % 9 + 32746).cast("int")), path)
     return spark.read.parquet(path).select("fid", "x", "y", "wkid")
 
 
@@ -205,10 +205,10 @@ def _(spark, sf):
 
 # ---- numbers -----------------------------------------------------------------
 
-@query("f8_rotate", "WITH " + I.POINTS + """, a AS (SELECT fid, x - 500000 AS dx, y - 9500000 AS dy, (fid % 360) * pi() / 180.0 AS r FROM newp)
+@query("f8_rotate", "WITH " + I.POINTS + """, a AS (SELECT fid, x - 500000 AS dx, y - 9500000 AS dy, (fid % 360) * pi() / 180.0 AS r FROM allp)
 SELECT fid, round(500000 + dx * cos(r) - dy * sin(r), 5) AS x, round(9500000 + dx * sin(r) + dy * cos(r), 5) AS y FROM a""")
 def _(spark, sf):
-    p, deg = I.new_points(spark, sf), F.col("fid") % 360
+    p, deg = I.all_points(spark, sf), F.col("fid") % 360
     args = (F.col("x"), F.col("y"), F.lit(500000.0), F.lit(9500000.0), deg)
     return p.select("fid", F.round(geo.rotate_x(*args), 5).alias("x"), F.round(geo.rotate_y(*args), 5).alias("y"))
 
@@ -221,13 +221,13 @@ _K = projection.SCALE * projection.RECTIFYING
 _E = projection.ECCENTRICITY
 
 
-@query("f9_utm_to_wgs84", "WITH " + I.POINTS + f""", a AS (SELECT fid, 46 + fid % 9 AS zone, (y - 10000000) / {_K!r}::DOUBLE AS xi, (x - 500000) / {_K!r}::DOUBLE AS eta FROM newp),
+@query("f9_utm_to_wgs84", "WITH " + I.POINTS + f""", a AS (SELECT fid, 46 + fid % 9 AS zone, (y - 10000000) / {_K!r}::DOUBLE AS xi, (x - 500000) / {_K!r}::DOUBLE AS eta FROM allp),
 b AS (SELECT fid, zone, xi {_series(projection.BETA, 'sin', 'cosh', 'xi', 'eta', '-')} AS xi0, eta {_series(projection.BETA, 'cos', 'sinh', 'xi', 'eta', '-')} AS eta0 FROM a),
 c AS (SELECT fid, zone, xi0, eta0, asin(sin(xi0) / cosh(eta0)) AS chi FROM b)
 SELECT fid, round(degrees(chi {''.join(f" + {d!r}::DOUBLE * sin({2 * j} * chi)" for j, d in enumerate(projection.DELTA, 1))}), 8) AS lat, round(zone * 6 - 183 + degrees(atan2(sinh(eta0), cos(xi0))), 8) AS lon FROM c""")
 def _(spark, sf):
     g = projection.utm_to_wgs84(F.col("x"), F.col("y"), (F.col("fid") % 9 + 32746).cast("int"))
-    return I.new_points(spark, sf).withColumn("_g", g).select("fid", F.round("_g.lat", 8).alias("lat"), F.round("_g.lon", 8).alias("lon"))
+    return I.all_points(spark, sf).withColumn("_g", g).select("fid", F.round("_g.lat", 8).alias("lat"), F.round("_g.lon", 8).alias("lon"))
 
 
 @query("f9_wgs84_to_utm", f"""WITH p AS (SELECT o_orderkey AS fid, -5 + (o_orderkey % 1024) / 128.0::DOUBLE AS lat, 117 + (o_orderkey % 768 - 384) / 128.0::DOUBLE AS lon FROM orders),

@@ -41,7 +41,7 @@ def test_small_block_still_has_a_line_and_a_reason(spark):
     b = blocks(spark, [[(0, 0), (20, 0), (20, 20), (0, 20)]], gsd=5.0, img_w=4000, img_h=3000, front=80.0, side=70.0)
     assert coverage_plan(b)[0].count() >= 1
     reason = mission.coverage_failure(b).first()
-    assert reason["too_small"] and "60m" in reason["reason"] and "20m" in reason["reason"]
+    assert reason["too_small"] and round(reason["line_spacing"]) == 60 and reason["width"] == 20
 
 
 def test_concave_block_stays_inside(spark):
@@ -78,61 +78,44 @@ def test_corridor_round_a_corner(spark):
     assert any(r["y"] < 20 for r in rows) and any(r["x"] > 80 for r in rows)
 
 
-def greedy(runs, start, flip):
-    left = list(range(len(runs)))
-    order = [(start, flip)]
-    left.remove(start)
-    while left:
-        i, rev = order[-1]
-        cx, cy = runs[i][0] if rev else runs[i][1]
-        best, rev_best, dist = None, False, np.inf
-        for j in left:
-            d0 = (runs[j][0][0] - cx) ** 2 + (runs[j][0][1] - cy) ** 2
-            d1 = (runs[j][1][0] - cx) ** 2 + (runs[j][1][1] - cy) ** 2
-            if min(d0, d1) < dist:
-                best, rev_best, dist = j, d1 < d0, min(d0, d1)
-        order.append((best, rev_best))
-        left.remove(best)
-    return order
-
-
 @pytest.mark.parametrize("n", [12, 70])
-def test_tours_equal_the_plain_walk(n):
+def test_each_step_of_a_tour_goes_to_the_nearest_open_end(n):
     rng = np.random.default_rng(n)
-    first, last = rng.integers(0, 40, (n, 2)).astype(float), rng.integers(0, 40, (n, 2)).astype(float)
+    ends = rng.integers(0, 40, (n, 2, 2)).astype(float)  # run, first or last, x and y
     starts = n if n <= mission.MULTI_START_RUNS else 1
-    walk, back = mission._tours(first, last, starts)
-    runs = list(zip(first.tolist(), last.tolist()))
-    for row in range(2 * starts):
-        assert list(zip(walk[row].tolist(), back[row].tolist())) == greedy(runs, row // 2, bool(row % 2))
-
-
-def test_long_plans_are_cut_by_joins_with_the_same_result(spark):
+    walk, back = mission._tours(ends[:, 0], ends[:, 1], starts)
+    assert (np.sort(walk, axis=1) == np.arange(n)).all()
+    assert (walk[:, 0] == np.arange(2 * starts) // 2).all() and (back[:, 0] == np.arange(2 * starts) % 2).all()
+    for tour, turned in zip(walk, back.astype(int)):
+        leave = ends[tour, 1 - turned]
+        for k in range(1, n):
+            gaps = np.square(ends[tour[k:]] - leave[k - 1]).sum(axis=2)
+            ranked = sorted((gaps[i, side], run, side) for i, run in enumerate(tour[k:]) for side in (0, 1))
+            assert ranked[0][1:] == (tour[k], turned[k])
+
+
+def test_parts_of_plans_with_pauses_long_legs_and_no_minutes(spark):
     rng = np.random.default_rng(0)
     rows = []
-    for fid in range(3):
+    for fid, (speed, minutes) in enumerate([(8.0, 0.25), (8.0, 0.25), (0.0, 0.25), (8.0, 0.0), (8.0, 0.01)]):
         x = np.cumsum(rng.uniform(1, 40, 90))
         x[40:] += 500 if fid == 1 else 0  # one leg longer than a whole battery
-        rows += [(fid, i, float(v), 0.0, 0.0 if fid == 2 else 8.0, 0.25) for i, v in enumerate(x)]
-    df = spark.createDataFrame(rows, "fid long, seq long, x double, y double, speed double, minutes double")
-    short = {tuple(r) for r in mission.split_by_budget(df).collect()}
-    long_ = {tuple(r) for r in mission.split_by_budget(df, long_plan=10).collect()}
-    assert short == long_
-    # The sequential rule.
+        x[10:13] = x[10]  # three waypoints at one place
+        rows += [(fid, i, float(v), 0.0, speed, minutes) for i, v in enumerate(np.maximum.accumulate(x))]
+    schema = "fid long, seq long, x double, y double, speed double, minutes double"
+    got = {(r["fid"], r["part"], r["sequence"], r["seq"]) for r in mission.split_by_budget(spark.createDataFrame(rows, schema)).collect()}
     want = set()
-    for fid in range(3):
-        part, seq, used, prev = 1, 0, 0.0, None
-        for _, i, x, _, speed, minutes in (r for r in rows if r[0] == fid):
-            if prev is not None:
-                sec = (x - prev) / speed if speed > 0 else 0
-                if used + sec > minutes * 60:
-                    want.add((fid, part, seq, i))
-                    part, seq, used = part + 1, 0, 0.0
-                else:
-                    used += sec
-            want.add((fid, part, seq, i))
-            seq, prev = seq + 1, x
-    assert {r[:4] for r in short} == want
+    for fid in range(5):
+        own = [r for r in rows if r[0] == fid]
+        clock = np.concatenate(([0.0], np.cumsum([(b[2] - a[2]) / b[4] if b[4] else 0.0 for a, b in zip(own, own[1:])])))
+        opened = [0]
+        while len(late := np.flatnonzero(clock > clock[opened[-1]] + own[0][5] * 60)):
+            opened.append(int(late[0]))
+        for part, (a, b) in enumerate(zip(opened, [*opened[1:], len(own) - 1]), 1):
+            want |= {(fid, part, k - a, k) for k in range(a, b + 1)}
+    assert got == want
+    with pytest.raises(Exception, match="negative"):
+        mission.split_by_budget(spark.createDataFrame([(*r[:5], -1.0) for r in rows], schema)).collect()
 
 
 def test_mission_files(spark, tmp_path):

@@ -184,7 +184,7 @@ def test_water_is_not_cleared_and_job_summary(spark):
     px, meta = raster(spark, r, g, b)
     mask = dense(cleared_cells(px, meta, 18, smooth_px=0, opening=0, closing=0), r.shape)
     assert not mask[75, 75] and mask[200, 200]
-    regions_, summary = detect_clearing(px, meta, PX, threshold=18, min_area_m2=10)
+    regions_, summary = detect_clearing(px, meta, threshold=18, min_area_m2=10)
     s = summary.first()
     assert s["polygon_count"] == 1 and abs(s["area_ha"] - 50 / 10000) < 0.002
     assert regions_.count() == 1
@@ -321,3 +321,60 @@ def test_checks():
         with pytest.raises(ValueError):
             call()
     require_bands(3), require_dem(1), require_projected(32750), require_different("a", "b"), check_positive(cell=1)
+
+
+def two_rasters(spark, one, other, px_one, px_other, corner):
+    """Raster A at the usual place, raster B with its own cell size and corner."""
+    a, meta_a = raster(spark, *one, px=px_one)
+    b, _ = raster(spark, *other, px=px_other)
+    h, w = other[0].shape
+    meta_b = spark.createDataFrame([("B", *corner, px_other, w, h, 3, 32750)], meta_a.schema)
+    return a.unionByName(b.withColumn("raster_id", F.lit("B"))), meta_a.unionByName(meta_b)
+
+
+def square(spark, *boxes):
+    ring = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return spark.createDataFrame([(i, [[{"x": float(x), "y": float(y)} for x, y in ring(*box)]]) for i, box in enumerate(boxes)], "fid long, rings array<array<struct<x: double, y: double>>>")
+
+
+def test_trees_of_two_cell_sizes_have_ids_of_their_own(spark):
+    small = tuple(x[::2, ::2] for x in crowns())
+    px, meta = two_rasters(spark, crowns(), small, PX, 2 * PX, (600000.0, 9000000.0))
+    args = dict(sigma=12, exg_threshold=30, min_smooth=20, min_density=0.0)
+    trees, summary = detect_trees(px, meta, "forest", **args)
+    rows = trees.collect()
+    assert len(rows) == 6 and len({t["fid"] for t in rows}) == 6 and abs(summary.first()["area_ha"] - 2 * 400 * 400 * PX * PX / 10000) < 1e-9
+    # Round the tree of A at pixel (80, 80): one tree goes, and it is that one.
+    x, y = 500000 + 80 * PX, 9500000 + 400 * PX - 80 * PX
+    left = detect_trees(px, meta, "forest", exclude=square(spark, (x - 1, y - 1, x + 1, y + 1)), **args)[0].collect()
+    assert {(t["raster_id"], t["fid"]) for t in rows} - {(t["raster_id"], t["fid"]) for t in left} == {("A", min(t["fid"] for t in rows if t["raster_id"] == "A" and t["px"] < 100))}
+
+
+def test_cells_in_degrees_are_measured_in_metres(spark):
+    px, meta = raster(spark, *crowns(), px=PX / 111320.0)
+    trees, summary = detect_trees(px, meta, "forest", sigma=12, exg_threshold=30, min_smooth=20, min_density=0.0)
+    assert {t["crown_r"] for t in trees.collect()} == {0.6} and trees.count() == 3
+    assert abs(summary.first()["area_ha"] - 400 * 400 * PX * PX / 10000) < 1e-9
+
+
+def test_clearing_excludes_by_each_rasters_own_corner(spark):
+    px, meta = two_rasters(spark, bare(), tuple(x[::2, ::2] for x in bare()), PX, 2 * PX, (600000.0, 9000000.0))
+    args = dict(threshold=18, smooth_px=1, opening=0, closing=0, min_area_m2=1)
+    regions_, summary = detect_clearing(px, meta, **args)
+    area = {r["raster_id"]: r["area"] for r in regions_.collect()}
+    assert area == pytest.approx({"A": 50.0, "B": 50.0})
+    # The bare patch is columns 100 to 299: of A the left half goes, of B all.
+    x, y = 500000.0, 9500000.0
+    cut = square(spark, (x, y, x + 200 * PX, y + 400 * PX), (600000, 8999000, 600400, 9000000))
+    left, summary = detect_clearing(px, meta, exclude=cut, **args)
+    assert {r["raster_id"]: r["area"] for r in left.collect()} == pytest.approx({"A": 25.0})
+
+
+def test_tiles_with_gaps_keep_every_pixel_at_its_place(spark):
+    px, meta = raster(spark, *bare())
+    holed = px.filter("(row * 7 + col * 3) % 11 <> 0")
+    want = {tuple(x) for x in holed.select("row", "col", "r", "g", "b").collect()}
+    tiles = to_tiles(holed, 64)
+    assert {tuple(x) for x in to_pixels(tiles).select("row", "col", "r", "g", "b").collect()} == want
+    args = dict(threshold=18, smooth_px=1, opening=0, closing=0)
+    assert {tuple(x) for x in cleared_cells(tiles, meta, **args).collect()} == {tuple(x) for x in cleared_cells(holed, meta, **args).collect()}

@@ -96,11 +96,8 @@ def label_cells(mask: DataFrame, diagonal: bool = False, tile: int = 512) -> Dat
     )
 
 
-def label_plateaus(maxima: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def label_plateaus(maxima: DataFrame) -> DataFrame:
     """Connected equal maxima become one point at the truncated mean position."""
-    keys = extra or []
-    if keys:
-        raise ValueError("call once per scale")
     return (
         label_cells(maxima).groupBy("raster_id", "label")
         .agg(F.avg("row").cast("int").alias("row"), F.avg("col").cast("int").alias("col"))

@@ -154,17 +154,3 @@ def nearest_within(
     queries = asked.withColumn("i", span("qx")).withColumn("j", span("qy"))
     points = right.select(F.col(right_id).alias("rid"), "x", "y", *keys)
     return nearest_in_cells(queries, points, d, side, keys, inclusive, leaf)
-
-
-def cover_cells(rings: DataFrame, side: float) -> DataFrame:
-    """Grid cells touched by each ring's bounding box."""
-    box = lambda f, axis: F.floor(f(F.transform("pts", lambda p: p[axis])) / F.lit(float(side)))
-    spans = rings.select(
-        "fid", box(F.array_min, "x").alias("i0"), box(F.array_max, "x").alias("i1"),
-        box(F.array_min, "y").alias("j0"), box(F.array_max, "y").alias("j1"),
-    )
-    return (
-        spans.select("fid", "j0", "j1", F.explode(F.sequence("i0", "i1")).alias("i"))
-        .select("fid", "i", F.explode(F.sequence("j0", "j1")).alias("j"))
-        .distinct()
-    )

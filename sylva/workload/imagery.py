@@ -11,7 +11,7 @@ from sylva.operators import stencil as S
 from sylva.operators.roads import trace_lines
 from sylva.plans.clearing import cleared_cells, detect_clearing
 from sylva.plans.roads import extract_roads
-from sylva.plans.trees import detect_trees, drop_on_mask, scaled
+from sylva.plans.trees import detect_trees, drop_on_mask
 from sylva.session import materialize
 from sylva.sources import readers, writers
 from sylva.workload import inputs as I
@@ -421,6 +421,3 @@ def _(spark, sf):
     from sylva.operators.field import scan_area_ha
 
     return scan_area_ha(I.meta(spark, sf)).select("raster_id", F.round("area_ha", 6).alias("area_ha"))
-
-
-assert scaled(7.5, 0.05) == 8

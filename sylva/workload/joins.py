@@ -78,7 +78,6 @@ def _(spark, sf):
 @query("t2_history_stream", "WITH " + I.STATUS + " SELECT ts, feature, message FROM entries")
 def _(spark, sf):
     ev = I.table(spark, sf, "events")
-    spark.conf.get("spark.sql.session.timeZone")
     stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf).selectExpr(
         "ts", "CASE event_id % 4 WHEN 0 THEN 'LandClearingStatus' WHEN 1 THEN 'Status' WHEN 2 THEN 'FlightMissionStatus' ELSE 'GpxStatus' END AS property",
         "CASE WHEN event_id % 10 = 0 THEN '' ELSE props END AS message")
@@ -107,7 +106,6 @@ def _(spark, sf):
     return graph.nms(I.clustered(spark, sf), keys=["raster_id"]).select("fid")
 
 
-IOU = "(SELECT i / (k.w * k.h + r.w * r.h - i) FROM (SELECT greatest(0, least(k.x + k.w / 2, r.cx + r.w / 2) - greatest(k.x - k.w / 2, r.cx - r.w / 2)) * greatest(0, least(k.y + k.h / 2, r.cy + r.h / 2) - greatest(k.y - k.h / 2, r.cy - r.h / 2)) AS i))"
 _I = "(greatest(0, least(k.x + k.w / 2, r.cx + r.w / 2) - greatest(k.x - k.w / 2, r.cx - r.w / 2)) * greatest(0, least(k.y + k.h / 2, r.cy + r.h / 2) - greatest(k.y - k.h / 2, r.cy - r.h / 2)))"
 
 

@@ -164,19 +164,15 @@ def _(spark, sf):
 
 # ---- text --------------------------------------------------------------------
 
-UTM = r"\b(\d{1,2})\s*([C-HJ-NP-Z])\s+(\d{5,7})\s+(\d{6,8})\b"
-BARE = r"\b(\d{5,7})\s+(\d{6,8})\b"
-
-
-@query("f1_parse_utm", "WITH " + I.PHOTOS + f""", z AS (SELECT fid, utm_text, regexp_extract(utm_text, '{UTM}', 1) AS zone, regexp_extract(utm_text, '{UTM}', 2) AS band FROM photos)
-SELECT fid, CASE WHEN zone <> '' THEN regexp_extract(utm_text, '{UTM}', 3)::DOUBLE END AS x, CASE WHEN zone <> '' THEN regexp_extract(utm_text, '{UTM}', 4)::DOUBLE END AS y,
+@query("f1_parse_utm", "WITH " + I.PHOTOS + f""", z AS (SELECT fid, utm_text, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 1) AS zone, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 2) AS band FROM photos)
+SELECT fid, CASE WHEN zone <> '' THEN regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 3)::DOUBLE END AS x, CASE WHEN zone <> '' THEN regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 4)::DOUBLE END AS y,
   CASE WHEN zone <> '' THEN (CASE WHEN band <= 'M' THEN 32700 ELSE 32600 END) + zone::INT END AS wkid FROM z""")
 def _(spark, sf):
     return I.photos(spark, sf).withColumn("_u", text.parse_utm(F.col("utm_text"))).select("fid", "_u.x", "_u.y", "_u.wkid")
 
 
-@query("f2_parse_bare_utm", "WITH " + I.PHOTOS + f""", z AS (SELECT fid, utm_text, regexp_extract(utm_text, '{UTM}', 1) AS zone, regexp_extract(utm_text, '{UTM}', 2) AS band FROM photos)
-SELECT fid, regexp_extract(utm_text, '{BARE}', 1)::DOUBLE AS x, regexp_extract(utm_text, '{BARE}', 2)::DOUBLE AS y,
+@query("f2_parse_bare_utm", "WITH " + I.PHOTOS + f""", z AS (SELECT fid, utm_text, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 1) AS zone, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 2) AS band FROM photos)
+SELECT fid, regexp_extract(utm_text, '{text.BARE_UTM}', 1)::DOUBLE AS x, regexp_extract(utm_text, '{text.BARE_UTM}', 2)::DOUBLE AS y,
   CASE WHEN zone <> '' THEN (CASE WHEN band <= 'M' THEN 32700 ELSE 32600 END) + zone::INT ELSE 32750 END AS wkid FROM z""")
 def _(spark, sf):
     return I.photos(spark, sf).withColumn("_u", text.parse_grid(F.col("utm_text"), 50, True)).select("fid", "_u.x", "_u.y", "_u.wkid")

@@ -59,12 +59,14 @@ def byte_tokenizer(name: str = VOCABULARY):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, part, local_rank) of all documents' pieces; a null text is empty.
+def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, part, local_rank) of all documents' pieces, ``with_ids`` also their ids; a null text is empty.
 
     A longer document's first piece holds what is left over from whole sequences.
     ``local_rank`` counts the pieces of one length in one partition ``part``."""
 
+    schema = _PIECE + ", ids array<int>" * with_ids
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = byte_tokenizer(vocabulary).encode_ordinary
         seen = np.zeros(tokens + 1, np.int64)
@@ -76,13 +78,13 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY)
                 k = 0
                 while start < len(ids):
                     own = ids[start:end]
-                    rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), seen[len(own)]))
+                    rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes()), seen[len(own)], own.astype(np.int32))[: 6 + with_ids])
                     seen[len(own)] += 1
                     k, start, end = k + 1, end, end + tokens
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PIECE.split(", ")])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInPandas(cut, _PIECE).withColumn("part", F.spark_partition_id())
+    return text.mapInPandas(cut, schema).withColumn("part", F.spark_partition_id())
 
 
 def configurations(sizes: list[int], demand: list[int], room: int) -> list[tuple[list[int], float]]:
@@ -259,7 +261,8 @@ def pack(cut: DataFrame, tokens: int = TOKENS, groups: int = GROUPS, long: tuple
 
     ranked = written.join(shifts.select("part", "length", "before"), ["part", "length"])
     out = ranked.withColumn("x", F.pandas_udf(place, "sequence_id long, offset long")("length", F.col("local_rank") + F.col("before")))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32", "x.sequence_id", "x.offset")
+    ids = ["ids"] if "ids" in cut.columns else []
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32", "x.sequence_id", "x.offset", *ids)
 
 
 @query("op1_packing")

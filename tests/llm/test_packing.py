@@ -68,7 +68,8 @@ def test_ids_are_those_of_the_tokenizer():
 
 def test_pieces_of_awkward_rows(spark):
     docs = awkward(spark)
-    got = pack(pieces(docs)).toPandas()
+    got = pack(pieces(docs, with_ids=True)).toPandas()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in got.itertuples())
     own = byte_tokenizer()
     want = Counter()
     for r in docs.collect():

@@ -65,6 +65,11 @@ def order_values(vals: DataFrame, ranks: list[int], n: int, few: int = FEW) -> d
         skipped, n, vals = skipped + row["below"], row["inside"], vals.filter(within)
 
 
+def median_frame(df: DataFrame, value: Column, name: str = "median", few: int = FEW) -> DataFrame:
+    """One row with the median; null for no rows."""
+    return df.sparkSession.range(1).select(F.lit(median(df, value, few)).cast("double").alias(name))
+
+
 def median(df: DataFrame, value: Column, few: int = FEW) -> float | None:
     """Exact median; an even count averages the middle two."""
     vals = df.select(value.cast("double").alias("v")).filter("v is not null")

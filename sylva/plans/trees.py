@@ -34,6 +34,16 @@ def scaled(size: float, px_size: float, least: int = 1) -> int:
     return max(least, int(round(size * scale)))
 
 
+def first_per_place(candidates: DataFrame) -> DataFrame:
+    """One candidate per place and scale: the first in reading order."""
+    return candidates.groupBy(*CELL, "sigma").agg(F.min("label").alias("label"))
+
+
+def scale_union(by_sigma: dict[int, DataFrame]) -> DataFrame:
+    """The candidates of all scales, each with its ``sigma``."""
+    return reduce(DataFrame.unionByName, [df.withColumn("sigma", F.lit(s)) for s, df in by_sigma.items()])
+
+
 def tree_candidates(
     pixels: DataFrame, meta: DataFrame, px_size: float, sigma: float, exg_threshold: float, min_smooth: float,
     min_density: float, extra_scales: tuple, refine_radius: float | None, exclude_blurry: bool, tile: int,
@@ -43,14 +53,12 @@ def tree_candidates(
     banded = map_bands(pixels, exg=exg, veg=lambda of: veg_mask(exg_threshold, of), valid=valid_mask, grey=brightness)
     blur = scaled(BLUR_WINDOW_PX, px_size, 5) if exclude_blurry else None
     peaks = materialize(peak_cells(banded, meta, scales, min_smooth, min_density, blur, tile))
-    moved, banded = [], as_pixels(banded)
+    moved, banded = {}, as_pixels(banded)
     for s in scales:
         points = label_plateaus(peaks.filter(F.col("sigma") == s)).withColumn("fid", F.struct("raster_id", "label"))
         radius = s if refine_radius is None else scaled(refine_radius, px_size)
-        moved.append(refine_centroid(points, banded, meta, radius).withColumn("sigma", F.lit(s)))
-    union = reduce(DataFrame.unionByName, moved)
-    # One candidate per place and scale: the first in reading order.
-    firsts = union.groupBy(*CELL, "sigma").agg(F.min("label").alias("label"))
+        moved[s] = refine_centroid(points, banded, meta, radius)
+    firsts = first_per_place(scale_union(moved))
     on_valid = firsts.join(banded.filter("valid").select(*CELL), CELL, "left_semi")
     return number_rows(on_valid.withColumn("_s", -F.col("sigma")), ["raster_id", "_s", "label"], "fid", start=0).drop("_s", "label")
 

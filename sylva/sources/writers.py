@@ -63,7 +63,8 @@ def write_by_wkid(points: DataFrame, path: str) -> None:
 
 def write_report(summary: DataFrame, path: str) -> None:
     """A small spreadsheet: one row per species, one file."""
-    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    # A shuffle, so that only the finished rows meet in one task.
+    summary.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 # ---- missions ----------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sylva.functions import geometry as geo
 from sylva.functions import projection, text
 from sylva.operators import field, numbering
+from sylva.plans.trees import first_per_place, scale_union
 from sylva.sources import readers, writers
 from sylva.workload import inputs as I
 from sylva.workload.registry import query
@@ -55,8 +56,7 @@ def _(spark, sf):
 @query("a4_median", "SELECT median(l_extendedprice) AS median_price FROM lineitem")
 def _(spark, sf):
     df = I.table(spark, sf, "lineitem")
-    m = numbering.median(df, F.col("l_extendedprice"))
-    return df.limit(1).select(F.lit(m).alias("median_price"))
+    return numbering.median_frame(df, F.col("l_extendedprice"), "median_price")
 
 
 MEASURED = "WITH " + I.RECT + """, m AS (SELECT fid, w * h AS area, 2 * (w + h) AS length, 4 * pi() * (w * h) / (2 * (w + h) * (2 * (w + h))) AS thin FROM rect)"""
@@ -146,13 +146,14 @@ def _(spark, sf):
 def _(spark, sf):
     c = I.clicks(spark, sf).select(
         ((F.col("x") - I.XMIN) / I.PX).cast("int").alias("px"), ((I.YMAX - F.col("y")) / I.PX).cast("int").alias("py"), (F.col("fid") % 2).cast("int").alias("sigma"))
-    return c.dropDuplicates(["px", "py", "sigma"])
+    seen = c.select(F.lit("A").alias("raster_id"), F.col("py").alias("row"), F.col("px").alias("col"), "sigma", F.lit(0).cast("long").alias("label"))
+    return first_per_place(seen).select(F.col("col").alias("px"), F.col("row").alias("py"), "sigma")
 
 
 @query("u4_multi_scale_union", "WITH " + I.CLUSTERED + " SELECT fid, 20 AS sigma FROM clustered WHERE sigma = 20 UNION ALL SELECT fid, 12 FROM clustered WHERE fid % 2 = 0")
 def _(spark, sf):
     c = I.clustered(spark, sf)
-    return c.filter("sigma = 20").select("fid", F.lit(20).alias("sigma")).unionByName(c.filter("fid % 2 = 0").select("fid", F.lit(12).alias("sigma")))
+    return scale_union({20: c.filter("sigma = 20").select("fid"), 12: c.filter("fid % 2 = 0").select("fid")})
 
 
 @query("u5_group_by_crs", "WITH " + I.POINTS + " SELECT fid, x, y, CAST(32700 + 46 + fid % 9 AS INT) AS wkid FROM allp")
@@ -162,6 +163,13 @@ def _(spark, sf):
     return spark.read.parquet(path).select("fid", "x", "y", "wkid")
 
 
+@query("p13_find_column", """SELECT l_orderkey * 8 + l_linenumber AS fid, l_quantity / 10.0 AS volume, p_type AS species FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def _(spark, sf):
+    lines = I.table(spark, sf, "lineitem").join(I.table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    layer = lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fid"), F.col("p_type").alias("Jenis_Pohon"), (F.col("l_quantity") / 10.0).alias("VOLUME_m3_"))
+    return layer.select("fid", F.col(field.find_column(layer, "volume")).alias("volume"), F.col(field.find_column(layer, "species")).alias("species"))
+
+
 # ---- text --------------------------------------------------------------------
 
 @query("f1_parse_utm", "WITH " + I.PHOTOS + f""", z AS (SELECT fid, utm_text, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 1) AS zone, regexp_extract(utm_text, '{text.UTM_WITH_ZONE}', 2) AS band FROM photos)

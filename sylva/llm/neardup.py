@@ -253,8 +253,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     doc_id of the class, or a negative number if none has one. ``keep``: on the rows
     of one (doc_id, text) in each class.
 
-    Texts that share a band's bucket are first compared with the bucket's least, so
-    a large group becomes one component without its pairs. Buckets of three or more
+    A bucket's least text is its hub. A text is first compared with the hub it shares
+    most bands with, then with hubs that are still in other components, so a large
+    group becomes one component without its pairs. Buckets of three or more
     that then still hold several components have all pairs across these compared by
     signature, in blocks; no bucket is capped. What is plausible is verified on
     the whole texts. A pair at the threshold meets in no band with probability
@@ -266,13 +267,27 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     each = reps.select("rep", F.explode("bands").alias("b"))
     buckets = materialize(each.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("hub")).where("n > 1"))
     members = materialize(each.join(buckets, "b"))
-    stars = materialize(_plausible(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, plausible))
-    first = _verified(stars, docs, reps, width, similarity)
-    label = _labels(first)
-    open_ = members.where("n > 2").join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # First each text against the one hub it shares most bands with: most of a group is then one component.
+    shared = members.where("rep <> hub").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("n"))
+    nearest = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("o"))).alias("m"))
+    once = materialize(nearest.select((-F.col("m.o")).alias("a"), F.col("rep").alias("b")))
+    links = _verified(materialize(_plausible(once, reps, plausible)), docs, reps, width, similarity)
+    label = _labels(links)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+
+    # Then against the hubs of other components.
+    of_hub = placed(members.where("rep = hub")).select("b", F.col("comp").alias("of_hub"))
+    other = placed(members.where("rep <> hub")).join(of_hub, "b").where("comp <> of_hub")
+    again = materialize(other.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(once, ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(materialize(_plausible(again, reps, plausible)), docs, reps, width, similarity))
+    label = _labels(links)
+    open_ = placed(members.where("n > 2"))
     mixed = open_.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
-    rest = materialize(_within(open_.join(mixed, "b", "left_semi"), reps, plausible).join(stars, ["a", "b"], "left_anti"))
-    links = first.unionByName(_verified(rest, docs, reps, width, similarity))
+    rest = _within(open_.join(mixed, "b", "left_semi"), reps, plausible)
+    rest = materialize(rest.join(once.unionByName(again), ["a", "b"], "left_anti"))
+    links = links.unionByName(_verified(rest, docs, reps, width, similarity))
     label = _labels(links)
     named = reps.join(label, "rep", "left").select("key", "doc_id", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")

@@ -23,7 +23,7 @@ from sylva.session import materialize
 CLASSES = 64
 CLUSTERED = 1024
 NEAR_WORDS = 100_000
-FLUSH = 500_000
+FLUSH = 250_000
 PASSES = 12
 SMOOTH, BACK = 0.1, 5.0
 

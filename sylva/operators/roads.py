@@ -97,7 +97,8 @@ def drop_dangles(lines: DataFrame, min_dangle: float, keys: list[str] | None = N
 def drop_short_bridges(lines: DataFrame, min_length: float, passes: int = 5, keys: list[str] | None = None) -> DataFrame:
     """Delete lines shorter than ``min_length`` with both ends in use elsewhere.
 
-    All deletions of a pass happen together; a pass may expose more."""
+    All deletions of a pass happen together; a pass may expose more. ``passes`` is
+    part of the rule: bridges that only a later pass would expose stay."""
     keys = keys or ["fid"]
     current = materialize(lines)
     size = current.count()

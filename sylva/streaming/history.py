@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sylva.functions.text import feature_of
+from sylva.streaming.sampling import ALL_THERE_IS
 
 
 def log_entries(status: DataFrame) -> DataFrame:
@@ -15,8 +16,9 @@ def log_entries(status: DataFrame) -> DataFrame:
         "ts", feature_of(F.col("property")).alias("feature"), "message")
 
 
-def history_stream(status: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def history_stream(status: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """``trigger``: what ``DataStreamWriter.trigger`` takes; none: all that is there, then stop."""
     return (
         log_entries(status).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_THERE_IS)).start()
     )

@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from sylva.functions.bands import pixel_col, pixel_row
 from sylva.sources.writers import sample_layer
 
+ALL_THERE_IS = {"availableNow": True}
+
 
 def sample_pixels(points: DataFrame, pixels: DataFrame, meta: DataFrame) -> DataFrame:
     """Adds ``px_r, px_g, px_b`` of the pixel under each ``raster_id, x, y``; null
@@ -50,10 +52,12 @@ def sample_replies(requests: DataFrame, pixels: DataFrame, meta: DataFrame) -> D
     return seen.withColumn("reply", reply).select(*requests.columns, "reply")
 
 
-def sample_stream(requests: DataFrame, pixels: DataFrame, meta: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def sample_stream(requests: DataFrame, pixels: DataFrame, meta: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Replies as they are asked for. ``trigger``: what ``DataStreamWriter.trigger``
+    takes; none: all that is there, then stop."""
     return (
         sample_replies(requests, pixels, meta).writeStream.format("parquet").outputMode("append")
-        .option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_THERE_IS)).start()
     )
 
 
@@ -64,7 +68,7 @@ def click_samples(clicks: DataFrame, pixels: DataFrame, meta: DataFrame) -> Data
                       (2.0 * F.col("px_g") - F.col("px_r") - F.col("px_b")).alias("exg"), "cls")
 
 
-def collect_samples(clicks: DataFrame, pixels: DataFrame, meta: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def collect_samples(clicks: DataFrame, pixels: DataFrame, meta: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Buffer clicks until the stream stops, then write the sample layer.
 
     A batch is written under its own id, so a repeated batch replaces itself."""
@@ -72,5 +76,5 @@ def collect_samples(clicks: DataFrame, pixels: DataFrame, meta: DataFrame, out:
         sample_layer(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
     return (
         click_samples(clicks, pixels, meta).writeStream.foreachBatch(flush)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or ALL_THERE_IS)).start()
     )

@@ -8,6 +8,7 @@ from sylva.operators import field, regions
 from sylva.operators.numbering import median, number_rows
 from sylva.operators.verdicts import apply_verdicts
 from sylva.sources import readers
+from sylva.streaming.sampling import sample_stream
 
 
 def one(spark, col):
@@ -155,3 +156,29 @@ def test_readers(spark, tmp_path):
 def test_registry_names_match():
     from sylva.workload import ORACLE, QUERIES
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) > 100
+
+
+def test_a_running_sample_stream_answers_later_requests(spark, tmp_path):
+    import time
+
+    pixels = spark.createDataFrame([("A", 0, 0, 1.0, 2.0, 3.0), ("A", 0, 1, 4.0, 5.0, 6.0)], "raster_id string, row int, col int, r double, g double, b double")
+    meta = spark.createDataFrame([("A", 0.0, 1.0, 1.0, 2, 1)], "raster_id string, xmin double, ymax double, px_size double, width int, height int")
+    asked = f"{tmp_path}/asked"
+
+    def ask(*lines):
+        spark.createDataFrame([("A", x) for x in lines], "raster_id string, line string").write.mode("append").parquet(asked)
+
+    ask("0.5,0.5")
+    stream = spark.readStream.schema("raster_id string, line string").parquet(asked)
+    running = sample_stream(stream, pixels, meta, f"{tmp_path}/out", f"{tmp_path}/at", {"processingTime": "200 milliseconds"})
+    try:
+        running.processAllAvailable()
+        ask("1.5,0.5", "oops", "9,9")
+        until = time.time() + 60
+        while time.time() < until and spark.read.schema("reply string").parquet(f"{tmp_path}/out").count() < 4:
+            time.sleep(0.5)
+        assert running.isActive
+    finally:
+        running.stop()
+    got = {(r["line"], r["reply"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("0.5,0.5", "1,2,3"), ("1.5,0.5", "4,5,6"), ("oops", "ERROR"), ("9,9", "NODATA")}

@@ -196,11 +196,12 @@ def _labels(links: DataFrame) -> DataFrame:
     return materialize(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")))
 
 
-def _within(members: DataFrame, reps: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def _within(members: DataFrame, reps: DataFrame, least: float, best_only: bool = False, block: int = BLOCK) -> DataFrame:
     """(a, b) of different components and plausible signatures, within each bucket of (b, rep, comp, n).
 
     A bucket of n texts is dealt into blocks of about ``block``, and each pair of
-    blocks is compared by one task in one matrix product; a task holds two blocks."""
+    blocks is compared by one task; a task holds two blocks. ``best_only``: of each
+    pair of components that meet in a task only the pair of texts that agrees most."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumns({"m": blocks, "own": own}).select(
@@ -217,15 +218,22 @@ def _within(members: DataFrame, reps: DataFrame, least: float, block: int = BLOC
             return []
         sig = np.stack([np.frombuffer(r[6], "<u2") for r in group])
         i, j = group[0][1], group[0][2]
-        out = []
+        out, best = [], {}
         for x in range(len(group)):
             # Each pair of rows is looked at once: within a block by place, else from block i to block j.
             at = np.arange(x + 1, len(group)) if i == j else np.flatnonzero(own == j) if own[x] == i else np.zeros(0, int)
             at = at[comp[at] != comp[x]]
             if len(at):
-                near = at[(sig[at] == sig[x]).mean(1) >= least]
-                out += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in near]
-        return out
+                share = (sig[at] == sig[x]).mean(1)
+                near = share >= least
+                for y, q in zip(at[near], share[near], strict=True):
+                    pair = (min(rep[x], rep[y]), max(rep[x], rep[y]))
+                    if not best_only:
+                        out.append(pair)
+                        continue
+                    of = (min(comp[x], comp[y]), max(comp[x], comp[y]))
+                    best[of] = max(best.get(of, (0.0, pair)), (q, pair))
+        return out + [p for _, p in best.values()]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[tuple] = []
@@ -257,7 +265,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     most bands with, then with hubs that are still in other components, so a large
     group becomes one component without its pairs. Buckets of three or more
     that then still hold several components have all pairs across these compared by
-    signature, in blocks; no bucket is capped. What is plausible is verified on
+    signature, in blocks, first to find the likeliest pair of any two components; no
+    bucket is capped. What is plausible is verified on
     the whole texts. A pair at the threshold meets in no band with probability
     (1 - 0.8**6)**40 < 1e-5."""
     table_ = materialize(_sign(docs, bands, rows, width))
@@ -283,12 +292,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     again = materialize(other.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(once, ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(materialize(_plausible(again, reps, plausible)), docs, reps, width, similarity))
     label = _labels(links)
-    open_ = placed(members.where("n > 2"))
-    mixed = open_.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
-    rest = _within(open_.join(mixed, "b", "left_semi"), reps, plausible)
-    rest = materialize(rest.join(once.unionByName(again), ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(rest, docs, reps, width, similarity))
-    label = _labels(links)
+    tried = once.unionByName(again)
+    # Last within buckets: the likeliest pair of any two components, and then all that is left between components.
+    for best_only in (True, False):
+        open_ = placed(members.where("n > 2"))
+        mixed = open_.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
+        rest = _within(open_.join(mixed, "b", "left_semi"), reps, plausible, best_only)
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(rest)
+        links = links.unionByName(_verified(rest, docs, reps, width, similarity))
+        label = _labels(links)
     named = reps.join(label, "rep", "left").select("key", "doc_id", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
     heads = materialize(named.groupBy("comp").agg(best).select("comp", F.coalesce(F.col("r.doc_id"), -1 - F.col("comp")).alias("class_id"), F.col("r.k1").alias("h1"), F.col("r.k2").alias("h2")))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -31,7 +32,7 @@ from sylva.session import materialize
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 32_768
 MARK = "▁"
-MEMO = 200_000
+MEMO = 100_000
 PENALTY = 10.0  # fixed value: how far below the least score an unknown character is
 
 
@@ -45,7 +46,6 @@ class Lattice:
         self.ids, self.scores, self.kind = ids, scores, kind
         self.most = max(map(len, ids), default=1)
         self.low = min(scores.values(), default=0.0) - PENALTY
-        self.begins = {p[:k]: False for p in ids for k in range(1, len(p))} | dict.fromkeys(ids, True)
         self.letters = {p for p in ids if len(p) == 1}
         self.scan = ahocorasick.Automaton()
         for p in ids:
@@ -53,6 +53,12 @@ class Lattice:
         self.scan.make_automaton()
         self.splits = not any(MARK in p.lstrip(MARK) for p in ids)
         self.fit: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, tuple[list[str], float]] = {}
+
+    @cached_property
+    def begins(self) -> dict[str, bool]:
+        """All beginnings of pieces; true for whole pieces."""
+        return {p[:k]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
 
     def merged(self, text: str) -> list[str]:
         """What the merges leave of a short string: always the best pair, the leftmost of equals."""
@@ -82,7 +88,7 @@ class Lattice:
 
     def walk(self, text: str, first: str = "") -> list[tuple[float, str]]:
         """For each place in ``text`` the best weight of a path that ends there, and its last piece; none: minus infinity."""
-        size, begins, weight, merges = len(text), self.begins, self.weight, self.kind == "bpe"
+        size, weight, merges = len(text), self.weight, self.kind == "bpe"
         fit, none = self.fit, -np.inf
         best, last = [none] * (size + 1), [""] * (size + 1)
         best[0], last[0] = 0.0, first
@@ -95,6 +101,7 @@ class Lattice:
                     if ok or ok is None and weight(last[j], piece) == 0.0:
                         best[e + 1], last[e + 1] = 0.0, piece
             return list(zip(best, last, strict=True))
+        begins = self.begins
         for j in range(size):
             so_far, before = best[j], last[j]
             if so_far == none:
@@ -127,8 +134,13 @@ class Lattice:
 
     def word(self, text: str) -> tuple[list[str], float]:
         """The pieces and weight of a string between two places that nothing crosses."""
-        found = self.walk(text)
-        return self.back(found, len(text)), found[-1][0]
+        got = self.words.get(text)
+        if got is None:
+            found = self.walk(text)
+            if len(self.words) >= MEMO:
+                self.words.clear()
+            got = self.words[text] = (self.back(found, len(text)), found[-1][0])
+        return got
 
     def cuts(self, text: str) -> list[str]:
         """The strings between the places that no piece crosses."""
@@ -233,13 +245,18 @@ class Model:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=name if os.path.exists(name) else public_tokenizers.path(name))
-        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
-        self.lattice = Lattice({sp.id_to_piece(i): i for i in plain}, {sp.id_to_piece(i): sp.get_score(i) for i in plain}, kind)
+        self.kind = kind
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
         self.by_id = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.word_ids: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def lattice(self) -> Lattice:
+        sp = self.sp
+        plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+        return Lattice({sp.id_to_piece(i): i for i in plain}, {sp.id_to_piece(i): sp.get_score(i) for i in plain}, self.kind)
+
     def normal(self, text: str | None) -> str:
         return self.sp.normalize(text) if text else ""
 
@@ -302,7 +319,11 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chu
     at 2 GB, so at 65,536 of them), and entry states go back to the chunks. A null
     or empty text is one chunk without ids."""
     docs = docs.drop("row", "chunk", "ids")
-    size = F.coalesce(F.length("text"), F.lit(0))
+    return encode_whole(docs, vocabulary, kind, chunk).unionByName(encode_giant(docs, vocabulary, kind, chunk))
+
+
+def encode_whole(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``encode`` for texts of one chunk."""
 
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = Model(vocabulary, kind)
@@ -311,10 +332,17 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chu
 
     # Ids of rows are odd for whole texts and even for giant ones, so that they don't clash.
     row = F.monotonically_increasing_id()
-    small = docs.where(size <= chunk).select(
+    return docs.where(_size() <= chunk).select(
         *docs.columns, (row * 2 + 1).alias("row"), F.lit(0).alias("chunk"), F.pandas_udf(whole, "array<int>")(F.col("text")).alias("ids"))
 
-    giant = materialize(docs.where(size > chunk).withColumn("row", row * 2))
+
+def _size():
+    return F.coalesce(F.length("text"), F.lit(0))
+
+
+def encode_giant(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
+    """The rows of ``encode`` for longer texts."""
+    giant = materialize(docs.where(_size() > chunk).withColumn("row", F.monotonically_increasing_id() * 2))
     parts = materialize(_cut(giant.select("row", "text"), vocabulary, chunk).repartition(F.col("row"), F.col("chunk")))
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,7 +366,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chu
     matrices = parts.mapInPandas(transfer, "row long, chunk int, width int, matrix array<double>")
     states = materialize(matrices.groupBy("row").applyInPandas(scan, "row long, chunk int, i int, j int"))
     traced = parts.join(states, ["row", "chunk"]).select("row", "chunk", "left", "body", "right", "i", "j").mapInPandas(trace, ENCODED)
-    return small.unionByName(giant.join(traced, "row").select(*docs.columns, "row", "chunk", "ids"))
+    return giant.join(traced, "row").select(*docs.columns, "row", "chunk", "ids")
 
 
 def _cut(giant: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
@@ -380,18 +408,18 @@ def digest(ids: np.ndarray) -> int:
 def op2_sentencepiece(spark, sf_dir):
     """doc_id, n_tokens, ids_digest, n_chars_decoded and round_trip: whether decoding the ids gives the text, chunk by chunk of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs))
-
-    def summed(ids: pd.Series) -> pd.Series:
-        return pd.Series([digest(x) for x in ids], dtype="int64")
-
-    each = back.select("doc_id", "row", "chunk", F.size("ids").cast("long").alias("n"), F.pandas_udf(summed, "long")("ids").alias("d"), "part", "text")
-    one = each.where("row % 2 = 1").select(
-        "doc_id", F.col("n").alias("n_tokens"), F.col("d").alias("ids_digest"), F.length("part").cast("long").alias("n_chars_decoded"),
-        (F.col("part") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    # A chunk's part lies in the text after the parts before it.
-    many = each.where("row % 2 = 0").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sum("d").alias("ids_digest"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "part"))), lambda x: x["part"]), "").alias("all"), F.first("text").alias("text"))
-    many = many.select("doc_id", "n_tokens", "ids_digest", F.length("all").cast("long").alias("n_chars_decoded"), (F.col("all") == F.col("text")).alias("round_trip"))
-    return one.unionByName(many)
+
+    def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model = Model()
+        for ids, k in batches:
+            yield pd.DataFrame({"n": [len(x) for x in ids], "d": [digest(x) for x in ids], "part": [plain(model.decode(x.tolist()), first == 0) for x, first in zip(ids, k, strict=True)]})
+
+    tell = F.pandas_udf(told, "n long, d long, part string")("ids", "chunk").alias("x")
+    one = encode_whole(docs).select("doc_id", "text", tell).select(
+        "doc_id", F.col("x.n").alias("n_tokens"), F.col("x.d").alias("ids_digest"), F.length("x.part").cast("long").alias("n_chars_decoded"),
+        (F.col("x.part") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    many = encode_giant(docs).select("doc_id", "row", "chunk", "text", tell).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.sum("x.n").alias("n_tokens"), F.sum("x.d").alias("ids_digest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "x.part"))), lambda x: x["part"]), "").alias("all"), F.first("text").alias("text"))
+    return one.unionByName(many.select(
+        "doc_id", "n_tokens", "ids_digest", F.length("all").cast("long").alias("n_chars_decoded"), (F.col("all") == F.col("text")).alias("round_trip")))

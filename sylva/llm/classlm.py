@@ -1,9 +1,12 @@
 """Language model scoring with Brown word classes.
 
-Exchange clustering assigns the frequent words to classes so that the class bigram
-likelihood of the corpus grows with each move. All other words are one class, and
-so is the end of a text. A token's probability is that of its class after the class
-before it, times that of the word in its class. Counts cover every training text.
+Exchange clustering assigns the commonest words to classes so that the class bigram
+likelihood of the corpus grows with each move. Then, in rounds, every other word
+takes the class in which its own neighbours are likeliest; a job over all texts
+brings each word's neighbouring classes together, at most two sides of all classes.
+The end of a text and the words never met have classes of their own. A token's
+probability is that of its class after the class before it, times that of the word
+in its class. Counts cover every training text and every word.
 """
 
 from __future__ import annotations
@@ -18,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import box, query, remainder, table, unbox
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 CLASSES = 64
 CLUSTERED = 1024
 NEAR_WORDS = 100_000
 FLUSH = 250_000
 PASSES = 12
+ROUNDS = 2
 SMOOTH, BACK = 0.1, 5.0
 
 
@@ -50,22 +54,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words above the lowest count that at most ``most`` words reach, commonest first.
+    """The ``most`` commonest words, commonest first; ties in a fixed order of the words.
 
-    Counts are first put in a histogram of logarithmic steps, so that no task or
-    driver gathers more than ``most`` words."""
-    step = F.floor(F.log2("n") * 64)
+    Counts are first put in a histogram of logarithmic steps, and the words of the
+    step that passes ``most`` in one by count and hash, so that no task or driver
+    gathers many more than ``most`` words."""
+    step, part = F.floor(F.log2("n") * 64), F.pmod(F.xxhash64("w"), F.lit(4096))
     bins = sorted(counts.groupBy(step.alias("b")).count().collect(), key=lambda r: -r["b"])
-    total, floor = 0, None
+    total, wanted = 0, F.lit(False)
     for r in bins:
-        total += r["count"]
-        if total > most:
+        if total + r["count"] > most:
+            for x in sorted(counts.where(step == r["b"]).groupBy("n", part.alias("p")).count().collect(), key=lambda x: (-x["n"], x["p"])):
+                last, total = (x["n"], x["p"]), total + x["count"]
+                if total >= most:
+                    break
+            wanted = (step > r["b"]) | ((step == r["b"]) & ((F.col("n") > last[0]) | ((F.col("n") == last[0]) & (part <= last[1]))))
             break
-        floor = r["b"]
-    if floor is None:
-        return []
-    rows = counts.where(step >= floor).collect()
-    return sorted(((bytes(r["w"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        total += r["count"]
+        wanted = step >= r["b"]
+    rows = sorted(((bytes(r["w"]), r["n"], r["p"]) for r in counts.where(wanted).select("w", "n", part.alias("p")).collect()), key=lambda x: (-x[1], x[2], x[0]))
+    return sorted(((w, n) for w, n, _ in rows[:most]), key=lambda x: (-x[1], x[0]))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -120,7 +128,7 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, passes: int = PASSES) ->
 
 @dataclass
 class Model:
-    """``near``: frequent words and their counts; ``cls``: the classes of the first of these."""
+    """``near``: frequent words and their counts; ``cls``: their classes, that of unknown words and that of the end."""
 
     near: list[tuple[bytes, int]]
     cls: np.ndarray
@@ -129,15 +137,109 @@ class Model:
     total: int
     distinct: int
     ends: int
-    counts: DataFrame | None = None
+    counts: DataFrame | None = None  # (w, n, k): count and class of all words but the commonest
+
+
+def neighbours(docs: DataFrame, words: list[bytes], cls: np.ndarray, kinds: int, first: int, apart: bool) -> DataFrame:
+    """(w, v, c, n): counts of pairs of neighbours in all texts.
+
+    ``cls`` has the classes of ``words`` and, last, of all others (far words). Rows
+    of a word from number ``first`` on have the class c of a neighbour before it, or
+    ``kinds`` + c after it. With ``apart``, pairs of two far words have both words w
+    and v instead, and rows without w the pairs c * ``kinds`` + d of other words'
+    classes; without, no such rows are made. A task sums over as many tokens as it holds."""
+    far, end = len(words), kinds - 1
+
+    def sums(texts: list[np.ndarray], met: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+        x = np.concatenate([np.full(1, -1), *texts])
+        k = np.where(x < 0, end, cls[np.minimum(x, far)])
+        p, q, a, b = x[:-1], x[1:], k[:-1], k[1:]
+        left, right = q >= first, p >= first
+        both = (p >= far) & (q >= far) & apart
+        key = np.concatenate((q[left & ~both] * 2 * kinds + a[left & ~both], p[right & ~both] * 2 * kinds + kinds + b[right & ~both]))
+        key, n = np.unique(key, return_counts=True)
+        name = np.array([*words, *met, None], object)[:-1]
+        out = [(name[key // (2 * kinds)], np.full(len(key), None), key % (2 * kinds), n)]
+        if apart:
+            key, n = np.unique((a * kinds + b)[~left & ~right], return_counts=True)
+            out.append((np.full(len(key), None), np.full(len(key), None), key, n))
+            key, n = np.unique(p[both] * len(name) + q[both], return_counts=True)
+            out.append((name[key // len(name)], name[key % len(name)], np.zeros(len(key), int), n))
+        for w, v, c, n in out:
+            for i in range(0, len(n), 50_000):
+                yield pd.DataFrame({"w": w[i : i + 50_000], "v": v[i : i + 50_000], "c": c[i : i + 50_000], "n": n[i : i + 50_000]})
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {w: i for i, w in enumerate(words)}
+        met: dict[bytes, int] = {}
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for text in batch["text"]:
+                t = tokens(text)
+                x = np.array([*[number.get(w, far) for w in t], -1], int)
+                for i in np.flatnonzero(x == far):
+                    x[i] = far + met.setdefault(t[i], len(met))
+                held.append(x)
+                size += len(x)
+                if size >= 4 * FLUSH:
+                    yield from sums(held, met)
+                    held, met, size = [], {}, 0
+        if held:
+            yield from sums(held, met)
+
+    return docs.select("text").mapInPandas(count, "w binary, v binary, c int, n long")
+
+
+def assign(found: DataFrame, step: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(w, n, k): the words of ``found``, their counts and the classes in which their neighbours are likeliest, ties to the lower class."""
+    kinds = len(step)
+    classes = kinds - 2
+    cost = np.log10(size[:classes] + SMOOTH)
+    into, out = step[:, :classes], step[:classes].T
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code = np.concatenate([np.zeros(0, int), *batch["x"]]).astype(int)
+            row = np.repeat(np.arange(len(batch)), [len(x) for x in batch["x"]])
+            seen = np.bincount(row * 2 * kinds + (code >> 48), code & ((1 << 48) - 1), len(batch) * 2 * kinds).reshape(-1, 2 * kinds)
+            n = seen[:, :kinds].sum(1)
+            k = (seen[:, :kinds] @ into + seen[:, kinds:] @ out - n[:, None] * cost).argmax(1)
+            yield pd.DataFrame({"w": batch["w"], "n": n.astype(int), "k": k})
+
+    # At most 2 * kinds numbers a word.
+    each = spread(found, "w").groupBy("w", "c").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.col("c") * F.lit(1 << 48) + F.col("n")).alias("x"))
+    return materialize(each.mapInPandas(best, "w binary, n long, k int"))
+
+
+def transitions(found: DataFrame, far: DataFrame, kinds: int) -> np.ndarray:
+    """Counts of class after class from what ``neighbours`` finds ``apart`` and the classes of the far words."""
+    found = materialize(found)
+    k, after = far.select("w", "k"), far.select(F.col("w").alias("v"), F.col("k").alias("l"))
+    side = found.where("w is not null and v is null").groupBy("w", "c").agg(F.sum("n").alias("n")).join(k, "w")
+    two = found.where("v is not null").groupBy("w", "v").agg(F.sum("n").alias("n")).join(k, "w").join(after, "v")
+    pair = F.when(F.col("c") < kinds, F.col("c") * kinds + F.col("k")).otherwise(F.col("k") * kinds + F.col("c") - kinds)
+    rows = found.where("w is null").select("c", "n").unionAll(side.select(pair.alias("c"), "n")).unionAll(two.select((F.col("k") * kinds + F.col("l")).alias("c"), "n"))
+    got = rows.groupBy("c").agg(F.sum("n").alias("n")).toPandas()
+    m = np.zeros(kinds * kinds)
+    m[got["c"].to_numpy(int)] = got["n"].to_numpy(float)
+    return m.reshape(kinds, kinds)
+
+
+def _steps(m: np.ndarray) -> np.ndarray:
+    """P(class | class before), drawn to that of the class alone."""
+    size = m.sum(0)
+    single = (size + SMOOTH) / (size.sum() + SMOOTH * len(size))
+    return (m + BACK * single) / (m.sum(1, keepdims=True) + BACK)
 
 
 def learn(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, near_words: int = NEAR_WORDS) -> Model:
     """A model of all texts of ``docs``; a null text is empty.
 
     ``clustered`` words have classes found by exchange, which bounds the bigram
-    table. The ``near_words`` commonest words travel with the tasks; counts of all
-    words stay a table."""
+    table of words; all others are assigned in ``ROUNDS`` rounds. The ``near_words``
+    commonest words travel with the tasks; counts and classes of all words stay a
+    table. While words are assigned, neighbours that don't travel count as one class."""
     counts = materialize(word_counts(docs))
     said = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = docs.count()
@@ -169,13 +271,26 @@ def learn(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, n
     cls = exchange(pairs.reshape(width, width), classes)
     one = np.eye(classes + 2)[cls]
     m = one.T @ pairs.reshape(width, width) @ one
-    size = m.sum(0)
-    single = (size + SMOOTH) / (size.sum() + SMOOTH * len(size))
-    step = np.log10((m + BACK * single) / (m.sum(1, keepdims=True) + BACK))
-    return Model(near, cls, step, size, int(said["n"]) + ends, int(said["v"]) + (ends > 0), ends, counts)
-
-
-_SCORED = "n_tokens long, n_known long, base_score double, score double, far array<struct<w: binary, n: long>>"
+    kinds, words = classes + 2, [w for w, _ in near]
+    own = np.full(len(near) + 1, classes)
+    own[:rest] = cls[:rest]
+    tail = docs.sparkSession.createDataFrame(pd.DataFrame({"w": words[rest:], "i": np.arange(rest, len(near))}), "w binary, i int")
+    for _ in range(ROUNDS):
+        far = assign(neighbours(docs, words, own, kinds, rest, False), np.log10(_steps(m)), m.sum(0))
+        own = own.copy()
+        for r in far.join(F.broadcast(tail), "w").select("i", "k").collect():
+            own[r["i"]] = r["k"]
+        m = transitions(neighbours(docs, words, own, kinds, len(near), True), far, kinds)
+    total, distinct = int(said["n"]) + ends, int(said["v"]) + (ends > 0)
+    # A word never met is as likely as in the base model, whatever comes before it.
+    step, new = _steps(m), SMOOTH / (total + SMOOTH * (distinct + 2))
+    step[:, classes] = 0
+    step *= (1 - new) / step.sum(1, keepdims=True)
+    step[:, classes] = new
+    return Model(near, np.append(own[:-1], [classes, classes + 1]), np.log10(step), m.sum(0), total, distinct, ends, far)
+
+
+_SCORED = "n_tokens long, n_known long, base_score double, score double, far array<struct<w: binary, a: int, b: int, n: long>>, pairs array<struct<w: binary, v: binary, n: long>>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -185,19 +300,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     the tasks are looked up by a join on the word, in which no word is common; every
     row is kept, repeated ones too."""
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    near, clustered = model.near, len(model.cls) - 2
-    kinds = len(model.step)
+    near, kinds = model.near, len(model.step)
     rest, end = kinds - 2, kinds - 1
     n_end, step = model.ends, model.step
     base_low = model.total + SMOOTH * (model.distinct + 1)
-    rest_low = float(model.size[rest]) + SMOOTH * (model.distinct - clustered - (model.ends > 0) + 1)
     c = np.array([n for _, n in near], float)
-    cls = np.full(len(near) + 1, rest)
-    cls[:clustered] = model.cls[:clustered]
-    base = np.log10(np.append(c, 1) + SMOOTH) - np.log10(base_low)
-    emit = np.log10(np.append(c, 1) + SMOOTH) - np.log10(rest_low)
-    emit[:clustered] = np.log10(np.append(c, 1)[:clustered]) - np.log10(model.size[model.cls[:clustered]])
-    base[-1] = emit[-1] = 0.0  # words beyond the near ones: added after the join
+    cls = np.append(model.cls[:-2], rest)
+    size = np.log10(np.maximum(model.size, 1))
+    base = np.append(np.log10(c + SMOOTH) - np.log10(base_low), 0.0)  # words beyond the near ones: added after the join
+    emit = np.append(np.log10(c) - size[model.cls[:-2]], 0.0)
     base_end = float(np.log10(n_end + SMOOTH) - np.log10(base_low))
     words = [w for w, _ in near]
 
@@ -209,26 +320,49 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for text in texts:
                 t = tokens(text)
                 x = np.array([number.get(w, far_no) for w in t], int)
-                far = Counter(t[i] for i in np.flatnonzero(x == far_no))
-                k = np.concatenate(([end], cls[x], [end])) if len(x) else np.array([end, end])
-                total = step[k[:-1], k[1:]].sum() + emit[x].sum()
-                rows.append((len(t) + 1, len(t) - sum(far.values()) + (n_end > 0), base[x].sum() + base_end, total, [{"w": w, "n": n} for w, n in far.items()]))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "far"])
+                k = np.concatenate(([end], cls[x], [end]))
+                away = np.concatenate(([False], x == far_no, [False]))
+                k[away] = -1  # not known before the join
+                at = np.flatnonzero(away)
+                far = Counter((t[i - 1], int(k[i - 1]), int(k[i + 1])) for i in at)
+                pairs = Counter((t[i - 1], t[i]) for i in at if away[i + 1])
+                plain = ~(away[:-1] | away[1:])
+                total = step[k[:-1][plain], k[1:][plain]].sum() + emit[x].sum()
+                rows.append((len(t) + 1, len(t) - len(at) + (n_end > 0), base[x].sum() + base_end, total,
+                             [{"w": w, "a": a, "b": b, "n": n} for (w, a, b), n in far.items()], [{"w": w, "v": v, "n": n} for (w, v), n in pairs.items()]))
+            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "far", "pairs"])
+
+    @F.pandas_udf("double")
+    def one_word(c: pd.Series, k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        k, a, b = k.to_numpy(int), a.to_numpy(int), b.to_numpy(int)
+        own = np.where(k == rest, 0.0, np.log10(np.maximum(c.to_numpy(float), 1)) - size[k])
+        return pd.Series(own + np.where(a < 0, 0.0, step[a, k]) + np.where(b < 0, 0.0, step[k, b]))
+
+    @F.pandas_udf("double")
+    def two_words(k: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series(step[k.to_numpy(int), after.to_numpy(int)])
 
     row = F.monotonically_increasing_id()
     part = materialize(docs.select(box(docs, "text"), row.alias("_row"), F.pandas_udf(of, _SCORED)("text").alias("_x")))
-    far = part.select("_row", F.explode("_x.far").alias("f")).select("_row", "f.w", "f.n")
-    # Only words that are not near meet the table of counts.
-    met = far.join(model.counts.withColumnRenamed("n", "c"), "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    more = met.groupBy("_row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("logs"), F.sum("n").alias("n"))
-    out = part.join(more, "_row", "left")
+    known, unknown = model.counts.select("w", F.col("n").alias("c"), "k"), F.lit(rest)
+    # Only words that are not near meet the table of counts and classes.
+    far = part.select("_row", F.explode("_x.far").alias("f")).select("_row", "f.*").join(known, "w", "left")
+    far = far.select("_row", "n", "a", "b", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", unknown).alias("k"))
+    far = far.select(
+        "_row", "n", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("logs"),
+        (F.col("n") * one_word("c", "k", "a", "b")).alias("more"))
+    pairs = part.select("_row", F.explode("_x.pairs").alias("f")).select("_row", "f.*").join(known.select("w", "k"), "w", "left")
+    pairs = pairs.join(known.select(F.col("w").alias("v"), F.col("k").alias("l")), "v", "left")
+    zero = F.lit(0).cast("long")
+    pairs = pairs.select("_row", zero, zero, F.lit(0.0), (F.col("n") * two_words(F.coalesce("k", unknown), F.coalesce("l", unknown))).alias("more"))
+    sums = far.unionAll(pairs).groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("n", "known", "logs", "more")])
+    out = part.join(sums, "_row", "left")
     n, logs = F.coalesce("n", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return out.select(
         *unbox(docs, "text"), F.col("_x.n_tokens").alias("n_tokens"), (F.col("_x.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("_x.base_score") + logs - n * float(np.log10(base_low))).alias("base_score"),
-        (F.col("_x.score") + logs - n * float(np.log10(rest_low))).alias("score"))
+        (F.col("_x.score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
 @query("op6_class_lm")

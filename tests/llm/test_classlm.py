@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sylva.llm.classlm import exchange, learn, score, tokens
+from sylva.llm.classlm import exchange, frequent, learn, score, tokens
 from tests.llm.fixtures import awkward, prose
 
 
@@ -80,3 +81,36 @@ def test_nothing_to_learn_from(spark):
     got = score(rows, model).collect()
     assert len(got) == rows.count() and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
     assert score(rows.where("false"), model).count() == 0
+
+
+@pytest.mark.parametrize("near", [12, 30, 100_000])
+def test_rare_words_have_classes_too(spark, near):
+    """Texts of two kinds of words in turn; only four words of each kind are clustered."""
+    r = np.random.default_rng(3)
+    word = lambda kind: f"{kind}{int(r.integers(4) if r.random() < 0.6 else r.integers(4, 40))}"
+    texts = [" ".join(word("ab"[i % 2]) for i in range(20)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = learn(docs, classes=2, clustered=8, near_words=near)
+    kind = dict(zip((w for w, _ in model.near), model.cls, strict=False)) | {bytes(x["w"]): x["k"] for x in model.counts.collect()}
+    n = Counter(w for t in texts for w in tokens(t))
+    assert kind.keys() == n.keys()
+    assert {w[:1]: k for w, k in kind.items()}.keys() == {b"a", b"b"} and len({(w[:1], k) for w, k in kind.items()}) == 2
+    size, end = Counter(), 3
+    m = np.zeros((4, 4))
+    for t in texts:
+        k = [end, *[kind[w] for w in tokens(t)], end]
+        np.add.at(m, (k[:-1], k[1:]), 1)
+    for w, k in kind.items():
+        size[k] += n[w]
+    assert model.size.tolist() == m.sum(0).tolist()
+    for x in score(spark.createDataFrame([(t,) for t in [*texts[:5], "a39 b38 b37 zz a36", "zz yy"]], "text string").withColumn("t", F.col("text")), model).collect():
+        k = [end, *[kind.get(w, 2) for w in tokens(x["t"])], end]
+        want = model.step[k[:-1], k[1:]].sum() + sum(math.log10(n[w] / size[kind[w]]) for w in tokens(x["t"]) if w in kind)
+        assert x["score"] == pytest.approx(want)
+
+
+def test_frequent_cuts_ties(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 5 + (i == 7)) for i in range(100)], "w binary, n long")
+    for most in (0, 1, 30, 99, 100, 200):
+        got = frequent(counts, most)
+        assert len(got) == min(most, 100) and got[:1] == [(b"w7", 6)][:most] and got == frequent(counts.repartition(3), most)

@@ -19,6 +19,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -42,8 +43,9 @@ _PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long, loc
 def byte_tokenizer(name: str = VOCABULARY):
     """The byte-level vocabulary of a tokenizers JSON file in tiktoken's merge engine, which gives the same ids several times faster.
 
-    ``name``: a path, or the name of an installed public vocabulary. Strings of
-    special tokens in a text are ordinary text."""
+    ``name``: a path, or the name of an installed public vocabulary. ``encode`` with
+    ``allowed_special="all"`` finds added tokens in a text, as tokenizers does by
+    default; for ``encode_ordinary`` they are ordinary text."""
     import os
 
     import public_tokenizers
@@ -54,9 +56,11 @@ def byte_tokenizer(name: str = VOCABULARY):
         said = json.load(f)
     hidden = [b for b in range(256) if b not in _SHOWN]
     byte = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    special = {t["content"] for t in said["added_tokens"]}
+    special = {t["content"]: t["id"] for t in said["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]) or any(a != b and b.startswith(a) for a in special for b in special):
+        raise ValueError(f"{path}: added tokens that take in spaces, hold for single words or begin another are not supported")
     ranks = {bytes(byte[c] for c in token): i for token, i in said["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
@@ -68,7 +72,7 @@ def pieces(docs: DataFrame, tokens: int = TOKENS, vocabulary: str = VOCABULARY,
     schema = _PIECE + ", ids array<int>" * with_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = byte_tokenizer(vocabulary).encode_ordinary
+        encode = partial(byte_tokenizer(vocabulary).encode, allowed_special="all")
         seen = np.zeros(tokens + 1, np.int64)
         for batch in batches:
             rows = []

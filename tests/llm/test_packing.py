@@ -82,3 +82,11 @@ def test_pieces_of_awkward_rows(spark):
     for _, q in got.groupby("sequence_id"):
         q = q.sort_values("offset")
         assert q.offset.tolist() == [0, *q.length.cumsum()[:-1]] and q.length.sum() <= 1024
+
+
+def test_added_tokens_in_texts_are_found(spark):
+    """Against the tokenizer with its default settings."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "  <|endoftext|>\n\n 's", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|> <|endoftext", "plain"]
+    rows = pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {str(i): [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}

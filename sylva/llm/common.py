@@ -42,6 +42,22 @@ def unbox(docs: DataFrame, *leave_out: str) -> list[Column]:
     return [F.col("doc")[c].alias(c) for c in docs.columns if c not in leave_out]
 
 
+LARGEST = 1 << 27
+
+
+def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
+    """(vec_id, v array<int>): ``embedding`` with each component x as floor(scale * x), x as double.
+
+    Vectors that are null or hold a null or non-finite component are left out. A
+    component beyond 2**27 in size is an error: sums of squares could leave the longs."""
+    x = F.col("embedding").cast("array<double>")
+    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    fit = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))))
+    whole = F.transform("x", lambda c: F.when(
+        F.abs(c * scale) < LARGEST, F.floor(c * scale).cast("int")).otherwise(F.raise_error(F.lit("a component is too large")).cast("int")))
+    return own.where(fit).select("vec_id", whole.alias("v"))
+
+
 U = np.uint64
 _P, _Q = 0x9E6D62D06F6A9A9B, 0xC2B2AE3D27D4EB4F  # odd multipliers
 _WORD = np.zeros(256, bool)

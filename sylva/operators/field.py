@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.geometry import pin, ring_area, ring_perimeter, signed_area, thinness
 from sylva.operators.numbering import median
+from sylva.operators.raster import in_metres
 from sylva.session import materialize
 
 # Biomass and sliver factors, accessibility bands.
@@ -111,7 +112,7 @@ def require_pairs(pairs: DataFrame) -> DataFrame:
 def ring_measures(rings: DataFrame) -> DataFrame:
     """Area, length and thinness per ring; rings without length are skipped."""
     return (
-        pin(rings, area=ring_area(F.col("pts")), length=ring_perimeter(F.col("pts")))
+        pin(rings.drop("area", "length", "thinness"), area=ring_area(F.col("pts")), length=ring_perimeter(F.col("pts")))
         .filter("length > 0").withColumn("thinness", thinness(F.col("area"), F.col("length")))
     )
 
@@ -161,7 +162,8 @@ def area_ha(regions: DataFrame) -> DataFrame:
 
 
 def scan_area_ha(meta: DataFrame) -> DataFrame:
-    return meta.select("raster_id", (F.col("width") * F.col("height") * F.col("px_size") * F.col("px_size") / 10000.0).alias("area_ha"))
+    """Area of each raster; cells in degrees count in metres."""
+    return in_metres(meta).select("raster_id", (F.col("width") * F.col("height") * F.col("px_m") * F.col("px_m") / 10000.0).alias("area_ha"))
 
 
 def sample_counts(samples: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.operators.spatial import cell_of, explode_around, nearest_in_cells
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -57,133 +60,227 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return labels.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def cycle_order(links: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, node, ring, ahead`` for links (``keys, node, next``) that form closed rings.
+
+    ``ring`` is the smallest node of the ring and ``ahead`` the number of steps from
+    the node on to it. Pointer doubling: each round every node knows the smallest of
+    twice as many nodes ahead, so a ring of n nodes takes log2(n) + 1 rounds, each a
+    join on unique keys. A round without a change ends it: were some ring not known
+    as a whole, two neighbouring stretches of it would hold different smallest nodes."""
+    at = keys + ["jump"]
+    state = materialize(links.select(*keys, "node", F.col("next").alias("jump"), F.col("node").alias("ring"), F.lit(0).cast("long").alias("ahead")))
+    width = 1
+    while True:
+        far = state.select(*keys, F.col("node").alias("jump"), F.col("jump").alias("_j"), F.col("ring").alias("_r"), F.col("ahead").alias("_a"))
+        nearer = F.col("_r") < F.col("ring")
+        moved = materialize(state.join(far, at).select(
+            *keys, "node", F.col("_j").alias("jump"), F.least("ring", "_r").alias("ring"),
+            F.when(nearer, F.col("_a") + width).otherwise(F.col("ahead")).alias("ahead"), nearer.alias("moved")))
+        if moved.filter("moved").isEmpty():
+            return state.select(*keys, "node", "ring", "ahead")
+        state, width = moved, 2 * width
+
+
+# ---- cells by radius ----------------------------------------------------------
+
+#: Cells of a level have a diagonal just below the level's least radius.
+UNIT = 2.0**-0.5 * (1 - 1e-9)
+#: A radius of a level reaches this many cells.
+REACH = 3
+#: Cells along a tile, and around it, that are settled together.
+TILE_CELLS = 64
+RIM_CELLS = 8
+#: Points of a cell looked at in one round; more of them wait, none are dropped.
+DEEP = 8
+
+
+def level_of(r: Column) -> Column:
+    """The power of two at or below a radius."""
+    return F.floor(F.log2(r)).cast("int")
+
+
+def _scaled(v: Column, level: Column) -> Column:
+    """A length in units of the level; scaling by a power of two is exact."""
+    return v * F.pow(F.lit(2.0), -level)
+
+
+def _cell(v: str, level: Column) -> Column:
+    return F.floor(_scaled(F.col(v), level) / F.lit(UNIT))
+
+
+def _gap(ox: str, oy: str) -> Column:
+    dx, dy = F.col("x") - F.col(ox), F.col("y") - F.col(oy)
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _settle(tile: int, rim: int, keys: list[str], level: int):
+    """The sequential pass over one tile and its rim: who is certainly kept, who certainly goes.
+
+    Only the first points of each cell are there; a cell's last row stands for the
+    points after it, wherever in the cell they are. Whoever might be reached by a
+    point that isn't decided isn't decided either."""
+    side = UNIT * 2.0**level
+
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i0, j0 = key[-2] * tile, key[-1] * tile
+        pdf = pdf.sort_values(["s", "fid"], na_position="first")
+        here: dict[tuple[int, int], list] = {}
+        out, steps = [], range(-REACH, REACH + 1)
+        columns = (pdf[c].tolist() for c in ("fid", "x", "y", "r", "i", "j", "last"))
+        for fid, x, y, r, i, j, last in zip(*columns, strict=True):
+            if last:
+                here.setdefault((i, j), []).append((None, None, r, False))
+                continue
+            gone = open_ = False
+            for a in steps:
+                for b in steps:
+                    for ox, oy, reach, kept in here.get((i + a, j + b), ()):
+                        if ox is None:
+                            dx = max((i + a) * side - x, 0.0, x - (i + a + 1) * side)
+                            dy = max((j + b) * side - y, 0.0, y - (j + b + 1) * side)
+                            open_ |= math.sqrt(dx * dx + dy * dy) <= reach * (1 + 1e-6)
+                        elif math.sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) <= reach:
+                            gone |= kept
+                            open_ |= not kept
+            seen = min(i - i0, j - j0) >= REACH - rim and max(i - i0, j - j0) < tile + rim - REACH
+            own = 0 <= i - i0 < tile and 0 <= j - j0 < tile
+            kept = not gone and not open_ and seen
+            if not gone:
+                here.setdefault((i, j), []).append((x, y, r, kept))
+            if own and (gone or kept):
+                out.append((fid, kept))
+        return pd.DataFrame(out, columns=["fid", "kept"])
+
+    return kernel
+
+
 def nms(
     points: DataFrame, radius: float | None = None,
-    keys: list[str] | None = None,
+    keys: list[str] | None = None, tile: int = TILE_CELLS,
 ) -> DataFrame:
     """Greedy suppression: a point goes if an earlier kept point has it within
     that kept point's radius (its own ``sigma``, or ``radius`` for all).
 
-    The order is sigma descending, then fid. Cells have a diagonal of one
-    radius, so of the points of one radius in one cell only the first can be
-    kept: each round looks at these heads only, and every join meets a bounded
-    number of heads per cell. A head is kept once no undecided earlier point can
-    reach it. Rank is a total order, so the answer is the sequential one.
+    The order is sigma descending, then fid. Radii fall into levels, powers of two,
+    and levels are settled from the largest: a point meets the kept points of the
+    levels above its own, then its level's points are settled in tiles in the
+    sequential order. A cell of a level has a diagonal below its radii, so it holds
+    one kept point at most and joins meet a bounded number of them. What a tile can't
+    know of its rim waits for the next round; a round settles all but such points, and
+    always the first one left. Of points at one place only the first can be kept.
+    Points without a place or a radius meet nobody and stay.
     """
     keys = keys or []
     sigma = F.col("sigma").cast("double")
-    slim = materialize(points.select(
-        "fid", "x", "y", *keys,
-        (sigma if radius is None else F.lit(float(radius))).alias("_r"),
-        F.struct((-sigma).alias("s"), "fid").alias("_rank"),
-    ))
-    classes = [row["_r"] for row in slim.select("_r").distinct().orderBy(F.desc("_r")).collect()]
-    # One row per point and radius class: the cell that a point has in the grid of that class.
-    table = F.array(*[F.lit(float(c)) for c in classes])
-    undecided = slim
+    r = sigma if radius is None else F.lit(float(radius))
+    rank = F.struct((-sigma).alias("s"), "fid")
+    slim = points.select("fid", F.col("x").cast("double"), F.col("y").cast("double"), *keys, r.alias("r"), rank.alias("rank"))
+    placed = slim.filter("r >= 0 AND NOT isnan(r) AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    first = placed.groupBy(*keys, "x", "y").agg(F.min(F.struct("rank", "r", "fid")).alias("_f")).select(*keys, "x", "y", "_f.rank", "_f.r", "_f.fid")
+    # A radius of 0 reaches only its own place, where one point is left.
+    todo = materialize(first.withColumn("level", F.when(F.col("r") > 0, level_of(F.col("r")))))
+    # At most one row for each exponent of a double.
+    levels = sorted((v[0] for v in todo.select("level").distinct().collect()), key=lambda v: (v is None, -(v or 0)))
     kept: DataFrame | None = None
-    at = keys + ["_c", "i", "j"]
-
-    def gridded(df: DataFrame, own_only: bool) -> DataFrame:
-        classed = df.withColumn("_c", F.col("_r")) if own_only else df.withColumn("_c", F.explode(table))
-        side = F.col("_c") / F.lit(2.0**0.5) * F.lit(1 - 1e-9)
-        return classed.withColumn("i", F.floor(F.col("x") / side)).withColumn("j", F.floor(F.col("y") / side))
+    for at, level in enumerate(levels):
+        own = todo.filter(F.col("level").isNull() if level is None else F.col("level") == level).drop("level")
+        if kept is not None:
+            own = materialize(_beyond_reach(own, kept, levels[:at], keys))
+        if level is None:
+            kept = own.withColumn("level", F.lit(None).cast("int")) if kept is None else kept.unionByName(own.withColumn("level", F.lit(None).cast("int")))
+            continue
+        lv = F.lit(level)
+        while True:
+            celled = own.withColumn("i", _cell("x", lv)).withColumn("j", _cell("y", lv))
+            number = F.row_number().over(Window.partitionBy(*keys, "i", "j").orderBy("rank"))
+            heads = celled.withColumn("_n", number).filter(F.col("_n") <= DEEP + 1)
+            around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - RIM_CELLS) / tile), F.floor((F.col(c) + RIM_CELLS) / tile)))
+            dealt = heads.select(*keys, "fid", "x", "y", "r", "i", "j", F.col("rank.s").alias("s"), (F.col("_n") > DEEP).alias("last"))
+            dealt = dealt.withColumn("_ti", around("i")).withColumn("_tj", around("j"))
+            fid = points.schema["fid"].dataType.simpleString()
+            told = materialize(spread(dealt, *keys, "_ti", "_tj").groupBy(*keys, "_ti", "_tj").applyInPandas(
+                _settle(tile, RIM_CELLS, keys, level), f"fid {fid}, kept boolean"))
+            new = materialize(own.join(told.filter("kept"), "fid", "left_semi").withColumn("level", lv))
+            kept = new if kept is None else kept.unionByName(new)
+            own = materialize(own.join(told, "fid", "left_anti"))
+            if own.isEmpty():
+                break
+            own = materialize(_beyond_reach(own, new, [level], keys))
+    if kept is None:
+        gone = placed.filter("false").select("fid")
+    else:
+        gone = placed.select("fid").join(kept.select("fid"), "fid", "left_anti")
+    # What has a place but a negative radius reaches nobody, yet can be reached.
+    meek = slim.filter("r < 0 AND x IS NOT NULL AND y IS NOT NULL").drop("level")
+    reached = None
+    if kept is not None:
+        free = _beyond_reach(meek, kept, levels, keys).join(kept.filter("level is null").select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
+        reached = meek.join(free, "fid", "left_anti").select("fid")
+    out = points.join(gone, "fid", "left_anti")
+    return out if reached is None else out.join(reached, "fid", "left_anti")
 
-    def reach() -> F.Column:
-        dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        return F.sqrt(dx * dx + dy * dy) <= F.col("_c")
 
-    if not classes:
+def _beyond_reach(points: DataFrame, kept: DataFrame, levels: list[int | None], keys: list[str]) -> DataFrame:
+    """Points that no kept point of these levels reaches. A point asks for one cell on each level."""
+    real = [v for v in levels if v is not None]
+    if not real:
         return points
-    while True:
-        # The first undecided point in rank is a head that nothing blocks, so each round settles some.
-        own = gridded(undecided, own_only=True)
-        heads = own.groupBy(*at).agg(F.min(F.struct("_rank", "fid", "x", "y")).alias("h")).select(
-            *keys, F.col("_c").alias("hc"), F.col("h._rank").alias("hrank"), F.col("h.fid").alias("hid"),
-            F.col("h.x").alias("ox"), F.col("h.y").alias("oy"))
-        # Who could still suppress a head: any earlier undecided point, in the grid of that point's class.
-        asked = heads.withColumn("_c", F.explode(table))
-        side = F.col("_c") / F.lit(2.0**0.5) * F.lit(1 - 1e-9)
-        asked = explode_around(
-            asked.withColumn("i", F.floor(F.col("ox") / side)).withColumn("j", F.floor(F.col("oy") / side)), 2)
-        blocked = (
-            asked.join(own.select(*at, "x", "y", "_rank"), at)
-            .filter((F.col("_rank") < F.col("hrank")) & reach())
-            .select("hid").distinct()
-        )
-        new_kept = materialize(heads.join(blocked, "hid", "left_anti").select("hid", "ox", "oy", "hc", "hrank", *keys))
-        kept = new_kept.select("hid") if kept is None else kept.unionByName(new_kept.select("hid"))
-        side_h = F.col("hc") / F.lit(2.0**0.5) * F.lit(1 - 1e-9)
-        strong = explode_around(
-            new_kept.withColumn("_c", F.col("hc"))
-            .withColumn("i", F.floor(F.col("ox") / side_h)).withColumn("j", F.floor(F.col("oy") / side_h)), 2)
-        gone = (
-            gridded(undecided, own_only=False).join(strong, at)
-            .filter((F.col("hrank") <= F.col("_rank")) & reach())
-            .select("fid").distinct()
-        )
-        undecided = materialize(undecided.join(gone, "fid", "left_anti"))
-        if undecided.isEmpty():
-            break
-    return points.join(kept.withColumnRenamed("hid", "fid"), "fid", "left_semi")
-
-
-_HALF = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if (a, b) > (0, 0)]
-
-
-def within_components(points: DataFrame, radius: float, keys: list[str] | None = None) -> DataFrame:
-    """``fid, component`` of the graph that links points closer than ``radius``.
-
-    All points of a cell with a diagonal below the radius are linked, so a cell
-    acts as one node; two cells are linked when some pair of theirs is close,
-    which one nearest-point question per point and neighbour cell decides.
-    """
-    keys = keys or []
-    side = radius / 2**0.5 * (1 - 1e-9)
-    placed = materialize(points.select(
-        "fid", "x", "y", *keys, cell_of(F.col("x"), side).alias("ci"), cell_of(F.col("y"), side).alias("cj")))
-    here = F.struct(*keys, "ci", "cj")
-    there = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _HALF]))
-    queries = (
-        placed.withColumn("_o", there)
-        .withColumn("i", F.col("ci") + F.col("_o.a")).withColumn("j", F.col("cj") + F.col("_o.b"))
-        .select(F.struct(*keys, "fid", "ci", "cj", "i", "j").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, "i", "j")
-    )
-    linked = nearest_in_cells(queries, placed.select(F.col("fid").alias("rid"), "x", "y", *keys), radius, side, keys)
-    edges = linked.select(
-        F.struct(*[F.col(f"qid.{k}").alias(k) for k in keys], F.col("qid.ci").alias("ci"), F.col("qid.cj").alias("cj")).alias("src"),
-        F.struct(*[F.col(f"qid.{k}").alias(k) for k in keys], F.col("qid.i").alias("ci"), F.col("qid.j").alias("cj")).alias("dst"),
-    ).distinct()
-    comps = connected_components(edges)
-    cells = placed.select("fid", here.alias("node"))
-    return cells.join(comps, "node", "left").select("fid", F.coalesce("component", "node").alias("component"))
+    at = keys + ["level", "i", "j"]
+    lv = F.col("level")
+    around = kept.filter(lv.isNotNull()).select(*keys, "level", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("r").alias("_reach"))
+    around = explode_around(around.withColumn("i", _cell("ox", lv)).withColumn("j", _cell("oy", lv)), REACH)
+    asked = points.select("fid", "x", "y", *keys, F.explode(F.array(*[F.lit(v) for v in real])).alias("level"))
+    asked = asked.withColumn("i", _cell("x", lv)).withColumn("j", _cell("y", lv))
+    reached = asked.join(around, at).filter(_gap("ox", "oy") <= F.col("_reach")).select("fid").distinct()
+    return points.join(reached, "fid", "left_anti")
 
 
 def dedup(points: DataFrame, factor: float = 0.3, floor_px: float = 48.0, keys: list[str] | None = None) -> DataFrame:
     """One point per cluster of points closer than ``max(min(sigma)*factor, floor)``.
 
-    The highest score stays, the lowest fid on a tie. Pair radii that depend on
-    sigma are taken one distinct radius at a time: points whose own radius is at
-    least r, linked below r; together these are exactly the pairs wanted.
+    The highest score stays, the lowest fid on a tie. A pair's limit is the smaller
+    of its two points' own limits, which fall into levels, powers of two. All points
+    of a cell whose diagonal is below the level are linked, so cells are the nodes,
+    and a point is in one cell of every level up to its own. On its own level it asks
+    each cell around for the nearest point with no smaller limit. One edge list holds
+    all levels, and one component search ends it.
     """
     keys = keys or []
-    own = F.greatest(F.col("sigma") * F.lit(float(factor)), F.lit(float(floor_px)))
-    radii = [r[0] for r in points.select(own.alias("r")).distinct().collect()]
-    links: DataFrame | None = None
-    for r in radii:
-        part = within_components(points.filter(own >= r), r, keys).withColumn(
-            "component", F.struct(F.lit(float(r)).alias("r"), "component"))
-        links = part if links is None else links.unionByName(part)
-    if links is None:
+    own = F.greatest(F.col("sigma").cast("double") * F.lit(float(factor)), F.lit(float(floor_px)))
+    slim = materialize(points.select("fid", F.col("x").cast("double"), F.col("y").cast("double"), *keys, own.alias("own")).withColumn("level", level_of(F.col("own"))))
+    # At most one row for each exponent of a double.
+    levels = sorted(v[0] for v in slim.filter("level is not null").select("level").distinct().collect())
+    if not levels:
         return points
-    if len(radii) == 1:
-        labelled = points.join(links, "fid")
-    else:
-        # Chain the groupings: members of a group are linked to the group's first member.
-        first = links.groupBy("component").agg(F.min("fid").alias("head"))
-        edges = links.join(first, "component").select(F.col("fid").alias("src"), F.col("head").alias("dst"))
-        comps = connected_components(edges)
-        labelled = points.join(comps.withColumnRenamed("node", "fid"), "fid", "left").withColumn(
-            "component", F.coalesce("component", "fid"))
+    each = slim.withColumn("lv", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("level"))))
+    unit = lambda c: _scaled(F.col(c), F.col("lv"))
+    each = each.select("fid", *keys, "lv", "level", unit("x").alias("x"), unit("y").alias("y"), unit("own").alias("weight"))
+    each = each.withColumn("ci", cell_of(F.col("x"), UNIT)).withColumn("cj", cell_of(F.col("y"), UNIT))
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1) if (a, b) != (0, 0)])
+
+    def gap(v: str, cell: Column) -> Column:
+        return F.greatest(F.lit(0.0), cell * F.lit(UNIT) - F.col(v), F.col(v) - (cell + 1) * F.lit(UNIT))
+
+    def reached(o: Column) -> Column:
+        dx, dy = gap("x", F.col("ci") + o["a"]), gap("y", F.col("cj") + o["b"])
+        return F.sqrt(dx * dx + dy * dy) < F.col("weight") * (1 + 1e-9)
+
+    asking = each.filter("lv = level").withColumn("_o", F.explode(F.filter(cells, reached)))
+    queries = asking.withColumn("i", F.col("ci") + F.col("_o.a")).withColumn("j", F.col("cj") + F.col("_o.b")).select(
+        F.struct(*keys, "lv", "fid", "ci", "cj", "i", "j").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, "lv", "i", "j",
+        F.col("weight").alias("limit"), F.col("weight").alias("need"))
+    found = nearest_in_cells(queries, each.select(F.col("fid").alias("rid"), "x", "y", "weight", *keys, "lv"), 2.0 * (1 + 1e-9), UNIT, [*keys, "lv"], weighted=True)
+    node = lambda *c: F.struct(*[F.col(f"qid.{k}").alias(k) for k in keys], F.col("qid.lv").alias("lv"), F.col(f"qid.{c[0]}").alias("ci"), F.col(f"qid.{c[1]}").alias("cj"))
+    edges = found.select(node("ci", "cj").alias("src"), node("i", "j").alias("dst"))
+    here = F.struct(*keys, "lv", "ci", "cj")
+    if len(levels) > 1:
+        # A point ties its cells of neighbouring levels together.
+        below = F.lag(here).over(Window.partitionBy("fid").orderBy("lv"))
+        edges = edges.unionByName(each.select(here.alias("dst"), below.alias("src")).filter("src is not null").select("src", "dst"))
+    comps = connected_components(edges.distinct())
+    at_home = each.filter("lv = level").select("fid", here.alias("node"))
+    labelled = at_home.join(comps, "node", "left").select("fid", F.coalesce("component", "node").alias("component")).join(points.select("fid", "score"), "fid")
     best = labelled.groupBy("component").agg(F.max(F.struct("score", (-F.col("fid")).alias("_o"))).alias("_b"))
-    return points.join(best.select((-F.col("_b._o")).alias("fid")), "fid", "left_semi")
+    lost = labelled.join(best.select((-F.col("_b._o")).alias("fid")), "fid", "left_anti")
+    return points.join(lost, "fid", "left_anti")

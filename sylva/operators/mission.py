@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from sylva.functions.geometry import (
     distance, high, let, low, pin, point_in_rings, rotate_ring, rotate_x, rotate_y, vertical_crossings,
 )
+from sylva.operators.edges import edges_of
 from sylva.session import materialize, spread
 
 # Planner defaults and limits.
@@ -50,26 +51,43 @@ def _local(blocks: DataFrame, degrees: Column) -> DataFrame:
     return pin(_pivoted(blocks), local=turned)
 
 
-def coverage_lines(blocks: DataFrame) -> DataFrame:
-    """One row per flight line: ``line, x`` in the rotated frame, with ``local`` rings."""
+def _lined(blocks: DataFrame) -> DataFrame:
+    """Blocks in their rotated frame, with ``_x0, _x1`` and the last line's number ``_n``, below 0 for one line in the middle."""
     pts = F.flatten("local")
     b = pin(_local(spacing(spread(blocks, "fid")), F.col("direction")), _x0=low(pts, "x"), _x1=high(pts, "x"))
     s = F.col("line_spacing")
-    n = F.floor((F.col("_x1") - F.col("_x0") - s / 2.0) / s).cast("int")
-    xs = F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: F.col("_x0") + s / 2.0 + k * s)).otherwise(
-        F.array((F.col("_x0") + F.col("_x1")) / 2.0))
-    return b.withColumn("_xs", xs).select(
-        "fid", "local", "px", "py", "direction", "line_spacing", "waypoint_spacing", F.posexplode("_xs").alias("line", "x"))
-
-
-def coverage_runs(lines: DataFrame) -> DataFrame:
-    """``fid, line, part, x, y0, y1, n``: inside stretches with an inset from the edge."""
-    crossed = pin(lines, _ys=vertical_crossings(F.col("x"), F.col("local"))).filter(F.size("_ys") >= 2)
-    pairs = crossed.select(
-        "fid", "line", "x", "px", "py", "direction", "waypoint_spacing", "_ys",
-        F.explode(F.sequence(F.lit(0), F.floor(F.size("_ys") / 2).cast("int") - 1)).alias("part"))
-    lo, hi = F.element_at("_ys", 2 * F.col("part") + 1), F.element_at("_ys", 2 * F.col("part") + 2)
-    spans = pairs.withColumn("_lo", lo).withColumn("_hi", hi).drop("_ys").withColumn("_span", F.col("_hi") - F.col("_lo")).filter(F.col("_span") >= TINY)
+    return b.withColumn("_n", F.floor((F.col("_x1") - F.col("_x0") - s / 2.0) / s).cast("int"))
+
+
+def _line_x(k: Column) -> Column:
+    s = F.col("line_spacing")
+    return F.when(F.col("_n") >= 0, F.col("_x0") + s / 2.0 + k * s).otherwise((F.col("_x0") + F.col("_x1")) / 2.0)
+
+
+def coverage_lines(blocks: DataFrame) -> DataFrame:
+    """One row per flight line: ``line, x`` in the rotated frame."""
+    lines = _lined(blocks).withColumn("line", F.explode(F.sequence(F.lit(0), F.greatest("_n", F.lit(0)))))
+    return lines.select("fid", "px", "py", "direction", "line_spacing", "waypoint_spacing", "line", _line_x(F.col("line")).alias("x"))
+
+
+def coverage_runs(blocks: DataFrame) -> DataFrame:
+    """``fid, line, part, x, y0, y1, n``: inside stretches of the flight lines, with an inset from the edge.
+
+    Every edge goes to the lines it crosses and no ring to any; a line's crossings
+    are put in order there, and pairs of them are inside."""
+    kept = ["fid", "px", "py", "direction", "waypoint_spacing"]
+    edges = edges_of(_lined(blocks).select(*kept, "line_spacing", "_x0", "_x1", "_n", "local"), "local")
+    number = lambda x: F.floor((x - F.col("_x0")) / F.col("line_spacing") - 0.5)
+    first, last = number(F.least("ax", "bx")), number(F.greatest("ax", "bx")) + 1
+    most = F.greatest("_n", F.lit(0))
+    among = F.sequence(*[F.greatest(F.lit(0), F.least(k, most)).cast("int") for k in (first, last)])
+    on = edges.withColumn("line", F.explode(among)).withColumn("x", _line_x(F.col("line")))
+    met = on.filter((F.col("ax") > F.col("x")) != (F.col("bx") > F.col("x"))).select(
+        *kept, "line", "x", ((F.col("by") - F.col("ay")) * (F.col("x") - F.col("ax")) / (F.col("bx") - F.col("ax")) + F.col("ay")).alias("_lo"))
+    lane = Window.partitionBy("fid", "line").orderBy("_lo")
+    paired = met.withColumn("_k", F.row_number().over(lane) - 1).withColumn("_hi", F.lead("_lo").over(lane))
+    spans = paired.filter((F.col("_k") % 2 == 0) & F.col("_hi").isNotNull()).withColumn("part", F.floor(F.col("_k") / 2).cast("int")).drop("_k")
+    spans = spans.withColumn("_span", F.col("_hi") - F.col("_lo")).filter(F.col("_span") >= TINY)
     inset = F.least(F.lit(EDGE_INSET_M), F.col("_span") / 2.0 - TINY)
     ends = spans.withColumn("_a", F.col("_lo") + inset).withColumn("_b", F.col("_hi") - inset)
     meet = F.col("_b") - F.col("_a") < TINY
@@ -177,8 +195,7 @@ def _in_flight_order(ordered: DataFrame) -> DataFrame:
 
 def coverage_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> DataFrame:
     """``fid, seq, x, y, off_polygon_legs``: the whole flight of each block in order."""
-    lines = coverage_lines(blocks)
-    runs = coverage_runs(lines).withColumn("run_id", F.col("line").cast("long") * (1 << 20) + F.col("part"))
+    runs = coverage_runs(blocks).withColumn("run_id", F.col("line").cast("long") * (1 << 20) + F.col("part"))
     m = F.col("n") - 2
     longest = F.when(m > 0, F.col("waypoint_spacing")).otherwise(F.col("y1") - F.col("y0"))
     ends = runs.withColumn("ax", F.col("x")).withColumn("ay", F.col("y0")).withColumn("bx", F.col("x")).withColumn("by", F.col("y1"))

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import POINTS, clip_to_box, high, let, low, pin, point_in_rings, ring_area, vertical_crossings
+from sylva.operators.edges import edge_index, points_in_index
 from sylva.operators.graph import connected_components
+from sylva.operators.outlines import measures
+from sylva.operators.raster import in_metres
 from sylva.operators.stencil import with_size
 from sylva.session import materialize, spread
 
@@ -104,23 +107,22 @@ def label_plateaus(maxima: DataFrame) -> DataFrame:
     )
 
 
-def label_regions(cells: DataFrame, px_size: float) -> DataFrame:
+def label_regions(cells: DataFrame, px_size: float, tile: int = 512) -> DataFrame:
     """One row per region of labelled cells: cells, area, bounding box, perimeter.
 
-    ``row1``/``col1`` are the last row and column inside."""
-    by_row = Window.partitionBy("raster_id", "row").orderBy("col")
-    by_col = Window.partitionBy("raster_id", "col").orderBy("row")
-    left = (F.lag("col").over(by_row) == F.col("col") - 1) & (F.lag("label").over(by_row) == F.col("label"))
-    up = (F.lag("row").over(by_col) == F.col("row") - 1) & (F.lag("label").over(by_col) == F.col("label"))
-    touching = F.coalesce(left, F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int")
-    return (
-        cells.withColumn("_joins", touching)
-        .groupBy("raster_id", "label").agg(
-            F.count("*").alias("cells"), (F.count("*") * F.lit(px_size * px_size)).alias("area"),
-            F.min("row").alias("row0"), F.max("row").alias("row1"), F.min("col").alias("col0"), F.max("col").alias("col1"),
-            ((4 * F.count("*") - 2 * F.sum("_joins")) * F.lit(px_size)).alias("perimeter"),
-        )
-    )
+    ``row1``/``col1`` are the last row and column inside. Counted in tiles, so no
+    group is a whole row or column of a raster."""
+    return measures(cells, tile).select(
+        "raster_id", "label", "cells", (F.col("cells") * F.lit(px_size * px_size)).alias("area"),
+        "row0", "row1", "col0", "col1", (F.col("sides") * F.lit(px_size)).alias("perimeter"))
+
+
+def measure_regions(cells: DataFrame, meta: DataFrame, tile: int = 512) -> DataFrame:
+    """``label_regions`` with each raster's own cell size in metres."""
+    px = F.col("px_m")
+    sized = measures(cells, tile).join(in_metres(meta).select("raster_id", "px_m"), "raster_id")
+    return sized.select(
+        "raster_id", "label", "cells", (F.col("cells") * px * px).alias("area"), "row0", "row1", "col0", "col1", (F.col("sides") * px).alias("perimeter"))
 
 
 def fill_holes(cells: DataFrame, meta: DataFrame, px_size: float, max_area: float = 2000.0, tile: int = 512) -> DataFrame:
@@ -222,35 +224,6 @@ def _edge_touches(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column)
         lambda hit: hit)
 
 
-def _judged(cells: DataFrame, side: float) -> DataFrame:
-    """Of ``fid, i, j, rings``: drop cells outside, mark ``whole`` ones.
-
-    A cell met by no edge is all in or all out; only the others keep the rings."""
-    s = F.lit(float(side))
-    x0, y0 = F.col("i") * s, F.col("j") * s
-    met = F.exists("rings", lambda r: _edge_touches(r, x0, y0, x0 + s, y0 + s))
-    inside = point_in_rings(x0 + s / 2, y0 + s / 2, F.col("rings"))
-    return (
-        pin(pin(cells, _met=met), whole=~F.col("_met") & inside)
-        .filter(F.col("_met") | F.col("whole"))
-        .select("fid", "i", "j", "whole", F.when(~F.col("whole"), F.col("rings")).alias("rings"))
-    )
-
-
-def cover(polys: DataFrame, side: float) -> DataFrame:
-    """``fid, i, j, whole, rings``: the grid cells of each polygon."""
-    s = F.lit(float(side))
-    pts = _all_points(F.col("rings"))
-    spans = pin(
-        spread(polys.select("fid", "rings"), "fid"), i0=F.floor(low(pts, "x") / s), i1=F.floor(high(pts, "x") / s),
-        j0=F.floor(low(pts, "y") / s), j1=F.floor(high(pts, "y") / s))
-    cells = (
-        spans.withColumn("i", F.explode(F.sequence("i0", "i1")))
-        .withColumn("j", F.explode(F.sequence("j0", "j1"))).drop("i0", "i1", "j0", "j1")
-    )
-    return _judged(cells, side)
-
-
 def usual_size(polys: DataFrame) -> float:
     """A grid side in the order of the polygons' own size."""
     pts = _all_points(F.col("rings"))
@@ -259,51 +232,19 @@ def usual_size(polys: DataFrame) -> float:
 
 
 CROWDED_PAIRS = 100_000
-DEEPEST_SPLIT = 16
 
 
 def points_inside(
     points: DataFrame, polys: DataFrame, id_: str = "fid", side: float | None = None, crowded: int = CROWDED_PAIRS,
 ) -> DataFrame:
-    """Ids of points inside at least one polygon.
+    """Ids of points inside at least one polygon, by the index of edges in grid cells.
 
-    Cells that lie wholly inside settle their points by an equi-semi-join; only
-    points of boundary cells meet the rings. Where very many points meet very
-    many rings in one cell, the cell is split in four and judged again: most of
-    the rings then cover a quarter wholly or not at all."""
+    Points in cells that no edge meets are settled by an equi-join; others meet the
+    edges of their own cell only, never a whole ring."""
     side = side or usual_size(polys)
-    grid = materialize(cover(polys, side))
-    left = points.select(F.col(id_).alias("_id"), "x", "y")
-    found: DataFrame | None = None
-    for depth in range(DEEPEST_SPLIT + 1):
-        placed = left.withColumn("i", F.floor(F.col("x") / F.lit(side))).withColumn("j", F.floor(F.col("y") / F.lit(side)))
-        whole = grid.filter("whole").select("i", "j").distinct()
-        partial = grid.filter(~F.col("whole"))
-        open_ = placed.join(whole, ["i", "j"], "left_anti").join(partial.select("i", "j").distinct(), ["i", "j"], "left_semi")
-        here = placed.join(whole, ["i", "j"], "left_semi").select("_id")
-        busy = (
-            open_.groupBy("i", "j").agg(F.count("*").alias("n"))
-            .join(partial.groupBy("i", "j").agg(F.count("*").alias("m")), ["i", "j"])
-            .filter(F.col("n") * F.col("m") > crowded).select("i", "j")
-        )
-        last = depth == DEEPEST_SPLIT
-        busy = materialize(busy.limit(0) if last else busy)
-        some = not busy.isEmpty()
-        easy = open_.join(busy, ["i", "j"], "left_anti") if some else open_
-        tested = easy.join(partial.select("i", "j", "rings"), ["i", "j"]).filter(point_in_rings(F.col("x"), F.col("y"), F.col("rings"))).select("_id")
-        here = here.unionByName(tested)
-        found = here if found is None else found.unionByName(here)
-        if not some:
-            return found.distinct().withColumnRenamed("_id", id_)
-        quarter = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-        split = (
-            partial.join(busy, ["i", "j"], "left_semi").withColumn("_q", quarter)
-            .withColumn("i", F.col("i") * 2 + F.col("_q.a")).withColumn("j", F.col("j") * 2 + F.col("_q.b")).select("fid", "i", "j", "rings")
-        )
-        left = materialize(open_.join(busy, ["i", "j"], "left_semi").select("_id", "x", "y"))
-        side = side / 2
-        grid = materialize(_judged(split, side))
-    raise AssertionError("the last level has no crowded cells")
+    cells, inside = edge_index(polys, side)
+    asked = points.select(F.col(id_).alias("_id"), "x", "y")
+    return points_in_index(asked, cells, inside, side, crowded).withColumnRenamed("_id", id_)
 
 
 def erase_points(points: DataFrame, polys: DataFrame, id_: str = "fid", side: float | None = None) -> DataFrame:

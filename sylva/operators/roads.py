@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import endpoints, line_length, round_mm
+from sylva.operators.raster import in_metres
 from sylva.operators.regions import CELL, ROW_STRIDE, cell_id, label_cells
 from sylva.session import materialize, spread
 
@@ -23,7 +24,7 @@ def _neighbours(cells: DataFrame) -> DataFrame:
 
 
 def trace_lines(thin: DataFrame, meta: DataFrame, min_dangle: float = 5.0) -> DataFrame:
-    """Thin mask to ``raster_id, line_id, path, length`` in map units.
+    """Thin mask to ``raster_id, line_id, path, length``: places in map units, lengths in metres.
 
     Cells with two neighbours form the lines, all others the nodes; touching
     node cells are one node, placed at their first cell. A stub with one free
@@ -67,11 +68,11 @@ def trace_lines(thin: DataFrame, meta: DataFrame, min_dangle: float = 5.0) -> Da
 
     walked = spread(body.unionByName(tips), "raster_id", "line_id").groupBy("raster_id", "line_id").applyInPandas(
         order, "raster_id string, line_id long, rows array<int>, cols array<int>")
-    lines = walked.join(meta.select("raster_id", "xmin", "ymax", "px_size"), "raster_id").select(
-        "raster_id", "line_id",
+    lines = walked.join(in_metres(meta).select("raster_id", "xmin", "ymax", "px_size", "px_m"), "raster_id").select(
+        "raster_id", "line_id", (F.col("px_m") / F.col("px_size")).alias("_m"),
         F.zip_with("cols", "rows", lambda c, r: F.struct(
             (F.col("xmin") + (c + 0.5) * F.col("px_size")).alias("x"), (F.col("ymax") - (r + 0.5) * F.col("px_size")).alias("y"))).alias("path"))
-    lines = materialize(lines.withColumn("length", line_length(F.col("path"))))
+    lines = materialize(lines.withColumn("length", line_length(F.col("path")) * F.col("_m")).drop("_m"))
     return drop_dangles(lines, min_dangle)
 
 

@@ -64,25 +64,36 @@ def crowded(points: DataFrame, side: float, keys: list[str], leaf: int) -> bool:
 
 def nearest_in_cells(
     queries: DataFrame, points: DataFrame, d: float, side: float,
-    keys: list[str] | None = None, inclusive: bool = False, leaf: int = LEAF,
+    keys: list[str] | None = None, inclusive: bool = False, leaf: int = LEAF, weighted: bool = False,
 ) -> DataFrame:
     """Nearest point per query among the root cells the query names.
 
     ``queries(qid, qx, qy, [keys], i, j)`` holds one row per query and root
     cell, ``points(rid, x, y, [keys])``. Returns ``qid, rid, dist`` for
     queries with a point nearer than ``d``; equal distances go to the lowest
-    ``rid``.
+    ``rid``. ``weighted`` queries have their own ``limit`` (at most ``d``) in place
+    of ``d`` and meet only points whose ``weight`` is at least their ``need``; of
+    several points at one place any one may then stand for the others.
     """
     keys = keys or []
     at = keys + ["i", "j"]
+    own, more = (["limit", "need"], ["weight"]) if weighted else ([], [])
+
+    def best(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("dist", _distance())
+        if weighted:
+            near = F.col("dist") <= F.col("limit") if inclusive else F.col("dist") < F.col("limit")
+            pairs = pairs.filter(near & (F.col("weight") >= F.col("need")))
+        return _best(pairs, inclusive, d)
+
     if not crowded(points, side, keys, leaf):
-        placed = points.select("rid", "x", "y", *keys,
+        placed = points.select("rid", "x", "y", *more, *keys,
                                cell_of(F.col("x"), side).alias("i"), cell_of(F.col("y"), side).alias("j"))
-        return _best(queries.join(placed, at).withColumn("dist", _distance()), inclusive, d)
+        return best(queries.join(placed, at))
 
     # Copies of a place: the lowest id answers for all of them.
-    active = points.groupBy("x", "y", *keys).agg(F.min("rid").alias("rid"))
-    asking = queries.withColumn("bound", F.lit(float(d)))
+    active = points.groupBy("x", "y", *keys).agg(F.min("rid").alias("rid"), *[F.max(c).alias(c) for c in more])
+    asking = queries.withColumn("bound", F.col("limit") if weighted else F.lit(float(d)))
     found: DataFrame | None = None
     for level in range(DEEPEST + 1):
         placed = materialize(
@@ -92,6 +103,7 @@ def nearest_in_cells(
         cells = materialize(placed.groupBy(*at).agg(
             F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"),
             F.min("y").alias("y0"), F.max("y").alias("y1"),
+            *[f(c).alias(f"{c}_{n}") for c in more for f, n in ((F.min, "least"), (F.max, "most"))],
         ))
         is_leaf = (F.col("n") <= leaf) if level < DEEPEST else F.lit(True)
         gap_x = F.greatest(F.lit(0.0), F.col("x0") - F.col("qx"), F.col("qx") - F.col("x1"))
@@ -104,6 +116,9 @@ def nearest_in_cells(
             .withColumn("hi", F.sqrt(far_x * far_x + far_y * far_y))
             .withColumn("leaf", is_leaf)
         )
+        if weighted:
+            # A box promises an answer only if all its points are heavy enough.
+            reached = reached.filter("weight_most >= need").withColumn("hi", F.when(F.col("weight_least") >= F.col("need"), F.col("hi")))
         # The farthest corner of the nearest box bounds every later answer. The
         # tiny allowance keeps rounding from dropping an equal distance.
         tight = reached.groupBy("qid").agg(F.min("hi").alias("_hi"))
@@ -111,12 +126,9 @@ def nearest_in_cells(
             reached.join(tight, "qid")
             .withColumn("bound", F.least("bound", "_hi"))
             .filter(F.col("lo") <= F.col("bound") * (1 + 1e-12))
-            .select("qid", "qx", "qy", *at, "bound", "leaf")
-        )
-        here = _best(
-            kept.filter("leaf").drop("leaf", "bound").join(placed, at).withColumn("dist", _distance()),
-            inclusive, d,
+            .select("qid", "qx", "qy", *own, *at, "bound", "leaf")
         )
+        here = best(kept.filter("leaf").drop("leaf", "bound").join(placed, at))
         found = here if found is None else found.unionByName(here)
         deeper = cells.filter(~is_leaf)
         if deeper.isEmpty():

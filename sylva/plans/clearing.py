@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from sylva.functions.bands import CLEARED_EXG, FRESH_BRIGHTNESS_MIN, MIN_CLEARING_M2, SMOOTH_PX, exg, fresh_color, valid_mask, water_mask
 from sylva.operators.field import area_ha
+from sylva.operators.outlines import outlines
 from sylva.operators.raster import as_pixels, map_bands, of_cell_size, sizes_of
-from sylva.operators.regions import CELL, erase_regions, fill_holes, label_cells, label_regions
+from sylva.operators.regions import CELL, erase_regions, fill_holes, label_cells, measure_regions
 from sylva.operators.stencil import Frame, _cross, grid_objects, over_tiles, segment_mean, smooth
 from sylva.operators.verdicts import apply_verdicts, crop_windows
 from sylva.session import materialize
@@ -65,35 +66,26 @@ def cleared_objects(pixels: DataFrame, meta: DataFrame, threshold: float = CLEAR
     return segment_mean(labelled, threshold).filter("cleared").select(*CELL)
 
 
-def detect_clearing(
+def _cleared(
     pixels: DataFrame, meta: DataFrame, *, threshold: float = CLEARED_EXG, smooth_px: float = SMOOTH_PX,
     opening: int = OPENING, closing: int = CLOSING, min_area_m2: float = MIN_CLEARING_M2, hole_m2: float = HOLE_M2, fresh: bool = False,
     method: str = "exg", exclude: DataFrame | None = None, replies: DataFrame | None = None, tile: int = 512,
-) -> tuple[DataFrame, DataFrame]:
-    """``(regions, summary)``: small regions go first, then the replies are applied,
-    then excluded ground is cut out.
-
-    Cell size and corner are each raster's own, from ``meta``; cells in degrees
-    count in metres for areas."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """``(labelled cells, regions, rejected)`` of the final layer."""
     if method == "objects":
         mask = cleared_objects(pixels, meta, threshold)
     else:
         mask = cleared_cells(pixels, meta, threshold, smooth_px, opening, closing, fresh, tile=tile)
     labelled = materialize(label_cells(mask, tile=tile))
     sizes = sizes_of(meta)
-
-    def by_size(cells: DataFrame, step) -> DataFrame:
-        """A step that takes one cell size, over the rasters of each."""
-        parts = []
-        for px_m in sizes:
-            of_size = of_cell_size(meta, px_m)
-            own = cells.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes) > 1 else cells
-            parts.append(step(own, of_size, px_m))
-        return reduce(DataFrame.unionByName, parts)
-
-    measure = lambda cells: by_size(cells, lambda own, of_size, px_m: label_regions(own, px_m))
-    cells = materialize(by_size(labelled, lambda own, of_size, px_m: fill_holes(own, of_size, px_m, hole_m2, tile)))
-    regions = materialize(measure(cells).filter(F.col("area") >= min_area_m2))
+    parts = []
+    for px_m in sizes:
+        # The tile that a hole needs goes by the cell size.
+        of_size = of_cell_size(meta, px_m)
+        own = labelled.join(of_size.select("raster_id"), "raster_id", "left_semi") if len(sizes) > 1 else labelled
+        parts.append(fill_holes(own, of_size, px_m, hole_m2, tile))
+    cells = materialize(reduce(DataFrame.unionByName, parts))
+    regions = materialize(measure_regions(cells, meta, tile).filter(F.col("area") >= min_area_m2))
     rejected = 0
     if replies is not None:
         frame = meta.select("raster_id", F.col("xmin").alias("_x"), F.col("ymax").alias("_y"), F.col("px_size").alias("_px"))
@@ -105,7 +97,28 @@ def detect_clearing(
         kept, said = apply_verdicts(keyed, replies, crops=crop_windows(extent, meta))
         regions = materialize(kept.drop("fid"))
         rejected = said.first()["rejected"]
+    cells = cells.join(regions.select("raster_id", "label"), ["raster_id", "label"], "left_semi")
     if exclude is not None:
-        left = erase_regions(cells.join(regions.select("raster_id", "label"), ["raster_id", "label"], "left_semi"), exclude, meta)
-        regions = measure(materialize(left))
+        cells = materialize(erase_regions(cells, exclude, meta))
+        regions = measure_regions(cells, meta, tile)
+    return cells, regions, rejected
+
+
+def detect_clearing(pixels: DataFrame, meta: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``(regions, summary)``: small regions go first, then the replies are applied,
+    then excluded ground is cut out. Options as in ``clearing_layer``."""
+    _cells, regions, rejected = _cleared(pixels, meta, **options)
     return regions, area_ha(regions).withColumn("rejected_by_ai_count", F.lit(rejected).cast("long"))
+
+
+def clearing_layer(pixels: DataFrame, meta: DataFrame, *, tile: int = 512, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(layer, regions, summary)`` of cleared ground; the layer has the outlines, one ring a row, with ``fid``.
+
+    Options: ``threshold, smooth_px, opening, closing`` of the mask, ``fresh`` colour,
+    ``method`` (``exg`` or ``objects``), ``min_area_m2``, ``hole_m2``, ``replies`` of
+    a vision model, ``exclude`` polygons. Cell size and corner are each raster's own,
+    from ``meta``; cells in degrees count in metres for areas. ``polygons(layer)``
+    gives the features for overlays, ``ring_measures(layer)`` their shapes."""
+    cells, regions, rejected = _cleared(pixels, meta, tile=tile, **options)
+    layer = outlines(cells, meta, tile).withColumn("fid", F.struct("raster_id", "label"))
+    return layer, regions, area_ha(regions).withColumn("rejected_by_ai_count", F.lit(rejected).cast("long"))

@@ -130,10 +130,12 @@ def dedup_detections(
 ) -> DataFrame:
     """Raw boxes of overlapping windows to one point per crown."""
     parts = []
+    # Windows belong to one raster, so suppression within them doesn't depend on cell sizes.
+    best = materialize(box_nms(boxes, conf, iou))
     for px_size in sizes_of(meta):
         of_size = of_cell_size(meta, px_size)
         mine = windows.join(of_size.select("raster_id"), "raster_id", "left_semi")
-        points = boxes_to_points(box_nms(boxes, conf, iou), mine, of_size)
+        points = boxes_to_points(best, mine, of_size)
         s = scaled(DETECTOR_SIGMA, px_size)
         ready = materialize(points.withColumn("x", F.col("px").cast("double")).withColumn("y", F.col("py").cast("double")).withColumn("sigma", F.lit(s)))
         one = dedup(ready, factor=0.0, floor_px=scaled(DEDUP_FLOOR, px_size), keys=["raster_id"])

@@ -8,6 +8,7 @@ from sylva.functions import bands as B
 from sylva.operators import raster as R
 from sylva.operators import regions as G
 from sylva.operators import stencil as S
+from sylva.operators.outlines import outlines
 from sylva.operators.roads import trace_lines
 from sylva.plans.clearing import cleared_cells, detect_clearing
 from sylva.plans.roads import extract_roads
@@ -347,6 +348,45 @@ def _(spark, sf):
     return G.label_regions(G.label_cells(I.crown_mask(spark, sf)), I.PX).drop("raster_id")
 
 
+# Half-edges of cells (0 south, 1 east, 2 north, 3 west) with the region on the left, walked from each ring's first corner.
+RINGS = I.LABELS + """, lab AS (SELECT row, col, label FROM labels_),
+e AS (SELECT l.row, l.col, s, l.label, CASE s WHEN 0 THEN 0 WHEN 1 THEN -1 WHEN 2 THEN 0 ELSE 1 END AS fr, CASE s WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 0 END AS fc,
+    CASE s WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 0 END AS br, CASE s WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AS bc,
+    l.row + CASE WHEN s < 2 THEN 1 ELSE 0 END AS vr, l.col + CASE WHEN s IN (1, 2) THEN 1 ELSE 0 END AS vc FROM lab l, (SELECT unnest(range(4)) AS s)
+  WHERE NOT EXISTS (SELECT 1 FROM lab n WHERE n.label = l.label AND n.row = l.row + CASE s WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END AND n.col = l.col + CASE s WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)),
+f AS (SELECT e.*, a.label IS NOT NULL AS ahead, a.label IS NOT NULL AND d.label IS NOT NULL AS corner FROM e
+  LEFT JOIN lab a ON a.label = e.label AND a.row = e.row + fr AND a.col = e.col + fc LEFT JOIN lab d ON d.label = e.label AND d.row = e.row + fr + br AND d.col = e.col + fc + bc),
+nx AS (SELECT row, col, s, label, vr, vc, row + CASE WHEN ahead THEN fr ELSE 0 END + CASE WHEN corner THEN br ELSE 0 END AS nr, col + CASE WHEN ahead THEN fc ELSE 0 END + CASE WHEN corner THEN bc ELSE 0 END AS nc,
+  (s + CASE WHEN corner THEN 3 WHEN ahead THEN 0 ELSE 1 END) % 4 AS ns FROM f),
+walk(r0, c0, s0, row, col, s, vr, vc, nr, nc, ns, k) AS (SELECT row, col, s, row, col, s, vr, vc, nr, nc, ns, 0 FROM nx
+  UNION ALL SELECT w.r0, w.c0, w.s0, n.row, n.col, n.s, n.vr, n.vc, n.nr, n.nc, n.ns, w.k + 1 FROM walk w JOIN nx n ON n.row = w.nr AND n.col = w.nc AND n.s = w.ns
+    WHERE NOT (w.nr = w.r0 AND w.nc = w.c0 AND w.ns = w.s0)),
+ring AS (SELECT *, min(vr::BIGINT * 4294967296 + vc) OVER (PARTITION BY r0, c0, s0) AS part, lag(s) OVER (PARTITION BY r0, c0, s0 ORDER BY k) AS before FROM walk),
+own AS (SELECT r.*, b.label, b.vr::BIGINT * 4294967296 + b.vc AS first FROM ring r JOIN nx b ON b.row = r0 AND b.col = c0 AND b.s = s0),
+rings AS (SELECT label, part, sum(CASE s WHEN 1 THEN vc WHEN 3 THEN -vc ELSE 0 END) AS n, count(*) AS sides,
+  string_agg((500000 + vc * 0.5)::DOUBLE || ' ' || (9500000 - vr * 0.5)::DOUBLE, ',' ORDER BY k) FILTER (k = 0 OR s <> before) AS pts FROM own WHERE first = part GROUP BY label, part)"""
+
+
+@query("c2_outlines", RECURSIVE + RINGS + """ SELECT label, part, n < 0 AS hole, abs(n)::BIGINT AS cells, abs(n) * 0.25::DOUBLE AS area, sides * 0.5::DOUBLE AS perimeter,
+  len(string_split(pts, ',')) AS corners, md5(pts) AS pts_md5 FROM rings""")
+def _(spark, sf):
+    rings = outlines(G.label_cells(I.crown_mask(spark, sf)), I.meta(spark, sf))
+    # Whole and half metres: the same digits in both engines.
+    digits = lambda v: F.format_string("%.1f", v)
+    text = F.array_join(F.transform("pts", lambda p: F.concat(digits(p["x"]), F.lit(" "), digits(p["y"]))), ",")
+    return rings.select("label", "part", "hole", "cells", "area", "perimeter", F.size("pts").alias("corners"), F.md5(text).alias("pts_md5"))
+
+
+@query("c2_outlines_erase", RECURSIVE + I.LABELS + """, big AS (SELECT label FROM labels_ GROUP BY label HAVING count(*) >= 60), pts AS (SELECT row, col FROM pix)
+SELECT row, col FROM pts p WHERE NOT EXISTS (SELECT 1 FROM labels_ l JOIN big USING (label) WHERE l.row = p.row AND l.col = p.col)""")
+def _(spark, sf):
+    """Outlines of the larger regions as polygons that erase cell centres: only the regions' own cells go."""
+    cells = G.label_cells(I.crown_mask(spark, sf))
+    big = G.label_regions(cells, I.PX).filter("cells >= 60").select("label")
+    layer = outlines(cells.join(big, "label", "left_semi"), I.meta(spark, sf)).withColumn("fid", F.struct("raster_id", "label"))
+    return G.erase_regions(I.pixels(spark, sf).select("raster_id", "row", "col"), G.polygons(layer), I.meta(spark, sf)).select("row", "col")
+
+
 HOLES = I.LABELS + """, bg AS (SELECT p.row, p.col FROM pix p WHERE NOT EXISTS (SELECT 1 FROM mask m WHERE m.row = p.row AND m.col = p.col)),
 outside(row, col) AS (SELECT bg.row, bg.col FROM bg, dims WHERE bg.row = 0 OR bg.col = 0 OR bg.row = height - 1 OR bg.col = width - 1
   UNION SELECT b.row, b.col FROM outside o JOIN bg b ON abs(b.row - o.row) + abs(b.col - o.col) = 1 AND b.row BETWEEN o.row - 1 AND o.row + 1 AND b.col BETWEEN o.col - 1 AND o.col + 1),
@@ -412,7 +452,7 @@ def _(spark, sf):
 @query("c3_extract_roads")
 def _(spark, sf):
     mask = I.pixels(spark, sf).selectExpr("raster_id", "row", "col", "CASE WHEN row % 25 < 5 OR col % 33 < 4 THEN 0.875D ELSE 0.125D END AS prob")
-    lines, _summary = extract_roads(None, I.meta(spark, sf), I.PX, probs=mask)
+    lines, _summary = extract_roads(None, I.meta(spark, sf), probs=mask)
     return lines.select("line_id", F.round("length", 6).alias("length"), F.size("path").alias("vertices"))
 
 

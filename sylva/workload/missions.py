@@ -42,7 +42,7 @@ def _(spark, sf):
 
 @query("m3_coverage_runs", "WITH " + RUNS + " SELECT fid, line::INT AS line, part, round(x, 5) AS x, round(y0, 5) AS y0, round(y1, 5) AS y1, CAST(greatest(0, ceil((y1 - 0.000001 - y0) / ws) - 1) + 2 AS INT) AS n FROM run")
 def _(spark, sf):
-    runs = mission.coverage_runs(mission.coverage_lines(I.blocks(spark, sf)))
+    runs = mission.coverage_runs(I.blocks(spark, sf))
     return runs.select("fid", "line", "part", *[F.round(c, 5).alias(c) for c in ("x", "y0", "y1")], "n")
 
 

@@ -307,7 +307,7 @@ def test_road_strip(spark):
     r, g, b = np.full((400, 400), 40.0), np.full((400, 400), 180.0), np.full((400, 400), 40.0)
     r[190:210], g[190:210], b[190:210] = 150, 110, 90
     px, meta = raster(spark, r, g, b)
-    lines, summary = extract_roads(px, meta, PX, threshold=18, min_dangle_m=1.0)
+    lines, summary = extract_roads(px, meta, threshold=18, min_dangle_m=1.0)
     s = summary.first()
     assert s["line_count"] >= 1 and s["length_km"] * 1000 > 10
     ys = [p["y"] for row in lines.collect() for p in row["path"]]

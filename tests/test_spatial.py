@@ -146,3 +146,94 @@ def test_box_nms_equals_the_sequential_pass(spark, most):
             keep.append(r)
     got = {r["fid"] for r in detections.box_nms(spark.createDataFrame(df), most=most).collect()}
     assert got == {k.fid for k in keep}
+
+
+def test_suppression_along_a_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 points that each overlap the next, in order of rank; then radii that all differ."""
+    rounds = []
+    settle = graph._settle
+    monkeypatch.setattr(graph, "_settle", lambda *a: rounds.append(1) or settle(*a))
+    chain = [(0.6 * i, 0.0, 1) for i in range(10_000)]
+    got = {r["fid"] for r in graph.nms(points(spark, [p[:2] for p in chain], sigma=[p[2] for p in chain]), tile=2048).collect()}
+    assert got == set(range(0, 10_000, 2)) and len(rounds) < 20
+    rounds.clear()
+    rng = np.random.default_rng(8)
+    sigma = rng.permutation(np.linspace(2.0, 30.0, 1500))
+    pts = [(float(x), float(y), float(s)) for (x, y), s in zip(rng.uniform(0, 400, (1500, 2)), sigma, strict=True)]
+    pts += [(200.0 + float(x), 200.0 + float(y), 3.5) for x, y in rng.uniform(0, 2, (120, 2))] + [(200.5, 200.5, 3.0)] * 40
+    got = {r["fid"] for r in graph.nms(points(spark, [p[:2] for p in pts], sigma=[p[2] for p in pts]), tile=16).collect()}
+    assert got == brute_nms(pts) and len(rounds) < 20
+
+
+def test_suppression_of_odd_points(spark):
+    rows = [(0, 0.0, 0.0, 5.0), (1, 3.0, 0.0, -1.0), (2, 9.0, 0.0, -1.0), (3, 9.0, 0.0, 0.0), (4, 20.0, 0.0, 0.0), (5, 20.0, 0.0, 0.0), (6, None, 0.0, 5.0), (7, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "fid long, x double, y double, sigma double")
+    # 2 lies where 3 is, and radius 0 reaches its own place; 6 has no place, 7 no radius.
+    assert {r["fid"] for r in graph.nms(df).collect()} == {0, 3, 4, 6, 7}
+    assert graph.nms(df.filter("false")).count() == 0
+
+
+def test_dedup_with_limits_that_all_differ(spark):
+    rng = np.random.default_rng(9)
+    xy = np.vstack([rng.uniform(0, 300, (500, 2)), rng.uniform(100, 104, (90, 2)), np.full((40, 2), 50.0)])
+    sigma, score = rng.permutation(np.linspace(4.0, 40.0, len(xy))), np.round(rng.uniform(0, 1, len(xy)), 2)
+
+    def near(i, j):
+        return np.hypot(*(xy[i] - xy[j])) < max(min(sigma[i], sigma[j]) * 0.5, 3.0)
+
+    want = {max(g, key=lambda k: (score[k], -k)) for g in brute_components(xy, near)}
+    got = {r["fid"] for r in graph.dedup(points(spark, xy, sigma=sigma, score=score), 0.5, 3.0).collect()}
+    assert got == want
+
+
+def test_weighted_nearest_in_crowded_cells(spark):
+    from sylva.operators.spatial import nearest_in_cells
+
+    rng = np.random.default_rng(10)
+    xy, w = rng.uniform(0, 1, (300, 2)), rng.uniform(1, 2, 300)
+    pts = points(spark, xy, weight=w).withColumnRenamed("fid", "rid")
+    q, limit, need = rng.uniform(0, 1, (60, 2)), rng.uniform(0.01, 0.2, 60), rng.uniform(1, 2, 60)
+    asked = points(spark, q, limit=limit, need=need).select(F.col("fid").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), "limit", "need", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
+    want = {}
+    for k in range(60):
+        best = min(((np.sqrt((q[k, 0] - a) ** 2 + (q[k, 1] - b) ** 2), i) for i, (a, b) in enumerate(xy) if w[i] >= need[k]), default=None)
+        if best and best[0] < limit[k]:
+            want[k] = best[1]
+    for leaf in (1000, 5):
+        got = {r["qid"]: r["rid"] for r in nearest_in_cells(asked, pts, 1.0, 1.0, leaf=leaf, weighted=True).collect()}
+        assert got == want
+
+
+def odd(rings, x, y):
+    hit = False
+    for pts in rings:
+        for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1], strict=True):
+            if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+                hit = not hit
+    return hit
+
+
+def test_points_in_a_ring_of_ten_thousand_vertices(spark):
+    """One long ragged ring with a hole among small ones; points on corners and grid lines too."""
+    from sylva.operators.edges import edge_index
+    from sylva.operators.regions import points_inside
+
+    rng = np.random.default_rng(11)
+    n = 10_000
+    a = 2 * np.pi * np.arange(n) / n
+    r = 60 + rng.uniform(-8, 8, n)
+    big = [[(64 + r[k] * np.cos(a[k]), 64 + r[k] * np.sin(a[k])) for k in range(n)], [(60.0, 60.0), (60.0, 70.0), (70.0, 70.0), (70.0, 60.0)]]
+    small = [[[(x, y), (x + 4, y), (x + 4, y + 4), (x, y + 4)]] for x, y in rng.integers(0, 140, (30, 2)).astype(float).tolist()]
+    star = [[(200.0, 200.0) if k % 2 else (200 + 4 * np.cos(k / 90), 200 + 4 * np.sin(k / 90)) for k in range(560)]]
+    polys = [big, *small, star]
+    df = spark.createDataFrame([(i, [[dict(x=float(x), y=float(y)) for x, y in ring] for ring in p]) for i, p in enumerate(polys)], "fid long, rings array<array<struct<x:double,y:double>>>")
+    xy = rng.uniform(-5, 140, (400, 2)).tolist() + [[float(x), float(y)] for x in range(56, 74, 4) for y in range(56, 74, 4)] + rng.uniform(196, 204, (80, 2)).tolist() + [[200.0, 200.0]]
+    want = {k for k, (x, y) in enumerate(xy) if any(odd(p, x, y) for p in polys)}
+    for side, crowded in ((None, 100_000), (32.0, 300)):
+        assert {v["fid"] for v in points_inside(points(spark, xy), df, side=side, crowded=crowded).collect()} == want
+    cells, inside = edge_index(df, 4.0)
+    assert "rings" not in cells.columns and cells.agg(F.max(F.size("edges"))).first()[0] <= 64
+    # Edges are listed once for each cell they cross, insides as runs.
+    assert cells.agg(F.sum(F.size("edges"))).first()[0] < 3 * (n + 700) and inside.count() < 900
+    plan = points_inside(points(spark, xy), df)._jdf.queryExecution().toString()
+    assert "rings" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan

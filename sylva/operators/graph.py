@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sylva.operators.spatial import cell_of, explode_around, nearest_in_cells
 from sylva.session import materialize, spread
@@ -86,7 +88,7 @@ def cycle_order(links: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Cells of a level have a diagonal just below the level's least radius.
 UNIT = 2.0**-0.5 * (1 - 1e-9)
-#: A radius of a level reaches this many cells.
+#: A radius of a level, below twice its least one, reaches this many cells.
 REACH = 3
 #: Cells along a tile, and around it, that are settled together.
 TILE_CELLS = 64
@@ -95,9 +97,15 @@ RIM_CELLS = 8
 DEEP = 8
 
 
-def level_of(r: Column) -> Column:
-    """The power of two at or below a radius."""
-    return F.floor(F.log2(r)).cast("int")
+def _base(radii: DataFrame, r: str) -> float:
+    """The smallest positive radius without its power of two, so that it opens a level of its own; one value."""
+    least = radii.filter(F.col(r) > 0).agg(F.min(r)).first()[0]
+    return 2 * math.frexp(least)[0] if least else 1.0
+
+
+def level_of(r: Column, base: float) -> Column:
+    """The k of the largest base * 2**k at or below a radius."""
+    return F.floor(F.log2(r / F.lit(base))).cast("int")
 
 
 def _scaled(v: Column, level: Column) -> Column:
@@ -105,8 +113,8 @@ def _scaled(v: Column, level: Column) -> Column:
     return v * F.pow(F.lit(2.0), -level)
 
 
-def _cell(v: str, level: Column) -> Column:
-    return F.floor(_scaled(F.col(v), level) / F.lit(UNIT))
+def _cell(v: str, level: Column, base: float) -> Column:
+    return F.floor(_scaled(F.col(v), level) / F.lit(base * UNIT))
 
 
 def _gap(ox: str, oy: str) -> Column:
@@ -114,45 +122,57 @@ def _gap(ox: str, oy: str) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def _settle(tile: int, rim: int, keys: list[str], level: int):
-    """The sequential pass over one tile and its rim: who is certainly kept, who certainly goes.
-
-    Only the first points of each cell are there; a cell's last row stands for the
-    points after it, wherever in the cell they are. Whoever might be reached by a
-    point that isn't decided isn't decided either."""
-    side = UNIT * 2.0**level
-
-    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        i0, j0 = key[-2] * tile, key[-1] * tile
-        pdf = pdf.sort_values(["s", "fid"], na_position="first")
-        here: dict[tuple[int, int], list] = {}
-        out, steps = [], range(-REACH, REACH + 1)
-        columns = (pdf[c].tolist() for c in ("fid", "x", "y", "r", "i", "j", "last"))
-        for fid, x, y, r, i, j, last in zip(*columns, strict=True):
-            if last:
-                here.setdefault((i, j), []).append((None, None, r, False))
-                continue
-            gone = open_ = False
-            for a in steps:
-                for b in steps:
-                    for ox, oy, reach, kept in here.get((i + a, j + b), ()):
-                        if ox is None:
-                            dx = max((i + a) * side - x, 0.0, x - (i + a + 1) * side)
-                            dy = max((j + b) * side - y, 0.0, y - (j + b + 1) * side)
-                            open_ |= math.sqrt(dx * dx + dy * dy) <= reach * (1 + 1e-6)
-                        elif math.sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) <= reach:
-                            gone |= kept
-                            open_ |= not kept
-            seen = min(i - i0, j - j0) >= REACH - rim and max(i - i0, j - j0) < tile + rim - REACH
-            own = 0 <= i - i0 < tile and 0 <= j - j0 < tile
-            kept = not gone and not open_ and seen
-            if not gone:
-                here.setdefault((i, j), []).append((x, y, r, kept))
-            if own and (gone or kept):
-                out.append((fid, kept))
-        return pd.DataFrame(out, columns=["fid", "kept"])
-
-    return kernel
+def _settle(tile: int, rim: int, keys: list[str], side: float, fid: pa.DataType):
+    """The sequential pass over tiles and their rims: who is certainly kept, who certainly goes.
+
+    Rows come sorted by tile and rank. Only the first points of each cell are there; a
+    cell's last row stands for the points after it, wherever in the cell they are.
+    Whoever might be reached by a point that isn't decided isn't decided either."""
+    steps = [(a, b) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1)]
+    told = pa.schema([("fid", fid), ("kept", pa.bool_())])
+
+    def judge(x: float, y: float, near) -> tuple[bool, bool]:
+        open_ = False
+        for ox, oy, reach, kept, i, j in near:
+            if ox is None:
+                dx, dy = max(i * side - x, 0.0, x - (i + 1) * side), max(j * side - y, 0.0, y - (j + 1) * side)
+                open_ |= math.sqrt(dx * dx + dy * dy) <= reach * (1 + 1e-6)
+            elif math.sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) <= reach:
+                if kept:
+                    return True, False
+                open_ = True
+        return False, open_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, flat, here = None, [], {}
+        for batch in batches:
+            ids, kept_ = [], []
+            columns = (batch.column(c).to_pylist() for c in ("fid", "x", "y", "r", "i", "j", "last", "_ti", "_tj"))
+            groups = zip(*[batch.column(k).to_pylist() for k in keys], strict=True) if keys else iter(lambda: (), None)
+            for key, (fid_, x, y, r, i, j, last, ti, tj) in zip(groups, zip(*columns, strict=True), strict=False):
+                if (key, ti, tj) != current:
+                    current, flat, here = (key, ti, tj), [], {}
+                if last:
+                    entry, gone = (None, None, r, False, i, j), False
+                else:
+                    if len(flat) > len(steps):
+                        near = (e for a, b in steps for e in here.get((i + a, j + b), ()))
+                    else:
+                        near = flat
+                    gone, open_ = judge(x, y, near)
+                    di, dj = i - ti * tile, j - tj * tile
+                    seen = min(di, dj) >= REACH - rim and max(di, dj) < tile + rim - REACH
+                    kept = not gone and not open_ and seen
+                    if 0 <= di < tile and 0 <= dj < tile and (gone or kept):
+                        ids.append(fid_)
+                        kept_.append(kept)
+                    entry = (x, y, r, kept, i, j)
+                if not gone:
+                    flat.append(entry)
+                    here.setdefault((i, j), []).append(entry)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, fid), pa.array(kept_, pa.bool_())], schema=told)
+
+    return run
 
 
 def nms(
@@ -162,66 +182,68 @@ def nms(
     """Greedy suppression: a point goes if an earlier kept point has it within
     that kept point's radius (its own ``sigma``, or ``radius`` for all).
 
-    The order is sigma descending, then fid. Radii fall into levels, powers of two,
-    and levels are settled from the largest: a point meets the kept points of the
-    levels above its own, then its level's points are settled in tiles in the
-    sequential order. A cell of a level has a diagonal below its radii, so it holds
-    one kept point at most and joins meet a bounded number of them. What a tile can't
-    know of its rim waits for the next round; a round settles all but such points, and
-    always the first one left. Of points at one place only the first can be kept.
-    Points without a place or a radius meet nobody and stay.
+    The order is sigma descending, then fid. Radii fall into levels, doubling from
+    the smallest on, and levels are settled from the largest: a point meets the kept
+    points of the levels above its own, then its level's points are settled in tiles
+    in the sequential order. A cell of a level has a diagonal below its radii, so it
+    holds one kept point at most and joins meet a bounded number of them. What a tile
+    can't know of its rim waits for the next round; a round settles all but such
+    points, and always the first one left. Of points at one place only the first can
+    be kept. Points without a place or a radius meet nobody and stay.
     """
     keys = keys or []
     sigma = F.col("sigma").cast("double")
     r = sigma if radius is None else F.lit(float(radius))
     rank = F.struct((-sigma).alias("s"), "fid")
     slim = points.select("fid", F.col("x").cast("double"), F.col("y").cast("double"), *keys, r.alias("r"), rank.alias("rank"))
-    placed = slim.filter("r >= 0 AND NOT isnan(r) AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    first = placed.groupBy(*keys, "x", "y").agg(F.min(F.struct("rank", "r", "fid")).alias("_f")).select(*keys, "x", "y", "_f.rank", "_f.r", "_f.fid")
+    somewhere = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
+    placed = slim.filter(f"r >= 0 AND NOT isnan(r) AND {somewhere}")
+    first = placed.groupBy(*keys, "x", "y").agg(F.min(F.struct("rank", "r")).alias("_f")).select(*keys, "x", "y", "_f.rank", "_f.r", F.col("_f.rank.fid").alias("fid"))
+    first = materialize(first)
+    base = _base(first, "r")
     # A radius of 0 reaches only its own place, where one point is left.
-    todo = materialize(first.withColumn("level", F.when(F.col("r") > 0, level_of(F.col("r")))))
+    todo = first.withColumn("level", F.when(F.col("r") > 0, level_of(F.col("r"), base)))
     # At most one row for each exponent of a double.
     levels = sorted((v[0] for v in todo.select("level").distinct().collect()), key=lambda v: (v is None, -(v or 0)))
+    fid = points.schema["fid"].dataType
+    none = F.lit(None).cast("int")
     kept: DataFrame | None = None
     for at, level in enumerate(levels):
         own = todo.filter(F.col("level").isNull() if level is None else F.col("level") == level).drop("level")
         if kept is not None:
-            own = materialize(_beyond_reach(own, kept, levels[:at], keys))
+            own = materialize(_beyond_reach(own, kept, levels[:at], keys, base))
         if level is None:
-            kept = own.withColumn("level", F.lit(None).cast("int")) if kept is None else kept.unionByName(own.withColumn("level", F.lit(None).cast("int")))
+            own = own.withColumn("level", none)
+            kept = own if kept is None else kept.unionByName(own)
             continue
         lv = F.lit(level)
         while True:
-            celled = own.withColumn("i", _cell("x", lv)).withColumn("j", _cell("y", lv))
+            celled = own.withColumn("i", _cell("x", lv, base)).withColumn("j", _cell("y", lv, base))
             number = F.row_number().over(Window.partitionBy(*keys, "i", "j").orderBy("rank"))
             heads = celled.withColumn("_n", number).filter(F.col("_n") <= DEEP + 1)
             around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - RIM_CELLS) / tile), F.floor((F.col(c) + RIM_CELLS) / tile)))
-            dealt = heads.select(*keys, "fid", "x", "y", "r", "i", "j", F.col("rank.s").alias("s"), (F.col("_n") > DEEP).alias("last"))
+            dealt = heads.select(*keys, "fid", "x", "y", "r", "i", "j", "rank", (F.col("_n") > DEEP).alias("last"))
             dealt = dealt.withColumn("_ti", around("i")).withColumn("_tj", around("j"))
-            fid = points.schema["fid"].dataType.simpleString()
-            told = materialize(spread(dealt, *keys, "_ti", "_tj").groupBy(*keys, "_ti", "_tj").applyInPandas(
-                _settle(tile, RIM_CELLS, keys, level), f"fid {fid}, kept boolean"))
+            rows = spread(dealt, *keys, "_ti", "_tj").sortWithinPartitions(*keys, "_ti", "_tj", "rank").drop("rank")
+            run = _settle(tile, RIM_CELLS, keys, base * UNIT * 2.0**level, to_arrow_type(fid))
+            told = materialize(rows.mapInArrow(run, f"fid {fid.simpleString()}, kept boolean"))
             new = materialize(own.join(told.filter("kept"), "fid", "left_semi").withColumn("level", lv))
             kept = new if kept is None else kept.unionByName(new)
             own = materialize(own.join(told, "fid", "left_anti"))
             if own.isEmpty():
                 break
-            own = materialize(_beyond_reach(own, new, [level], keys))
-    if kept is None:
-        gone = placed.filter("false").select("fid")
-    else:
-        gone = placed.select("fid").join(kept.select("fid"), "fid", "left_anti")
-    # What has a place but a negative radius reaches nobody, yet can be reached.
-    meek = slim.filter("r < 0 AND x IS NOT NULL AND y IS NOT NULL").drop("level")
-    reached = None
+            own = materialize(_beyond_reach(own, new, [level], keys, base))
+    lost = placed.select("fid")
     if kept is not None:
-        free = _beyond_reach(meek, kept, levels, keys).join(kept.filter("level is null").select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
-        reached = meek.join(free, "fid", "left_anti").select("fid")
-    out = points.join(gone, "fid", "left_anti")
-    return out if reached is None else out.join(reached, "fid", "left_anti")
+        lost = lost.join(kept.select("fid"), "fid", "left_anti")
+        # What has a place but a negative radius reaches nobody, yet can be reached.
+        meek = slim.filter(f"r < 0 AND {somewhere}")
+        free = _beyond_reach(meek, kept, levels, keys, base).join(kept.filter("level is null").select(*keys, "x", "y"), [*keys, "x", "y"], "left_anti")
+        lost = lost.unionByName(meek.select("fid").join(free.select("fid"), "fid", "left_anti"))
+    return points.join(lost, "fid", "left_anti")
 
 
-def _beyond_reach(points: DataFrame, kept: DataFrame, levels: list[int | None], keys: list[str]) -> DataFrame:
+def _beyond_reach(points: DataFrame, kept: DataFrame, levels: list[int | None], keys: list[str], base: float) -> DataFrame:
     """Points that no kept point of these levels reaches. A point asks for one cell on each level."""
     real = [v for v in levels if v is not None]
     if not real:
@@ -229,9 +251,9 @@ def _beyond_reach(points: DataFrame, kept: DataFrame, levels: list[int | None],
     at = keys + ["level", "i", "j"]
     lv = F.col("level")
     around = kept.filter(lv.isNotNull()).select(*keys, "level", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("r").alias("_reach"))
-    around = explode_around(around.withColumn("i", _cell("ox", lv)).withColumn("j", _cell("oy", lv)), REACH)
+    around = explode_around(around.withColumn("i", _cell("ox", lv, base)).withColumn("j", _cell("oy", lv, base)), REACH)
     asked = points.select("fid", "x", "y", *keys, F.explode(F.array(*[F.lit(v) for v in real])).alias("level"))
-    asked = asked.withColumn("i", _cell("x", lv)).withColumn("j", _cell("y", lv))
+    asked = asked.withColumn("i", _cell("x", lv, base)).withColumn("j", _cell("y", lv, base))
     reached = asked.join(around, at).filter(_gap("ox", "oy") <= F.col("_reach")).select("fid").distinct()
     return points.join(reached, "fid", "left_anti")
 
@@ -240,47 +262,56 @@ def dedup(points: DataFrame, factor: float = 0.3, floor_px: float = 48.0, keys:
     """One point per cluster of points closer than ``max(min(sigma)*factor, floor)``.
 
     The highest score stays, the lowest fid on a tie. A pair's limit is the smaller
-    of its two points' own limits, which fall into levels, powers of two. All points
-    of a cell whose diagonal is below the level are linked, so cells are the nodes,
-    and a point is in one cell of every level up to its own. On its own level it asks
-    each cell around for the nearest point with no smaller limit. One edge list holds
-    all levels, and one component search ends it.
+    of its two points' own limits, which fall into levels, doubling from the smallest
+    on. All points of a cell whose diagonal is below the level are linked, so cells
+    are the nodes, and a point is in one cell of every level up to its own. On its own
+    level it asks each cell around for the nearest point with no smaller limit. One
+    edge list holds all levels, and one component search ends it. Points at one place
+    are linked, and the one with the largest limit asks for all.
     """
     keys = keys or []
     own = F.greatest(F.col("sigma").cast("double") * F.lit(float(factor)), F.lit(float(floor_px)))
-    slim = materialize(points.select("fid", F.col("x").cast("double"), F.col("y").cast("double"), *keys, own.alias("own")).withColumn("level", level_of(F.col("own"))))
+    slim = points.select("fid", "score", F.col("x").cast("double"), F.col("y").cast("double"), *keys, own.alias("own"))
+    # A limit of 0 links nobody.
+    slim = materialize(slim.filter("own > 0 AND NOT isnan(own) AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"))
+    base = _base(slim, "own")
+    places = slim.groupBy(*keys, "x", "y").agg(F.max("own").alias("own")).withColumn("level", level_of(F.col("own"), base))
+    places = materialize(places.withColumn("place", F.struct(*keys, "x", "y")))
     # At most one row for each exponent of a double.
-    levels = sorted(v[0] for v in slim.filter("level is not null").select("level").distinct().collect())
+    levels = sorted(v[0] for v in places.select("level").distinct().collect())
     if not levels:
         return points
-    each = slim.withColumn("lv", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("level"))))
+    side = base * UNIT
+    upto = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("level"))
+    each = places.withColumn("lv", F.explode(upto)) if len(levels) > 1 else places.withColumn("lv", F.col("level"))
     unit = lambda c: _scaled(F.col(c), F.col("lv"))
-    each = each.select("fid", *keys, "lv", "level", unit("x").alias("x"), unit("y").alias("y"), unit("own").alias("weight"))
-    each = each.withColumn("ci", cell_of(F.col("x"), UNIT)).withColumn("cj", cell_of(F.col("y"), UNIT))
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-REACH, REACH + 1) for b in range(-REACH, REACH + 1) if (a, b) != (0, 0)])
+    each = each.select("place", *keys, "lv", "level", unit("x").alias("x"), unit("y").alias("y"), unit("own").alias("weight"))
+    each = each.withColumn("ci", cell_of(F.col("x"), side)).withColumn("cj", cell_of(F.col("y"), side))
 
-    def gap(v: str, cell: Column) -> Column:
-        return F.greatest(F.lit(0.0), cell * F.lit(UNIT) - F.col(v), F.col(v) - (cell + 1) * F.lit(UNIT))
+    def span(v: str) -> Column:
+        far = F.col("weight") * (1 + 1e-9)
+        return F.explode(F.sequence(cell_of(F.col(v) - far, side), cell_of(F.col(v) + far, side)))
 
-    def reached(o: Column) -> Column:
-        dx, dy = gap("x", F.col("ci") + o["a"]), gap("y", F.col("cj") + o["b"])
-        return F.sqrt(dx * dx + dy * dy) < F.col("weight") * (1 + 1e-9)
+    def gap(v: str, cell: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(cell) * F.lit(side) - F.col(v), F.col(v) - (F.col(cell) + 1) * F.lit(side))
 
-    asking = each.filter("lv = level").withColumn("_o", F.explode(F.filter(cells, reached)))
-    queries = asking.withColumn("i", F.col("ci") + F.col("_o.a")).withColumn("j", F.col("cj") + F.col("_o.b")).select(
-        F.struct(*keys, "lv", "fid", "ci", "cj", "i", "j").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, "lv", "i", "j",
+    asking = each.filter("lv = level").withColumn("i", span("x")).withColumn("j", span("y"))
+    reached = F.sqrt(gap("x", "i") * gap("x", "i") + gap("y", "j") * gap("y", "j")) < F.col("weight") * (1 + 1e-9)
+    queries = asking.filter(((F.col("i") != F.col("ci")) | (F.col("j") != F.col("cj"))) & reached).select(
+        F.struct(*keys, "lv", F.col("x"), F.col("y"), "ci", "cj", "i", "j").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"), *keys, "lv", "i", "j",
         F.col("weight").alias("limit"), F.col("weight").alias("need"))
-    found = nearest_in_cells(queries, each.select(F.col("fid").alias("rid"), "x", "y", "weight", *keys, "lv"), 2.0 * (1 + 1e-9), UNIT, [*keys, "lv"], weighted=True)
+    found = nearest_in_cells(
+        queries, each.select(F.struct("x", "y").alias("rid"), "x", "y", "weight", *keys, "lv"), 2.0 * base * (1 + 1e-9), side, [*keys, "lv"], weighted=True)
     node = lambda *c: F.struct(*[F.col(f"qid.{k}").alias(k) for k in keys], F.col("qid.lv").alias("lv"), F.col(f"qid.{c[0]}").alias("ci"), F.col(f"qid.{c[1]}").alias("cj"))
     edges = found.select(node("ci", "cj").alias("src"), node("i", "j").alias("dst"))
     here = F.struct(*keys, "lv", "ci", "cj")
     if len(levels) > 1:
         # A point ties its cells of neighbouring levels together.
-        below = F.lag(here).over(Window.partitionBy("fid").orderBy("lv"))
+        below = F.lag(here).over(Window.partitionBy("place").orderBy("lv"))
         edges = edges.unionByName(each.select(here.alias("dst"), below.alias("src")).filter("src is not null").select("src", "dst"))
-    comps = connected_components(edges.distinct())
-    at_home = each.filter("lv = level").select("fid", here.alias("node"))
-    labelled = at_home.join(comps, "node", "left").select("fid", F.coalesce("component", "node").alias("component")).join(points.select("fid", "score"), "fid")
+    comps = connected_components(edges)
+    at_home = each.filter("lv = level").select("place", here.alias("node")).join(comps, "node", "left").select("place.*", F.coalesce("component", "node").alias("component"))
+    labelled = slim.select("fid", "score", *keys, "x", "y").join(at_home, [*keys, "x", "y"]).select("fid", "score", "component")
     best = labelled.groupBy("component").agg(F.max(F.struct("score", (-F.col("fid")).alias("_o"))).alias("_b"))
-    lost = labelled.join(best.select((-F.col("_b._o")).alias("fid")), "fid", "left_anti")
+    lost = labelled.select("fid").join(best.select((-F.col("_b._o")).alias("fid")), "fid", "left_anti")
     return points.join(lost, "fid", "left_anti")

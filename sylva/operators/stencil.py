@@ -1,8 +1,8 @@
 """Neighbourhood operators that equal one pass over the whole raster.
 
-Separable window statistics are native window functions over pixel rows or
-columns: a running sum and two offset look-ups, so the cost does not grow with
-the kernel. Large kernels (Gaussian, morphology, thinning) run in numpy on
+Separable window statistics are native window functions over stretches of pixel
+rows or columns: a running sum and two offset look-ups, so the cost does not grow
+with the kernel, and no group is a whole row or column of a large raster. Large kernels (Gaussian, morphology, thinning) run in numpy on
 tiles; a pixel goes to every tile whose rim it reaches, one shuffle in all.
 """
 
@@ -44,8 +44,31 @@ def _mirrored(df: DataFrame, axis: str, lo: int, hi: int) -> DataFrame:
     return df.withColumn(axis, F.explode(wanted))
 
 
+#: Pixels of a row or column that one window group holds besides its rim.
+LANE = 4096
+
+
+def _stretched(df: DataFrame, axis: str, lo: int, hi: int) -> tuple[DataFrame, Column]:
+    """Rows with the stretch (``_chunk``) of the axis that holds them or needs them as its rim, and which are its own.
+
+    A stretch reaches ``lo`` before and ``hi`` behind itself; sums start anew in each.
+    It is several times as long as its rims, so few pixels are in two."""
+    size = max(LANE, 2 * (lo + hi))
+    pos = F.col(axis)
+    placed = df.withColumn("_chunk", F.explode(F.sequence(F.floor((pos - hi) / size), F.floor((pos + lo) / size))))
+    return placed, F.floor(pos / size) == F.col("_chunk")
+
+
 def _lane(axis: str) -> Window:
-    return Window.partitionBy("raster_id", AXES[axis][0]).orderBy(axis)
+    """Along one stretch of a row or column."""
+    return Window.partitionBy("raster_id", AXES[axis][0], "_chunk").orderBy(axis)
+
+
+def _next_to(step: int, value: str, axis: str) -> Column:
+    """The value one pixel before (-1) or behind (1); null where that pixel is missing."""
+    near = F.lag if step < 0 else F.lead
+    lane = _lane(axis)
+    return F.when(near(axis, 1).over(lane) == F.col(axis) + step, near(value, 1).over(lane))
 
 
 def _inside(axis: str) -> Column:
@@ -56,13 +79,13 @@ def _sum_along(df: DataFrame, values: list[str], axis: str, k: int) -> DataFrame
     lo, hi = k // 2, k - 1 - k // 2
     lane = _lane(axis)
     running = lane.rowsBetween(Window.unboundedPreceding, 0)
-    wide = _mirrored(df, axis, lo, hi)
+    wide, own = _stretched(_mirrored(df, axis, lo, hi), axis, lo, hi)
     for v in values:
         wide = wide.withColumn(f"_s_{v}", F.sum(v).over(running))
     for v in values:
         before = F.coalesce(F.lag(f"_s_{v}", lo + 1).over(lane), F.lit(0.0))
         wide = wide.withColumn(v, F.lead(f"_s_{v}", hi).over(lane) - before)
-    return wide.filter(_inside(axis)).drop(*[f"_s_{v}" for v in values])
+    return wide.filter(_inside(axis) & own).drop("_chunk", *[f"_s_{v}" for v in values])
 
 
 def box_mean(df: DataFrame, meta: DataFrame, k: int, **named: str) -> DataFrame:
@@ -81,13 +104,15 @@ def _max_along(df: DataFrame, v: str, axis: str, s: int) -> DataFrame:
     length, so each pixel is touched a fixed number of times."""
     width = 2 * s + 1
     lane = _lane(axis)
-    wide = _mirrored(df, axis, s, s).withColumn("_blk", F.floor((F.col(axis) + s) / width))
-    block = Window.partitionBy("raster_id", AXES[axis][0], "_blk")
+    wide, own = _stretched(_mirrored(df, axis, s, s), axis, s, s)
+    # A block cut by the end of a stretch still has all that the stretch's own pixels ask of it.
+    wide = spread(wide, "raster_id", AXES[axis][0], "_chunk").withColumn("_blk", F.floor((F.col(axis) + s) / width))
+    block = Window.partitionBy("raster_id", AXES[axis][0], "_chunk", "_blk")
     to_here = Window.unboundedPreceding, 0
     wide = wide.withColumn("_fwd", F.max(v).over(block.orderBy(axis).rowsBetween(*to_here)))
     wide = wide.withColumn("_bwd", F.max(v).over(block.orderBy(F.desc(axis)).rowsBetween(*to_here)))
     wide = wide.withColumn(v, F.greatest(F.lag("_bwd", s).over(lane), F.lead("_fwd", s).over(lane)))
-    return wide.filter(_inside(axis)).drop("_blk", "_fwd", "_bwd")
+    return wide.filter(_inside(axis) & own).drop("_chunk", "_blk", "_fwd", "_bwd")
 
 
 def box_max(df: DataFrame, meta: DataFrame, value: str, s: int, name: str = "box_max") -> DataFrame:
@@ -102,9 +127,9 @@ def laplace(df: DataFrame, value: Column, name: str = "laplace") -> DataFrame:
     """Four-neighbour Laplacian; a missing neighbour counts as the pixel itself."""
     out = df.withColumn("_v", value)
     for axis in ("row", "col"):
-        lane = _lane(axis)
-        around = [F.coalesce(f("_v", 1).over(lane), F.col("_v")) for f in (F.lag, F.lead)]
-        out = out.withColumn(f"_{axis}", around[0] + around[1])
+        out, own = _stretched(out, axis, 1, 1)
+        around = [F.coalesce(_next_to(step, "_v", axis), F.col("_v")) for step in (-1, 1)]
+        out = out.withColumn(f"_{axis}", around[0] + around[1]).filter(own).drop("_chunk")
     return out.withColumn(name, F.col("_row") + F.col("_col") - 4 * F.col("_v")).drop("_v", "_row", "_col")
 
 
@@ -134,9 +159,9 @@ def core_mask(df: DataFrame, meta: DataFrame, margin: int) -> DataFrame:
     sized = with_size(df, meta)
     edge = sized
     for axis in ("row", "col"):
-        lane = _lane(axis)
-        touches = F.coalesce(F.lag("valid", 1).over(lane), F.lit(False)) | F.coalesce(F.lead("valid", 1).over(lane), F.lit(False))
-        edge = edge.withColumn(f"_t_{axis}", touches)
+        edge, own = _stretched(edge, axis, 1, 1)
+        touches = F.coalesce(_next_to(-1, "valid", axis), F.lit(False)) | F.coalesce(_next_to(1, "valid", axis), F.lit(False))
+        edge = edge.withColumn(f"_t_{axis}", touches).filter(own).drop("_chunk")
     edge = edge.filter(~F.col("valid") & (F.col("_t_row") | F.col("_t_col")))
     offsets = F.array(*[
         F.struct(F.lit(dx).alias("dx"), F.lit(math.isqrt(margin * margin - dx * dx)).alias("up"))
@@ -145,18 +170,21 @@ def core_mask(df: DataFrame, meta: DataFrame, margin: int) -> DataFrame:
     spans = edge.select("raster_id", "row", "col", F.explode(offsets).alias("o")).select(
         "raster_id", (F.col("col") + F.col("o.dx")).alias("col"),
         F.greatest(F.lit(0), F.col("row") - F.col("o.up")).alias("first"), (F.col("row") + F.col("o.up") + 1).alias("stop"))
-    marks = (
-        spans.select("raster_id", "col", F.col("first").alias("row"), F.lit(1).alias("_d"))
-        .unionByName(spans.select("raster_id", "col", F.col("stop").alias("row"), F.lit(-1).alias("_d")))
-        .groupBy("raster_id", "col", "row").agg(F.sum("_d").alias("_d"))
-    )
-    counted = sized.join(marks, ["raster_id", "row", "col"], "left").withColumn(
+    # An interval is cut where a stretch of the column ends, since counts start anew there.
+    size = max(LANE, 4 * margin)
+    stretch = F.explode(F.sequence(F.floor(F.col("first") / size), F.floor((F.col("stop") - 1) / size)))
+    cut = spans.withColumn("_chunk", stretch)
+    ends = F.array_compact(F.array(
+        F.struct(F.greatest(F.col("first"), F.col("_chunk") * size).cast("int").alias("row"), F.lit(1).alias("_d")),
+        F.when(F.col("stop") < (F.col("_chunk") + 1) * size, F.struct(F.col("stop").cast("int").alias("row"), F.lit(-1).alias("_d")))))
+    marks = cut.select("raster_id", "col", F.inline(ends)).groupBy("raster_id", "col", "row").agg(F.sum("_d").alias("_d"))
+    counted = sized.join(marks, ["raster_id", "row", "col"], "left").withColumn("_chunk", F.floor(F.col("row") / size)).withColumn(
         "_cover", F.sum(F.coalesce("_d", F.lit(0))).over(_lane("row").rowsBetween(Window.unboundedPreceding, 0)))
     rim = (
         F.col("row").between(margin, F.col("height") - margin - 1)
         & F.col("col").between(margin, F.col("width") - margin - 1)
     )
-    return counted.withColumn("core", F.col("valid") & (F.col("_cover") == 0) & rim).drop("_d", "_cover", "height", "width")
+    return counted.withColumn("core", F.col("valid") & (F.col("_cover") == 0) & rim).drop("_d", "_chunk", "_cover", "height", "width")
 
 
 def local_maxima(
@@ -200,14 +228,16 @@ def refine_centroid(peaks: DataFrame, pixels: DataFrame, meta: DataFrame, radius
 
 def slope(dem: DataFrame, px_size: float) -> DataFrame:
     """Percent rise by the 3 x 3 Horn gradient; null without eight neighbours."""
-    across = _lane("col")
-    west, east = F.lag("v", 1).over(across), F.lead("v", 1).over(across)
-    rows = dem.withColumn("_dx", east - west).withColumn("_sy", west + 2 * F.col("v") + east)
-    down = _lane("row")
-    dx = F.lag("_dx", 1).over(down) + 2 * F.col("_dx") + F.lead("_dx", 1).over(down)
-    dy = F.lead("_sy", 1).over(down) - F.lag("_sy", 1).over(down)
+    rows, own = _stretched(dem, "col", 1, 1)
+    west, east = _next_to(-1, "v", "col"), _next_to(1, "v", "col")
+    rows = rows.withColumn("_dx", east - west).withColumn("_sy", west + 2 * F.col("v") + east).filter(own).drop("_chunk")
+    rows, own = _stretched(rows, "row", 1, 1)
+    rows = rows.withColumns({
+        "_gx": _next_to(-1, "_dx", "row") + 2 * F.col("_dx") + _next_to(1, "_dx", "row"),
+        "_gy": _next_to(1, "_sy", "row") - _next_to(-1, "_sy", "row")}).filter(own).drop("_chunk")
+    dx, dy = F.col("_gx"), F.col("_gy")
     unit = F.lit(8.0 * px_size)
-    return rows.withColumn("slope", 100.0 * F.sqrt((dx / unit) * (dx / unit) + (dy / unit) * (dy / unit))).drop("_dx", "_sy")
+    return rows.withColumn("slope", 100.0 * F.sqrt((dx / unit) * (dx / unit) + (dy / unit) * (dy / unit))).drop("_dx", "_sy", "_gx", "_gy")
 
 
 def segment_mean(df: DataFrame, threshold: float) -> DataFrame:

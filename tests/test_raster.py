@@ -378,3 +378,29 @@ def test_tiles_with_gaps_keep_every_pixel_at_its_place(spark):
     assert {tuple(x) for x in to_pixels(tiles).select("row", "col", "r", "g", "b").collect()} == want
     args = dict(threshold=18, smooth_px=1, opening=0, closing=0)
     assert {tuple(x) for x in cleared_cells(tiles, meta, **args).collect()} == {tuple(x) for x in cleared_cells(holed, meta, **args).collect()}
+
+
+def test_stencils_do_not_depend_on_stretches(spark, monkeypatch):
+    """Rows and columns cut in short stretches give the same, also with missing pixels and both kernels longer than a stretch."""
+    rng = np.random.default_rng(21)
+    a = rng.integers(0, 50, (23, 37)).astype(float)
+    ok = rng.random(a.shape) < 0.97
+    rows = [("a", r, c, float(a[r, c]), bool(ok[r, c])) for r in range(23) for c in range(37)]
+    df = spark.createDataFrame(rows, "raster_id string, row int, col int, v double, valid boolean").cache()
+    meta = spark.createDataFrame([("a", 23, 37)], "raster_id string, height int, width int")
+    holed = df.filter("valid")
+
+    def everything():
+        return [sorted(map(tuple, x.collect()), key=str) for x in (
+            stencil.box_mean(df, meta, 9, m="v"), stencil.box_mean(df, meta, 4, m="v"), stencil.box_max(df, meta, "v", 3), stencil.laplace(holed, F.col("v")),
+            stencil.core_mask(df, meta, 4), stencil.slope(df, 0.5), stencil.slope(holed, 0.5), stencil.sharp_mask(df, meta, F.col("v"), 5))]
+
+    whole = everything()
+    monkeypatch.setattr(stencil, "LANE", 5)
+    assert everything() == whole
+    want = {(r, c): sum((a[r + i, c + j] if 0 <= r + i < 23 and 0 <= c + j < 37 and ok[r + i, c + j] else a[r, c]) - a[r, c] for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))) for r, c in zip(*np.nonzero(ok), strict=True)}
+    assert {(r["row"], r["col"]): r["laplace"] for r in stencil.laplace(holed, F.col("v")).collect()} == want
+    for out in (stencil.box_mean(df, meta, 9, m="v"), stencil.box_max(df, meta, "v", 3), stencil.laplace(df, F.col("v")), stencil.core_mask(df, meta, 4), stencil.slope(df, 0.5)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        groups = [x for x in plan.splitlines() if "Window [" in x]
+        assert groups and all("_chunk" in x for x in groups)

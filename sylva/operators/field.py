@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import pin, ring_area, ring_perimeter, signed_area, thinness
-from sylva.operators.numbering import median
+from sylva.operators.numbering import medians
 from sylva.operators.raster import in_metres
 from sylva.session import materialize
 
@@ -119,18 +119,17 @@ def ring_measures(rings: DataFrame) -> DataFrame:
 
 def slivers(rings: DataFrame) -> DataFrame:
     """``fid, sliver_area`` of features with a suspicious part, with the medians and
-    limits used. Two passes: exact medians first, then one filter."""
+    limits used. Two passes: both exact medians first, then one filter."""
     parts = materialize(ring_measures(rings).select("fid", "area", "thinness"))
-    mid_area, mid_thin = median(parts, F.col("area")), median(parts, F.col("thinness"))
-    if mid_area is None:
-        mid_area = mid_thin = 0.0
-    area_limit, thin_limit = mid_area * SLIVER_AREA_FRACTION, mid_thin * SLIVER_THINNESS_FRACTION
+    limits = medians(parts, median_area=F.col("area"), median_thinness=F.col("thinness")).select(
+        F.lit(1).alias("_one"), "median_area", (F.col("median_area") * SLIVER_AREA_FRACTION).alias("area_limit"),
+        "median_thinness", (F.col("median_thinness") * SLIVER_THINNESS_FRACTION).alias("thinness_limit"))
+    # One row.
+    judged = parts.withColumn("_one", F.lit(1)).join(F.broadcast(limits), "_one")
+    found = ["median_area", "area_limit", "median_thinness", "thinness_limit"]
     return (
-        parts.filter((F.col("area") < area_limit) | (F.col("thinness") < thin_limit))
-        .groupBy("fid").agg(F.sum("area").alias("sliver_area"))
-        .withColumn("median_area", F.lit(mid_area)).withColumn("area_limit", F.lit(area_limit))
-        .withColumn("median_thinness", F.lit(mid_thin)).withColumn("thinness_limit", F.lit(thin_limit))
-    )
+        judged.filter((F.col("area") < F.col("area_limit")) | (F.col("thinness") < F.col("thinness_limit")))
+        .groupBy("fid").agg(F.sum("area").alias("sliver_area"), *[F.first(c).alias(c) for c in found]))
 
 
 def largest_ring(rings: DataFrame) -> DataFrame:

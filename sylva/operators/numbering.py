@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from sylva.session import materialize
 
-FEW = 100_000
-
 
 def number_rows(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
     """start, start+1, ... in a total order.
@@ -41,40 +39,36 @@ def cell_ids(df: DataFrame, order: list[str], by: list[str] | None = None, name:
     return numbered.join(first, by).withColumn(name, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
 
 
-def order_values(vals: DataFrame, ranks: list[int], n: int, few: int = FEW) -> dict[int, float]:
-    """Exact values at 0-based ranks of the ``n`` values in column ``v``.
-
-    While the values are many, approximate quantiles bracket the ranks, a count
-    places the bracket, and the search goes on inside it. Copies of one value
-    count as one, so a value shared by a third of the rows is no burden."""
-    skipped = 0
-    while True:
-        if n <= few or vals.agg(F.approx_count_distinct("v")).first()[0] <= few // 2:
-            out, seen = {}, skipped
-            for r in vals.groupBy("v").count().orderBy("v").collect():
-                out.update({k: r["v"] for k in ranks if seen <= k < seen + r["count"]})
-                seen += r["count"]
-            return out
-        a = max(0.0, (min(ranks) - skipped) / n - 0.001)
-        b = min(1.0, (max(ranks) - skipped + 1) / n + 0.001)
-        lo, hi = vals.agg(F.percentile_approx("v", F.array(F.lit(a), F.lit(b)), 10000)).first()[0]
-        within = F.col("v").between(lo, hi)
-        row = vals.agg(F.count_if(F.col("v") < lo).alias("below"), F.count_if(within).alias("inside")).first()
-        if not (skipped + row["below"] <= min(ranks) and max(ranks) < skipped + row["below"] + row["inside"]):
-            raise RuntimeError("the approximate bracket missed the rank")
-        skipped, n, vals = skipped + row["below"], row["inside"], vals.filter(within)
-
-
-def median_frame(df: DataFrame, value: Column, name: str = "median", few: int = FEW) -> DataFrame:
+def medians(df: DataFrame, **values: Column) -> DataFrame:
+    """One row with the exact median of each value; null where there is none.
+
+    An even count averages the middle two; nulls don't count. Equal values are one
+    row with a count, so a value shared by a third of the rows is no burden. These
+    rows are dealt by range, each partition knows how many values lie before it, and
+    only the middle ones are left in the end: nothing but the answer leaves Spark."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in enumerate(values.values())]))
+    counted = materialize(df.select(each.alias("_e")).select("_e.*").filter("v is not null").groupBy("k", "v").count())
+    parts = materialize(counted.repartitionByRange("k", "v").withColumn("_part", F.spark_partition_id()))
+    # One row for each value and range partition.
+    sums = parts.groupBy("k", "_part").agg(F.sum("count").alias("_sum"))
+    over = Window.partitionBy("k")
+    before = sums.withColumn("_n", F.sum("_sum").over(over)).withColumn(
+        "_before", F.sum("_sum").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum"))
+    inside = Window.partitionBy("k", "_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("_before") + F.sum("count").over(inside)
+    ranked = parts.join(F.broadcast(before.select("k", "_part", "_n", "_before")), ["k", "_part"]).withColumn("_upto", upto)
+    holds = lambda rank: (F.col("_upto") - F.col("count") <= rank) & (rank < F.col("_upto"))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    middle = ranked.select("k", F.when(holds(low), F.col("v")).alias("lo"), F.when(holds(high), F.col("v")).alias("hi")).filter("lo is not null or hi is not null")
+    of = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c)))
+    return middle.agg(*[((of(k, "lo") + of(k, "hi")) / 2.0).alias(name) for k, name in enumerate(values)])
+
+
+def median_frame(df: DataFrame, value: Column, name: str = "median") -> DataFrame:
     """One row with the median; null for no rows."""
-    return df.sparkSession.range(1).select(F.lit(median(df, value, few)).cast("double").alias(name))
+    return medians(df, **{name: value})
 
 
-def median(df: DataFrame, value: Column, few: int = FEW) -> float | None:
-    """Exact median; an even count averages the middle two."""
-    vals = df.select(value.cast("double").alias("v")).filter("v is not null")
-    n = vals.count()
-    if n == 0:
-        return None
-    got = order_values(vals, [(n - 1) // 2, n // 2], n, few)
-    return (got[(n - 1) // 2] + got[n // 2]) / 2.0
+def median(df: DataFrame, value: Column) -> float | None:
+    """The median as a number."""
+    return medians(df, median=value).first()["median"]

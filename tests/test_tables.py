@@ -29,7 +29,7 @@ def test_median_narrows_down_when_values_are_many(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(0, 1, 4000), np.full(2001, 0.25)])
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    assert median(df, F.col("v"), few=50) == float(np.median(v))
+    assert median(df, F.col("v")) == float(np.median(v))
 
 
 def test_biomass(spark):
@@ -182,3 +182,18 @@ def test_a_running_sample_stream_answers_later_requests(spark, tmp_path):
         running.stop()
     got = {(r["line"], r["reply"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("0.5,0.5", "1,2,3"), ("1.5,0.5", "4,5,6"), ("oops", "ERROR"), ("9,9", "NODATA")}
+
+
+def test_medians_of_skewed_values_in_one_pass(spark):
+    from sylva.operators.numbering import medians
+
+    rng = np.random.default_rng(31)
+    v, w = np.concatenate([np.full(400, 7.25), rng.normal(size=601)]), rng.integers(-5, 5, 1001).astype(float)
+    df = spark.createDataFrame([(float(a), float(b) if k % 7 else None) for k, (a, b) in enumerate(zip(v, w, strict=True))], "v double, w double")
+    out = medians(df, one=F.col("v"), two=F.col("w"), three=F.col("v") * 0, none=F.lit(None))
+    got = out.first()
+    want = float(np.median(v)), float(np.median([b for k, b in enumerate(w) if k % 7]))
+    assert (got["one"], got["two"], got["three"], got["none"]) == (*want, 0.0, None)
+    assert tuple(medians(df.filter("false"), one=F.col("v")).first()) == (None,)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -30,11 +30,11 @@ START = ((1, 0), (1, 1), (0, 1), (0, 0))
 PIECE = "raster_id string, label long, head long, follow long, cells long, sides long, corner long, rows array<int>, cols array<int>"
 
 
-def in_tiles(cells: DataFrame, tile: int) -> DataFrame:
-    """Cells with the tiles (``_tr, _tc``) that hold them or touch them."""
+def in_tiles(cells: DataFrame, tile: int, halo: int = 1) -> DataFrame:
+    """Cells with the tiles (``_tr, _tc``) that hold them or have them in their rim."""
     at = lambda axis: F.explode(F.sequence(
-        F.greatest(F.lit(0), F.floor((F.col(axis) - 1) / tile)).cast("int"), F.floor((F.col(axis) + 1) / tile).cast("int")))
-    placed = cells.select("raster_id", F.col("row").cast("int"), F.col("col").cast("int"), "label")
+        F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile)).cast("int"), F.floor((F.col(axis) + halo) / tile).cast("int")))
+    placed = cells.withColumn("row", F.col("row").cast("int")).withColumn("col", F.col("col").cast("int"))
     return spread(placed.withColumn("_tr", at("row")).withColumn("_tc", at("col")), "raster_id", "_tr", "_tc")
 
 
@@ -115,7 +115,15 @@ def pieces(cells: DataFrame, tile: int = 512) -> DataFrame:
             "corner": np.minimum.reduceat(row * ROW_STRIDE + col, first),
             "rows": np.split(row[turn].astype(np.int32), cuts), "cols": np.split(col[turn].astype(np.int32), cuts)})
 
-    return in_tiles(cells, tile).groupBy("raster_id", "_tr", "_tc").applyInPandas(kernel, PIECE)
+    return in_tiles(cells.select("raster_id", "row", "col", "label"), tile).groupBy("raster_id", "_tr", "_tc").applyInPandas(kernel, PIECE)
+
+
+def in_rings(parts: DataFrame) -> DataFrame:
+    """Pieces with ``ring`` and ``place``, their order in it: those that leave a tile are linked by pointer doubling."""
+    crossing = parts.filter("follow <> head").select("raster_id", F.col("head").alias("node"), F.col("follow").alias("next"))
+    order = cycle_order(crossing, ["raster_id"]).withColumnRenamed("node", "head")
+    return parts.join(order, ["raster_id", "head"], "left").withColumns({
+        "ring": F.coalesce("ring", "head"), "place": -F.coalesce("ahead", F.lit(0))}).drop("ahead")
 
 
 def outlines(cells: DataFrame, meta: DataFrame, tile: int = 512) -> DataFrame:
@@ -127,11 +135,8 @@ def outlines(cells: DataFrame, meta: DataFrame, tile: int = 512) -> DataFrame:
     Points are map places, without the ones on straight stretches; area and perimeter
     are in metres where cells are in degrees."""
     parts = materialize(pieces(cells, tile))
-    crossing = parts.filter("follow <> head").select("raster_id", F.col("head").alias("node"), F.col("follow").alias("next"))
-    order = cycle_order(crossing, ["raster_id"]).withColumnRenamed("node", "head")
-    placed = parts.join(order, ["raster_id", "head"], "left").select(
-        "raster_id", "label", F.coalesce("ring", "head").alias("ring"), "cells", "sides", "corner",
-        F.struct((-F.coalesce("ahead", F.lit(0))).alias("k"), F.arrays_zip("rows", "cols").alias("p")).alias("piece"))
+    placed = in_rings(parts).select(
+        "raster_id", "label", "ring", "cells", "sides", "corner", F.struct(F.col("place").alias("k"), F.arrays_zip("rows", "cols").alias("p")).alias("piece"))
     # A ring is one row of the layer, so its pieces meet here.
     rings = placed.groupBy("raster_id", "label", "ring").agg(
         F.sum("cells").alias("_n"), F.sum("sides").alias("_sides"), F.min("corner").alias("part"),
@@ -164,7 +169,7 @@ def measures(cells: DataFrame, tile: int = 512) -> DataFrame:
             cells=("at", "size"), sides=("sides", "sum"), row0=("row", "min"), row1=("row", "max"), col0=("col", "min"), col1=("col", "max"))
         return out.assign(raster_id=key[0], label=label)[["raster_id", "label", "cells", "sides", "row0", "row1", "col0", "col1"]]
 
-    parts = in_tiles(cells, tile).groupBy("raster_id", "_tr", "_tc").applyInPandas(
+    parts = in_tiles(cells.select("raster_id", "row", "col", "label"), tile).groupBy("raster_id", "_tr", "_tc").applyInPandas(
         kernel, "raster_id string, label long, cells long, sides long, row0 int, row1 int, col0 int, col1 int")
     return parts.groupBy("raster_id", "label").agg(
         F.sum("cells").alias("cells"), F.sum("sides").alias("sides"), *[F.min(c).alias(c) for c in ("row0", "col0")], *[F.max(c).alias(c) for c in ("row1", "col1")])

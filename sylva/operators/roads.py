@@ -2,72 +2,121 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import endpoints, line_length, round_mm
+from sylva.operators.outlines import chains, in_rings, in_tiles
 from sylva.operators.raster import in_metres
 from sylva.operators.regions import CELL, ROW_STRIDE, cell_id, label_cells
-from sylva.session import materialize, spread
-
-_EIGHT = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-
-
-def _neighbours(cells: DataFrame) -> DataFrame:
-    """``raster_id, row, col, nrow, ncol`` for every pair of touching cells."""
-    offs = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _EIGHT]))
-    asked = cells.withColumn("_o", offs).select(
-        *CELL, (F.col("row") + F.col("_o.a")).alias("nrow"), (F.col("col") + F.col("_o.b")).alias("ncol"))
-    there = cells.select("raster_id", F.col("row").alias("nrow"), F.col("col").alias("ncol"))
-    return asked.join(there, ["raster_id", "nrow", "ncol"])
-
-
-def trace_lines(thin: DataFrame, meta: DataFrame, min_dangle: float = 5.0) -> DataFrame:
+from sylva.session import materialize
+
+# Neighbours in reading order; the opposite of the k-th is the (7 - k)-th.
+_EIGHT = np.array([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
+#: Which way a closed line is walked from its first cell: straight steps before diagonal ones.
+_PREFER = np.array([4, 0, 5, 1, 2, 6, 3, 7])
+_STATES = ("row", "col", "to_row", "to_col", "tip")
+_LINE = "raster_id string, head long, follow long, " + ", ".join(f"{c} array<int>" for c in _STATES)
+
+
+def line_pieces(thin: DataFrame, tile: int = 512) -> DataFrame:
+    """Cells with two neighbours, chained within tiles in both directions of travel.
+
+    A state is a cell and the neighbour it is left for. The next state is that
+    neighbour, left for its other side; where the neighbour is a node (``tip``) the
+    way turns back. So all states lie on closed rings: one for a line, there and
+    back, two for a line that closes on itself."""
+    def kernel(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = key[1] * tile - 2, key[2] * tile - 2
+        mask = np.zeros((tile + 6, tile + 6), bool)
+        r, c = pdf["row"].to_numpy(np.int64) - r0 + 1, pdf["col"].to_numpy(np.int64) - c0 + 1
+        mask[r, c] = True
+        inner = (r > 1) & (r < tile + 4) & (c > 1) & (c < tile + 4)
+        r, c = r[inner], c[inner]
+        near = mask[r[:, None] + _EIGHT[:, 0], c[:, None] + _EIGHT[:, 1]]
+        line = near.sum(axis=1) == 2
+        r, c, near = r[line], c[line], near[line]
+        exits = np.full((tile + 6, tile + 6, 2), -1, np.int64)
+        if len(r):
+            exits[r, c, 0], exits[r, c, 1] = near.argmax(axis=1), 7 - near[:, ::-1].argmax(axis=1)
+        own = (r > 2) & (r < tile + 3) & (c > 2) & (c < tile + 3)
+        r, c = r[own], c[own]
+        if not len(r):
+            return pd.DataFrame(columns=["raster_id", "head", "follow", *_STATES], dtype=object)
+        number = np.full(mask.shape, -1, np.int64)
+        number[r, c] = np.arange(len(r))
+        r, c, k = np.repeat(r, 2), np.repeat(c, 2), np.tile([0, 1], len(r))
+        way = exits[r, c, k]
+        to_r, to_c = r + _EIGHT[way, 0], c + _EIGHT[way, 1]
+        tip = exits[to_r, to_c, 0] < 0
+        # Having come from v, a cell is left for its other neighbour.
+        next_r, next_c = np.where(tip, r, to_r), np.where(tip, c, to_c)
+        next_k = np.where(tip, 1 - k, (exits[to_r, to_c, 0] == 7 - way).astype(int))
+        code = lambda r, c, k: ((r + r0 - 1) * ROW_STRIDE + (c + c0 - 1)) * 2 + k
+        order, first = chains(np.where(number[next_r, next_c] < 0, -1, 2 * number[next_r, next_c] + next_k))
+        last = np.append(first[1:], len(order)) - 1
+        states = (r + r0 - 1, c + c0 - 1, to_r + r0 - 1, to_c + c0 - 1, tip)
+        cut = lambda v: np.split(v[order].astype(np.int32), first[1:])
+        return pd.DataFrame({
+            "raster_id": key[0], "head": code(r, c, k)[order][first], "follow": code(next_r, next_c, next_k)[order][last],
+            **{name: cut(v) for name, v in zip(_STATES, states, strict=True)}})
+
+    return in_tiles(thin.select(*CELL), tile, 2).groupBy("raster_id", "_tr", "_tc").applyInPandas(kernel, _LINE)
+
+
+def _unrolled(row: pd.Series, col: pd.Series, to_row: pd.Series, to_col: pd.Series, tip: pd.Series) -> pd.DataFrame:
+    """Each ring of states as a line from its first tip, or round from its first cell; null where the other direction is taken."""
+    out = []
+    for r, c, a, b, t in zip(row, col, to_row, to_col, tip, strict=True):
+        ends = np.flatnonzero(t)
+        if len(ends):
+            # Tips in order of their own cell, then the node's cell; the way starts behind the first.
+            start = ends[np.lexsort((b[ends], a[ends], c[ends], r[ends]))[0]]
+            walk = (start + 1 + np.arange(len(r) // 2)) % len(r)
+            end = walk[-1]
+            out.append((r[walk], c[walk], a[start], b[start], a[end], b[end]))
+            continue
+        first = np.lexsort((c, r))[0]
+        way = lambda r1, c1: _PREFER[np.flatnonzero((_EIGHT == (r1 - r[first], c1 - c[first])).all(axis=1))[0]]  # noqa: B023, E731
+        walk = (first + np.arange(len(r) + 1)) % len(r)
+        taken = way(a[first], b[first]) < way(r[first - 1], c[first - 1])
+        out.append((r[walk], c[walk], None, None, None, None) if taken else (None,) * 6)
+    return pd.DataFrame(out, columns=["rows", "cols", "r0", "c0", "r1", "c1"], dtype=object)
+
+
+def trace_lines(thin: DataFrame, meta: DataFrame, min_dangle: float = 5.0, tile: int = 512) -> DataFrame:
     """Thin mask to ``raster_id, line_id, path, length``: places in map units, lengths in metres.
 
     Cells with two neighbours form the lines, all others the nodes; touching
     node cells are one node, placed at their first cell. A stub with one free
-    end shorter than ``min_dangle`` is dropped. One line is one output row, so
-    ordering its cells in one group is bounded by the row it becomes."""
+    end shorter than ``min_dangle`` is dropped. Tiles chain their own cells, pieces
+    that leave a tile are put in order by pointer doubling; only the finished line,
+    which is one output row, is put together in one place."""
     cells = materialize(thin.select(*CELL))
-    pairs = materialize(_neighbours(cells))
-    degree = pairs.groupBy(*CELL).count()
-    kinds = materialize(cells.join(degree, CELL, "left").withColumn("line", F.coalesce(F.col("count") == 2, F.lit(False))))
-    nodes = materialize(label_cells(kinds.filter(~F.col("line")), diagonal=True).withColumnRenamed("label", "node"))
-    inner = materialize(label_cells(kinds.filter("line"), diagonal=True).withColumnRenamed("label", "line_id"))
-    ends = pairs.join(inner, CELL).join(
-        nodes.select("raster_id", F.col("row").alias("nrow"), F.col("col").alias("ncol"), "node"), ["raster_id", "nrow", "ncol"])
-    body = inner.select("raster_id", "line_id", "row", "col", F.lit(None).cast("int").alias("nrow"), F.lit(None).cast("int").alias("ncol"), F.lit(None).cast("long").alias("node"))
-    tips = ends.select("raster_id", "line_id", "row", "col", "nrow", "ncol", "node")
-
-    def order(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        is_tip = pdf["node"].notna()
-        todo = set(map(tuple, pdf.loc[~is_tip, ["row", "col"]].to_numpy().tolist()))
-        tips_ = sorted(map(tuple, pdf.loc[is_tip, ["row", "col", "nrow", "ncol", "node"]].to_numpy().astype("int64").tolist()))
-        size = len(todo)
-        at = tips_[0][:2] if tips_ else min(todo)
-        walk = []
-        while at is not None:
-            walk.append(at)
-            todo.discard(at)
-            # Straight steps first: a diagonal one would skip a corner cell.
-            near = [(at[0] + a, at[1] + b) for a, b in sorted(_EIGHT, key=lambda o: abs(o[0]) + abs(o[1]))]
-            at = next((n for n in near if n in todo), None)
-        if not tips_ and size > 2:
-            walk.append(walk[0])
-        path = list(walk)
-        first, last = walk[0], walk[-1]
-        if tips_:
-            path = [(tips_[0][4] // ROW_STRIDE, tips_[0][4] % ROW_STRIDE), tips_[0][2:4]] + path
-            tail = [t for t in tips_[1:] if t[:2] == last] or [t for t in tips_[1:] if t[:2] != first]
-            if tail:
-                path += [tail[0][2:4], (tail[0][4] // ROW_STRIDE, tail[0][4] % ROW_STRIDE)]
-        path = [p for i, p in enumerate(path) if i == 0 or p != path[i - 1]]
-        return pd.DataFrame({"raster_id": [key[0]], "line_id": [key[1]], "rows": [[int(p[0]) for p in path]], "cols": [[int(p[1]) for p in path]]})
-
-    walked = spread(body.unionByName(tips), "raster_id", "line_id").groupBy("raster_id", "line_id").applyInPandas(
-        order, "raster_id string, line_id long, rows array<int>, cols array<int>")
+    parts = materialize(line_pieces(cells, tile))
+    piece = F.struct(F.col("place").alias("k"), F.arrays_zip(*_STATES).alias("s"))
+    rings = in_rings(parts).withColumn("piece", piece).groupBy("raster_id", "ring").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["s"])).alias("_s"))
+    unroll = F.pandas_udf(_unrolled, "rows array<int>, cols array<int>, r0 int, c0 int, r1 int, c1 int")
+    smallest = F.array_min(F.transform("_s", lambda s: s["row"].cast("long") * ROW_STRIDE + s["col"]))
+    walked = materialize(rings.select("raster_id", smallest.alias("line_id"), unroll(*[F.col("_s")[c] for c in _STATES]).alias("w")).select(
+        "raster_id", "line_id", "w.*").filter("rows is not null"))
+    # Nodes are all cells that no line has.
+    on_line = parts.select("raster_id", F.inline(F.arrays_zip("row", "col"))).distinct()
+    nodes = materialize(label_cells(cells.join(on_line, CELL, "left_anti"), diagonal=True, tile=tile))
+    ended = walked
+    for k in ("0", "1"):
+        at = nodes.select("raster_id", F.col("row").alias(f"r{k}"), F.col("col").alias(f"c{k}"), F.col("label").alias(f"n{k}"))
+        ended = ended.join(at, ["raster_id", f"r{k}", f"c{k}"], "left")
+    spot = lambda r, c: F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"))
+    node = lambda n: spot(F.floor(F.col(n) / ROW_STRIDE), F.col(n) % ROW_STRIDE)
+    body = F.zip_with("rows", "cols", spot)
+    whole = F.when(F.col("n0").isNull(), body).otherwise(F.concat(
+        F.array(node("n0"), spot(F.col("r0"), F.col("c0"))), body, F.array(spot(F.col("r1"), F.col("c1")), node("n1"))))
+    ended = ended.withColumn("_p", whole).withColumn("_p", F.filter("_p", lambda p, i: (i == 0) | (p != F.get("_p", i - 1))))
+    walked = ended.select("raster_id", "line_id", F.col("_p.r").alias("rows"), F.col("_p.c").alias("cols"))
     lines = walked.join(in_metres(meta).select("raster_id", "xmin", "ymax", "px_size", "px_m"), "raster_id").select(
         "raster_id", "line_id", (F.col("px_m") / F.col("px_size")).alias("_m"),
         F.zip_with("cols", "rows", lambda c, r: F.struct(

@@ -339,6 +339,29 @@ def _(spark, sf):
     return trace_lines(S.thin(mask, meta), meta, 5.0).select("line_id", F.round("length", 6).alias("length"), F.size("path").alias("vertices"))
 
 
+# A drawn net of thin lines: what a line is made of, without its order; a wrong order would have another length.
+DRAWN = I.PIX + """, thin AS (SELECT row, col FROM pix WHERE row % 25 = 2 OR col % 33 = 2 OR (row % 25 = 12 AND col BETWEEN 5 AND 20) OR (row % 25 IN (14, 18) AND col BETWEEN 6 AND 9) OR (row % 25 BETWEEN 15 AND 17 AND col IN (5, 10))),
+nb AS (SELECT a.row, a.col, b.row AS nr, b.col AS nc FROM thin a JOIN thin b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 AND (a.row <> b.row OR a.col <> b.col)),
+line AS (SELECT row, col FROM nb GROUP BY row, col HAVING count(*) = 2),
+node AS (SELECT row, col FROM thin EXCEPT SELECT row, col FROM line),
+lr(row, col, id) AS (SELECT row, col, row::BIGINT * 4294967296 + col FROM line UNION SELECT n.nr, n.nc, r.id FROM lr r JOIN nb n ON n.row = r.row AND n.col = r.col JOIN line l ON l.row = n.nr AND l.col = n.nc),
+lid AS (SELECT row, col, min(id) AS line_id FROM lr GROUP BY row, col),
+nr_(row, col, id) AS (SELECT row, col, row::BIGINT * 4294967296 + col FROM node UNION SELECT n.nr, n.nc, r.id FROM nr_ r JOIN nb n ON n.row = r.row AND n.col = r.col JOIN node l ON l.row = n.nr AND l.col = n.nc),
+nid AS (SELECT row, col, min(id) AS node FROM nr_ GROUP BY row, col),
+step AS (SELECT l.line_id, sqrt((n.nr - l.row) * (n.nr - l.row) + (n.nc - l.col) * (n.nc - l.col)) / 2 AS len, 0 AS more FROM lid l JOIN nb n ON n.row = l.row AND n.col = l.col JOIN lid m ON m.row = n.nr AND m.col = n.nc
+  UNION ALL SELECT l.line_id, sqrt((n.nr - l.row) * (n.nr - l.row) + (n.nc - l.col) * (n.nc - l.col)) + sqrt((d.node // 4294967296 - n.nr) * (d.node // 4294967296 - n.nr) + (d.node % 4294967296 - n.nc) * (d.node % 4294967296 - n.nc)),
+    1 + (d.node <> n.nr::BIGINT * 4294967296 + n.nc)::INT FROM lid l JOIN nb n ON n.row = l.row AND n.col = l.col JOIN nid d ON d.row = n.nr AND d.col = n.nc),
+sums AS (SELECT line_id, sum(len) AS len, sum(more) AS more, count(*) FILTER (more > 0) AS tips FROM step GROUP BY line_id)"""
+
+
+@query("r18_trace_drawn", RECURSIVE + DRAWN + """ SELECT line_id, round(len * 0.5, 6) AS length, CAST(n + more + (tips = 0)::INT AS INT) AS vertices FROM sums JOIN (SELECT line_id, count(*) AS n FROM lid GROUP BY line_id) USING (line_id)""")
+def _(spark, sf):
+    mask = I.pixels(spark, sf).filter(
+        "row % 25 = 2 OR col % 33 = 2 OR (row % 25 = 12 AND col BETWEEN 5 AND 20) OR (row % 25 IN (14, 18) AND col BETWEEN 6 AND 9) OR (row % 25 BETWEEN 15 AND 17 AND col IN (5, 10))")
+    lines = trace_lines(mask.select("raster_id", "row", "col"), I.meta(spark, sf), 0.0)
+    return lines.select("line_id", F.round("length", 6).alias("length"), F.size("path").alias("vertices"))
+
+
 # ---- regions -----------------------------------------------------------------
 
 @query("a11_label_regions", RECURSIVE + I.LABELS + """, adj AS (SELECT a.label, count(*) AS n FROM labels_ a JOIN labels_ b ON (b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1) GROUP BY 1)

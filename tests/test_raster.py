@@ -404,3 +404,71 @@ def test_stencils_do_not_depend_on_stretches(spark, monkeypatch):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         groups = [x for x in plan.splitlines() if "Window [" in x]
         assert groups and all("_chunk" in x for x in groups)
+
+
+def walked(a):
+    """Lines of a thin mask by walking cell by cell: the set of (cells in order, ends), each from its smaller end."""
+    cells = set(zip(*(x.tolist() for x in np.nonzero(a)), strict=True))
+    near = {p: [q for i in (-1, 0, 1) for j in (-1, 0, 1) if (q := (p[0] + i, p[1] + j)) != p and q in cells] for p in cells}
+    line = {p for p in cells if len(near[p]) == 2}
+    lines, seen = set(), set()
+    for p in sorted(line):
+        for tip in near[p]:
+            if tip in line or (p, tip) in seen:
+                continue
+            way, before = [tip, p], tip
+            while way[-1] in line:
+                here = way[-1]
+                way.append(next(q for q in near[here] if q != before) if near[here][0] != near[here][1] else before)
+                before = here
+            seen |= {(way[1], way[0]), (way[-2], way[-1])}
+            lines.add(tuple(way))
+        if not any(p in way for way in lines) and not any(q not in line for q in near[p]):
+            loop, before = [p, near[p][0]], p
+            while loop[-1] in line and loop[-1] != p:
+                here = loop[-1]
+                loop.append(next(q for q in near[here] if q != before))
+                before = here
+            if loop[-1] == p and min(loop) == p:
+                lines.add(tuple(sorted(set(loop))))
+    return lines
+
+
+def test_lines_do_not_depend_on_tiles_and_equal_a_walk(spark):
+    rng = np.random.default_rng(7)
+    a = rng.random((40, 70)) < 0.15
+    a[2, 1:60] = True
+    a[:, 64:] = False
+    a[5:35, 66] = True
+    a[33, 5:12] = a[37, 5:12] = True
+    a[34:37, 4] = a[34:37, 12] = True
+    _, meta = raster(spark, a, a, a, px=1.0)
+    got = {}
+    for tile in (4, 512):
+        rows = trace_lines(sparse(spark, a), meta, 0.0, tile).collect()
+        got[tile] = sorted((r["line_id"], r["length"], [(p["x"], p["y"]) for p in r["path"]]) for r in rows)
+    assert got[4] == got[512]
+    m = meta.first()
+    cell = lambda p: (round((m["ymax"] - p[1]) / m["px_size"] - 0.5), round((p[0] - m["xmin"]) / m["px_size"] - 0.5))
+    inner = set()
+    for _, _, path in got[4]:
+        cells = [cell(p) for p in path]
+        inner.add(tuple(sorted({p for p in cells if p in line_cells(a)})))
+    assert inner == {tuple(sorted({p for p in way if p in line_cells(a)})) for way in walked(a)}
+
+
+def line_cells(a):
+    p = np.pad(a, 1).astype(int)
+    n = sum(p[1 + i:p.shape[0] - 1 + i, 1 + j:p.shape[1] - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1)) - a
+    return set(zip(*(x.tolist() for x in np.nonzero(a & (n == 2))), strict=True))
+
+
+def test_a_line_through_a_hundred_tiles(spark):
+    a = np.zeros((5, 600), dtype=bool)
+    a[2, :] = True
+    _, meta = raster(spark, a, a, a, px=1.0)
+    lines = trace_lines(sparse(spark, a), meta, 5.0, tile=6).collect()
+    assert len(lines) == 1 and lines[0]["length"] == 599.0
+    xs = [p["x"] for p in lines[0]["path"]]
+    assert xs == sorted(xs) and len(xs) == 600
+    assert trace_lines(sparse(spark, a).filter("false"), meta).count() == 0

@@ -76,6 +76,24 @@ def to_pixels(tiles: DataFrame, bands: list[str] | None = None) -> DataFrame:
     ).filter(F.coalesce(*[F.when(F.col(b).isNotNull(), 1) for b in bands]).isNotNull())
 
 
+#: Tiles along the side of a group that is stored together.
+GROUP_TILES = 16
+
+
+def grouped_tiles(tiles: DataFrame, group: int = GROUP_TILES) -> DataFrame:
+    """Adds ``group_row, group_col``: the squares of tiles that are stored together."""
+    return tiles.withColumn("group_row", F.floor(F.col("tile_row") / group).cast("int")).withColumn("group_col", F.floor(F.col("tile_col") / group).cast("int"))
+
+
+def tiles_of_window(tiles: DataFrame, x0: int, y0: int, w: int, h: int, size: int = 256, group: int = GROUP_TILES) -> DataFrame:
+    """Of a ``grouped_tiles`` table those that meet a window: by folder first, then by the tile numbers in the files."""
+    hit = F.lit(True)
+    for axis, start, length in (("row", y0, h), ("col", x0, w)):
+        first, last = start // size, (start + length - 1) // size
+        hit = hit & F.col(f"group_{axis}").between(first // group, last // group) & F.col(f"tile_{axis}").between(first, last)
+    return tiles.filter(hit).drop("group_row", "group_col")
+
+
 TILE = ["raster_id", "tile_row", "tile_col", "row0", "col0", "h", "w"]
 
 

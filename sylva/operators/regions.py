@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import POINTS, clip_to_box, high, let, low, pin, point_in_rings, ring_area, vertical_crossings
-from sylva.operators.edges import edge_index, points_in_index
+from sylva.functions.geometry import POINTS, clip_to_box, dist_point_segment, distance, high, let, low, pin, point_in_rings, ring_area
+from sylva.operators.edges import edge_index, edges_of, points_in_index
 from sylva.operators.graph import connected_components
 from sylva.operators.outlines import measures
 from sylva.operators.raster import in_metres
@@ -300,45 +300,82 @@ def clip_grid(polys: DataFrame, w: float = 50.0, h: float = 50.0) -> DataFrame:
     )
 
 
-def cells_inside(polys: DataFrame, q: float) -> DataFrame:
-    """``fid, i, j``: cells of side q whose centre is inside, by scan lines."""
-    pts, s = _all_points(F.col("rings")), F.lit(float(q))
-    lanes = (
-        pin(
-            pin(polys, _i0=F.floor(low(pts, "x") / s), _i1=F.floor(high(pts, "x") / s))
-            .withColumn("i", F.explode(F.sequence("_i0", "_i1"))),
-            ys=vertical_crossings((F.col("i") + 0.5) * s, F.col("rings")))
-        .filter(F.size("ys") >= 2).select("fid", "i", "ys")
-    )
-    spans = lanes.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("ys") - 1, F.lit(2))))
-    first = F.ceil(F.element_at("ys", F.col("k")) / s - 0.5)
-    last = F.ceil(F.element_at("ys", F.col("k") + 1) / s - 0.5) - 1
-    return (
-        spans.withColumn("_a", first).withColumn("_b", last).filter("_a <= _b")
-        .select("fid", "i", F.explode(F.sequence("_a", "_b")).alias("j"))
-    )
-
+#: Cells of a lane that one key of an overlay holds.
+STRETCH = 1024
 
-def cells_near(segments: DataFrame, d: float, q: float) -> DataFrame:
-    """``i, j``: cells of side q whose centre is within d of some segment
-    ``ax, ay, bx, by``. Each cell once, so crowded rivers do not multiply."""
-    from sylva.functions.geometry import dist_point_segment
 
+def spans_inside(polys: DataFrame, q: float) -> DataFrame:
+    """``fid, i, a, b``: runs of cells of side q whose centre is inside, by scan lines."""
     s = F.lit(float(q))
-    span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - d) / s), F.floor((F.greatest(a, b) + d) / s)))
-    cells = segments.withColumn("i", span(F.col("ax"), F.col("bx"))).withColumn("j", span(F.col("ay"), F.col("by")))
-    gap = dist_point_segment((F.col("i") + 0.5) * s, (F.col("j") + 0.5) * s, *[F.col(c) for c in ("ax", "ay", "bx", "by")])
-    return cells.filter(gap <= d).select("i", "j").distinct()
+    edges = edges_of(polys.select("fid", "rings")).filter("ax <> bx")
+    first, last = (F.floor(f("ax", "bx") / s - 0.5) for f in (F.least, F.greatest))
+    on = edges.withColumn("i", F.explode(F.sequence(first, last + 1))).withColumn("_x", (F.col("i") + 0.5) * s)
+    met = on.filter((F.col("ax") > F.col("_x")) != (F.col("bx") > F.col("_x"))).select(
+        "fid", "i", ((F.col("by") - F.col("ay")) * (F.col("_x") - F.col("ax")) / (F.col("bx") - F.col("ax")) + F.col("ay")).alias("_lo"))
+    lane = Window.partitionBy("fid", "i").orderBy("_lo")
+    paired = met.withColumn("_k", F.row_number().over(lane)).withColumn("_hi", F.lead("_lo").over(lane)).filter((F.col("_k") % 2 == 1) & F.col("_hi").isNotNull())
+    return paired.select("fid", "i", F.ceil(F.col("_lo") / s - 0.5).alias("a"), (F.ceil(F.col("_hi") / s - 0.5) - 1).alias("b")).filter("a <= b")
+
+
+def spans_near(segments: DataFrame, d: float, q: float) -> DataFrame:
+    """``i, a, b``: runs of cells of side q whose centre is within d of a segment ``ax, ay, bx, by``.
+
+    What lies within d of a segment is convex, so it meets a scan line in one
+    stretch: the ends are those of the discs around both ends and of the band
+    between them. The cells at the ends are judged by their distance. One row per
+    segment and scan line, whatever d and q."""
+    s, r = F.lit(float(q)), F.lit(float(d))
+    ax, ay, bx, by, x = (F.col(c) for c in ("ax", "ay", "bx", "by", "_x"))
+    size = distance(ax, ay, bx, by)
+    # The way from the segment to the upper edge of its band.
+    side = F.when(bx >= ax, r).otherwise(-r) / size
+    moved = pin(segments.select("ax", "ay", "bx", "by"), _mx=F.when(size > 0, -(by - ay) * side), _my=F.when(size > 0, (bx - ax) * side))
+    on = moved.withColumn("i", F.explode(F.sequence(
+        F.floor((F.least(ax, bx) - d) / s - 0.5), F.floor((F.greatest(ax, bx) + d) / s - 0.5) + 1))).withColumn("_x", (F.col("i") + 0.5) * s)
+    half = lambda cx: F.when(F.abs(x - cx) <= d, F.sqrt(F.greatest(F.lit(0.0), r * r - (x - cx) * (x - cx))))
+    part = lambda way: F.when(bx != ax, (x - ax - way * F.col("_mx")) / (bx - ax))
+    met = pin(on, _da=half(ax), _db=half(bx), _up=part(1), _down=part(-1))
+    edge = lambda t, way: F.when(F.col(t).between(0, 1), ay + way * F.col("_my") + F.col(t) * (by - ay))
+    # Beside an upright segment the band is the segment itself moved sideways.
+    beside = F.when((ax == bx) & (F.abs(x - ax) <= d), F.lit(1))
+    top = F.greatest(ay + F.col("_da"), by + F.col("_db"), edge("_up", 1), ay * beside, by * beside)
+    bottom = F.least(ay - F.col("_da"), by - F.col("_db"), edge("_down", -1), ay * beside, by * beside)
+    met = pin(met, _a=F.ceil(bottom / s - 0.5), _b=F.floor(top / s - 0.5)).filter("_a IS NOT NULL")
+    near = lambda j: dist_point_segment(x, (j + 0.5) * s, ax, ay, bx, by) <= d
+    a, b = F.col("_a"), F.col("_b")
+    seen = pin(met, _a0=near(a - 1), _a1=near(a), _b0=near(b), _b1=near(b + 1))
+    first = F.when(F.col("_a0"), a - 1).when(F.col("_a1"), a).otherwise(a + 1)
+    last = F.when(F.col("_b1"), b + 1).when(F.col("_b0"), b).otherwise(b - 1)
+    return seen.select("i", first.alias("a"), last.alias("b")).filter("a <= b")
+
+
+def _cut_spans(spans: DataFrame) -> DataFrame:
+    """Runs cut at stretches ``k`` of their lane."""
+    k = F.explode(F.sequence(F.floor(F.col("a") / STRETCH), F.floor(F.col("b") / STRETCH)))
+    return spans.withColumn("k", k).withColumn("a", F.greatest("a", F.col("k") * STRETCH)).withColumn("b", F.least("b", F.col("k") * STRETCH + STRETCH - 1))
+
+
+def union_spans(spans: DataFrame) -> DataFrame:
+    """``i, k, a, b``: runs that overlap become one; a stretch of a lane is a bounded group of cells."""
+    lane = Window.partitionBy("i", "k").orderBy("a", "b")
+    cut = _cut_spans(spans).select("i", "k", "a", "b").distinct()
+    reached = F.max("b").over(lane.rowsBetween(Window.unboundedPreceding, -1))
+    opened = cut.withColumn("_new", (reached.isNull() | (F.col("a") > reached + 1)).cast("int"))
+    run = F.sum("_new").over(lane.rowsBetween(Window.unboundedPreceding, 0))
+    return opened.withColumn("_run", run).groupBy("i", "k", "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
 
 
 def riparian_conflict(plans: DataFrame, river: DataFrame, d: float = 50.0, q: float = 5.0) -> DataFrame:
     """``fid, area`` of each plan within d of the river; no row means compliant.
 
     Areas are counted in cells of side q, so the error is at most the boundary
-    length times q; overlapping buffers count once."""
+    length times q; overlapping buffers count once. Plans and buffers meet as runs
+    of cells in scan lines, never cell by cell."""
     check_positive(buffer=d, cell=q)
-    wet = cells_inside(plans, q).join(cells_near(river, d, q), ["i", "j"], "left_semi")
-    return wet.groupBy("fid").agg((F.count("*") * F.lit(q * q)).alias("area"))
+    wet = union_spans(spans_near(river, d, q)).withColumnsRenamed({"a": "_a", "b": "_b"})
+    both = F.least("b", "_b") - F.greatest("a", "_a") + 1
+    meet = _cut_spans(spans_inside(plans, q)).join(wet, ["i", "k"]).filter(both > 0)
+    return meet.groupBy("fid").agg((F.sum(both) * F.lit(q * q)).alias("area"))
 
 
 def check_positive(**values: float) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.operators.field import require_bands
-from sylva.operators.raster import to_pixels
+from sylva.operators.raster import BANDS, GROUP_TILES, read_window, tiles_of_window, to_pixels
 from sylva.session import materialize
 
 # Table names tried in this order.
@@ -38,6 +38,17 @@ def read_raster(spark: SparkSession, path: str, meta: DataFrame | None = None) -
     return df
 
 
+def read_raster_window(
+    spark: SparkSession, path: str, x0: int, y0: int, w: int, h: int, size: int = 256, group: int = GROUP_TILES,
+) -> DataFrame:
+    """The pixels of a window from a table that ``write_raster`` wrote with this tile and group size.
+
+    Only folders of tile groups that meet the window are listed and only its tiles
+    are unpacked; tile numbers are sorted in the files, so other row groups are skipped."""
+    tiles = tiles_of_window(spark.read.parquet(path), x0, y0, w, h, size, group)
+    return read_window(to_pixels(tiles, [c for c in BANDS if c in tiles.columns]), x0, y0, w, h)
+
+
 def raster_meta(pixels: DataFrame, xmin: float, ymax: float, px_size: float, wkid: int, bands: int = 3) -> DataFrame:
     """One row per raster, sized from its pixels.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.operators.raster import GROUP_TILES, grouped_tiles
+from sylva.session import spread
+
 # Mission text formats and drone presets
 # (label, drone code, drone sub code, payload code).
 CSV_HEADER = "latitude,longitude,altitude(m)"
@@ -37,6 +40,13 @@ def write_points(trees: DataFrame, path: str) -> None:
     tree_layer(trees).write.mode("overwrite").parquet(path)
 
 
+def write_raster(tiles: DataFrame, path: str, group: int = GROUP_TILES) -> None:
+    """A tile table in folders of tile groups, from which ``read_raster_window`` reads only what a window needs."""
+    keys = ["group_row", "group_col"]
+    placed = spread(grouped_tiles(tiles, group), "raster_id", *keys)
+    placed.sortWithinPartitions(*keys, "raster_id", "tile_row", "tile_col").write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
 def sparse_mask(cells: DataFrame) -> DataFrame:
     """A 0/1 raster without its 0 cells, which read back as no data."""
     return cells.filter(F.col("v") == 1).select("raster_id", "row", "col", F.lit(1).alias("v"))

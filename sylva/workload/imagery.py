@@ -43,6 +43,13 @@ def _(spark, sf):
     return R.read_window(I.pixels(spark, sf), 10, 20, 35, 40).select("row", "col", "r", "g", "b")
 
 
+@query("s3_window_of_tiles", WITH + "SELECT row, col, r, g, b, alpha FROM pix WHERE col >= 10 AND col < 45 AND row >= 20 AND row < 60")
+def _(spark, sf):
+    path = I.scratch(spark, "tiles")
+    writers.write_raster(R.to_tiles(I.pixels(spark, sf, alpha=True), 16), path, 2)
+    return readers.read_raster_window(spark, path, 10, 20, 35, 40, 16, 2).select("row", "col", "r", "g", "b", "alpha")
+
+
 @query("s4_tiles", WITH + "SELECT row, col, r, g, b, alpha FROM pix")
 def _(spark, sf):
     return R.to_pixels(R.to_tiles(I.pixels(spark, sf, alpha=True), 32)).select("row", "col", "r", "g", "b", "alpha")
@@ -157,8 +164,8 @@ def _mirror(i: str, n: str) -> str:
 
 
 @query("r1_gaussian", "WITH " + I.TILES + f""", o AS (SELECT unnest(range(-4, 5)) AS o), w AS (SELECT o, exp(-0.5 * o * o) AS w FROM o), wn AS (SELECT o, w / (SELECT sum(w) FROM w) AS w FROM w),
-a AS (SELECT t.raster_id, t.row, t.col, sum(n.v * wn.w) AS v FROM tiles8 t, wn JOIN tiles8 n ON n.raster_id = t.raster_id AND n.row = t.row AND n.col = {_mirror('t.col + wn.o', '8')} GROUP BY ALL),
-c AS (SELECT t.raster_id, t.row, t.col, sum(n.v * wn.w) AS v FROM a t, wn JOIN a n ON n.raster_id = t.raster_id AND n.col = t.col AND n.row = {_mirror('t.row + wn.o', '8')} GROUP BY ALL)
+a AS (SELECT t.raster_id, t.row, t.col, t.h, sum(n.v * wn.w) AS v FROM tiles8 t, wn JOIN tiles8 n ON n.raster_id = t.raster_id AND n.row = t.row AND n.col = {_mirror('t.col + wn.o', '8')} GROUP BY ALL),
+c AS (SELECT t.raster_id, t.row, t.col, sum(n.v * wn.w) AS v FROM a t, wn JOIN a n ON n.raster_id = t.raster_id AND n.col = t.col AND n.row = {_mirror('t.row + wn.o', 't.h')} GROUP BY ALL)
 SELECT raster_id, row, col, round(v, 6) AS smooth FROM c""")
 def _(spark, sf):
     tiles = I.small_tiles(spark, sf)

@@ -87,14 +87,14 @@ DEM = PIX + ", dem AS (SELECT raster_id, row, col, CAST(row * row + 3 * col * co
 
 
 def small_tiles(spark: SparkSession, sf: str) -> DataFrame:
-    """One 8 x 8 raster per embedding."""
+    """One raster of 8 columns per embedding."""
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("raster_id"), F.posexplode("embedding").alias("i", "v")
-    ).selectExpr("raster_id", "CAST(i div 8 AS INT) AS row", "CAST(i % 8 AS INT) AS col", "CAST(v AS DOUBLE) AS v").filter("row < 8")
+    ).selectExpr("raster_id", "CAST(i div 8 AS INT) AS row", "CAST(i % 8 AS INT) AS col", "CAST(v AS DOUBLE) AS v")
 
 
 TILES = """tiles8 AS (SELECT CAST(vec_id AS VARCHAR) AS raster_id, CAST((i - 1) // 8 AS INT) AS row, CAST((i - 1) % 8 AS INT) AS col,
-  CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
+  CAST(ceil(len(embedding) / 8) AS INT) AS h, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
 
 
 def old_points(spark: SparkSession, sf: str) -> DataFrame:

@@ -160,9 +160,10 @@ def _(spark, sf):
     return mission.plan_totals(_flight(spark, sf)).select("fid", F.round("total_distance_m", 6).alias("total_distance_m"), F.round("total_minutes", 6).alias("total_minutes"))
 
 
-@query("w8_path_lines", "WITH " + I.WAYPOINTS + """, kept AS (SELECT * FROM wp WHERE k % 40 < 31) SELECT fid, part, count(*)::INT AS vertices, string_agg(printf('%.1f %.1f', x, y), ';' ORDER BY sequence) AS wkt FROM kept GROUP BY fid, part HAVING count(*) >= 2""")
+@query("w8_path_lines", "WITH " + I.WAYPOINTS + """, kept AS (SELECT * REPLACE (CASE WHEN k % 40 = 39 THEN 100 + part ELSE part END AS part) FROM wp) SELECT fid, part, count(*)::INT AS vertices, string_agg(printf('%.1f %.1f', x, y), ';' ORDER BY sequence) AS wkt FROM kept GROUP BY fid, part HAVING count(*) >= 2""")
 def _(spark, sf):
-    lines = mission.path_lines(I.waypoints(spark, sf).filter("k % 40 < 31"))
+    # The last waypoint of each plan is a part of its own, which is no line.
+    lines = mission.path_lines(I.waypoints(spark, sf).withColumn("part", F.expr("CASE WHEN k % 40 = 39 THEN 100 + part ELSE part END")))
     wkt = F.array_join(F.transform("path", lambda p: F.format_string("%.1f %.1f", p["x"], p["y"])), ";")
     return lines.select("fid", "part", F.size("path").alias("vertices"), wkt.alias("wkt"))
 
@@ -188,10 +189,11 @@ def _(spark, sf):
     return writers.mission_csv(I.waypoints(spark, sf))
 
 
-@query("s10_mission_files", "WITH " + I.WAYPOINTS + """ SELECT fid, part, CASE WHEN n > 1 THEN concat('mission_part', part, '.csv') ELSE 'mission.csv' END AS name
-FROM (SELECT DISTINCT fid, part FROM wp WHERE fid % 3 <> 0 OR part = 1) JOIN (SELECT fid, count(DISTINCT part) AS n FROM wp WHERE fid % 3 <> 0 OR part = 1 GROUP BY fid) USING (fid)""")
+@query("s10_mission_files", "WITH " + I.WAYPOINTS + """, w1 AS (SELECT fid, CASE WHEN fid % 3 = 0 THEN 1 ELSE part END AS part FROM wp) SELECT fid, part, CASE WHEN n > 1 THEN concat('mission_part', part, '.csv') ELSE 'mission.csv' END AS name
+FROM (SELECT DISTINCT fid, part FROM w1) JOIN (SELECT fid, count(DISTINCT part) AS n FROM w1 GROUP BY fid) USING (fid)""")
 def _(spark, sf):
-    return writers.mission_file_names(I.waypoints(spark, sf).filter("fid % 3 <> 0 OR part = 1"), "mission", "csv")
+    one_part = I.waypoints(spark, sf).withColumn("part", F.expr("CASE WHEN fid % 3 = 0 THEN 1 ELSE part END"))
+    return writers.mission_file_names(one_part, "mission", "csv")
 
 
 def _wpml_sql() -> str:

@@ -472,3 +472,23 @@ def test_a_line_through_a_hundred_tiles(spark):
     xs = [p["x"] for p in lines[0]["path"]]
     assert xs == sorted(xs) and len(xs) == 600
     assert trace_lines(sparse(spark, a).filter("false"), meta).count() == 0
+
+
+def test_window_reads_open_only_the_folders_they_meet(spark, tmp_path):
+    from sylva.operators.raster import to_tiles
+    from sylva.sources.readers import read_raster_window
+    from sylva.sources.writers import write_raster
+
+    df = spark.range(96 * 96).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS raster_id", "CAST(id div 96 AS INT) AS row", "CAST(id % 96 AS INT) AS col", "CAST(id AS DOUBLE) AS r", "1D AS g", "2D AS b", "CAST(NULL AS DOUBLE) AS alpha")
+    path = str(tmp_path / "tiles")
+    write_raster(to_tiles(df, 8), path, 3)
+    got = read_raster_window(spark, path, 30, 50, 20, 17, 8, 3)
+    want = df.filter("col between 30 and 49 and row between 50 and 66")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = next(x for x in plan.splitlines() if "PartitionFilters" in x)
+    assert "group_row" in filters.split("PartitionFilters")[1] and "tile_row" in filters.split("PushedFilters")[1]
+    # 96 pixels are 4 x 4 groups of 24; the window meets 2 x 1 of them.
+    files = got.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {tuple(p for p in r["f"].split("/") if p.startswith("group_")) for r in files} == {("group_row=2", "group_col=1"), ("group_row=2", "group_col=2")}
+    assert read_raster_window(spark, path, 200, 200, 5, 5, 8, 3).count() == 0

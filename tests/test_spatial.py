@@ -237,3 +237,40 @@ def test_points_in_a_ring_of_ten_thousand_vertices(spark):
     assert cells.agg(F.sum(F.size("edges"))).first()[0] < 3 * (n + 700) and inside.count() < 900
     plan = points_inside(points(spark, xy), df)._jdf.queryExecution().toString()
     assert "rings" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_spans_near_segments_equal_the_distance_test(spark):
+    from sylva.operators.regions import riparian_conflict, spans_near, union_spans
+
+    rng = np.random.default_rng(12)
+    seg = [(*rng.uniform(-20, 60, 4),) for _ in range(25)] + [(5, 5, 5, 30), (5, 30, 5, 5), (8, 8, 8, 8), (0, 3, 40, 3), (40, 50, 0, 50)]
+    river = spark.createDataFrame([tuple(map(float, s)) for s in seg], "ax double, ay double, bx double, by double")
+
+    def near(x, y, s, d):
+        ax, ay, bx, by = s
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(1.0, max(0.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0.0
+        return np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)) <= d
+
+    for d, q in ((6.0, 1.5), (0.7, 2.0)):
+        got = {(r["i"], j) for r in union_spans(spans_near(river, d, q)).collect() for j in range(r["a"], r["b"] + 1)}
+        want = {(i, j) for i in range(-30, 60) for j in range(-30, 60) if any(near((i + 0.5) * q, (j + 0.5) * q, s, d) for s in seg)}
+        assert got == want
+    ring = lambda *p: [dict(x=float(x), y=float(y)) for x, y in p]
+    plans = spark.createDataFrame([
+        (1, [ring((0, 0), (30, 0), (30, 30), (0, 30)), ring((10, 10), (20, 10), (20, 20), (10, 20))]), (2, [ring((500, 500), (510, 500), (505, 510))])],
+        "fid long, rings array<array<struct<x:double,y:double>>>")
+    cells = {(i, j) for i in range(20) for j in range(20) if not (10 <= (i + 0.5) * 1.5 < 20 and 10 <= (j + 0.5) * 1.5 < 20)}
+    want = len([c for c in cells if any(near((c[0] + 0.5) * 1.5, (c[1] + 0.5) * 1.5, s, 6.0) for s in seg)]) * 1.5 * 1.5
+    assert {r["fid"]: r["area"] for r in riparian_conflict(plans, river, 6.0, 1.5).collect()} == {1: want}
+    # A band along one straight line, in closed form up to its rim.
+    line = spark.createDataFrame([(0.0, 500.0, 1000.0, 500.0)], "ax double, ay double, bx double, by double")
+    field = spark.createDataFrame([(1, [ring((0, 0), (1000, 0), (1000, 1000), (0, 1000))])], plans.schema)
+    assert riparian_conflict(field, line, 20.0, 1.0).first()["area"] == 1000 * 40
+
+
+def test_long_rivers_cost_rows_by_scan_lines(spark):
+    from sylva.operators.regions import spans_near
+
+    line = spark.createDataFrame([(0.0, 0.0, 20_000.0, 20_000.0)], "ax double, ay double, bx double, by double")
+    assert spans_near(line, 50.0, 5.0).count() <= 20_000 / 5 + 2 * 50 / 5 + 2

@@ -7,6 +7,8 @@ and failure texts are narrow expressions without a shuffle. Runs stay compact
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -135,6 +137,84 @@ def _tours(first: np.ndarray, last: np.ndarray, starts: int) -> tuple[np.ndarray
     return walk, back
 
 
+class _OpenEnds:
+    """Run ends in square cells, for the nearest one that is still open.
+
+    Cells hold about two ends each; once three quarters are taken the rest is dealt
+    into larger cells, so a search looks at few cells from first to last and memory
+    is linear in the runs."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray):
+        self.first, self.last = first, last
+        self.open = np.ones(len(first), dtype=bool)
+        self._deal()
+
+    def _deal(self) -> None:
+        runs = np.flatnonzero(self.open)
+        self.left = self.dealt = len(runs)
+        xy = np.concatenate((self.first[runs], self.last[runs])) if len(runs) else np.zeros((1, 2))
+        self.low = xy.min(axis=0)
+        wide = xy.max(axis=0) - self.low
+        # Ends on one line have no area: then the length decides.
+        self.side = max(float(np.sqrt(wide[0] * wide[1] / max(1, len(runs)))), float(wide.max()) / max(1, len(runs)), 1e-9)
+        self.most = int(wide.max() / self.side) + 2
+        at = np.floor((xy - self.low) / self.side).astype(int)
+        order = np.lexsort((at[:, 1], at[:, 0]))
+        starts = np.flatnonzero(np.concatenate(([True], (at[order][1:] != at[order][:-1]).any(axis=1))))
+        owners = np.tile(runs, 2)[order] if len(runs) else np.zeros(0, dtype=int)
+        self.cells = {tuple(at[order[k]].tolist()): held for k, held in zip(starts.tolist(), np.split(owners, starts[1:]), strict=True)}
+
+    def take(self, run: int) -> None:
+        self.open[run] = False
+        self.left -= 1
+        if self.left and self.left * 4 < self.dealt:
+            self._deal()
+
+    def nearest(self, here: np.ndarray) -> tuple[int, bool]:
+        """(run, its last end is the nearer one); equal distances go to the lower run."""
+        i, j = np.floor((here - self.low) / self.side).astype(int).tolist()
+        # Cells on which the search comes in from outside are skipped at once.
+        reach = max(0, -i, -j, i - self.most, j - self.most)
+        best, k = (math.inf, -1, False), reach
+        while True:
+            ring = [(i + a, j + b) for a in range(-k, k + 1) for b in ((-k, k) if abs(a) < k else range(-k, k + 1))] if k else [(i, j)]
+            for cell in ring:
+                held = self.cells.get(cell)
+                if held is None:
+                    continue
+                held = self.cells[cell] = held[self.open[held]]
+                if not len(held):
+                    del self.cells[cell]
+                    continue
+                d0 = ((self.first[held] - here) ** 2).sum(axis=1)
+                d1 = ((self.last[held] - here) ** 2).sum(axis=1)
+                gap = np.minimum(d0, d1)
+                at = np.lexsort((held, gap))[0] if len(held) > 1 else 0
+                best = min(best, (float(gap[at]), int(held[at]), bool(d1[at] < d0[at])))
+            # All that isn't looked at yet is farther than k cells.
+            if best[1] >= 0 and best[0] < (k * self.side) ** 2:
+                return best[1], best[2]
+            if k > reach + 2 * self.most + 2:
+                return best[1], best[2]
+            k += 1
+
+
+def _long_tours(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_tours`` from the first run only, both directions, with ends in cells."""
+    n = len(first)
+    walk, back = np.zeros((2, n), dtype=np.int64), np.zeros((2, n), dtype=bool)
+    back[1, 0] = True
+    for w in range(2):
+        ends = _OpenEnds(first, last)
+        ends.take(0)
+        for step in range(1, n):
+            at = walk[w, step - 1]
+            run, rev = ends.nearest(first[at] if back[w, step - 1] else last[at])
+            walk[w, step], back[w, step] = run, rev
+            ends.take(run)
+    return walk, back
+
+
 _TOUR = T.StructType().add("walk", T.ArrayType(T.IntegerType())).add("back", T.ArrayType(T.BooleanType())).add("off", T.LongType())
 
 
@@ -145,7 +225,7 @@ def _best_walks(multi_start: int, ax, ay, bx, by, off_legs, longest, ring_x, rin
         first, last = np.column_stack([xa, ya]), np.column_stack([xb, yb])
         ends = np.cumsum(rn)
         rings = [list(zip(rx[e - n:e], ry[e - n:e])) for n, e in zip(rn, ends)]
-        walk, back = _tours(first, last, len(first) if len(first) <= multi_start else 1)
+        walk, back = _tours(first, last, len(first)) if len(first) <= multi_start else _long_tours(first, last)
         leave = np.where(back[:, :-1, None], first[walk[:, :-1]], last[walk[:, :-1]])
         enter = np.where(back[:, 1:, None], last[walk[:, 1:]], first[walk[:, 1:]])
         mid = (leave + enter) / 2.0
@@ -167,7 +247,9 @@ def order_runs(runs: DataFrame, areas: DataFrame, multi_start: int = MULTI_START
     ``multi_start`` runs every run and direction is tried as the start, in larger
     ones only the first run: a rule of the plan, not of its execution. The fewest
     legs outside wins, then the shortest longest leg, then the earliest start.
-    A block travels as one row of run ends, never with its waypoints."""
+    A block travels as one row of run ends, never with its waypoints; above
+    ``multi_start`` runs the nearest open end is found in cells, so work and memory
+    are about linear in the runs."""
     carried = ["run_id"] + [c for c in runs.columns if c not in ("fid", "run_id")]
     rows = runs.groupBy("fid").agg(F.array_sort(F.collect_list(F.struct(*carried))).alias("_runs"))
     @F.pandas_udf(_TOUR)

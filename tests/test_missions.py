@@ -148,3 +148,22 @@ def test_utm_round_trip(spark):
     assert abs(one["lat"]) < 1e-9 and abs(one["lon"] - 117) < 1e-9
     with pytest.raises(Exception, match="only UTM"):
         df.select(utm_to_wgs84(F.col("x"), F.col("y"), F.lit(3857))).collect()
+
+
+@pytest.mark.parametrize("n", [2, 12, 70, 5000])
+def test_tours_by_cells_equal_the_full_search(n):
+    rng = np.random.default_rng(n)
+    for shape in ("spread", "lanes", "line", "heap"):
+        if shape == "spread":
+            first, last = rng.uniform(0, 900, (n, 2)), rng.uniform(0, 900, (n, 2))
+        elif shape == "lanes":
+            x = np.repeat(np.arange(n), 1) * 7.0
+            first, last = np.column_stack([x, np.zeros(n)]), np.column_stack([x, 50.0 + np.arange(n) % 5])
+        elif shape == "line":
+            first = np.column_stack([rng.permutation(n) * 1.0, np.zeros(n)])
+            last = first + [0.5, 0.0]
+        else:
+            first = np.floor(rng.uniform(0, 4, (n, 2)))
+            last = np.where(rng.random((n, 1)) < 0.01, 5000.0, first)
+        a, b = mission._tours(first, last, 1), mission._long_tours(first, last)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()

@@ -315,6 +315,18 @@ def _(spark, sf):
     return s.select("found_all", "found_near", "truth_all", "truth_near", *[F.round(c, 6).alias(c) for c in ("correctness", "completeness", "f1")])
 
 
+# Two legs each, the true ones moved by (3 + fid % 5, 1): what lies within 4 m in closed form.
+@query("e2_buffer_lengths", "WITH " + I.ZIGZAGS + """, m AS (SELECT fid % 4 <> 0 AS kept, 3 + fid % 5 AS s FROM zig),
+l AS (SELECT sum(28.0::DOUBLE) AS fl, sum(CASE WHEN kept THEN 12 - greatest(0, s - sqrt(15)) + CASE WHEN s <= 4 THEN 16 ELSE 5 END ELSE 0 END) AS fn, sum(CASE WHEN kept THEN 28.0::DOUBLE ELSE 0 END) AS tl,
+  sum(CASE WHEN kept THEN least(12, 16 - s) + CASE s WHEN 3 THEN 16 WHEN 4 THEN 15 ELSE 0 END ELSE 0 END)::DOUBLE AS tn FROM m)
+SELECT fl AS found_length, round(fn, 6) AS found_near, tl AS truth_length, round(tn, 6) AS truth_near, round(fn / fl, 9) AS correctness, round(tn / tl, 9) AS completeness, round(2 * (fn / fl) * (tn / tl) / (fn / fl + tn / tl), 9) AS f1 FROM l""")
+def _(spark, sf):
+    found = I.zigzags(spark, sf)
+    truth = found.filter("fid % 4 <> 0").selectExpr("fid", "transform(path, p -> struct(p.x + 3 + fid % 5 AS x, p.y + 1 AS y)) AS path")
+    s = evaluate.buffer_lengths(found, truth, 4.0)
+    return s.select("found_length", F.round("found_near", 6).alias("found_near"), "truth_length", F.round("truth_near", 6).alias("truth_near"), *[F.round(c, 9).alias(c) for c in ("correctness", "completeness", "f1")])
+
+
 @query("e3_mask_score", "WITH " + I.MASK + """, t AS (SELECT row, col FROM pix WHERE kind = 'crown' AND k % 5 <> 0), c AS (SELECT count(*) FILTER (m.row IS NOT NULL AND t.row IS NOT NULL) AS tp, count(*) FILTER (t.row IS NULL) AS fp,
   count(*) FILTER (m.row IS NULL) AS fn FROM mask m FULL OUTER JOIN t ON m.row = t.row AND m.col = t.col)
 SELECT tp, fp, fn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round((tp + 0.000001) / (tp + fp + fn + 0.000001), 6)::DOUBLE AS iou FROM c""")

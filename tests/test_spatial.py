@@ -274,3 +274,36 @@ def test_long_rivers_cost_rows_by_scan_lines(spark):
 
     line = spark.createDataFrame([(0.0, 0.0, 20_000.0, 20_000.0)], "ax double, ay double, bx double, by double")
     assert spans_near(line, 50.0, 5.0).count() <= 20_000 / 5 + 2 * 50 / 5 + 2
+
+
+def test_lengths_within_a_buffer_equal_dense_sampling(spark):
+    from sylva.operators.evaluate import buffer_lengths, length_within
+
+    rng = np.random.default_rng(14)
+    paths = lambda n, k: [rng.uniform(0, 60, (k, 2)).tolist() for _ in range(n)]
+    a = paths(12, 4) + [[[5, 5], [5, 5]], [[10, 50], [50, 50]], [[7, 7]]]
+    b = paths(5, 3) + [[[20, 53], [30, 53]], [[20, 53], [30, 53]], [[40, 48], [40, 48]], [[12, 2], [12, 40]]]
+    frame = lambda ps: spark.createDataFrame([(i, [dict(x=float(x), y=float(y)) for x, y in p]) for i, p in enumerate(ps)], "fid long, path array<struct<x:double,y:double>>")
+    d = 3.5
+    segs = [(np.array(p[k]), np.array(p[k + 1])) for p in b for k in range(len(p) - 1) if p[k] != p[k + 1]]
+    length = near = 0.0
+    for p in a:
+        for s, e in zip(p, p[1:], strict=False):
+            s, e = np.array(s, float), np.array(e, float)
+            size = float(np.hypot(*(e - s)))
+            t = (np.arange(20_000) + 0.5) / 20_000
+            pts = s + t[:, None] * (e - s)
+            hit = np.zeros(len(t), bool)
+            for c, f in segs:
+                v = f - c
+                u = np.clip(((pts - c) @ v) / (v @ v), 0, 1)
+                hit |= np.hypot(*(pts - c - u[:, None] * v).T) <= d
+            length += size
+            near += size * hit.mean()
+    got = length_within(frame(a), frame(b), d).first()
+    assert abs(got["length"] - length) < 1e-6 and abs(got["near"] - near) < 1e-3 * near
+    # In closed form: 40 m along y = 50, within 3.5 of a stretch 3 m beside it.
+    alone = length_within(frame([[[10, 50], [50, 50]]]), frame([[[20, 53], [30, 53]]]), d).first()
+    assert abs(alone["near"] - (10 + 2 * np.sqrt(d * d - 9))) < 1e-9
+    none = buffer_lengths(frame(a).filter("false"), frame(b), d).first()
+    assert (none["found_length"], none["found_near"], none["truth_near"], none["f1"]) == (0.0, 0.0, 0.0, 0.0)

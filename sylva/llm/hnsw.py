@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import U, mix, query, table
-from sylva.session import materialize
+from sylva.session import materialize, spread
 
 K = 10
 M = 12
@@ -28,7 +28,7 @@ SEARCH_WIDTH = 192
 SHARD_POINTS = 4096
 QUERY_BLOCK = 512
 SALTS = 32
-INDEX = "shard int, points binary, place array<long>, layers array<int>, neighbours binary"
+INDEX = "shard int, dims int, points binary, place array<long>, layers array<int>, neighbours binary"
 
 
 def levels(n: int, m: int = M) -> np.ndarray:
@@ -143,17 +143,17 @@ def points(vectors: DataFrame, k: int = K) -> DataFrame:
 
 
 def build_index(own: DataFrame, shards: int, m: int = M, width: int = BUILD_WIDTH) -> DataFrame:
-    """One row for each shard of ``points``: vectors as float64, the points' ids, top layers, and all layers' links one after another."""
+    """One row for each shard and vector length of ``points``: vectors as float64, the points' ids, top layers, and all layers' links one after another."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point")
         v = np.stack(pdf["vector"].to_numpy()).astype(float)
         top, layers = build_graph(v, m, width)
         flat = np.concatenate([x.ravel() for x in layers]).astype("<i4").tobytes()
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "points": [v.tobytes()], "place": [pdf["point"].to_numpy()], "layers": [top], "neighbours": [flat]})
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "dims": pdf["dims"].iloc[:1], "points": [v.tobytes()], "place": [pdf["point"].to_numpy()], "layers": [top], "neighbours": [flat]})
 
-    dealt = own.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), "vector", "point")
-    return dealt.groupBy("shard").applyInPandas(build, INDEX)
+    dealt = own.select(F.pmod(F.xxhash64("point"), F.lit(shards)).cast("int").alias("shard"), F.size("vector").alias("dims"), "vector", "point")
+    return spread(dealt, "shard", "dims").groupBy("shard", "dims").applyInPandas(build, INDEX)
 
 
 def unpack_index(row, m: int = M) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -173,25 +173,23 @@ FOUND = "asked long, point long, d double"
 
 
 def search(index: DataFrame, shards: int, asked: DataFrame, k: int = K, width: int = SEARCH_WIDTH, m: int = M) -> DataFrame:
-    """(asked, point, d): for each row of (asked, vector), of every shard the k + 1 nearest points found.
+    """(asked, point, d): for each row of (asked, vector), of every shard the k + 1 nearest points of its length found.
 
     Queries go in blocks; each block meets each shard once."""
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.xxhash64("asked"), F.lit(blocks)).cast("int").alias("block")
     all_shards = F.sequence(F.lit(0), F.lit(shards - 1))
-    left = asked.select("asked", "vector", block, F.explode(all_shards).alias("shard")).groupBy("shard", "block")
-    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "block")
+    left = asked.select("asked", "vector", F.size("vector").alias("dims"), block, F.explode(all_shards).alias("shard")).groupBy("shard", "dims", "block")
+    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("shard", "dims", "block")
 
     def find(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(graph):
             v, place, top, layers = unpack_index(graph.iloc[0], m)
             for a, q in zip(queries["asked"], queries["vector"], strict=True):
-                q = np.asarray(q, float)
-                if q.size == v.shape[1]:
-                    got = search_graph(v, top, layers, q, width)
-                    got = sorted((float(np.sqrt(d)), int(place[i])) for d, i in got)[: k + 1]
-                    out += [(a, p, d) for d, p in got]
+                got = search_graph(v, top, layers, np.asarray(q, float), width)
+                got = sorted((float(np.sqrt(d)), int(place[i])) for d, i in got)[: k + 1]
+                out += [(a, p, d) for d, p in got]
         return pd.DataFrame(out, columns=["asked", "point", "d"]).astype({"asked": "int64", "point": "int64", "d": float})
 
     return left.cogroup(right).applyInPandas(find, FOUND)

@@ -33,6 +33,8 @@ def test_awkward_vectors_against_brute_force(spark):
     rows = [(i, [float(x) for x in r.normal(size=6).astype(np.float32)]) for i in range(260)]
     rows += [(1000 + i, rows[10][1]) for i in range(40)] + [(1100, rows[10][1])]
     rows += [(2000, None), (2100, [0.0] * 6), (2200, [float("nan")] * 6), (2300, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (2400, [float("inf")] + [1.0] * 5), (None, [1.0] * 6), (2500, [])]
+    # Other lengths meet only each other.
+    rows += [(3000 + i, [float(x) for x in r.normal(size=2 + i % 3)]) for i in range(30)]
     rows += [rows[20]] * 3
     df = spark.createDataFrame([(i, x, "e") for i, x in rows], "vec_id long, embedding array<float>, point string")
     got = {}

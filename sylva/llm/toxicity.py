@@ -41,7 +41,8 @@ SIGNS = {
 APART = frozenset(".-_*~'/ ")
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_INNER = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+(€£](?:[^\w\s]|[0-9])*[^\W\d_]|^[0-9@$|€£][^\W\d_]{2}|[^\W\d_]{2}[0-9@$|€£]$")
+# A letter, other marks, the first sign, marks and digits, a letter; runs are not given back, so a search is linear.
+_INNER = re.compile(r"[^\W\d_][^\w\s@$!|+(€£]*+[0-9@$!|+(€£](?:[^\w\s]|[0-9])*+[^\W\d_]|^[0-9@$|€£][^\W\d_]{2}|[^\W\d_]{2}[0-9@$|€£]$")
 _SPELLED = re.compile(r"[^\W_](?:[.\-_*~'/]+[^\W_]){2,}")
 _DOUBLE = re.compile(r"([^\W\d_]|[0-9@$!|+(€£])\1")
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$|")

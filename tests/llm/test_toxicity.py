@@ -85,3 +85,10 @@ def test_a_document_toxic_by_weak_signs_alone(spark):
     docs, labels = docs_and_labels(spark)
     ask = spark.createDataFrame([(i, f"{prose(910 + i, 20)} {w}") for i, w in enumerate(["grom-ble", "snerrkish", "snerk!$h", "grom.ble", "wall", "river!"])], "doc_id long, text string")
     assert {r["doc_id"] for r in drop_toxic(ask, learn(docs, labels)).collect()} == {4, 5}
+
+
+def test_long_runs_of_signs_are_searched_in_linear_time():
+    from sylva.llm.toxicity import _INNER
+
+    assert not _INNER.search("a" + "!" * 1_000_000 + "5")
+    assert _INNER.search("a" + ".!" * 200_000 + "5b") and _INNER.search("s!t") and _INNER.search("a.5-b") and not _INNER.search("a.-b")

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.projection import utm_to_wgs84
+from sylva.operators.field import require_projected
 from sylva.operators.mission import MULTI_START_RUNS, budget_cuts, corridor_points, coverage_points, cross_hatch, place_parts, timed
 from sylva.session import materialize
 
 
 def _finish(points: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Waypoints with parts, and one row of totals per plan."""
+    """Waypoints with parts, and one row of totals per plan.
+
+    Blocks that name their coordinate system (``wkid``) need a projected one."""
+    if "wkid" in blocks.columns:
+        wrong = F.col("wkid").isNull() | (F.col("wkid") == 4326)
+        stop = F.raise_error(F.lit("distances need a projected coordinate system")).cast(blocks.schema["speed"].dataType)
+        blocks = blocks.withColumn("speed", F.when(wrong, stop).otherwise(F.col("speed")))
     settings = blocks.select("fid", "altitude", "speed", "minutes")
     flown = materialize(timed(points.join(settings, "fid")))
     cuts = materialize(budget_cuts(flown))
@@ -53,4 +60,5 @@ def corridor_plan(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> tup
 
 def to_wgs84(waypoints: DataFrame, wkid: int) -> DataFrame:
     """Adds ``lat, lon`` for the mission files."""
+    require_projected(wkid)
     return waypoints.withColumn("_g", utm_to_wgs84(F.col("x"), F.col("y"), F.lit(wkid))).withColumn("lat", F.col("_g.lat")).withColumn("lon", F.col("_g.lon")).drop("_g")

@@ -16,7 +16,7 @@ from sylva.operators.regions import CELL, erase_points, label_plateaus
 from sylva.operators.stencil import BLUR_WINDOW_PX, peak_cells, refine_centroid
 from sylva.operators.verdicts import apply_verdicts, tree_crops
 from sylva.plans.clearing import cleared_cells
-from sylva.session import materialize
+from sylva.session import materialize, materialize_counted
 
 # Detection profiles, sizes in pixels at 5 cm.
 PROFILES = {
@@ -87,26 +87,29 @@ def detect_trees(
     every = number_rows(reduce(DataFrame.unionByName, parts).withColumnRenamed("fid", "_of_size"), ["raster_id", "_of_size"], "fid", start=0).drop("_of_size")
     kept = nms(materialize(every), keys=["raster_id"])
     m = in_metres(meta).select("raster_id", "xmin", "ymax", "px_size", "px_m")
-    trees = materialize(
+    n = F.count(F.lit(1))
+    trees, found = materialize_counted(
         kept.join(m, "raster_id").select(
             "fid", "raster_id", F.col("col").alias("px"), F.col("row").alias("py"),
             geo_x(F.col("col"), F.col("xmin"), F.col("px_size")).alias("geo_x"), geo_y(F.col("row"), F.col("ymax"), F.col("px_size")).alias("geo_y"),
-            F.bround(F.col("sigma") * F.col("px_m"), 2).alias("crown_r"), "sigma"))
-    found = ground = approved = final = trees
+            F.bround(F.col("sigma") * F.col("px_m"), 2).alias("crown_r"), "sigma"), n=n)
+    ground = approved = final = found
     if exclude_cleared:
-        ground = approved = final = materialize(drop_on_mask(found, cleared_cells(pixels, meta, CLEARED_FILTER_EXG, tile=tile)))
+        trees, ground = materialize_counted(drop_on_mask(trees, cleared_cells(pixels, meta, CLEARED_FILTER_EXG, tile=tile)), n=n)
+        approved = final = ground
     rejected = 0
     if replies is not None:
-        kept_, said = apply_verdicts(ground, replies, crops=tree_crops(ground, meta, int(p["sigma"])), trees=True)
-        approved = final = materialize(kept_)
+        kept_, said = apply_verdicts(trees, replies, crops=tree_crops(trees, meta, int(p["sigma"])), trees=True)
+        trees, approved = materialize_counted(kept_, n=n)
+        final = approved
         rejected = said.first()["rejected"]
     if exclude is not None:
-        placed = approved.withColumn("x", F.col("geo_x")).withColumn("y", F.col("geo_y"))
-        final = materialize(erase_points(placed, exclude).drop("x", "y"))
-    # Trees too near the rim to be shown to a model are dropped, but not as rejected.
-    summary = detection_summary(found, ground, approved, final).withColumn("rejected_by_ai_count", F.lit(rejected).cast("long"))
-    area = in_metres(meta).agg(F.sum(F.col("width") * F.col("height") * F.col("px_m") * F.col("px_m") / 10000.0)).first()[0]
-    return final, summary.withColumn("area_ha", F.lit(area))
+        placed = trees.withColumn("x", F.col("geo_x")).withColumn("y", F.col("geo_y"))
+        trees, final = materialize_counted(erase_points(placed, exclude).drop("x", "y"), n=n)
+    # Counts were observed while each step was written. Trees too near the rim to be shown to a model are dropped, but not as rejected.
+    area = in_metres(meta).agg(F.sum(F.col("width") * F.col("height") * F.col("px_m") * F.col("px_m") / 10000.0).alias("area_ha"))
+    counts = {"tree_count": final["n"], "filtered_cleared_count": found["n"] - ground["n"], "rejected_by_ai_count": rejected, "excluded_by_area_count": approved["n"] - final["n"]}
+    return trees, area.select(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()], "area_ha")
 
 
 def detection_summary(found: DataFrame, on_ground: DataFrame, approved: DataFrame, final: DataFrame) -> DataFrame:

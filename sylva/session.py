@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "sylva", **conf: str) -> SparkSession:
@@ -66,3 +66,10 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` with aggregates observed while the rows are written, so no second pass counts them."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[v.alias(k) for k, v in metrics.items()]))
+    return out, seen.get

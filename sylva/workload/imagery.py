@@ -12,6 +12,7 @@ from sylva.operators.outlines import outlines
 from sylva.operators.roads import trace_lines
 from sylva.plans.clearing import cleared_cells, detect_clearing
 from sylva.plans.roads import extract_roads
+from sylva.plans.terrain import slope_map
 from sylva.plans.trees import detect_trees, drop_on_mask
 from sylva.session import materialize
 from sylva.sources import readers, writers
@@ -297,6 +298,17 @@ def _(spark, sf):
     return S.slope(I.dem(spark, sf), 0.5).select("row", "col", F.round("slope", 6).alias("slope"))
 
 
+@query("p17_slope_map", "WITH " + I.DEM + """, g AS (SELECT row, col, lag(v) OVER rw AS w, v, lead(v) OVER rw AS e FROM dem WINDOW rw AS (PARTITION BY row ORDER BY col)),
+h AS (SELECT row, col, e - w AS dx, w + 2 * v + e AS sy FROM g),
+s AS (SELECT row, col, (lag(dx) OVER cw + 2 * dx + lead(dx) OVER cw) / 4.0 AS gx, (lead(sy) OVER cw - lag(sy) OVER cw) / 4.0 AS gy FROM h WINDOW cw AS (PARTITION BY col ORDER BY row)),
+p AS (SELECT row, col, 100.0::DOUBLE * sqrt(gx * gx + gy * gy) AS slope FROM s)
+SELECT row, col, round(slope, 6) AS slope, CASE WHEN slope IS NULL THEN NULL WHEN slope <= 15 THEN 'easy' WHEN slope <= 25 THEN 'moderate' WHEN slope <= 40 THEN 'difficult' ELSE 'restricted' END AS slope_class FROM p""")
+def _(spark, sf):
+    """The whole job: the raster must have one band, cell sizes come from its metadata."""
+    meta = I.meta(spark, sf).withColumn("bands", F.lit(1))
+    return slope_map(I.dem(spark, sf), meta).select("row", "col", F.round("slope", 6).alias("slope"), "slope_class")
+
+
 SEGMENT = WITH + f""", lab AS (SELECT row, col, CASE WHEN alpha > 0 THEN (row // 20) * 5 + col // 20 ELSE -1 END AS label, {EXG} AS exg, alpha > 0 AS valid FROM pix),
 m AS (SELECT label, avg(exg) AS m FROM lab WHERE label >= 0 GROUP BY label)"""
 

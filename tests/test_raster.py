@@ -492,3 +492,23 @@ def test_window_reads_open_only_the_folders_they_meet(spark, tmp_path):
     files = got.select(F.input_file_name().alias("f")).distinct().collect()
     assert {tuple(p for p in r["f"].split("/") if p.startswith("group_")) for r in files} == {("group_row=2", "group_col=1"), ("group_row=2", "group_col=2")}
     assert read_raster_window(spark, path, 200, 200, 5, 5, 8, 3).count() == 0
+
+
+def test_jobs_refuse_wrong_inputs(spark):
+    from sylva.plans.missions import coverage_plan, to_wgs84
+    from sylva.plans.terrain import slope_map
+
+    dem = spark.range(25).selectExpr("'a' AS raster_id", "CAST(id div 5 AS INT) AS row", "CAST(id % 5 AS INT) AS col", "CAST(id % 5 AS DOUBLE) * 0.25 AS v")
+    meta = spark.createDataFrame([("a", 0.0, 5.0, 0.5, 5, 5, 1, 32750)], "raster_id string, xmin double, ymax double, px_size double, width int, height int, bands int, wkid int")
+    got = {(r["slope"], r["slope_class"]) for r in slope_map(dem, meta).filter("row between 1 and 3 and col between 1 and 3").collect()}
+    assert got == {(50.0, "restricted")}
+    with pytest.raises(ValueError, match="one band"):
+        slope_map(dem, meta.withColumn("bands", F.lit(4)))
+    block = spark.createDataFrame([(1, [[dict(x=float(x), y=float(y)) for x, y in ((0, 0), (100, 0), (100, 100), (0, 100))]])], "fid long, rings array<array<struct<x:double,y:double>>>")
+    settings = dict(altitude=50.0, gsd=2.0, img_w=1000, img_h=1000, front=50.0, side=50.0, direction=0.0, speed=8.0, minutes=20.0)
+    block = block.withColumns({k: F.lit(v) for k, v in settings.items()})
+    with pytest.raises(Exception, match="projected"):
+        coverage_plan(block.withColumn("wkid", F.lit(4326)))
+    assert coverage_plan(block.withColumn("wkid", F.lit(32750)))[1].count() == 1
+    with pytest.raises(ValueError):
+        to_wgs84(block, 4326)

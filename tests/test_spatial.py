@@ -58,8 +58,12 @@ def test_distance_joins_plan_as_equi_joins(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = spark.range(2000).select(F.col("id").alias("fid"), (F.rand(1) * 1000).alias("x"), (F.rand(2) * 1000).alias("y"))
-        plan = compare.compare_detections(df, df)._jdf.queryExecution().explainString(
-            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        other = df.select("fid", (F.col("x") + 0.5).alias("x"), "y")
+        # The search itself, before its claims are written out.
+        plans = [nearest_within(df, other, 3.0, leaf=10_000), nearest_within(df, other, 3.0, leaf=2), compare.compare_detections(df, df)]
+        plan = "".join(p._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) for p in plans)
+        assert "Join" in plans[0]._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

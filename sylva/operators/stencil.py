@@ -198,32 +198,52 @@ def local_maxima(
     return df.filter(keep & F.col(sharp) if sharp else keep)
 
 
-def refine_centroid(peaks: DataFrame, pixels: DataFrame, meta: DataFrame, radius: int) -> DataFrame:
+def refine_centroid(peaks: DataFrame, pixels: DataFrame, meta: DataFrame, radius: int, tile: int = 512) -> DataFrame:
     """Move ``fid, raster_id, row, col`` to the weighted vegetation centroid.
 
-    ``pixels`` holds ``raster_id, row, col, exg, veg``. Pixels without weight
-    are never joined. A peak without weight stays where it is.
-    """
-    sized = with_size(peaks, meta)
-    rows = F.sequence(F.greatest(F.lit(0), F.col("row") - radius), F.least(F.col("height") - 1, F.col("row") + radius))
-    cols = F.sequence(F.greatest(F.lit(0), F.col("col") - radius), F.least(F.col("width") - 1, F.col("col") + radius))
-    window = sized.select("fid", "raster_id", F.col("row").alias("prow"), F.col("col").alias("pcol"), F.explode(rows).alias("row"), cols.alias("_cols"))
-    window = window.select("fid", "raster_id", "prow", "pcol", "row", F.explode("_cols").alias("col"))
-    weighing = pixels.filter(F.col("veg") & (F.col("exg") > 0)).select("raster_id", "row", "col", "exg")
-    dr, dc = F.col("row") - F.col("prow"), F.col("col") - F.col("pcol")
-    weight = F.col("exg") * F.exp(-(dr * dr + dc * dc) / F.lit(2 * (radius / 2.0) ** 2))
-    moved = (
-        window.join(weighing, ["raster_id", "row", "col"]).withColumn("_w", weight)
-        .groupBy("fid").agg(
-            F.sum("_w").alias("_t"), F.sum(F.col("_w") * F.col("row")).alias("_y"), F.sum(F.col("_w") * F.col("col")).alias("_x"))
-        .filter("_t > 0")
-        .select("fid", F.rint(F.col("_y") / F.col("_t")).cast("int").alias("_row"), F.rint(F.col("_x") / F.col("_t")).cast("int").alias("_col"))
-    )
-    return (
-        peaks.join(moved, "fid", "left")
-        .withColumn("row", F.coalesce("_row", "row")).withColumn("col", F.coalesce("_col", "col"))
-        .drop("_row", "_col")
-    )
+    ``pixels`` holds ``raster_id, row, col, exg, veg``. A peak without weight stays
+    where it is."""
+    return refine_peaks(peaks.withColumn("radius", F.lit(radius)), pixels, meta, radius, tile).drop("radius", "valid")
+
+
+def refine_peaks(peaks: DataFrame, pixels: DataFrame, meta: DataFrame, most: int, tile: int = 512) -> DataFrame:
+    """``refine_centroid`` with a ``radius`` (up to ``most``) for each peak, and ``valid``: whether the place moved to is.
+
+    ``pixels``: a pixel or tile table with ``exg, veg`` and, for ``valid``, that band.
+    One exchange of the raster serves all peaks: a tile has a rim as wide as the
+    largest radius and meets its own peaks only."""
+    tile = max(tile, 2 * most)
+    bands = ["exg", "veg"] + (["valid"] if "valid" in pixels.columns else [])
+    keys = ["raster_id", "_tr", "_tc", "height", "width"]
+    slim = pixels.select(*(TILE if is_tiles(pixels) else ["raster_id", "row", "col"]), *bands)
+    raster = tiled(slim, meta, tile, most)
+    at = lambda c: F.floor(F.col(c) / tile).cast("int")
+    # Written out: both sides may come from the same raster, and the cogroup must tell their columns apart.
+    asked = materialize(with_size(peaks.select("raster_id", "row", "col", "radius").distinct(), meta).withColumn("_tr", at("row")).withColumn("_tc", at("col")))
+
+    def kernel(key: tuple, own: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = Frame(key, tile, most)
+        exg = frame.grid(pdf, "exg", float)
+        weight = np.where(frame.grid(pdf, "veg", bool) & (exg > 0), exg, 0.0)
+        valid = frame.grid(pdf, "valid", bool) if "valid" in pdf.columns else None
+        r0, c0 = max(0, frame.row0 - most), max(0, frame.col0 - most)
+        out = []
+        for row, col, radius in zip(own["row"].tolist(), own["col"].tolist(), own["radius"].tolist(), strict=True):
+            top, left = max(r0, row - radius), max(c0, col - radius)
+            w = weight[top - r0:row + radius + 1 - r0, left - c0:col + radius + 1 - c0]
+            dr, dc = np.arange(top, top + w.shape[0]) - row, np.arange(left, left + w.shape[1]) - col
+            w = w * np.exp(-(dr[:, None] ** 2 + dc[None, :] ** 2) / (2 * (radius / 2.0) ** 2)) if radius else w
+            total = w.sum()
+            to = (row, col) if not total > 0 else (int(np.rint((w.sum(1) @ (dr + row)) / total)), int(np.rint((w.sum(0) @ (dc + col)) / total)))
+            out.append((key[0], row, col, radius, *to, bool(valid[to[0] - r0, to[1] - c0]) if valid is not None else None))
+        return pd.DataFrame(out, columns=["raster_id", "row", "col", "radius", "_row", "_col", "valid"])
+
+    moved = spread(asked, *keys).groupBy(*keys).cogroup(raster.groupBy(*keys)).applyInPandas(
+        kernel, "raster_id string, row int, col int, radius int, _row int, _col int, valid boolean")
+    kinds = dict(peaks.dtypes)
+    place = [F.col(f"_{c}").cast(kinds[c]).alias(c) for c in ("row", "col")]
+    return peaks.join(moved, ["raster_id", "row", "col", "radius"]).select(
+        *[c for c in peaks.columns if c not in ("row", "col")], *place, "valid")
 
 
 def slope(dem: DataFrame, px_size: float) -> DataFrame:
@@ -341,31 +361,35 @@ def _rectangles(tiles: DataFrame, tile: int, halo: int) -> DataFrame:
         (F.col("_rb") - F.col("_ra")).alias("h"), (F.col("_cb") - F.col("_ca")).alias("w"), *[part(b).alias(b) for b in bands])
 
 
-def over_tiles(
-    df: DataFrame, meta: DataFrame, tile: int, halo: int, schema: str,
-    kernel: Callable[[Frame, pd.DataFrame], pd.DataFrame],
-) -> DataFrame:
-    """Run a numpy kernel per tile on the tile's cells and those within ``halo``.
+def tiled(df: DataFrame, meta: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Cells with the tile (``_tr, _tc``) whose kernel needs them, dealt out by tile.
 
-    Groups are bounded by (tile + 2 halo) squared cells whatever the raster. A
-    tile table is exchanged as rectangles of bare values, which is several times
+    A tile table is exchanged as rectangles of bare values, which is several times
     less to shuffle than rows of pixels."""
     sized = with_size(df, meta)
     keys = ["raster_id", "_tr", "_tc", "height", "width"]
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(Frame(key, tile, halo), pdf)
-
     if is_tiles(df):
-        return spread(_rectangles(sized, tile, halo), *keys).groupBy(*keys).applyInPandas(run, schema)
+        return spread(_rectangles(sized, tile, halo), *keys)
 
     def tiles(axis: str, size: str) -> Column:
         first = F.greatest(F.lit(0), F.floor((F.col(axis) - halo) / tile).cast("int"))
         last = F.least(F.floor((F.col(size) - 1) / tile), F.floor((F.col(axis) + halo) / tile)).cast("int")
         return F.explode(F.sequence(first, last))
 
-    placed = sized.withColumn("_tr", tiles("row", "height")).withColumn("_tc", tiles("col", "width"))
-    return spread(placed, *keys).groupBy(*keys).applyInPandas(run, schema)
+    return spread(sized.withColumn("_tr", tiles("row", "height")).withColumn("_tc", tiles("col", "width")), *keys)
+
+
+def over_tiles(
+    df: DataFrame, meta: DataFrame, tile: int, halo: int, schema: str,
+    kernel: Callable[[Frame, pd.DataFrame], pd.DataFrame],
+) -> DataFrame:
+    """Run a numpy kernel per tile on the tile's cells and those within ``halo``.
+
+    Groups are bounded by (tile + 2 halo) squared cells whatever the raster."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return kernel(Frame(key, tile, halo), pdf)
+
+    return tiled(df, meta, tile, halo).groupBy("raster_id", "_tr", "_tc", "height", "width").applyInPandas(run, schema)
 
 
 def gaussian_taps(sigma: float) -> np.ndarray:

@@ -11,9 +11,9 @@ from sylva.functions.bands import CONFIDENCE_CUT, REFERENCE_GSD_M, brightness, e
 from sylva.operators.detections import IOU_CUT, box_nms, boxes_to_points
 from sylva.operators.graph import dedup, nms
 from sylva.operators.numbering import number_rows
-from sylva.operators.raster import as_pixels, in_metres, map_bands, of_cell_size, sizes_of
+from sylva.operators.raster import in_metres, map_bands, of_cell_size, sizes_of
 from sylva.operators.regions import CELL, erase_points, label_plateaus
-from sylva.operators.stencil import BLUR_WINDOW_PX, peak_cells, refine_centroid
+from sylva.operators.stencil import BLUR_WINDOW_PX, peak_cells, refine_peaks
 from sylva.operators.verdicts import apply_verdicts, tree_crops
 from sylva.plans.clearing import cleared_cells
 from sylva.session import materialize, materialize_counted
@@ -53,13 +53,11 @@ def tree_candidates(
     banded = map_bands(pixels, exg=exg, veg=lambda of: veg_mask(exg_threshold, of), valid=valid_mask, grey=brightness)
     blur = scaled(BLUR_WINDOW_PX, px_size, 5) if exclude_blurry else None
     peaks = materialize(peak_cells(banded, meta, scales, min_smooth, min_density, blur, tile))
-    moved, banded = {}, as_pixels(banded)
-    for s in scales:
-        points = label_plateaus(peaks.filter(F.col("sigma") == s)).withColumn("fid", F.struct("raster_id", "label"))
-        radius = s if refine_radius is None else scaled(refine_radius, px_size)
-        moved[s] = refine_centroid(points, banded, meta, radius)
-    firsts = first_per_place(scale_union(moved))
-    on_valid = firsts.join(banded.filter("valid").select(*CELL), CELL, "left_semi")
+    radii = {s: s if refine_radius is None else scaled(refine_radius, px_size) for s in scales}
+    found = {s: label_plateaus(peaks.filter(F.col("sigma") == s)).withColumn("radius", F.lit(r)) for s, r in radii.items()}
+    # All scales are moved in one exchange of the raster, which also tells whether their places are valid.
+    moved = refine_peaks(scale_union(found), banded, meta, max(radii.values()), tile)
+    on_valid = first_per_place(moved.filter("valid"))
     return number_rows(on_valid.withColumn("_s", -F.col("sigma")), ["raster_id", "_s", "label"], "fid", start=0).drop("_s", "label")
 
 

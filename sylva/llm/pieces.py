@@ -7,8 +7,10 @@ they are, and minus infinity else: the one path of weight 0 is the merges' resul
 
 A giant text is cut into chunks anywhere. What crosses a cut is a boundary state,
 the piece that covers the last character before it. A chunk gives the matrix of the
-best weights from each entry state to each exit state; matrices combine by max and
-plus; the best states at all cuts follow, and each chunk then gives its own pieces.
+best weights from each entry state to each exit state. Matrices combine by max and
+plus, which is associative: blocks of neighbours give the matrix of the block, level
+by level, until one block is left; the best states then come down the same levels to
+all cuts, and each chunk gives its own pieces.
 A place where no vocabulary piece can cross (any character, then a word mark) has
 one state whatever came before, so the words of a chunk are lattices of their own
 and are solved once for each distinct word.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import ahocorasick
 import numpy as np
@@ -32,7 +34,8 @@ from sylva.session import materialize
 VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 32_768
 MARK = "▁"
-MEMO = 100_000
+BLOCK = 64
+MEMO = 50_000
 PENALTY = 10.0  # fixed value: how far below the least score an unknown character is
 
 
@@ -224,15 +227,15 @@ class Chunk:
         return self.lattice.back(found, self.head - p) + self.middle + self.lattice.back(self.last, end - self.tail) + last
 
 
-def best_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each boundary, the text's two ends included, on the best path; of equals the first."""
-    ahead = [matrices[0][0]]
+def best_states(matrices: list[np.ndarray], first: int = 0, last: int = -1) -> list[int]:
+    """The state at each boundary of neighbouring chunks on the best path from state ``first`` to ``last`` (-1: the best); of equals the first."""
+    ahead = [matrices[0][first]]
     for m in matrices[1:]:
         ahead.append(product(ahead[-1][None], m)[0])
-    states = [int(ahead[-1].argmax())]
+    states = [int(ahead[-1].argmax()) if last < 0 else last]
     for k in range(len(matrices) - 1, 0, -1):
         states.append(int((ahead[k - 1] + matrices[k][:, states[-1]]).argmax()))
-    return [0, *states[::-1]]
+    return [first, *states[::-1]]
 
 
 class Model:
@@ -251,6 +254,10 @@ class Model:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.word_ids: dict[str, tuple[int, ...]] = {}
 
+    def longest(self) -> int:
+        """The characters of the longest piece."""
+        return max(map(len, self.by_id), default=1)
+
     @cached_property
     def lattice(self) -> Lattice:
         sp = self.sp
@@ -312,37 +319,86 @@ ENCODED = "row long, chunk int, ids array<int>"
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with row, chunk and ids (columns of these names are replaced): a row for each chunk of each text, in order of ``chunk``.
+    """``docs`` with row, chunk and ids (columns of these names are replaced) in place of the text: a row for each chunk of each text, in order of ``chunk``.
 
     Texts of at most ``chunk`` characters are one chunk. Others are dealt out chunk
-    by chunk; only their matrices meet, those of one text in one task (a string ends
-    at 2 GB, so at 65,536 of them), and entry states go back to the chunks. A null
-    or empty text is one chunk without ids."""
+    by chunk; only their matrices meet, ``BLOCK`` neighbours at a time, and entry
+    states go back to the chunks. A null or empty text is one chunk without ids.
+    Every row comes back, repeated ones too."""
     docs = docs.drop("row", "chunk", "ids")
-    return encode_whole(docs, vocabulary, kind, chunk).unionByName(encode_giant(docs, vocabulary, kind, chunk))
+    # Ids of rows are odd for whole texts and even for giant ones, so that they don't clash.
+    row = F.monotonically_increasing_id() * 2 + 1
+    whole = encode_whole(docs, vocabulary, kind, chunk).select(*[c for c in docs.columns if c != "text"], row.alias("row"), F.lit(0).alias("chunk"), "told.ids")
+    giant = giants(docs, chunk)
+    return whole.unionByName(giant.drop("text").join(encode_giant(giant, vocabulary, kind, chunk), "row"))
+
+
+def _ids(model: Model, text: str | None, ids: np.ndarray) -> tuple:
+    return (ids,)
+
 
+def encode_whole(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK, tell=_ids, schema: str = "ids array<int>") -> DataFrame:
+    """The texts of one chunk with ``told``, a struct of what ``tell`` makes of the model, a text and its ids."""
 
-def encode_whole(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
-    """The rows of ``encode`` for texts of one chunk."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = Model(vocabulary, kind)
         for texts in batches:
-            yield pd.Series([np.array(model.encode(model.normal(t)), np.int32) for t in texts], dtype=object)
+            for at in range(0, len(texts), 1024):
+                out = [tell(model, t, np.array(model.encode(model.normal(t)), np.int32)) for t in texts.iloc[at : at + 1024]]
+                yield pd.DataFrame(out, columns=names)
 
-    # Ids of rows are odd for whole texts and even for giant ones, so that they don't clash.
-    row = F.monotonically_increasing_id()
-    return docs.where(_size() <= chunk).select(
-        *docs.columns, (row * 2 + 1).alias("row"), F.lit(0).alias("chunk"), F.pandas_udf(whole, "array<int>")(F.col("text")).alias("ids"))
+    return docs.where(_size() <= chunk).withColumn("told", F.pandas_udf(whole, schema)(F.col("text")))
 
 
 def _size():
     return F.coalesce(F.length("text"), F.lit(0))
 
 
-def encode_giant(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
-    """The rows of ``encode`` for longer texts."""
-    giant = materialize(docs.where(_size() > chunk).withColumn("row", F.monotonically_increasing_id() * 2))
+def giants(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The longer texts of ``docs``, written once, with ``row``."""
+    return materialize(docs.where(_size() > chunk).withColumn("row", F.monotonically_increasing_id() * 2))
+
+
+def _matrices(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(m).reshape(-1, w) for m, w in zip(pdf["matrix"], pdf["width"], strict=True)]
+
+
+def _combined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The matrix of a block of neighbours."""
+    m = reduce(product, _matrices(pdf.sort_values("chunk")))
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "chunk": pdf["block"].iloc[:1], "width": [m.shape[1]], "matrix": [m.ravel()]})
+
+
+def _inside(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states of a block's members, given the block's own."""
+    pdf = pdf.sort_values("chunk")
+    states = best_states(_matrices(pdf), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]))
+    return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "i": states[:-1], "j": states[1:]})
+
+
+def scan(matrices: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(row, chunk, i, j): the states at both ends of every chunk, from (row, chunk, width, matrix).
+
+    Up and down over blocks of ``block`` neighbours: no group has more, and a text of
+    n chunks takes log n levels."""
+    most = matrices.agg(F.max("chunk")).first()[0] or 0
+    of_block = F.expr(f"cast(chunk div {block} as int)")
+    levels = [matrices]
+    while most >= block:
+        up = levels[-1].withColumn("block", of_block).groupBy("row", "block").applyInPandas(_combined, "row long, chunk int, width int, matrix array<double>")
+        levels.append(materialize(up))
+        most //= block
+    states = levels[-1].select("row").distinct().withColumns({"block": F.lit(0), "i": F.lit(0), "j": F.lit(-1)})
+    for level in levels[::-1]:
+        told = level.withColumn("block", of_block).join(states, ["row", "block"]).groupBy("row", "block")
+        states = materialize(told.applyInPandas(_inside, "row long, chunk int, i int, j int")).withColumnRenamed("chunk", "block")
+    return states.withColumnRenamed("block", "chunk")
+
+
+def encode_giant(giant: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+    """(row, chunk, ids) of the texts of ``giants``. The text itself isn't carried along: a chunk has its own part of it only."""
     parts = materialize(_cut(giant.select("row", "text"), vocabulary, chunk).repartition(F.col("row"), F.col("chunk")))
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,11 +407,6 @@ def encode_giant(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe
             found = [Chunk(lattice, *x).matrix() for x in zip(batch["left"], batch["body"], batch["right"], strict=True)]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "width": [m.shape[1] for m in found], "matrix": [m.ravel() for m in found]})
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        states = best_states([np.asarray(m).reshape(-1, w) for m, w in zip(pdf["matrix"], pdf["width"], strict=True)])
-        return pd.DataFrame({"row": pdf["row"], "chunk": pdf["chunk"], "i": states[:-1], "j": states[1:]})
-
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(vocabulary, kind)
         for batch in batches:
@@ -363,16 +414,15 @@ def encode_giant(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe
                    for a, b, c, i, j in zip(*(batch[x] for x in ("left", "body", "right", "i", "j")), strict=True)]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "ids": ids})
 
-    matrices = parts.mapInPandas(transfer, "row long, chunk int, width int, matrix array<double>")
-    states = materialize(matrices.groupBy("row").applyInPandas(scan, "row long, chunk int, i int, j int"))
+    states = scan(materialize(parts.mapInPandas(transfer, "row long, chunk int, width int, matrix array<double>")), block)
     traced = parts.join(states, ["row", "chunk"]).select("row", "chunk", "left", "body", "right", "i", "j").mapInPandas(trace, ENCODED)
-    return giant.join(traced, "row").select(*docs.columns, "row", "chunk", "ids")
+    return materialize(traced)
 
 
 def _cut(giant: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(vocabulary)
-        side = model.lattice.most
+        side = model.longest()
         size = max(chunk, 4 * side)
         for batch in batches:
             for row, text in batch.itertuples(index=False):
@@ -404,22 +454,27 @@ def digest(ids: np.ndarray) -> int:
         return int((mix((np.arange(len(ids)).astype(U) << U(32)) + ids.astype(U)) >> U(32)).sum())
 
 
+def _told(model: Model, text: str | None, ids: np.ndarray) -> tuple:
+    part = plain(model.decode(ids.tolist()))
+    return len(ids), digest(ids), len(part), part == (text or "")
+
+
 @query("op2_sentencepiece")
 def op2_sentencepiece(spark, sf_dir):
     """doc_id, n_tokens, ids_digest, n_chars_decoded and round_trip: whether decoding the ids gives the text, chunk by chunk of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = ["n_tokens", "ids_digest", "n_chars_decoded", "round_trip"]
+    one = encode_whole(docs, tell=_told, schema="n_tokens long, ids_digest long, n_chars_decoded long, round_trip boolean")
 
     def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = Model()
         for ids, k in batches:
             yield pd.DataFrame({"n": [len(x) for x in ids], "d": [digest(x) for x in ids], "part": [plain(model.decode(x.tolist()), first == 0) for x, first in zip(ids, k, strict=True)]})
 
+    giant = giants(docs)
     tell = F.pandas_udf(told, "n long, d long, part string")("ids", "chunk").alias("x")
-    one = encode_whole(docs).select("doc_id", "text", tell).select(
-        "doc_id", F.col("x.n").alias("n_tokens"), F.col("x.d").alias("ids_digest"), F.length("x.part").cast("long").alias("n_chars_decoded"),
-        (F.col("x.part") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    many = encode_giant(docs).select("doc_id", "row", "chunk", "text", tell).groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.sum("x.n").alias("n_tokens"), F.sum("x.d").alias("ids_digest"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "x.part"))), lambda x: x["part"]), "").alias("all"), F.first("text").alias("text"))
-    return one.unionByName(many.select(
-        "doc_id", "n_tokens", "ids_digest", F.length("all").cast("long").alias("n_chars_decoded"), (F.col("all") == F.col("text")).alias("round_trip")))
+    many = encode_giant(giant).select("row", "chunk", tell).groupBy("row").agg(
+        F.sum("x.n").alias("n_tokens"), F.sum("x.d").alias("ids_digest"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "x.part"))), lambda x: x["part"]), "").alias("all")).join(giant, "row")
+    return one.select("doc_id", "told.*").unionByName(many.select(
+        "doc_id", "n_tokens", "ids_digest", F.length("all").cast("long").alias("n_chars_decoded"), (F.col("all") == F.col("text")).alias("round_trip")).select("doc_id", *names))

@@ -5,7 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sylva.llm.pieces import Chunk, Lattice, Model, best_states, decode, encode, product
+from sylva.llm.pieces import Chunk, Lattice, Model, best_states, decode, encode, encode_giant, giants, product, scan
 from tests.llm.fixtures import awkward, prose
 
 
@@ -72,3 +72,29 @@ def test_tables(spark, library):
     want = sorted(((r["doc_id"], library.encode(r["text"] or ""), r["text"] or "") for r in docs.collect()), key=key)
     assert [x[1:] for x in have] == [x[1:] for x in want]
     assert encode(docs.where("false")).count() == 0
+
+
+def test_blocks_of_any_size_find_the_best_path(spark):
+    r = np.random.default_rng(4)
+    rows, want = [], {}
+    for row, n in ((2, 1), (4, 7), (6, 30)):
+        width = [1, *r.integers(1, 5, n - 1), 1]
+        ms = [r.integers(0, 1000, (a, b)) * 1.0 for a, b in zip(width, width[1:], strict=False)]
+        rows += [(row, k, m.shape[1], m.ravel().tolist()) for k, m in enumerate(ms)]
+        states = best_states(ms)
+        want |= {(row, k): (states[k], states[k + 1]) for k in range(n)}
+    table = spark.createDataFrame(rows, "row long, chunk int, width int, matrix array<double>")
+    for block in (2, 3, 64):
+        assert {(x["row"], x["chunk"]): (x["i"], x["j"]) for x in scan(table, block).collect()} == want
+    assert scan(table.where("false")).count() == 0
+
+
+def test_a_giant_in_many_blocks(spark, library):
+    texts = [(1, prose(5, 2500)), (2, "nevertheless" * 400)]
+    giant = giants(spark.createDataFrame(texts, "doc_id long, text string"), 100)
+    got = encode_giant(giant, chunk=100, block=8)
+    assert got.columns == ["row", "chunk", "ids"]
+    ids = {}
+    for x in sorted(got.join(giant, "row").collect(), key=lambda x: x["chunk"]):
+        ids.setdefault(x["doc_id"], []).extend(x["ids"])
+    assert ids == {i: library.encode(t) for i, t in texts}

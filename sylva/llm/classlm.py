@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ def neighbours(docs: DataFrame, words: list[bytes], cls: np.ndarray, kinds: int,
     classes; without, no such rows are made. A task sums over as many tokens as it holds."""
     far, end = len(words), kinds - 1
 
-    def sums(texts: list[np.ndarray], met: dict[bytes, int]) -> Iterator[pd.DataFrame]:
+    def sums(texts: list[np.ndarray], met: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         x = np.concatenate([np.full(1, -1), *texts])
         k = np.where(x < 0, end, cls[np.minimum(x, far)])
         p, q, a, b = x[:-1], x[1:], k[:-1], k[1:]
@@ -158,25 +159,28 @@ def neighbours(docs: DataFrame, words: list[bytes], cls: np.ndarray, kinds: int,
         both = (p >= far) & (q >= far) & apart
         key = np.concatenate((q[left & ~both] * 2 * kinds + a[left & ~both], p[right & ~both] * 2 * kinds + kinds + b[right & ~both]))
         key, n = np.unique(key, return_counts=True)
-        name = np.array([*words, *met, None], object)[:-1]
-        out = [(name[key // (2 * kinds)], np.full(len(key), None), key % (2 * kinds), n)]
+        name = pa.array([*words, *met], pa.binary())
+        many = len(name)
+        out = [(key // (2 * kinds), None, key % (2 * kinds), n)]
         if apart:
             key, n = np.unique((a * kinds + b)[~left & ~right], return_counts=True)
-            out.append((np.full(len(key), None), np.full(len(key), None), key, n))
-            key, n = np.unique(p[both] * len(name) + q[both], return_counts=True)
-            out.append((name[key // len(name)], name[key % len(name)], np.zeros(len(key), int), n))
+            out.append((None, None, key, n))
+            key, n = np.unique(p[both] * many + q[both], return_counts=True)
+            out.append((key // many, key % many, np.zeros(len(key), int), n))
         for w, v, c, n in out:
             for i in range(0, len(n), 50_000):
-                yield pd.DataFrame({"w": w[i : i + 50_000], "v": v[i : i + 50_000], "c": c[i : i + 50_000], "n": n[i : i + 50_000]})
+                part = slice(i, i + 50_000)
+                w_v = [pa.nulls(len(n[part]), pa.binary()) if y is None else name.take(pa.array(y[part])) for y in (w, v)]
+                yield pa.RecordBatch.from_arrays([*w_v, pa.array(c[part], pa.int32()), pa.array(n[part], pa.int64())], ["w", "v", "c", "n"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(words)}
         met: dict[bytes, int] = {}
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch["text"]:
-                t = tokens(text)
+            for text in batch.column(0):
+                t = tokens(text.as_py())
                 x = np.array([*[number.get(w, far) for w in t], -1], int)
                 for i in np.flatnonzero(x == far):
                     x[i] = far + met.setdefault(t[i], len(met))
@@ -188,7 +192,7 @@ def neighbours(docs: DataFrame, words: list[bytes], cls: np.ndarray, kinds: int,
         if held:
             yield from sums(held, met)
 
-    return docs.select("text").mapInPandas(count, "w binary, v binary, c int, n long")
+    return docs.select("text").mapInArrow(count, "w binary, v binary, c int, n long")
 
 
 def assign(found: DataFrame, step: np.ndarray, size: np.ndarray) -> DataFrame:
@@ -293,6 +297,12 @@ def learn(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, n
 _SCORED = "n_tokens long, n_known long, base_score double, score double, far array<struct<w: binary, a: int, b: int, n: long>>, pairs array<struct<w: binary, v: binary, n: long>>"
 
 
+def _lists(owner: np.ndarray, owners: int, **fields: pa.Array) -> pa.ListArray:
+    """For each of ``owners`` owners the list of its entries; ``owner`` ascends."""
+    at = np.searchsorted(owner, np.arange(owners + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score, log10 probabilities of the whole text, in place of the text (columns of these names are replaced).
 
@@ -312,25 +322,51 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base_end = float(np.log10(n_end + SMOOTH) - np.log10(base_low))
     words = [w for w, _ in near]
 
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    of_number = np.append(cls[:-1], -1)  # words beyond the near ones: not known before the join
+
+    def told(held: list[np.ndarray], met: dict[bytes, int]) -> pa.StructArray:
+        """What several texts are told by, each given by its words' numbers and -1 at its end."""
+        far, texts = len(words), len(held)
+        size = np.array([len(x) for x in held])
+        row = np.repeat(np.arange(texts), size)
+        x = np.concatenate([np.full(1, -1), *held])
+        k = np.where(x < 0, end, of_number[np.minimum(x, far)])
+        p, q, this = k[:-1], k[1:], x[1:]
+        both, word = (p >= 0) & (q >= 0), this >= 0
+        total = np.bincount(row[both], step[p[both], q[both]], texts) + np.bincount(row[word], emit[np.minimum(this[word], far)], texts).astype(float)
+        plain = np.bincount(row[word], base[np.minimum(this[word], far)], texts) + base_end
+        at = np.flatnonzero(this >= far)
+        names = pa.array(list(met), pa.binary())
+        many, kinds1 = max(1, len(met)), kinds + 1
+        key, n = np.unique(((row[at] * many + this[at] - far) * kinds1 + k[at] + 1) * kinds1 + k[at + 2] + 1, return_counts=True)
+        owner, w = np.divmod(key // kinds1**2, many)
+        one = _lists(owner, texts, w=names.take(pa.array(w)), a=pa.array(key // kinds1 % kinds1 - 1, pa.int32()), b=pa.array(key % kinds1 - 1, pa.int32()), n=pa.array(n))
+        at = at[x[at + 2] >= far]
+        key, n = np.unique((row[at] * many + this[at] - far) * many + x[at + 2] - far, return_counts=True)
+        owner, w = np.divmod(key // many, many)
+        two = _lists(owner, texts, w=names.take(pa.array(w)), v=names.take(pa.array(key % many)), n=pa.array(n))
+        known = size - 1 - np.bincount(row[this >= far], minlength=texts) + (n_end > 0)
+        fields = {"n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(plain), "score": pa.array(total), "far": one, "pairs": two}
+        return pa.StructArray.from_arrays(list(fields.values()), list(fields))
+
+    @F.arrow_udf(_SCORED)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         number = {w: i for i, w in enumerate(words)}
-        far_no = len(words)
+        far = len(words)
         for texts in batches:
-            rows = []
+            held, met, size = [], {}, 0
             for text in texts:
-                t = tokens(text)
-                x = np.array([number.get(w, far_no) for w in t], int)
-                k = np.concatenate(([end], cls[x], [end]))
-                away = np.concatenate(([False], x == far_no, [False]))
-                k[away] = -1  # not known before the join
-                at = np.flatnonzero(away)
-                far = Counter((t[i - 1], int(k[i - 1]), int(k[i + 1])) for i in at)
-                pairs = Counter((t[i - 1], t[i]) for i in at if away[i + 1])
-                plain = ~(away[:-1] | away[1:])
-                total = step[k[:-1][plain], k[1:][plain]].sum() + emit[x].sum()
-                rows.append((len(t) + 1, len(t) - len(at) + (n_end > 0), base[x].sum() + base_end, total,
-                             [{"w": w, "a": a, "b": b, "n": n} for (w, a, b), n in far.items()], [{"w": w, "v": v, "n": n} for (w, v), n in pairs.items()]))
-            yield pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "score", "far", "pairs"])
+                t = tokens(text.as_py())
+                x = np.array([*[number.get(w, far) for w in t], -1], int)
+                for i in np.flatnonzero(x == far):
+                    x[i] = far + met.setdefault(t[i], len(met))
+                held.append(x)
+                size += len(x)
+                if size >= FLUSH:
+                    yield told(held, met)
+                    held, met, size = [], {}, 0
+            if held:
+                yield told(held, met)
 
     @F.pandas_udf("double")
     def one_word(c: pd.Series, k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -343,7 +379,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pd.Series(step[k.to_numpy(int), after.to_numpy(int)])
 
     row = F.monotonically_increasing_id()
-    part = materialize(docs.select(box(docs, "text"), row.alias("_row"), F.pandas_udf(of, _SCORED)("text").alias("_x")))
+    part = materialize(docs.select(box(docs, "text"), row.alias("_row"), of("text").alias("_x")))
     known, unknown = model.counts.select("w", F.col("n").alias("c"), "k"), F.lit(rest)
     # Only words that are not near meet the table of counts and classes.
     far = part.select("_row", F.explode("_x.far").alias("f")).select("_row", "f.*").join(known, "w", "left")

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from sylva.llm.secrets import RULES, SHARD_TEXTS, build_index, candidates, find_secrets, redact, span_text, trigram_query
+from sylva.llm.secrets import RULES, SHARD_TEXTS, Rule, build_index, candidates, find_secrets, redact, span_text, trigram_query
 from tests.llm.fixtures import awkward
 
 TEXTS = [
@@ -55,3 +55,37 @@ def test_redaction_and_awkward_rows(spark):
 def test_native_plan(spark):
     plan = find_secrets(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_queries_come_from_patterns():
+    of = lambda p: trigram_query(Rule("x", p))
+    assert of("abc(d|ef)g") == [["abc", "bcd", "cdg"], ["abc", "bce", "cef", "efg"]]
+    assert of("ab?cd") == [["abc", "bcd"], ["acd"]] and of("(?i:KEY)[0-9]+end") == [["end", "key"]]
+    assert of("a.b") == [] and of("(abc)*x") == [] and of("(abc|d.e)") == [] and of("(abc)+xyz") == [["abc", "xyz"]]
+    assert of("^(foo.*bar|quux)$") == [["foo"], ["quu", "uux"]] or of("^(foo.*bar|quux)$") == [["bar"], ["quu", "uux"]]
+
+
+def test_index_of_each_rule_against_a_full_scan(spark):
+    extra = ["xoxs-ABCDEFGHIJK", "gho_" + "Z9" * 20, "eyJabcdefgh.eyJabcdefgh.abcdefgh", "-----BEGIN PRIVATE KEY-----", 'API_KEY":"abcdefg', "PassWd=abcdefg", "secret'=abcdefg"]
+    texts = [(t,) for t in TEXTS + extra]
+    for rule in RULES:
+        got = find_secrets(spark.createDataFrame(texts, "text string"), (rule,)).select("text", "spans").collect()
+        for r in got:
+            assert len(r["spans"]) == sum(len(m[rule.group]) >= rule.least for m in re.finditer(rule.pattern, r["text"] or "", re.ASCII))
+
+
+def test_very_many_matches_in_a_text(spark):
+    n = 100_000
+    text = "é token=abcdef" * n
+    docs = spark.createDataFrame([(text,)], "text string")
+    found = find_secrets(docs)
+    spans = found.selectExpr("size(spans) AS n", "element_at(spans, -1).end AS e", "element_at(spans, 257).start AS s").first()
+    assert (spans["n"], spans["e"], spans["s"]) == (n, len(text), 256 * 14 + 2)
+    assert redact(found).first()["text"] == "é [SECRET]" * n
+
+
+def test_overlapping_and_touching_spans(spark):
+    spans = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    rows = [("0123456789", [(0, 0, "a", 3), (1, 1, "b", 2), (3, 0, "a", 4), (6, 0, "a", 7)]), ("abc", [(0, 0, "a", 3)]), ("abc", [])]
+    got = redact(spark.createDataFrame(rows, f"text string, spans {spans}"), "#")
+    assert sorted(r["text"] for r in got.collect()) == ["#", "#45#789", "abc"]

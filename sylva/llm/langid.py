@@ -17,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import query, remainder, table
 from sylva.session import materialize
 
 ORDER = 4
-STATES = 4096
+STATES = 2048
 SAMPLE_DOCS = 1000
 LEAST_CONTEXT = 16
 STEP = 256
@@ -34,9 +34,10 @@ PREDICTED = "lang_pred string, score double, bits_per_byte double"
 
 @dataclass
 class Model:
-    """``step[s, b]``: the next state; ``bits[s, b, l]``: code length of byte b in state s for language l."""
+    """``step[s, b]``: the next state; ``bits[s, b]``: code length of byte b in state s; ``first``: each language's first state."""
 
     langs: list[str]
+    first: np.ndarray
     step: np.ndarray
     bits: np.ndarray
 
@@ -67,14 +68,15 @@ def learn(docs: DataFrame, order: int = ORDER, states: int = STATES, sample_docs
 
     It is fitted on a sample: of each language, those rows whose id hash falls
     under ``sample_docs`` divided by the language's row count, so about
-    ``sample_docs`` whole texts or all there are. Contexts met less than
-    ``LEAST_CONTEXT`` times are dropped, and ``states`` of the most frequent are
-    kept, which bounds the model. Without any row the model knows no language."""
+    ``sample_docs`` whole texts or all there are. A language's contexts that it met
+    less than ``LEAST_CONTEXT`` times are dropped, and its ``states`` most frequent
+    ones are kept, which bounds the model at 2 kB a context, however many texts the
+    other languages have. Without any row the model knows no language."""
     rows = docs.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
     langs = [r["lang"] for r in sizes]
     if not langs:
-        return Model([], np.zeros((1, 256), np.int32), np.zeros((1, 256, 0), np.float32))
+        return Model([], np.zeros(0, np.int32), np.zeros((0, 256), np.int32), np.zeros((0, 256), np.float32))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
@@ -90,13 +92,19 @@ def learn(docs: DataFrame, order: int = ORDER, states: int = STATES, sample_docs
     grams = sample.mapInPandas(count, "lang_no int, k int, code long, n long").groupBy("lang_no", "k", "code").agg(F.sum("n").alias("n"))
     context = F.shiftright("code", 8)
     grams = materialize(grams.withColumn("context", context))
-    best = grams.groupBy("k", "context").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_CONTEXT) | (F.col("k") == 0))
-    kept = best.orderBy(F.desc("n"), "k", "context").limit(states)  # the model's size, not a cap on data
-    rows = grams.join(F.broadcast(kept.select("k", "context")), ["k", "context"]).select("lang_no", "k", "context", "code", "n").toPandas()
-    return _model(langs, rows)
-
-
-def _model(langs: list[str], rows: pd.DataFrame) -> Model:
+    best = grams.groupBy("lang_no", "k", "context").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_CONTEXT) | (F.col("k") == 0))
+    place = F.row_number().over(Window.partitionBy("lang_no").orderBy(F.desc("n"), "k", "context"))
+    kept = best.withColumn("place", place).where(F.col("place") <= states)  # the model's size, not a cap on data
+    own = ["lang_no", "k", "context"]
+    rows = grams.join(F.broadcast(kept.select(*own)), own).select(*own, "code", "n").toPandas()
+    trees = [_tree(rows[rows["lang_no"] == i]) for i in range(n_langs)]
+    first = np.cumsum([0, *[len(step) for step, _ in trees]])[:-1].astype(np.int32)
+    step = np.concatenate([step + at for (step, _), at in zip(trees, first, strict=True)])
+    return Model(langs, first, step, np.concatenate([bits for _, bits in trees]))
+
+
+def _tree(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Next states and code lengths of one language, from its counts of contexts and next bytes."""
     contexts = sorted({(int(k), int(c)) for k, c in zip(rows["k"], rows["context"], strict=True)} | {(0, 0)})
     place = {x: i for i, x in enumerate(contexts)}
 
@@ -119,20 +127,19 @@ def _model(langs: list[str], rows: pd.DataFrame) -> Model:
             if kk > top:
                 kk, cc = top, cc & ((1 << 8 * top) - 1)
             step[i, b] = place[kk, cc] if (kk, cc) in place else shorter(kk, cc)
-    p = np.zeros((size, 256, len(langs)))
-    seen = np.zeros((size, 256, len(langs)))
+    p, seen = np.zeros((size, 256)), np.zeros((size, 256))
     at = np.array([place[int(k), int(c)] for k, c in zip(rows["k"], rows["context"], strict=True)], int)
-    np.add.at(seen, (at, rows["code"].to_numpy(np.int64) & 255, rows["lang_no"].to_numpy(int)), rows["n"].to_numpy(float))
+    np.add.at(seen, (at, rows["code"].to_numpy(np.int64) & 255), rows["n"].to_numpy(float))
     for i, (k, _) in enumerate(contexts):  # shorter contexts come first
-        below = p[up[i]] if k else np.full((256, len(langs)), 1 / 256)
-        n, q = seen[i].sum(0), (seen[i] > 0).sum(0)
+        below = p[up[i]] if k else np.full(256, 1 / 256)
+        n, q = seen[i].sum(), (seen[i] > 0).sum()
         free = np.where(seen[i] > 0, 0.0, below)
-        rest = free.sum(0)
-        # Where all bytes have followed, or the context is new to the language, nothing or all is shared out.
-        escape = np.where(n == 0, 1.0, np.where(rest > 0, q / np.maximum(n + q, 1), 0.0))
-        own = seen[i] / np.maximum(np.where(rest > 0, n + q, n), 1)
-        p[i] = own + free * (escape / np.maximum(rest, 1e-300))
-    return Model(langs, step, (-np.log2(p)).astype(np.float32))
+        rest = free.sum()
+        # Where all bytes have followed, or nothing is known, nothing or all is shared out.
+        escape = 1.0 if n == 0 else q / (n + q) if rest > 0 else 0.0
+        own = seen[i] / max(n + q if rest > 0 else n, 1)
+        p[i] = own + free * (escape / max(rest, 1e-300))
+    return step, (-np.log2(p)).astype(np.float32)
 
 
 def code_lengths(model: Model, texts: list[str], step_bytes: int = STEP) -> np.ndarray:
@@ -159,15 +166,15 @@ def code_lengths(model: Model, texts: list[str], step_bytes: int = STEP) -> np.n
     end = np.minimum(start + step_bytes, (begin + lengths)[owner])
     begin = begin[owner]
     data = np.frombuffer(joined, np.uint8)
-    state = np.zeros(len(start), np.int32)
+    state = np.tile(model.first, (len(start), 1))
     total = np.zeros((len(start), len(model.langs)))
     place = start - early
-    flat_step, flat_bits = model.step.reshape(-1), model.bits.reshape(-1, len(model.langs))
+    flat_step, flat_bits = model.step.reshape(-1), model.bits.reshape(-1)
     for t in range(early + step_bytes):
         live = (place >= begin) & (place < end)
         at = np.flatnonzero(live)
         if len(at):
-            cell = state[at].astype(np.int64) * 256 + data[place[at]]
+            cell = state[at].astype(np.int64) * 256 + data[place[at], None]
             if t >= early:
                 total[at] += flat_bits[cell]
             state[at] = flat_step[cell]

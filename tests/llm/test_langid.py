@@ -17,7 +17,7 @@ def docs(spark):
     return spark.createDataFrame([(20 * i + j, t * 3, k) for i, (k, ts) in enumerate(LANGS.items()) for j, t in enumerate(ts * 5)], "doc_id long, text string, lang string")
 
 
-def brute_bits(texts, all_texts, text, order, least, states):
+def brute_bits(texts, text, order, least, states):
     """Code length by the definition, with dictionaries and recursion."""
     def counts(ts):
         out = {}
@@ -29,8 +29,8 @@ def brute_bits(texts, all_texts, text, order, least, states):
                     c[b[i]] = c.get(b[i], 0) + 1
         return out
 
-    own, union = counts(texts), counts(all_texts)
-    kept = sorted((c for c in union if not c or sum(union[c].values()) >= least), key=lambda c: (-sum(union[c].values()), len(c), c))[:states]
+    own = counts(texts)
+    kept = sorted((c for c in own if not c or sum(own[c].values()) >= least), key=lambda c: (-sum(own[c].values()), len(c), c))[:states]
     kept = set(kept) | {b""}
 
     def p(context, x):
@@ -53,15 +53,23 @@ def test_exact_code_lengths(docs):
     model = learn(docs, order=3)
     assert model.langs == ["en", "fr"]
     assert np.allclose(np.exp2(-model.bits.astype(float)).sum(1), 1, atol=1e-4)
-    every = [t * 3 for ts in LANGS.values() for t in ts * 5]
     for text in ("the stone", "la pierre était", "xyz?", "été" * 9):
-        want = [brute_bits([t * 3 for t in LANGS[k] * 5], every, text, 3, 16, 4096) for k in model.langs]
+        want = [brute_bits([t * 3 for t in LANGS[k] * 5], text, 3, 16, 2048) for k in model.langs]
         assert code_lengths(model, [text])[0] == pytest.approx(want, rel=1e-4)
     # However a text is cut, its code is as long.
     long = "the green river " * 90
     assert code_lengths(model, ["ab", long], 7)[1] == pytest.approx(code_lengths(model, [long])[0], rel=1e-5)
 
 
+def test_contexts_of_a_language_do_not_depend_on_the_others(spark, docs):
+    alone = learn(docs.where("lang = 'fr'"), states=40)
+    more = docs.unionByName(docs.selectExpr("doc_id + 100 as doc_id", "repeat(text, 20) as text", "'long' as lang"))
+    both = learn(more, states=40)
+    text = "les autres pierres"
+    assert code_lengths(both, [text])[0][both.langs.index("fr")] == pytest.approx(code_lengths(alone, [text])[0][0])
+    assert len(both.step) <= 3 * 40
+
+
 def test_predictions(spark, docs):
     model = learn(docs)
     ask = spark.createDataFrame([(1, "the other horses of the river"), (2, "les autres chevaux de la pierre"), (3, None), (4, ""), (5, "123 !!"), (6, "ééé")], "doc_id long, text string")

@@ -19,6 +19,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ FEATURES = 1500
 LEAST_DOCS = 7
 LETTERS = 96
 THRESHOLD = 0.7
-BEAM = 24
 MEMO = 400_000
+FLUSH = 250_000
 
 # What a sign may stand for.
 SIGNS = {
@@ -50,6 +51,21 @@ _OUTER = "".join(c for c in _EDGE if c not in SIGNS)
 SIGN_COST, DROP_COST, APART_COST, KEEP_COST, EDGE_COST = -1.0, -0.7, -0.5, -4.0, -2.0
 
 
+def trigrams(words: Counter) -> Counter:
+    """Counts of three letters in a row; blanks stand for the edges of a word, two of them before it."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        s = f"  {w} "
+        for i in range(len(w) + 1):
+            out[s[i : i + 3]] += n
+    return out
+
+
+def _numbers(letters: list[str]) -> dict[str, int]:
+    """Numbers from 2 on; 0 is the edge of a word, 1 any other sign."""
+    return {" ": 0} | {c: i + 2 for i, c in enumerate(sorted(letters))}
+
+
 @dataclass
 class Letters:
     """log P(letter | two before); 0 is the edge of a word, 1 any other sign."""
@@ -61,22 +77,25 @@ class Letters:
     def fit(cls, counts: Counter, most: int = LETTERS) -> Letters:
         """``counts`` of words. Letters beyond the ``most`` most frequent are other signs."""
         freq: Counter = Counter()
-        for w, n in counts.items():
-            for c in w:
-                freq[c] += n
-        chosen = sorted(sorted(freq, key=lambda c: (-freq[c], c))[:most])
-        number = {c: i + 2 for i, c in enumerate(chosen)}
-        a = len(number) + 2
-        tri = np.zeros((a, a, a))
-        for w, n in counts.items():
-            x = [0, 0, *(number.get(c, 1) for c in w), 0]
-            for p, q, r in zip(x, x[1:], x[2:], strict=False):
-                tri[p, q, r] += n
+        tri = trigrams(counts)
+        for g, n in tri.items():
+            freq[g[2]] += n
+        del freq[" "]
+        number = _numbers(sorted(freq, key=lambda c: (-freq[c], c))[:most])
+        cells = np.zeros([len(number) + 1] * 3)
+        for (p, q, r), n in tri.items():
+            cells[number.get(p, 1), number.get(q, 1), number.get(r, 1)] += n
+        return cls.of_cells(number, cells)
+
+    @classmethod
+    def of_cells(cls, number: dict[str, int], tri: np.ndarray) -> Letters:
+        """``tri[p, q, r]``: how often letter r follows p and q, by numbers."""
+        a = len(tri)
         bi, uni = tri.sum(0), tri.sum((0, 1))
         p1 = (uni + 0.5) / (uni.sum() + 0.5 * a)
         p2 = (bi + 5 * p1) / (bi.sum(1, keepdims=True) + 5)
         p3 = (tri + 5 * p2[None]) / (tri.sum(2, keepdims=True) + 5)
-        return cls(number, np.log(p3))
+        return cls({c: i for c, i in number.items() if i}, np.log(p3))
 
     def decode(self, seen: str, doubled: bool = False) -> str:
         """The likeliest reading of a disguised string; words in it are set apart by spaces.
@@ -86,7 +105,8 @@ class Letters:
         logp, number = self.logp, self.number
         first = len(seen) - len(seen.lstrip(_EDGE))
         last = len(seen.rstrip(_EDGE))
-        paths = {(0, 0): (0.0, "")}
+        # The best way to each pair of last letters, with its characters as a chain; the pairs are few, since a sign has two letters at most.
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for i, c in enumerate(seen):
             if c in APART:
                 ways = [("", APART_COST), (" ", APART_COST)]
@@ -98,7 +118,7 @@ class Letters:
                 ways.append(("", EDGE_COST))
             if i and c == seen[i - 1] and c not in APART and not doubled:
                 ways.append(("", DROP_COST))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (p, q), (score, out) in paths.items():
                 for x, cost in ways:
                     if not x:
@@ -109,11 +129,14 @@ class Letters:
                         r = number.get(x, 1)
                         state, s = (q, r), score + cost + logp[p, q, r]
                     if state not in after or s > after[state][0]:
-                        after[state] = (s, out + x)
-            if len(after) > BEAM:
-                after = dict(sorted(after.items(), key=lambda kv: -kv[1][0])[:BEAM])
+                        after[state] = (s, (out, x) if x else out)
             paths = after
-        return max(((s + logp[p, q, 0], out) for (p, q), (s, out) in paths.items()), default=(0, ""))[1]
+        chain = max(((s + logp[p, q, 0], (p, q), out) for (p, q), (s, out) in paths.items()), key=lambda e: e[:2])[2]
+        read = []
+        while chain:
+            chain, x = chain
+            read.append(x)
+        return "".join(reversed(read))
 
 
 @dataclass
@@ -205,13 +228,46 @@ class Model:
         return score
 
 
+def learn_letters(docs: DataFrame, most: int = LETTERS) -> Letters:
+    """The letter model of all words of all texts.
+
+    Its counts are made where the texts are; a table of at most (``most`` + 2)**3
+    numbers comes to the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            tri = trigrams(words)
+            return pa.RecordBatch.from_arrays([pa.array(list(tri), pa.string()), pa.array(list(tri.values()), pa.int64())], ["g", "n"])
+
+        words: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                words.update(w for w in t.as_py().lower().split() if w.isalpha())
+                if len(words) >= FLUSH:
+                    yield told()
+                    words = Counter()
+        yield told()
+
+    found = docs.where("text is not null").select("text").mapInArrow(count, "g string, n long")
+    tri = materialize(found.groupBy("g").agg(F.sum("n").alias("n")))
+    last = tri.groupBy(F.substring("g", 3, 1).alias("c")).agg(F.sum("n").alias("n")).where("c <> ' '")
+    number = _numbers([r["c"] for r in last.orderBy(F.desc("n"), "c").limit(most).collect()])
+    code = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])
+    of = [F.coalesce(code[F.substring("g", i, 1)], F.lit(1)).alias(k) for i, k in ((1, "p"), (2, "q"), (3, "r"))]
+    cells = np.zeros([len(number) + 1] * 3)
+    for r in tri.groupBy(*of).agg(F.sum("n").alias("n")).collect():
+        cells[r["p"], r["q"], r["r"]] = r["n"]
+    return Letters.of_cells(number, cells)
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_features: int = FEATURES) -> Model:
     """A model from documents with a label.
 
     It is fitted on a sample: labelled rows whose id hash falls under
     ``sample_rows`` divided by their number, so about ``sample_rows`` whole texts
-    or all there are. Of several labels of an id the highest counts; null ids and
-    labels teach nothing. Without rows every text scores 0.5."""
+    or all there are; the letter model counts all texts. Of several labels of an id
+    the highest counts; null ids and labels teach nothing. Without rows every text
+    scores 0.5."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = marked.count()
     draw = F.pmod(F.xxhash64(F.lit("tox"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
@@ -219,16 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, n_
     # About sample_rows pairs of numbers, whatever the input.
     rows = materialize(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c: Counter = Counter()
-            for t in batch["text"]:
-                c.update(w for w in t.lower().split() if w.isalpha())
-            yield pd.DataFrame({"w": list(c), "n": list(c.values())})
-
-    # The letter model is a table of bounded size; its words come in by frequency, the tail adds nothing to it.
-    common = rows.mapInPandas(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(50_000)
-    letters = Letters.fit(Counter({r["w"]: r["n"] for r in common.toLocalIterator()}))
+    letters = learn_letters(docs)
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer = Restorer(letters)

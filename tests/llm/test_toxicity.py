@@ -1,8 +1,11 @@
+import time
 from collections import Counter
+from itertools import product
 
+import numpy as np
 import pytest
 
-from sylva.llm.toxicity import Letters, Restorer, drop_toxic, learn, score
+from sylva.llm.toxicity import _EDGE, DROP_COST, EDGE_COST, KEEP_COST, SIGN_COST, SIGNS, Letters, Restorer, drop_toxic, learn, learn_letters, score
 from tests.llm.fixtures import awkward, prose
 
 BAD = ["gromble", "snerkish"]
@@ -14,6 +17,41 @@ def letters():
     return Letters.fit(PLAIN)
 
 
+def test_letter_model_counts_every_word(spark):
+    words = ["river", "stone", "ärger", "x"] * 3 + [f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    texts = [(" ".join(words[i : i + 7]).title() + " 3d, c4",) for i in range(0, len(words), 7)] + [(None,), ("",)]
+    got, want = learn_letters(spark.createDataFrame(texts, "text string").repartition(5)), Letters.fit(Counter(words))
+    assert got.number == want.number and np.allclose(got.logp, want.logp)
+    few = learn_letters(spark.createDataFrame(texts, "text string"), most=5)
+    assert few.number == Letters.fit(Counter(words), 5).number and np.allclose(few.logp, Letters.fit(Counter(words), 5).logp)
+
+
+def test_reading_is_the_likeliest_of_all():
+    letters = Letters.fit(PLAIN)
+    number, logp = letters.number, letters.logp
+
+    def worth(out, cost):
+        x = [0, 0, *(number.get(c, 1) for c in out), 0]
+        return cost + sum(logp[p, q, r] for p, q, r in zip(x, x[1:], x[2:], strict=False))
+
+    for seen in ("5t0n3", "1!1et7er", "w|!1ter", "$$um+3r", "r!!v|1e3r", "91|!20"):
+        first, last = len(seen) - len(seen.lstrip(_EDGE)), len(seen.rstrip(_EDGE))
+        ways = []
+        for i, c in enumerate(seen):
+            way = [(x, SIGN_COST) for x in SIGNS[c]] + [(c, KEEP_COST)] if c in SIGNS else [(c, 0.0)]
+            way += [("", EDGE_COST)] * (c in SIGNS and not first <= i < last) + [("", DROP_COST)] * (i > 0 and c == seen[i - 1])
+            ways.append(way)
+        best = max(worth("".join(x for x, _ in path), sum(c for _, c in path)) for path in product(*ways))
+        got = letters.decode(seen)
+        assert best == pytest.approx(max(worth("".join(x for x, _ in path), sum(c for _, c in path)) for path in product(*ways) if "".join(x for x, _ in path) == got))
+
+
+def test_a_long_disguise_is_read_in_linear_time():
+    start = time.monotonic()
+    assert len(Letters.fit(PLAIN).decode("a" + "1!" * 100_000 + "b")) > 0
+    assert time.monotonic() - start < 60
+
+
 @pytest.mark.parametrize("seen, word", [("gr0mble", "gromble"), ("sn3rk!sh", "snerkish"), ("grooooomble", "gromble"), ("g.r.o.m.b.l.e", "gromble"),
                                         ("$nerkish", "snerkish"), ("gromb1e", "gromble"), ("wea7her", "weather"), ("letttter", "letter"), ("str33t", "street")])
 def test_disguises_are_seen_through(letters, seen, word):

@@ -190,10 +190,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, si
     return materialize(both.where(F.pandas_udf(similar, "double")("text_a", "text_b") >= similarity).select("a", "b"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(rep, comp) of every linked text."""
+def _labels(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """(rep, comp) of every linked text; with ``label``, that of the links before, only its components are joined by new ``links``."""
+    if label is not None:
+        for side in ("a", "b"):
+            known = label.select(F.col("rep").alias(side), F.col("comp").alias("comp"))
+            links = links.join(known, side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
     found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return materialize(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")))
+    found = found.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    if label is not None:
+        found = materialize(found)
+        # A component is named by its least text, so what is joined keeps that.
+        moved = label.join(found.select(F.col("rep").alias("comp"), F.col("comp").alias("now")), "comp", "left").select("rep", F.coalesce("now", "comp").alias("comp"))
+        found = moved.unionByName(found.join(label.select("rep"), "rep", "left_anti"))
+    return materialize(found)
 
 
 def _within(members: DataFrame, reps: DataFrame, least: float, best_only: bool = False, block: int = BLOCK) -> DataFrame:
@@ -280,8 +290,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     shared = members.where("rep <> hub").groupBy("hub", "rep").agg(F.count(F.lit(1)).alias("n"))
     nearest = shared.groupBy("rep").agg(F.max(F.struct("n", (-F.col("hub")).alias("o"))).alias("m"))
     once = materialize(nearest.select((-F.col("m.o")).alias("a"), F.col("rep").alias("b")))
-    links = _verified(materialize(_plausible(once, reps, plausible)), docs, reps, width, similarity)
-    label = _labels(links)
+    label = _labels(_verified(materialize(_plausible(once, reps, plausible)), docs, reps, width, similarity))
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -290,8 +299,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     of_hub = placed(members.where("rep = hub")).select("b", F.col("comp").alias("of_hub"))
     other = placed(members.where("rep <> hub")).join(of_hub, "b").where("comp <> of_hub")
     again = materialize(other.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(once, ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(materialize(_plausible(again, reps, plausible)), docs, reps, width, similarity))
-    label = _labels(links)
+    label = _labels(_verified(materialize(_plausible(again, reps, plausible)), docs, reps, width, similarity), label)
     tried = once.unionByName(again)
     # Last within buckets: the likeliest pair of any two components, and then all that is left between components.
     for best_only in (True, False):
@@ -300,8 +308,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
         rest = _within(open_.join(mixed, "b", "left_semi"), reps, plausible, best_only)
         rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
         tried = tried.unionByName(rest)
-        links = links.unionByName(_verified(rest, docs, reps, width, similarity))
-        label = _labels(links)
+        label = _labels(_verified(rest, docs, reps, width, similarity), label)
     named = reps.join(label, "rep", "left").select("key", "doc_id", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
     heads = materialize(named.groupBy("comp").agg(best).select("comp", F.coalesce(F.col("r.doc_id"), -1 - F.col("comp")).alias("class_id"), F.col("r.k1").alias("h1"), F.col("r.k2").alias("h2")))

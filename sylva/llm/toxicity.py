@@ -53,12 +53,14 @@ SIGN_COST, DROP_COST, APART_COST, KEEP_COST, EDGE_COST = -1.0, -0.7, -0.5, -4.0,
 
 def trigrams(words: Counter) -> Counter:
     """Counts of three letters in a row; blanks stand for the edges of a word, two of them before it."""
-    out: Counter = Counter()
-    for w, n in words.items():
-        s = f"  {w} "
-        for i in range(len(w) + 1):
-            out[s[i : i + 3]] += n
-    return out
+    if not words:
+        return Counter()
+    letter = np.frombuffer("".join(f"  {w} " for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    word = np.repeat(np.arange(len(words)), [len(w) + 3 for w in words])
+    at = np.flatnonzero(word[:-2] == word[2:])
+    key, place = np.unique(letter[at] << 42 | letter[at + 1] << 21 | letter[at + 2], return_inverse=True)
+    n = np.bincount(place, np.array(list(words.values()), float)[word[at]])
+    return Counter({chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): int(m) for k, m in zip(key.tolist(), n, strict=True)})
 
 
 def _numbers(letters: list[str]) -> dict[str, int]:
@@ -242,7 +244,7 @@ def learn_letters(docs: DataFrame, most: int = LETTERS) -> Letters:
         words: Counter = Counter()
         for batch in batches:
             for t in batch.column(0):
-                words.update(w for w in t.as_py().lower().split() if w.isalpha())
+                words.update([w for w in t.as_py().lower().split() if w.isalpha()])
                 if len(words) >= FLUSH:
                     yield told()
                     words = Counter()

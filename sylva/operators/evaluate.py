@@ -10,7 +10,7 @@ from sylva.operators.compare import compare_detections
 from sylva.operators.edges import crossed_cells
 from sylva.operators.mission import resample_line
 from sylva.operators.spatial import explode_around, nearest_within
-from sylva.session import materialize
+from sylva.session import materialize, meet
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -49,7 +49,7 @@ def buffer_score(found: DataFrame, truth: DataFrame, d: float, step: float) -> D
     """Share of each network within d of the other, measured on points every
     ``step`` along both (``fid, path``)."""
     def points(lines: DataFrame) -> DataFrame:
-        return resample_line(lines, step).select(F.struct("fid", "k").alias("fid"), "x", "y")
+        return materialize(resample_line(lines, step).select(F.struct("fid", "k").alias("fid"), "x", "y"))
     a, b = points(found), points(truth)
     def share(p: DataFrame, q: DataFrame, name: str) -> DataFrame:
         near = nearest_within(p, q, d, inclusive=True)
@@ -109,7 +109,7 @@ def length_within(lines: DataFrame, others: DataFrame, d: float) -> DataFrame:
     own = materialize(line_segments(lines))
     there = crossed_cells(line_segments(others).select("ax", "ay", "bx", "by").distinct(), side)
     there = explode_around(there).select("i", "j", *[F.col(a).alias(b) for a, b in (("ax", "cx"), ("ay", "cy"), ("bx", "ex"), ("by", "ey"))]).distinct()
-    pairs = crossed_cells(own, side).join(there, ["i", "j"]).drop("i", "j").distinct()
+    pairs = meet(crossed_cells(own, side), there, ["i", "j"]).drop("i", "j").distinct()
     lane = Window.partitionBy("fid", "k").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
     size = distance(*[F.col(c) for c in ("ax", "ay", "bx", "by")])
     met = _near_stretch(pairs, d).filter("lo is not null").select("fid", "k", "lo", "hi", size.alias("_size")).withColumn("_done", F.max("hi").over(lane))

@@ -1,5 +1,7 @@
 """What only larger tables show: numbers beyond an int, plans whose sizes Spark can't know."""
 
+from sylva.operators.evaluate import length_within
+from sylva.operators.spatial import nearest_within
 from sylva.workload import inputs
 
 
@@ -8,3 +10,25 @@ def test_heights_beyond_the_square_root_of_an_int(spark, tmp_path):
     spark.createDataFrame([(row * 100 + 7,) for row in rows], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["row"]: r["v"] for r in inputs.dem(spark, str(tmp_path)).collect()}
     assert got == {row: (row * row + 3 * 7 * 7 + row * 7) / 64 for row in rows}
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def generated(spark, n=50):
+    """Points that Spark takes for as small as the rows they are made from."""
+    df = spark.range(n).selectExpr("id AS fid", "explode(sequence(0, 20)) AS k")
+    return df.selectExpr("fid * 100 + k AS fid", "CAST(fid * 64 + k AS DOUBLE) AS x", "CAST(k AS DOUBLE) AS y")
+
+
+def test_points_made_by_rows_are_not_broadcast(spark):
+    a = generated(spark)
+    assert broadcasts(nearest_within(a, a, 4.0, inclusive=True)) == 0
+    assert broadcasts(nearest_within(a, a, 4.0, leaf=2)) == 0
+
+
+def test_segments_are_not_broadcast(spark):
+    lines = spark.range(50).selectExpr("id AS fid", "array(struct(id * 64D AS x, 0D AS y), struct(id * 64D + 12 AS x, 0D AS y)) AS path")
+    # What is left are the joins of one row with one row.
+    assert broadcasts(length_within(lines, lines, 4.0)) <= 1

@@ -19,7 +19,7 @@ from sylva.functions.geometry import (
     distance, high, let, low, pin, point_in_rings, rotate_ring, rotate_x, rotate_y, vertical_crossings,
 )
 from sylva.operators.edges import edges_of
-from sylva.session import materialize, spread
+from sylva.session import materialize, meet, spread
 
 # Planner defaults and limits.
 DEFAULTS = dict(altitude=100.0, gsd=5.0, img_w=4000, img_h=3000, front=80.0, side=70.0, direction=0.0, speed=8.0, minutes=20.0)
@@ -101,14 +101,14 @@ def coverage_runs(blocks: DataFrame) -> DataFrame:
 
 
 def _inside(px: np.ndarray, py: np.ndarray, rings: list) -> np.ndarray:
-    """Even-odd test of many points against one block's rings."""
+    """Even-odd test of many points against rings of corners; a corner is two numbers, or two columns of one for each block."""
     odd = np.zeros(px.shape, dtype=bool)
     for ring in rings:
         for k, (xi, yi) in enumerate(ring):
             xj, yj = ring[k - 1]
-            if yi == yj:
-                continue
-            odd ^= ((yi > py) != (yj > py)) & (px < (xj - xi) * (py - yi) / (yj - yi) + xi)
+            # A level edge is met by no point: its other corner is as good as any.
+            rise = np.where(yi == yj, 1.0, yj - yi)
+            odd ^= ((yi > py) != (yj > py)) & (px < (xj - xi) * (py - yi) / rise + xi)
     return odd
 
 
@@ -215,25 +215,76 @@ def _long_tours(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nda
     return walk, back
 
 
+def _walks_and_scores(first: np.ndarray, last: np.ndarray, rings: np.ndarray, lengths: tuple, multi_start: int) -> tuple[np.ndarray, ...]:
+    """Walks of blocks with equally many runs and ring corners, all blocks side by side.
+
+    ``first, last``: (blocks, runs, 2); ``rings``: (blocks, corners, 2). Returns walk and
+    direction, (blocks, walks, runs), legs outside and the longest leg, (blocks, walks)."""
+    blocks, n = first.shape[:2]
+    at = np.arange(blocks)[:, None]
+    if n > multi_start:
+        walk, back = (np.stack(v) for v in zip(*[_long_tours(first[b], last[b]) for b in range(blocks)], strict=True))
+    else:
+        walk, back = _tours_of(first, last)
+    block = at[:, :, None]
+    leave = np.where(back[:, :, :-1, None], first[block, walk[:, :, :-1]], last[block, walk[:, :, :-1]])
+    enter = np.where(back[:, :, 1:, None], last[block, walk[:, :, 1:]], first[block, walk[:, :, 1:]])
+    mid = (leave + enter) / 2.0
+    cut = np.cumsum(lengths)
+    corners = [rings[:, e - k:e] for k, e in zip(lengths, cut, strict=True)]
+    sides = [[tuple(r[:, k, c][:, None, None] for c in (0, 1)) for k in range(r.shape[1])] for r in corners]
+    off = (~_inside(mid[..., 0], mid[..., 1], sides)).sum(axis=2)
+    legs = np.sqrt(((enter - leave) ** 2).sum(axis=3))
+    return walk, back, off, legs.max(axis=2, initial=0.0)
+
+
+def _tours_of(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_tours`` of many blocks from every run of each: (blocks, 2 * runs, runs).
+
+    The way from each end to each other is measured once; a step picks from it."""
+    blocks, n = first.shape[:2]
+    ends = np.stack((first, last), axis=2).reshape(blocks, 2 * n, 2)
+    d0 = ((first[:, None, :, :] - ends[:, :, None, :]) ** 2).sum(axis=3)
+    d1 = ((last[:, None, :, :] - ends[:, :, None, :]) ** 2).sum(axis=3)
+    least = np.minimum(d0, d1)
+    walk = np.empty((blocks, 2 * n, n), dtype=np.int64)
+    back = np.zeros((blocks, 2 * n, n), dtype=bool)
+    walk[:, :, 0] = np.repeat(np.arange(n), 2)
+    back[:, 1::2, 0] = True
+    todo = np.ones((blocks, 2 * n, n), dtype=bool)
+    at, rows = np.arange(blocks)[:, None], np.arange(2 * n)[None, :]
+    todo[at, rows, walk[:, :, 0]] = False
+    for step in range(1, n):
+        here = 2 * walk[:, :, step - 1] + ~back[:, :, step - 1]
+        pick = np.where(todo, least[at, here], np.inf).argmin(axis=2)
+        walk[:, :, step] = pick
+        back[:, :, step] = d1[at, here, pick] < d0[at, here, pick]
+        todo[at, rows, pick] = False
+    return walk, back
+
+
 _TOUR = T.StructType().add("walk", T.ArrayType(T.IntegerType())).add("back", T.ArrayType(T.BooleanType())).add("off", T.LongType())
+#: Distances from run end to run end that are held at once.
+HELD = 1 << 20
 
 
 def _best_walks(multi_start: int, ax, ay, bx, by, off_legs, longest, ring_x, ring_y, ring_n) -> pd.DataFrame:
     """Best walk over the runs of each block; one row is one block."""
-    out = []
-    for xa, ya, xb, yb, inner, most, rx, ry, rn in zip(ax, ay, bx, by, off_legs, longest, ring_x, ring_y, ring_n):
-        first, last = np.column_stack([xa, ya]), np.column_stack([xb, yb])
-        ends = np.cumsum(rn)
-        rings = [list(zip(rx[e - n:e], ry[e - n:e])) for n, e in zip(rn, ends)]
-        walk, back = _tours(first, last, len(first)) if len(first) <= multi_start else _long_tours(first, last)
-        leave = np.where(back[:, :-1, None], first[walk[:, :-1]], last[walk[:, :-1]])
-        enter = np.where(back[:, 1:, None], last[walk[:, 1:]], first[walk[:, 1:]])
-        mid = (leave + enter) / 2.0
-        off = (~_inside(mid[..., 0], mid[..., 1], rings)).sum(axis=1) + int(np.sum(inner))
-        legs = np.sqrt(((enter - leave) ** 2).sum(axis=2))
-        score = np.maximum(legs.max(axis=1, initial=0.0), np.max(most))
-        best = np.lexsort((np.arange(len(off)), score, off))[0]
-        out.append((walk[best].astype("int32"), back[best], int(off[best])))
+    out: list = [None] * len(ax)
+    alike: dict[tuple, list[int]] = {}
+    for k, (xs, rn) in enumerate(zip(ax, ring_n, strict=True)):
+        alike.setdefault((len(xs), tuple(int(v) for v in rn)), []).append(k)
+    pairs = lambda x, y, some: np.stack((np.stack([x.iat[k] for k in some]), np.stack([y.iat[k] for k in some])), axis=2).astype(float)
+    for (n, lengths), members in alike.items():
+        size = max(1, HELD // (2 * n * n)) if n <= multi_start else 1
+        for at in range(0, len(members), size):
+            some = members[at:at + size]
+            walk, back, off, legs = _walks_and_scores(pairs(ax, ay, some), pairs(bx, by, some), pairs(ring_x, ring_y, some), lengths, multi_start)
+            off = off + np.array([int(np.sum(off_legs.iat[k])) for k in some])[:, None]
+            score = np.maximum(legs, np.array([np.max(longest.iat[k]) for k in some])[:, None])
+            best = np.lexsort((np.broadcast_to(np.arange(off.shape[1]), off.shape), score, off), axis=-1)[:, 0]
+            for b, k in enumerate(some):
+                out[k] = (walk[b, best[b]].astype("int32"), back[b, best[b]], int(off[b, best[b]]))
     return pd.DataFrame(out, columns=["walk", "back", "off"])
 
 
@@ -263,7 +314,7 @@ def order_runs(runs: DataFrame, areas: DataFrame, multi_start: int = MULTI_START
         "fid", F.transform(flat, lambda p: p["x"]).alias("_rx"), F.transform(flat, lambda p: p["y"]).alias("_ry"),
         F.transform("rings", lambda r: F.size(r)).alias("_rn"))
     ends = [F.col("_runs")[c] for c in ("ax", "ay", "bx", "by", "off_legs", "longest")]
-    toured = rows.join(shapes, "fid").withColumn("_t", _tour(*ends, "_rx", "_ry", "_rn")).drop("_rx", "_ry", "_rn")
+    toured = meet(rows, shapes, "fid", unique=True).withColumn("_t", _tour(*ends, "_rx", "_ry", "_rn")).drop("_rx", "_ry", "_rn")
     steps = toured.select("fid", "_runs", F.col("_t.off").alias("off_polygon_legs"), F.posexplode(F.arrays_zip("_t.walk", "_t.back")).alias("pos", "_s"))
     return steps.select("fid", F.element_at("_runs", F.col("_s.walk") + 1).alias("_r"), "pos", F.col("_s.back").alias("reversed"), "off_polygon_legs").select(
         "fid", "_r.*", "pos", "reversed", "off_polygon_legs")
@@ -326,7 +377,7 @@ def timed(points: DataFrame, chunk: int = CHUNK) -> DataFrame:
     before = Window.partitionBy("fid").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = legs.groupBy("fid", "_chunk").agg(F.sum("_s").alias("_sum")).withColumn(
         "_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    return part.join(base.select("fid", "_chunk", "_base"), ["fid", "_chunk"]).withColumn(
+    return meet(part, base.select("fid", "_chunk", "_base"), ["fid", "_chunk"], unique=True).withColumn(
         "t", F.col("_base") + F.col("_in")).drop("_base", "_in", "_s")
 
 
@@ -508,24 +559,40 @@ def corridor_lanes(blocks: DataFrame) -> DataFrame:
     box = dict(_xa=low(pts, "x"), _xb=high(pts, "x"), _ya=low(pts, "y"), _yb=high(pts, "y"))
     wide = pin(b, _reach=reach, **box).select("fid", "rings", "line_spacing", "_reach", *box)
     centre = smooth_tangent(resample_line(b.select("fid", "path", "waypoint_spacing"), F.col("waypoint_spacing")))
-    lanes = spread(centre.join(wide, "fid"), "fid", "k").withColumn("lane", F.explode(F.sequence(-F.col("_reach"), F.col("_reach"))))
+    # Lanes whose point could be in the box, one more on both sides; the box itself decides below.
+    among = pin(meet(centre, wide, "fid", unique=True), **_lanes_in_box()).filter("_first <= _last")
+    lanes = spread(among, "fid", "k").withColumn("lane", F.explode(F.sequence("_first", "_last")))
     off = F.col("lane") * F.col("line_spacing")
     in_box = F.col("_px").between(F.col("_xa"), F.col("_xb")) & F.col("_py").between(F.col("_ya"), F.col("_yb"))
     inside = materialize(
         pin(lanes, _px=F.col("x") - F.col("dy") * off, _py=F.col("y") + F.col("dx") * off)
         .filter(in_box).filter(point_in_rings(F.col("_px"), F.col("_py"), F.col("rings")))
-        .select("fid", "lane", "k", F.col("_px").alias("x"), F.col("_py").alias("y"))
+        .select("fid", "lane", "k", F.col("_px").alias("x"), F.col("_py").alias("y"), F.abs("lane").alias("_l"))
     )
-    used = inside.groupBy("fid", F.abs("lane").alias("_l")).count().filter("_l > 0")
+    used = inside.filter("_l > 0").groupBy("fid", "_l").count()
     # Lane pairs 1..m are flown when all of them are used: the rank equals the lane.
     rank = F.row_number().over(Window.partitionBy("fid").orderBy("_l"))
-    flown = used.withColumn("_r", rank).filter(F.col("_r") == F.col("_l")).select("fid", "_l")
-    # Points outside are gone, so a stretch ends where k skips a number.
-    along = Window.partitionBy("fid", "lane").orderBy("k")
+    flown = used.withColumn("_r", rank).filter(F.col("_r") == F.col("_l")).select("fid", "_l", F.lit(True).alias("_flown"))
+    # Points outside are gone, so a stretch ends where k skips a number. One exchange serves lanes and the join.
+    along = Window.partitionBy("fid", "_l", "lane").orderBy("k")
     starts = F.coalesce((F.lag("k").over(along) != F.col("k") - 1).cast("int"), F.lit(1))
-    split = inside.withColumn("_st", starts).withColumn("run", F.sum("_st").over(along)).drop("_st").withColumn("_l", F.abs("lane"))
-    outer = split.filter("_l > 0").join(flown, ["fid", "_l"], "left_semi")
-    return split.filter("_l = 0").unionByName(outer).drop("_l")
+    rows = meet(spread(inside, "fid", "_l"), flown, ["fid", "_l"], "left", unique=True).filter("_l = 0 OR _flown")
+    return rows.withColumn("_st", starts).withColumn("run", F.sum("_st").over(along)).select("fid", "lane", "k", "x", "y", "run")
+
+
+def _lanes_in_box() -> dict[str, Column]:
+    """The first and the last lane that can have a centre line's point moved into the box ``_xa.._xb, _ya.._yb``."""
+    bounds = []
+    for v, way, low_, high_ in (("x", -F.col("dy"), "_xa", "_xb"), ("y", F.col("dx"), "_ya", "_yb")):
+        move = way * F.col("line_spacing")
+        one, two = ((F.col(c) - F.col(v)) / F.nullif(move, F.lit(0.0)) for c in (low_, high_))
+        # A way that doesn't move this coordinate leaves all lanes or none.
+        stays = F.col(v).between(F.col(low_), F.col(high_))
+        bounds.append((F.when(move != 0, F.least(one, two)).when(stays, -F.col("_reach")).otherwise(F.col("_reach") + 2.0),
+                       F.when(move != 0, F.greatest(one, two)).when(stays, F.col("_reach")).otherwise(-F.col("_reach") - 2.0)))
+    first, last = F.greatest(bounds[0][0], bounds[1][0]), F.least(bounds[0][1], bounds[1][1])
+    within = lambda lane: F.greatest(-F.col("_reach") - 2.0, F.least(F.col("_reach") + 2.0, lane))
+    return dict(_first=F.greatest(-F.col("_reach"), (F.floor(within(first)) - 1).cast("int")), _last=F.least(F.col("_reach"), (F.ceil(within(last)) + 1).cast("int")))
 
 
 def corridor_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> DataFrame:
@@ -536,7 +603,7 @@ def corridor_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> D
     turn = F.when(F.col("lane") > 0, 2 * F.col("lane") - 1).otherwise(-2 * F.col("lane"))
     keyed = lanes.withColumn("run_id", turn.cast("long") * (1 << 32) + F.col("run"))
     lane = Window.partitionBy("fid", "run_id").orderBy("k")
-    legs = keyed.join(rings, "fid").withColumn("_nx", F.lead("x").over(lane)).withColumn("_ny", F.lead("y").over(lane))
+    legs = meet(keyed, rings, "fid", unique=True).withColumn("_nx", F.lead("x").over(lane)).withColumn("_ny", F.lead("y").over(lane))
     outside = ~point_in_rings((F.col("x") + F.col("_nx")) / 2.0, (F.col("y") + F.col("_ny")) / 2.0, F.col("rings"))
     legs = legs.withColumn("_off", F.when(F.col("_nx").isNotNull(), outside.cast("int")).otherwise(0)).withColumn(
         "_leg", F.coalesce(distance(F.col("x"), F.col("y"), F.col("_nx"), F.col("_ny")), F.lit(0.0)))
@@ -544,7 +611,8 @@ def corridor_points(blocks: DataFrame, multi_start: int = MULTI_START_RUNS) -> D
         F.min_by("x", "k").alias("ax"), F.min_by("y", "k").alias("ay"), F.max_by("x", "k").alias("bx"), F.max_by("y", "k").alias("by"),
         F.sum("_off").alias("off_legs"), F.max("_leg").alias("longest"), F.count("*").alias("n"), F.min("k").alias("_k0"))
     flown = _in_flight_order(order_runs(spread(ends, "fid"), rings, multi_start))
-    pts = keyed.select("fid", "run_id", "k", "x", "y").join(flown.select("fid", "run_id", "n", "_k0", "reversed", "_before", "off_polygon_legs"), ["fid", "run_id"])
+    placed = flown.select("fid", "run_id", "n", "_k0", "reversed", "_before", "off_polygon_legs")
+    pts = meet(keyed.select("fid", "run_id", "k", "x", "y"), placed, ["fid", "run_id"], unique=True)
     step = F.col("k") - F.col("_k0")
     at = F.when(F.col("reversed"), F.col("n") - 1 - step).otherwise(step)
     return pts.select("fid", (F.col("_before") + at).cast("long").alias("seq"), "x", "y", "off_polygon_legs")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sylva.functions.projection import utm_to_wgs84
 from sylva.operators.field import require_projected
 from sylva.operators.mission import MULTI_START_RUNS, budget_cuts, corridor_points, coverage_points, cross_hatch, place_parts, timed
-from sylva.session import materialize
+from sylva.session import materialize, meet
 
 
 def _finish(points: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,16 +20,16 @@ def _finish(points: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]
         stop = F.raise_error(F.lit("distances need a projected coordinate system")).cast(blocks.schema["speed"].dataType)
         blocks = blocks.withColumn("speed", F.when(wrong, stop).otherwise(F.col("speed")))
     settings = blocks.select("fid", "altitude", "speed", "minutes")
-    flown = materialize(timed(points.join(settings, "fid")))
+    flown = materialize(timed(meet(points, settings, "fid", unique=True)))
     cuts = materialize(budget_cuts(flown))
-    waypoints = place_parts(flown, cuts).drop("seq").join(settings.select("fid", "altitude", "speed"), "fid")
+    waypoints = meet(place_parts(flown, cuts).drop("seq"), settings.select("fid", "altitude", "speed"), "fid", unique=True)
     made = cuts.groupBy("fid").agg(F.count("*").alias("_cuts"))
     metres = F.sum("leg")
     totals = (
         flown.groupBy("fid").agg(
             metres.alias("total_distance_m"), F.when(F.max("speed") > 0, metres / F.max("speed") / 60.0).otherwise(0.0).alias("total_minutes"),
             F.max("off_polygon_legs").alias("off_polygon_legs"), F.count("*").alias("_n"))
-        .join(made, "fid", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(0)))
+        .join(made.hint("shuffle_hash"), "fid", "left").withColumn("_cuts", F.coalesce("_cuts", F.lit(0)))
         .withColumn("parts", (F.col("_cuts") + 1).cast("int")).withColumn("waypoints", F.col("_n") + F.col("_cuts")).drop("_n", "_cuts")
     )
     return waypoints, totals

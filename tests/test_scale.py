@@ -1,6 +1,12 @@
 """What only larger tables show: numbers beyond an int, plans whose sizes Spark can't know."""
 
+import numpy as np
+import pandas as pd
+import pytest
+
+from sylva.operators import mission
 from sylva.operators.evaluate import length_within
+from sylva.operators.mission import corridor_points
 from sylva.operators.spatial import nearest_within
 from sylva.workload import inputs
 
@@ -32,3 +38,70 @@ def test_segments_are_not_broadcast(spark):
     lines = spark.range(50).selectExpr("id AS fid", "array(struct(id * 64D AS x, 0D AS y), struct(id * 64D + 12 AS x, 0D AS y)) AS path")
     # What is left are the joins of one row with one row.
     assert broadcasts(length_within(lines, lines, 4.0)) <= 1
+
+
+def test_blocks_side_by_side_equal_blocks_one_by_one():
+    """Blocks of several sizes and ring counts in one batch, in the order they came in."""
+    rng = np.random.default_rng(4)
+    blocks = []
+    for k in range(60):
+        n = int(rng.integers(1, 9)) if k % 10 else 70
+        xy = rng.integers(0, 12, (4, n)).astype(float)
+        rings = [rng.integers(0, 12, (int(rng.integers(3, 6)), 2)).astype(float) for _ in range(1 + k % 2)]
+        flat = np.concatenate(rings)
+        blocks.append((*xy, rng.integers(0, 2, n), rng.uniform(0, 3, n), flat[:, 0], flat[:, 1], np.array([len(r) for r in rings])))
+    both = mission._best_walks(60, *[pd.Series(list(c)) for c in zip(*blocks, strict=True)])
+    for b, got in zip(blocks, both.itertuples(index=False), strict=True):
+        first, last, rings = np.column_stack(b[0:2]), np.column_stack(b[2:4]), np.split(np.column_stack(b[6:8]), np.cumsum(b[8])[:-1])
+        walk, back = mission._tours(first, last, len(first)) if len(first) <= 60 else mission._long_tours(first, last)
+        tries = []
+        for w in range(len(walk)):
+            off, longest = int(b[4].sum()), b[5].max()
+            for p, q, rp, rq in zip(walk[w], walk[w][1:], back[w], back[w][1:]):
+                leave, enter = first[p] if rp else last[p], last[q] if rq else first[q]
+                longest = max(longest, float(np.sqrt(((enter - leave) ** 2).sum())))
+                x, y = (leave + enter) / 2
+                odd = sum((r[k][1] > y) != (r[k - 1][1] > y) and x < (r[k - 1][0] - r[k][0]) * (y - r[k][1]) / (r[k - 1][1] - r[k][1]) + r[k][0] for r in rings for k in range(len(r)))
+                off += odd % 2 == 0
+            tries.append((off, longest, w))
+        off, _, w = min(tries)
+        assert (got.off, got.walk.tolist(), got.back.tolist()) == (off, walk[w].tolist(), back[w].tolist())
+
+
+def test_a_batch_of_blocks_takes_few_steps(monkeypatch):
+    """The walks of equally many runs are searched together, not block by block."""
+    calls = []
+    monkeypatch.setattr(mission, "_tours_of", lambda f, s, real=mission._tours_of: calls.append(len(f)) or real(f, s))
+    one = [np.arange(4.0), np.zeros(4), np.arange(4.0), np.ones(4), np.zeros(4), np.ones(4), np.array([0.0, 5, 5]), np.array([0.0, 0, 5]), np.array([3])]
+    mission._best_walks(60, *[pd.Series([c] * 500) for c in one])
+    assert calls == [500]
+
+
+def corridor(spark, n, x, y):
+    """Straight centre lines in boxes of their own, one line not level."""
+    return spark.range(n).selectExpr(
+        "id AS fid", f"array(struct(0D AS x, 0D AS y), struct({x} AS x, {y} AS y)) AS path",
+        "array(array(struct(-5D AS x, -25D AS y), struct(95D AS x, -25D AS y), struct(95D AS x, 45D AS y), struct(-5D AS x, 45D AS y))) AS rings",
+        "50D AS altitude", "2D AS gsd", "1000 AS img_w", "1000 AS img_h", "50D AS front", "50D AS side", "0D AS direction", "8D AS speed", "1D AS minutes")
+
+
+@pytest.mark.parametrize("x, y", [("100D", "0D"), ("0D", "100D"), ("60D", "80D"), ("-30D", "40D")])
+def test_lanes_in_the_box_are_all_there(spark, x, y):
+    ux, uy = float(x[:-1]), float(y[:-1])
+    size = (ux * ux + uy * uy) ** 0.5
+    ux, uy = ux / size, uy / size
+    want = set()
+    for k in range(int(size / 10) + 1):
+        for lane in range(-30, 31):
+            px, py = k * 10 * ux - uy * lane * 10, k * 10 * uy + ux * lane * 10
+            if -5 < px < 95 and -25 < py < 45:
+                want.add((lane, k))
+    got = {(r["lane"], r["k"]) for r in mission.corridor_lanes(corridor(spark, 1, x, y)).collect()}
+    used = {abs(lane) for lane, _ in want}
+    flown = next(m for m in range(100) if m + 1 not in used)
+    assert got == {(lane, k) for lane, k in want if abs(lane) <= flown}
+
+
+def test_corridors_are_not_broadcast(spark):
+    points = corridor_points(corridor(spark, 40, "100D", "0D"))
+    assert broadcasts(points) == 0

@@ -15,7 +15,7 @@ from sylva.operators.graph import connected_components
 from sylva.operators.outlines import measures
 from sylva.operators.raster import in_metres
 from sylva.operators.stencil import with_size
-from sylva.session import materialize, spread
+from sylva.session import materialize, meet, spread
 
 ROW_STRIDE = 1 << 32
 CELL = ["raster_id", "row", "col"]
@@ -307,7 +307,8 @@ STRETCH = 1024
 def spans_inside(polys: DataFrame, q: float) -> DataFrame:
     """``fid, i, a, b``: runs of cells of side q whose centre is inside, by scan lines."""
     s = F.lit(float(q))
-    edges = edges_of(polys.select("fid", "rings")).filter("ax <> bx")
+    # Dealt before they grow to lanes: a small file would do all of it in one task.
+    edges = edges_of(spread(polys.select("fid", "rings"), "fid")).filter("ax <> bx")
     first, last = (F.floor(f("ax", "bx") / s - 0.5) for f in (F.least, F.greatest))
     on = edges.withColumn("i", F.explode(F.sequence(first, last + 1))).withColumn("_x", (F.col("i") + 0.5) * s)
     met = on.filter((F.col("ax") > F.col("_x")) != (F.col("bx") > F.col("_x"))).select(
@@ -329,7 +330,9 @@ def spans_near(segments: DataFrame, d: float, q: float) -> DataFrame:
     size = distance(ax, ay, bx, by)
     # The way from the segment to the upper edge of its band.
     side = F.when(bx >= ax, r).otherwise(-r) / size
-    moved = pin(segments.select("ax", "ay", "bx", "by"), _mx=F.when(size > 0, -(by - ay) * side), _my=F.when(size > 0, (bx - ax) * side))
+    # Each distinct segment once, dealt before it grows to lanes.
+    once = spread(segments.select("ax", "ay", "bx", "by"), "ax", "ay", "bx", "by").distinct()
+    moved = pin(once, _mx=F.when(size > 0, -(by - ay) * side), _my=F.when(size > 0, (bx - ax) * side))
     on = moved.withColumn("i", F.explode(F.sequence(
         F.floor((F.least(ax, bx) - d) / s - 0.5), F.floor((F.greatest(ax, bx) + d) / s - 0.5) + 1))).withColumn("_x", (F.col("i") + 0.5) * s)
     half = lambda cx: F.when(F.abs(x - cx) <= d, F.sqrt(F.greatest(F.lit(0.0), r * r - (x - cx) * (x - cx))))
@@ -374,8 +377,8 @@ def riparian_conflict(plans: DataFrame, river: DataFrame, d: float = 50.0, q: fl
     check_positive(buffer=d, cell=q)
     wet = union_spans(spans_near(river, d, q)).withColumnsRenamed({"a": "_a", "b": "_b"})
     both = F.least("b", "_b") - F.greatest("a", "_a") + 1
-    meet = _cut_spans(spans_inside(plans, q)).join(wet, ["i", "k"]).filter(both > 0)
-    return meet.groupBy("fid").agg((F.sum(both) * F.lit(q * q)).alias("area"))
+    met = meet(_cut_spans(spans_inside(plans, q)), wet, ["i", "k"]).filter(both > 0)
+    return met.groupBy("fid").agg((F.sum(both) * F.lit(q * q)).alias("area"))
 
 
 def check_positive(**values: float) -> None:

@@ -2,11 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from sylva.operators import mission
+from sylva.operators import detections, mission
 from sylva.operators.evaluate import length_within
 from sylva.operators.mission import corridor_points
+from sylva.operators.regions import spans_near
 from sylva.operators.spatial import nearest_within
 from sylva.workload import inputs
 
@@ -105,3 +107,36 @@ def test_lanes_in_the_box_are_all_there(spark, x, y):
 def test_corridors_are_not_broadcast(spark):
     points = corridor_points(corridor(spark, 40, "100D", "0D"))
     assert broadcasts(points) == 0
+
+
+def test_copies_of_a_segment_are_spread_and_count_once(spark):
+    one = spark.createDataFrame([(0.0, 0.0, 300.0, 25.0)], "ax double, ay double, bx double, by double").coalesce(1)
+    copies = one.crossJoin(spark.range(50)).drop("id").coalesce(1)
+    got = spans_near(copies, 20.0, 1.0)
+    assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(got.collect()) == sorted(spans_near(one, 20.0, 1.0).collect())
+
+
+def test_windows_side_by_side_equal_windows_one_by_one():
+    """Windows of several sizes, cut anywhere into batches, one far larger than a batch."""
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(1, 9, 60).tolist(), 150, 3, 1, 64, 65]
+    first = np.concatenate([np.arange(n) == 0 for n in sizes])
+    xy = rng.uniform(0, 40, (2, len(first)))
+    wh = rng.uniform(10, 30, (2, len(first)))
+    rows = pa.table({"fid": np.arange(len(first)), "cx": xy[0], "cy": xy[1], "w": wh[0], "h": wh[1], "first": first})
+    ends = np.cumsum(sizes)
+    want = []
+    for a, b in zip(ends - sizes, ends, strict=True):
+        kept = []
+        for k in range(a, b):
+            def iou(j, k=k):
+                both = np.prod([max(0.0, min(xy[c][j] + wh[c][j] / 2, xy[c][k] + wh[c][k] / 2) - max(xy[c][j] - wh[c][j] / 2, xy[c][k] - wh[c][k] / 2)) for c in (0, 1)])
+                return both / (wh[0][j] * wh[1][j] + wh[0][k] * wh[1][k] - both)
+            if all(iou(j) <= 0.45 for j in kept):
+                kept.append(k)
+        want += kept
+    for size in (1, 7, 64, 10_000):
+        out = detections._suppress(0.45)(iter(rows.to_batches(max_chunksize=size)))
+        got = [v for batch in out for v in batch.column("fid").to_pylist()]
+        assert sorted(got) == want

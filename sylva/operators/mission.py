@@ -410,17 +410,17 @@ def _cuts_by_doubling(flown: DataFrame) -> DataFrame:
     later = Window.partitionBy("fid").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("_next", F.min("_f").over(later)).select("fid", "bucket", "_next")
     jump = materialize(
-        inside.join(slots, ["fid", "bucket"]).select("fid", "s", F.coalesce("_n", "_next").alias("n")).filter("n is not null"))
+        meet(inside, slots, ["fid", "bucket"], unique=True).select("fid", "s", F.coalesce("_n", "_next").alias("n")).filter("n is not null"))
     reached = materialize(ways.select("fid").distinct().withColumn("s", F.lit(0).cast("long")))
     size = reached.count()
     while True:
-        further = reached.join(jump, ["fid", "s"]).select("fid", F.col("n").alias("s"))
+        further = meet(reached, jump, ["fid", "s"]).select("fid", F.col("n").alias("s"))
         reached = materialize(reached.unionByName(further).distinct())
         after = reached.count()
         if after == size:
             return reached.filter("s > 0").select("fid", F.col("s").alias("cut"))
         size = after
-        jump = materialize(jump.join(jump.select("fid", F.col("s").alias("n"), F.col("n").alias("_n2")), ["fid", "n"]).select("fid", "s", F.col("_n2").alias("n")))
+        jump = materialize(meet(jump, jump.select("fid", F.col("s").alias("n"), F.col("n").alias("_n2")), ["fid", "n"], unique=True).select("fid", "s", F.col("_n2").alias("n")))
 
 
 def split_by_budget(points: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ coordinates takes about k log k darts besides one look at each element.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from math import exp, factorial, log
 
@@ -31,6 +31,7 @@ BANDS, ROWS = 40, 6
 #: Four standard deviations of the estimate at the threshold: what lies further below isn't compared.
 PLAUSIBLE = 0.7
 BLOCK = 1024
+BLOCK_SIZE = 1 << 23  # characters
 _STEPS = [0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0]
 _MANY = 1 << 18
 
@@ -168,6 +169,14 @@ def _plausible(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.where(F.pandas_udf(agree, "double")("sig_a", "sig_b") >= least).select("a", "b")
 
 
+def _texts(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of each ``rep`` of ``wanted``."""
+    named = docs.select("text", *_names(docs))
+    texts = named.join(reps.join(wanted, "rep").select("rep", "k1", "k2"), ["k1", "k2"])
+    # A row of the same id and text may be there more than once.
+    return texts.groupBy("rep").agg(F.first("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of (a, b) whose shingle sets have that Jaccard similarity, exactly; written."""
 
@@ -179,11 +188,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, si
             out.append(jaccard(last[1], np.unique(shingles(y, width))))
         return pd.Series(out, dtype=float)
 
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    named = docs.select("text", *_names(docs))
-    texts = named.join(reps.join(wanted, "rep").select("rep", "k1", "k2"), ["k1", "k2"])
-    # A row of the same id and text may be there more than once.
-    texts = materialize(texts.groupBy("rep").agg(F.first("text").alias("text")))
+    texts = materialize(_texts(docs, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()))
     own = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(other, "b").join(own, "a")
@@ -206,44 +211,39 @@ def _labels(links: DataFrame, label: DataFrame | None = None) -> DataFrame:
     return materialize(found)
 
 
-def _within(members: DataFrame, reps: DataFrame, least: float, best_only: bool = False, block: int = BLOCK) -> DataFrame:
-    """(a, b) of different components and plausible signatures, within each bucket of (b, rep, comp, n).
+def _by_blocks(members: DataFrame, block: int) -> DataFrame:
+    """(b, i, j, own, rep, comp): each of (b, rep, comp, n) once for every pair i, j of blocks of its b that holds its ``own``.
 
-    A bucket of n texts is dealt into blocks of about ``block``, and each pair of
-    blocks is compared by one task; a task holds two blocks. ``best_only``: of each
-    pair of components that meet in a task only the pair of texts that agrees most."""
+    A group of n is dealt into blocks of about ``block``."""
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = members.withColumns({"m": blocks, "own": own}).select(
         "b", "rep", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"))
-    dealt = dealt.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
-    full = dealt.join(reps.select("rep", "sig"), "rep").select(F.xxhash64("b", "i", "j").alias("g"), "b", "i", "j", "own", "rep", "comp", "sig")
-    ordered = full.repartition("g").sortWithinPartitions("b", "i", "j")
+    return dealt.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp")
 
-    def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        rep = np.array([r[4] for r in group])
-        comp = np.array([r[5] for r in group])
-        own = np.array([r[3] for r in group])
-        if (comp == comp[0]).all():
-            return []
-        sig = np.stack([np.frombuffer(r[6], "<u2") for r in group])
-        i, j = group[0][1], group[0][2]
-        out, best = [], {}
-        for x in range(len(group)):
-            # Each pair of rows is looked at once: within a block by place, else from block i to block j.
-            at = np.arange(x + 1, len(group)) if i == j else np.flatnonzero(own == j) if own[x] == i else np.zeros(0, int)
-            at = at[comp[at] != comp[x]]
-            if len(at):
-                share = (sig[at] == sig[x]).mean(1)
-                near = share >= least
-                for y, q in zip(at[near], share[near], strict=True):
-                    pair = (min(rep[x], rep[y]), max(rep[x], rep[y]))
-                    if not best_only:
-                        out.append(pair)
-                        continue
-                    of = (min(comp[x], comp[y]), max(comp[x], comp[y]))
-                    best[of] = max(best.get(of, (0.0, pair)), (q, pair))
-        return out + [p for _, p in best.values()]
+
+def _forest(group: list[tuple], label: np.ndarray, alike: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join what is alike in a pair of blocks, fewer than it has rows.
+
+    A row is compared with those that have another ``label``, which is changed;
+    each pair of rows is looked at once: within a block by place, else from block i to
+    block j. ``alike``: which of some rows are like one."""
+    rep, own = np.array([r[4] for r in group]), np.array([r[3] for r in group])
+    comp, (i, j) = np.array([r[5] for r in group]), group[0][1:3]
+    out = []
+    for x in range(len(group)):
+        at = np.arange(x + 1, len(group)) if i == j else np.flatnonzero(own == j) if own[x] == i else np.zeros(0, int)
+        at = at[(label[at] != label[x]) & (comp[at] != comp[x])]
+        if len(at):
+            at = at[alike(x, at)]
+            tree, first = np.unique(label[at], return_index=True)
+            out += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in at[first]]
+            label[np.isin(label, tree)] = label[x]
+    return out
+
+
+def _walked(ordered: DataFrame, compare: Callable[[list[tuple]], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b): what ``compare`` finds in each run of rows with the same (b, i, j)."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group: list[tuple] = []
@@ -258,9 +258,69 @@ def _within(members: DataFrame, reps: DataFrame, least: float, best_only: bool =
         if group:
             yield pd.DataFrame(compare(group), columns=["a", "b"], dtype="int64")
 
+    ordered = ordered.select(F.xxhash64("b", "i", "j").alias("g"), "*").repartition("g").sortWithinPartitions("b", "i", "j")
     return ordered.drop("g").mapInPandas(walk, "a long, b long").distinct()
 
 
+def _agree(group: list[tuple], at: int, least: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whose signatures, in column ``at``, agree in ``least`` of the coordinates."""
+    sig = np.stack([np.frombuffer(r[at], "<u2") for r in group])
+    return lambda x, rows: (sig[rows] == sig[x]).mean(1) >= least
+
+
+def _within(members: DataFrame, reps: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) of different components and plausible signatures that hold together all such pairs within each bucket of (b, rep, comp, n).
+
+    Each pair of blocks is compared by one task; a task holds two blocks and tells
+    fewer pairs than it has rows: a forest of what is plausible there."""
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        if len({r[5] for r in group}) == 1:
+            return []
+        return _forest(group, np.arange(len(group)), _agree(group, 6, least))
+
+    return _walked(_by_blocks(members, block).join(reps.select("rep", "sig"), "rep").select("b", "i", "j", "own", "rep", "comp", "sig"), compare)
+
+
+def _settled(pairs: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, least: float, width: int, similarity: float, block: int = BLOCK, size: int = BLOCK_SIZE) -> DataFrame:
+    """Links between components among texts that ``pairs`` hold together: the components that they join are those that all links there join; written.
+
+    Texts go along with their blocks, of about ``block`` texts or ``size`` characters,
+    and are compared in the task: plausible pairs exactly, and none whose components
+    the task has joined. So the pairs of a group are never rows."""
+    group = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    group = materialize(group.select(F.col("node").alias("rep"), F.col("component").alias("b")))
+    texts = materialize(_texts(docs, reps, group.select("rep")).withColumn("text", F.coalesce("text", F.lit(""))))
+    sizes = group.join(texts, "rep").groupBy("b").agg(F.greatest(F.count(F.lit(1)), F.ceil(F.sum(F.length("text")) * block / size)).alias("n"))
+    members = group.join(sizes, "b").join(label, "rep", "left").select("b", "rep", F.coalesce("comp", "rep").alias("comp"), "n")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        label = np.unique([r[5] for r in group], return_inverse=True)[1]
+        if not label.any():
+            return []
+        plausible = _agree(group, 6, least)
+        sets = [np.unique(shingles(r[7], width)) for r in group]
+        long = np.array([len(h) for h in sets])
+        names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        sets = np.split(flat, np.cumsum(long)[:-1])
+        has = np.zeros(len(names), bool)
+
+        def similar(x: int, rows: np.ndarray) -> np.ndarray:
+            out = plausible(x, rows)
+            near = rows[out]
+            if len(near):
+                has[sets[x]] = True
+                both = np.array([np.count_nonzero(has[sets[y]]) for y in near])
+                has[sets[x]] = False
+                out[out] = both / (long[x] + long[near] - both) >= similarity
+            return out
+
+        return _forest(group, label, similar)
+
+    full = _by_blocks(members, block).join(reps.select("rep", "sig"), "rep").join(texts, "rep")
+    return materialize(_walked(full.select("b", "i", "j", "own", "rep", "comp", "sig", "text"), compare))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, plausible: float = PLAUSIBLE) -> DataFrame:
     """(doc_id, k1, k2, class_id, keep) for every row of ``docs``.
 
@@ -275,9 +335,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     most bands with, then with hubs that are still in other components, so a large
     group becomes one component without its pairs. Buckets of three or more
     that then still hold several components have all pairs across these compared by
-    signature, in blocks, first to find the likeliest pair of any two components; no
-    bucket is capped. What is plausible is verified on
-    the whole texts. A pair at the threshold meets in no band with probability
+    signature, in blocks; no bucket is capped. A block tells only a forest of what is
+    plausible. The texts that these forests hold together meet in blocks again, where
+    plausible pairs between components are verified on the whole texts. A pair at the threshold meets in no band with probability
     (1 - 0.8**6)**40 < 1e-5."""
     table_ = materialize(_sign(docs, bands, rows, width))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
@@ -300,15 +360,11 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH,
     other = placed(members.where("rep <> hub")).join(of_hub, "b").where("comp <> of_hub")
     again = materialize(other.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct().join(once, ["a", "b"], "left_anti"))
     label = _labels(_verified(materialize(_plausible(again, reps, plausible)), docs, reps, width, similarity), label)
-    tried = once.unionByName(again)
-    # Last within buckets: the likeliest pair of any two components, and then all that is left between components.
-    for best_only in (True, False):
-        open_ = placed(members.where("n > 2"))
-        mixed = open_.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
-        rest = _within(open_.join(mixed, "b", "left_semi"), reps, plausible, best_only)
-        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(rest)
-        label = _labels(_verified(rest, docs, reps, width, similarity), label)
+    # Last within buckets: what holds plausible pairs between components together, then these exactly.
+    open_ = placed(members.where("n > 2"))
+    mixed = open_.groupBy("b").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("b")
+    rest = materialize(_within(open_.join(mixed, "b", "left_semi"), reps, plausible))
+    label = _labels(_settled(rest, label, docs, reps, plausible, width, similarity), label)
     named = reps.join(label, "rep", "left").select("key", "doc_id", "k1", "k2", F.coalesce("comp", "rep").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("r")
     heads = materialize(named.groupBy("comp").agg(best).select("comp", F.coalesce(F.col("r.doc_id"), -1 - F.col("comp")).alias("class_id"), F.col("r.k1").alias("h1"), F.col("r.k2").alias("h2")))

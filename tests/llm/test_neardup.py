@@ -2,9 +2,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sylva.llm.common import shingles, word_hashes
-from sylva.llm.neardup import _within, classes, drop_near_duplicates, jaccard, signature
+from sylva.llm.neardup import _settled, _sign, _within, classes, drop_near_duplicates, jaccard, signature
 from tests.llm.fixtures import awkward, prose
 
 
@@ -95,3 +96,42 @@ def test_awkward_rows(spark):
     assert classes(docs.where("false")).count() == 0
     none = classes(spark.createDataFrame([(None, "a b"), (None, "c d")], "doc_id long, text string")).collect()
     assert len({r["class_id"] for r in none}) == 2 and all(r["class_id"] < 0 for r in none)
+
+
+def test_a_block_tells_fewer_pairs_than_it_has_rows(spark):
+    r = np.random.default_rng(5)
+    one = r.integers(0, 65536, 240).astype("<u2")
+    sig = np.stack([np.where(r.random(240) < 0.95, one, r.integers(0, 65536, 240)).astype("<u2") for _ in range(80)])
+    reps = spark.createDataFrame([(i, bytearray(sig[i].tobytes())) for i in range(80)], "rep long, sig binary")
+    # In each of three buckets all 80 are alike; two of each component, which aren't compared.
+    members = spark.createDataFrame([(b, i, i // 2, 80) for b in range(3) for i in range(80)], "b long, rep long, comp long, n long")
+    for block, most in ((1024, 79), (30, 6 * 79)):
+        got = [tuple(x) for x in _within(members, reps, 0.7, block=block).collect()]
+        assert len(got) <= most and all(a // 2 != b // 2 for a, b in got)
+        up = list(range(80))
+        for _ in up:
+            for a, b in got:
+                up[a] = up[b] = min(up[a], up[b])
+        assert up == [0] * 80
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 3}, {"size": 400}])
+def test_components_of_plausible_texts_are_those_of_all_pairs(spark, how):
+    # Neighbours in a chain are alike, others at most plausible; the texts of a second group are plausible only.
+    chain = [(i, " ".join(f"w{k}" for k in range(9 * i, 9 * i + 100))) for i in range(12)]
+    apart = [(100 + i, " ".join(f"v{k}" if k % 60 != 5 * i else f"u{i}k{k}" for k in range(200))) for i in range(9)]
+    rows = chain + apart + [(300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = _sign(docs, 40, 6, 5)
+    reps = table.select(F.col("doc_id").alias("rep"), "k1", "k2", "sig")
+    # All of a group are held together; the first two are one component from the start.
+    held = spark.createDataFrame([(g, g + i) for g, n in ((0, 12), (100, 9)) for i in range(1, n)], "a long, b long")
+    label = spark.createDataFrame([(0, 0), (1, 0)], "rep long, comp long")
+    got = _settled(held, label, docs, reps, 0.0, 5, 0.8, **how)
+    up = {i: i for i, _ in rows} | {1: 0}
+    for _ in rows:
+        for a, b in got.collect():
+            up[a] = up[b] = min(up[a], up[b])
+    assert up == brute(rows)
+    if not how:
+        assert got.count() < len(rows)

@@ -19,8 +19,9 @@ and are solved once for each distinct word.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property, reduce
+from functools import cache, cached_property, reduce
 
 import ahocorasick
 import numpy as np
@@ -35,7 +36,7 @@ VOCABULARY = "piece_bpe_32k.model"
 CHUNK = 32_768
 MARK = "▁"
 BLOCK = 64
-MEMO = 50_000
+MEMO = 300_000
 PENALTY = 10.0  # fixed value: how far below the least score an unknown character is
 
 
@@ -55,13 +56,33 @@ class Lattice:
             self.scan.add_word(p, p)
         self.scan.make_automaton()
         self.splits = not any(MARK in p.lstrip(MARK) for p in ids)
+        own = f"[{''.join(map(re.escape, self.joined()))}]" if ids else "[^\\s\\S]"
+        other = own.replace("[", f"[^{MARK}", 1) if ids else f"[^{MARK}]"
+        self.inner = re.compile(f"{MARK}+(?:{own}+|{other}*)|{own}+|{other}+")
         self.fit: dict[tuple[str, str], bool] = {}
         self.words: dict[str, tuple[list[str], float]] = {}
 
+    def joined(self) -> list[str]:
+        """The largest set of letters that pieces, marks left out, join to one another: no piece crosses from them to others or back."""
+        up: dict[str, str] = {MARK: MARK}
+
+        def root(c: str) -> str:
+            while (above := up.setdefault(c, c)) != c:
+                up[c] = c = up[above]
+            return c
+
+        for p in self.ids:
+            inner = p.lstrip(MARK)
+            for c in inner:
+                up[root(c)] = root(inner[0])
+        many = Counter(map(root, [*up]))
+        most = max(many, key=many.get)
+        return sorted(c for c in [*up] if c != MARK and root(c) == most) or [MARK]
+
     @cached_property
-    def begins(self) -> dict[str, bool]:
-        """All beginnings of pieces; true for whole pieces."""
-        return {p[:k]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
+    def begins(self) -> dict[str, str]:
+        """All beginnings of pieces, each with the piece that it is, else an empty string."""
+        return {p[:k]: "" for p in self.ids for k in range(1, len(p))} | {p: p for p in self.ids}
 
     def merged(self, text: str) -> list[str]:
         """What the merges leave of a short string: always the best pair, the leftmost of equals."""
@@ -84,7 +105,7 @@ class Lattice:
         got = self.fit.get((before, piece))
         if got is None:
             got = self.merged(before + piece) == ([before, piece] if before else [piece])
-            if len(self.fit) >= 2 * MEMO:
+            if len(self.fit) >= MEMO:
                 self.fit.clear()
             self.fit[before, piece] = got
         return 0.0 if got else -np.inf
@@ -126,6 +147,44 @@ class Lattice:
                     break
         return list(zip(best, last, strict=True))
 
+    def path(self, text: str) -> list[str]:
+        """The pieces of the best path through a string between two places that nothing crosses.
+
+        Of merges one path at most comes to a place, and weighs 0: it is looked for
+        from its beginning, longest pieces first, and a place that it can't go on from
+        is not tried again. Other models need all places' weights."""
+        size = len(text)
+        if self.kind != "bpe":
+            return self.back(self.walk(text), size)
+        begins, fit, weight = self.begins.get, self.fit.get, self.weight
+        out, open_, dead = [], [], set()
+        at, before, follow = 0, "", None
+        while at < size:
+            if follow is None:
+                # What may follow, longest last.
+                follow, end = [text[at]], at + 2
+                while end <= size and (whole := begins(text[at:end])) is not None:
+                    if whole:
+                        follow.append(whole)
+                    end += 1
+            while follow:
+                piece = follow.pop()
+                if not dead or at + len(piece) not in dead:
+                    ok = fit((before, piece))
+                    if ok or ok is None and weight(before, piece) == 0.0:
+                        open_.append(follow)
+                        out.append(piece)
+                        at += len(piece)
+                        before, follow = piece, None
+                        break
+            else:
+                if not out:
+                    return self.back(self.walk(text), size)
+                dead.add(at)
+                at -= len(out.pop())
+                before, follow = out[-1] if out else "", open_.pop()
+        return out
+
     @staticmethod
     def back(found: list[tuple[float, str]], end: int) -> list[str]:
         """The pieces of the best path to a place."""
@@ -139,16 +198,21 @@ class Lattice:
         """The pieces and weight of a string between two places that nothing crosses."""
         got = self.words.get(text)
         if got is None:
-            found = self.walk(text)
             if len(self.words) >= MEMO:
                 self.words.clear()
-            got = self.words[text] = (self.back(found, len(text)), found[-1][0])
+            pieces = [p for part in self.split(text) for p in self.path(part)]
+            weight = 0.0 if self.kind == "bpe" else sum(self.weight("", p) for p in pieces)
+            got = self.words[text] = (pieces, weight)
         return got
 
     def cuts(self, text: str) -> list[str]:
         """The strings between the places that no piece crosses."""
         return _PARTS.findall(text) if self.splits else [text]
 
+    def split(self, word: str) -> list[str]:
+        """One of ``cuts`` where no piece crosses from one set of letters to another."""
+        return self.inner.findall(word) if self.splits else [word]
+
     def states(self, text: str, at: int) -> list[tuple[int, int]]:
         """(from, to) of all pieces that cover the character before ``at``."""
         out = []
@@ -179,13 +243,7 @@ class Chunk:
         firm = [m.start() for m in re.finditer(f"(?<=[^{MARK}]){MARK}", self.text)] if lattice.splits else []
         firm = [p for p in firm if self.start + lattice.most <= p < self.end]
         self.head, self.tail = (firm[0], firm[-1]) if firm else (None, None)
-        self.middle: list[str] = []
-        self.middle_weight = 0.0
         if firm:
-            for w in lattice.cuts(self.text[self.head : self.tail]):
-                pieces, weight = lattice.word(w)
-                self.middle += pieces
-                self.middle_weight += weight
             self.last = lattice.walk(self.text[self.tail : self.end])
 
     def _piece(self, at: int, state: tuple[int, int]) -> str:
@@ -207,24 +265,32 @@ class Chunk:
 
     def matrix(self) -> np.ndarray:
         out = np.full((len(self.entries), len(self.exits)), -np.inf)
-        ends = None if self.head is None else np.array([self._out(self.last, self.tail, s) for s in self.exits])
+        if self.head is not None:
+            ends = np.array([self._out(self.last, self.tail, s) for s in self.exits])
+            # The one path of merges weighs 0.
+            middle = 0.0 if self.lattice.kind == "bpe" else sum(self.lattice.word(w)[1] for w in self.lattice.cuts(self.text[self.head : self.tail]))
         for i, entry in enumerate(self.entries):
             p, found = self._walks(entry)
             if self.head is None:
                 out[i] = [self._out(found, p, s) for s in self.exits]
             else:
-                out[i] = found[-1][0] + self.middle_weight + ends
+                out[i] = found[-1][0] + middle + ends
         return out
 
-    def pieces(self, i: int, j: int) -> list[str]:
-        """The pieces that begin in the chunk, given its entry and exit states."""
+    def parts(self, i: int, j: int) -> tuple[list[str], str, list[str]]:
+        """What begins in the chunk, given its entry and exit states: pieces, the text between the firm places, pieces."""
         p, found = self._walks(self.entries[i])
         state = self.exits[j]
         end = self.end + state[0]
         last = [self._piece(self.end, state)] if state != (0, 0) else []
         if self.head is None:
-            return self.lattice.back(found, end - p) + last
-        return self.lattice.back(found, self.head - p) + self.middle + self.lattice.back(self.last, end - self.tail) + last
+            return self.lattice.back(found, end - p) + last, "", []
+        return self.lattice.back(found, self.head - p), self.text[self.head : self.tail], self.lattice.back(self.last, end - self.tail) + last
+
+    def pieces(self, i: int, j: int) -> list[str]:
+        """The pieces that begin in the chunk, given its entry and exit states."""
+        head, middle, tail = self.parts(i, j)
+        return head + [p for w in self.lattice.cuts(middle) for p in self.lattice.word(w)[0]] + tail
 
 
 def best_states(matrices: list[np.ndarray], first: int = 0, last: int = -1) -> list[int]:
@@ -288,15 +354,19 @@ class Model:
             if got is None:
                 if len(known) >= MEMO:
                     known.clear()
-                found = self.lattice.walk(w)
-                got = known[w] = tuple(self.ids(self.lattice.back(found, len(w))))
+                got = ()
+                for part in self.lattice.split(w):
+                    have = known.get(part)
+                    if have is None:
+                        have = known[part] = tuple(self.ids(self.lattice.path(part)))
+                    got += have
             out += got
         return out
 
     def decode(self, ids) -> str:
         """The text of ids, in the form before the first mark is dropped; runs of byte pieces are UTF-8, damaged bytes become U+FFFD."""
-        if not self.byte_of or not any(i in self.byte_of for i in set(ids)):
-            return "".join([self.by_id[i] for i in ids])
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join(map(self.by_id.__getitem__, ids))
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -309,6 +379,12 @@ class Model:
         return "".join(out) + held.decode("utf-8", "replace")
 
 
+@cache
+def shared(vocabulary: str, kind: str) -> Model:
+    """The model of a worker process: what it has found of words and pairs serves its later tasks too."""
+    return Model(vocabulary, kind)
+
+
 def plain(marked: str, first: bool = True) -> str:
     """Marks become spaces; the one that normalization puts first goes."""
     out = marked.replace(MARK, " ")
@@ -343,7 +419,7 @@ def encode_whole(docs: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe
     names = [f.split()[0] for f in schema.split(", ")]
 
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = Model(vocabulary, kind)
+        model = shared(vocabulary, kind)
         for texts in batches:
             for at in range(0, len(texts), 1024):
                 out = [tell(model, t, np.array(model.encode(model.normal(t)), np.int32)) for t in texts.iloc[at : at + 1024]]
@@ -399,18 +475,22 @@ def scan(matrices: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def encode_giant(giant: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bpe", chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """(row, chunk, ids) of the texts of ``giants``. The text itself isn't carried along: a chunk has its own part of it only."""
-    parts = materialize(_cut(giant.select("row", "text"), vocabulary, chunk).repartition(F.col("row"), F.col("chunk")))
+    parts = materialize(_cut(giant.select("row", "text"), vocabulary, kind, chunk).repartition(F.col("row"), F.col("chunk")))
 
     def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Model(vocabulary, kind).lattice
+        lattice = shared(vocabulary, kind).lattice
         for batch in batches:
             found = [Chunk(lattice, *x).matrix() for x in zip(batch["left"], batch["body"], batch["right"], strict=True)]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "width": [m.shape[1] for m in found], "matrix": [m.ravel() for m in found]})
 
+    def of(model: Model, parts: tuple[list[str], str, list[str]]) -> np.ndarray:
+        head, middle, tail = parts
+        return np.array(model.ids(head) + model.encode(middle) + model.ids(tail), np.int32)
+
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(vocabulary, kind)
+        model = shared(vocabulary, kind)
         for batch in batches:
-            ids = [np.array(model.ids(Chunk(model.lattice, a, b, c).pieces(i, j)), np.int32)
+            ids = [of(model, Chunk(model.lattice, a, b, c).parts(i, j))
                    for a, b, c, i, j in zip(*(batch[x] for x in ("left", "body", "right", "i", "j")), strict=True)]
             yield pd.DataFrame({"row": batch["row"], "chunk": batch["chunk"], "ids": ids})
 
@@ -419,9 +499,9 @@ def encode_giant(giant: DataFrame, vocabulary: str = VOCABULARY, kind: str = "bp
     return materialize(traced)
 
 
-def _cut(giant: DataFrame, vocabulary: str, chunk: int) -> DataFrame:
+def _cut(giant: DataFrame, vocabulary: str, kind: str, chunk: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(vocabulary)
+        model = shared(vocabulary, kind)
         side = model.longest()
         size = max(chunk, 4 * side)
         for batch in batches:
@@ -441,7 +521,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``encoded`` with ``part``: the text of each chunk's ids. A text is its chunks' parts in order."""
 
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = Model(vocabulary)
+        model = shared(vocabulary, "bpe")
         for ids, k in batches:
             yield pd.Series([plain(model.decode(x.tolist()), first == 0) for x, first in zip(ids, k, strict=True)], dtype=object)
 
@@ -467,7 +547,7 @@ def op2_sentencepiece(spark, sf_dir):
     one = encode_whole(docs, tell=_told, schema="n_tokens long, ids_digest long, n_chars_decoded long, round_trip boolean")
 
     def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model = Model()
+        model = shared(VOCABULARY, "bpe")
         for ids, k in batches:
             yield pd.DataFrame({"n": [len(x) for x in ids], "d": [digest(x) for x in ids], "part": [plain(model.decode(x.tolist()), first == 0) for x, first in zip(ids, k, strict=True)]})
 

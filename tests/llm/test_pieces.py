@@ -98,3 +98,30 @@ def test_a_giant_in_many_blocks(spark, library):
     for x in sorted(got.join(giant, "row").collect(), key=lambda x: x["chunk"]):
         ids.setdefault(x["doc_id"], []).extend(x["ids"])
     assert ids == {i: library.encode(t) for i, t in texts}
+
+
+def test_words_are_solved_once_and_by_need(library):
+    model = Model()
+    text = " ".join(f"{w}{end}" for w in ("stone", "nevertheless", "Über", "naïve") for end in (",", ".", "?!", ")", ".\n")) * 30
+    normal = model.normal(text)
+    assert model.encode(normal) == library.encode(text)
+    # Letters and what follows them, which no piece joins, are apart.
+    assert {w for w in model.word_ids if "nevertheless" in w} == {"▁nevertheless"}
+    # Which pieces a chunk has is asked for after its states are known.
+    Chunk(model.lattice, normal[:100], normal[100:900], normal[900:1000]).matrix()
+    assert not model.lattice.words
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="▁aehinorst.,0漢é", min_size=1, max_size=40))
+def test_the_path_is_that_of_all_places(model, text):
+    lattice = model.lattice
+    assert lattice.path(text) == lattice.back(lattice.walk(text), len(text)) == [p for x in lattice.split(text) for p in lattice.path(x)] or "▁" in text[1:]
+
+
+def test_a_path_that_turns_back():
+    # The merges make ab, then abc of no use: a longest piece first leads nowhere.
+    scores = {"a": -9.0, "b": -9.0, "c": -9.0, "bc": -1.0, "ab": -2.0, "abb": -3.0}
+    lattice = Lattice({p: i for i, p in enumerate(scores)}, scores)
+    for text in ("abc", "ababc", "abbc", "abbbcab", "aabbcc", "abxbc"):
+        assert lattice.path(text) == lattice.merged(text) == lattice.back(lattice.walk(text), len(text))

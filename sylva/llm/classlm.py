@@ -2,8 +2,10 @@
 
 Exchange clustering assigns the commonest words to classes so that the class bigram
 likelihood of the corpus grows with each move. Then, in rounds, every other word
-takes the class in which its own neighbours are likeliest; a job over all texts
-brings each word's neighbouring classes together, at most two sides of all classes.
+takes the class in which its own neighbours are likeliest. Texts are turned to
+numbers once. A round counts the classes beside the near words, which travel with
+the tasks, in one array a task; what stands beside all other words is gathered by
+word once, and rounds only read it.
 The end of a text and the words never met have classes of their own. A token's
 probability is that of its class after the class before it, times that of the word
 in its class. Counts cover every training text and every word.
@@ -12,17 +14,18 @@ in its class. Counts cover every training text and every word.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.common import box, query, remainder, table, unbox
-from sylva.session import materialize, spread
+from sylva.session import materialize, meet, spread
 
 CLASSES = 64
 CLUSTERED = 1024
@@ -30,6 +33,7 @@ NEAR_WORDS = 100_000
 FLUSH = 250_000
 PASSES = 12
 ROUNDS = 2
+WORDS = 256
 SMOOTH, BACK = 0.1, 5.0
 
 
@@ -138,96 +142,245 @@ class Model:
     total: int
     distinct: int
     ends: int
-    counts: DataFrame | None = None  # (w, n, k): count and class of all words but the commonest
-
-
-def neighbours(docs: DataFrame, words: list[bytes], cls: np.ndarray, kinds: int, first: int, apart: bool) -> DataFrame:
-    """(w, v, c, n): counts of pairs of neighbours in all texts.
-
-    ``cls`` has the classes of ``words`` and, last, of all others (far words). Rows
-    of a word from number ``first`` on have the class c of a neighbour before it, or
-    ``kinds`` + c after it. With ``apart``, pairs of two far words have both words w
-    and v instead, and rows without w the pairs c * ``kinds`` + d of other words'
-    classes; without, no such rows are made. A task sums over as many tokens as it holds."""
-    far, end = len(words), kinds - 1
-
-    def sums(texts: list[np.ndarray], met: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-        x = np.concatenate([np.full(1, -1), *texts])
-        k = np.where(x < 0, end, cls[np.minimum(x, far)])
-        p, q, a, b = x[:-1], x[1:], k[:-1], k[1:]
-        left, right = q >= first, p >= first
-        both = (p >= far) & (q >= far) & apart
-        key = np.concatenate((q[left & ~both] * 2 * kinds + a[left & ~both], p[right & ~both] * 2 * kinds + kinds + b[right & ~both]))
-        key, n = np.unique(key, return_counts=True)
-        name = pa.array([*words, *met], pa.binary())
-        many = len(name)
-        out = [(key // (2 * kinds), None, key % (2 * kinds), n)]
-        if apart:
-            key, n = np.unique((a * kinds + b)[~left & ~right], return_counts=True)
-            out.append((None, None, key, n))
-            key, n = np.unique(p[both] * many + q[both], return_counts=True)
-            out.append((key // many, key % many, np.zeros(len(key), int), n))
-        for w, v, c, n in out:
-            for i in range(0, len(n), 50_000):
-                part = slice(i, i + 50_000)
-                w_v = [pa.nulls(len(n[part]), pa.binary()) if y is None else name.take(pa.array(y[part])) for y in (w, v)]
-                yield pa.RecordBatch.from_arrays([*w_v, pa.array(c[part], pa.int32()), pa.array(n[part], pa.int64())], ["w", "v", "c", "n"])
+    counts: DataFrame | None = None  # (w, n, k): count and class of all words but those of ``near``
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(words)}
-        met: dict[bytes, int] = {}
+
+_END = np.full(1, -1, np.int32)
+_PAIR, _AFTER = 1 << 61, 1 << 60
+
+
+def _lists(owner: np.ndarray, owners: int, values: pa.Array) -> pa.ListArray:
+    """For each of ``owners`` owners the list of its values; ``owner`` ascends."""
+    at = np.searchsorted(owner, np.arange(owners + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+
+
+def pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True)
+
+
+def unpack(x: pa.Scalar, n: int, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x.as_buffer(), n * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+class Numbers(dict):
+    """Numbers of words; a word met for the first time gets the next one."""
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
+
+    def forget(self, n: int) -> list[bytes]:
+        """Drops and returns all words but the first ``n``."""
+        return [self.popitem()[0] for _ in range(len(self) - n)][::-1]
+
+
+def coded(docs: DataFrame, words: list[bytes]) -> DataFrame:
+    """(x, m, w): blocks of whole texts as m numbers, those of ``words`` and, from there on, of the block's other words w; -1 ends a text."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbers(zip(words, range(len(words)), strict=True))
         held: list[np.ndarray] = []
         size = 0
+
+        def block() -> pa.RecordBatch:
+            x = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array([pack(x)]), pa.array([len(x)]), pa.array([number.forget(len(words))], pa.list_(pa.binary()))], ["x", "m", "w"])
+
         for batch in batches:
             for text in batch.column(0):
                 t = tokens(text.as_py())
-                x = np.array([*[number.get(w, far) for w in t], -1], int)
-                for i in np.flatnonzero(x == far):
-                    x[i] = far + met.setdefault(t[i], len(met))
-                held.append(x)
-                size += len(x)
-                if size >= 4 * FLUSH:
-                    yield from sums(held, met)
-                    held, met, size = [], {}, 0
+                held += [np.fromiter(map(number.__getitem__, t), np.int32, len(t)), _END]
+                size += len(t) + 1
+                if size >= FLUSH:
+                    yield block()
+                    held, size = [], 0
         if held:
-            yield from sums(held, met)
+            yield block()
+
+    return materialize(docs.select("text").mapInArrow(code, "x binary, m long, w array<binary>"))
 
-    return docs.select("text").mapInArrow(count, "w binary, v binary, c int, n long")
 
+def cell_counts(blocks: DataFrame, cells: Callable[[np.ndarray], np.ndarray], total: int, width: int) -> DataFrame:
+    """(s, x): how often ``cells`` names each of ``total`` cells, in slices of ``width``; ``cells`` gets a block's numbers after a -1.
+
+    A task holds one count a cell and sends what isn't 0, by slices."""
+
+    def told(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, total, width):
+            part = held[s : s + width]
+            at = np.flatnonzero(part)
+            if len(at):
+                i = np.diff(at, prepend=0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([s // width], pa.int32()), pa.array([len(at)]), pa.array([pack(i)]), pa.array([pack(part[at])])], ["s", "m", "i", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = np.zeros(total, np.int32), 0
+        for batch in batches:
+            for x, m in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if size + 3 * m >= 1 << 31:
+                    yield from told(held)
+                    held, size = np.zeros(total, np.int32), 0
+                np.add.at(held, cells(np.concatenate((_END, unpack(x, m)))), 1)
+                size += 3 * m
+        yield from told(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, m, i, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if s not in held:
+                    held[s] = np.zeros(width, np.int64)
+                held[s][np.cumsum(unpack(i, m))] += unpack(n, m)
+        for s, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(x)])], ["s", "x"])
+
+    each = blocks.select("x", "m").mapInArrow(count, "s int, m long, i binary, n binary")
+    return materialize(spread(each, "s").mapInArrow(add, "s int, x binary"))
 
-def assign(found: DataFrame, step: np.ndarray, size: np.ndarray) -> DataFrame:
-    """(w, n, k): the words of ``found``, their counts and the classes in which their neighbours are likeliest, ties to the lower class."""
+
+def dense(slices: DataFrame, total: int, width: int) -> np.ndarray:
+    """The counts of ``total`` cells, from slices that are numbered from 0 on."""
+    out = np.zeros(-(-total // width) * width, np.int64)
+    for s, x in slices.collect():
+        out[s * width : (s + 1) * width] = unpack(pa.scalar(bytes(x)), width, np.int64)
+    return out[:total].astype(float)
+
+
+def contexts(blocks: DataFrame, far: int) -> DataFrame:
+    """(w, x): each word from number ``far`` on with what all texts have beside it.
+
+    x holds (number before + 1) * (``far`` + 2) + number after + 1 for each place of
+    the word, any neighbour from ``far`` on as ``far``. Where two such words meet,
+    the x of both have the place's own number, with ``_PAIR`` and, after it, ``_AFTER``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for x, m, names in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.concatenate((_END, unpack(x, m))).astype(np.int64)
+                at = np.flatnonzero(x >= far)
+                w, after = x[at] - far, x[at + 1]
+                both = after >= far
+                place = _PAIR + met + np.arange(both.sum())
+                met += len(place)
+                owner = np.concatenate((w, w[both], after[both] - far))
+                value = np.concatenate(((np.minimum(x[at - 1], far) + 1) * (far + 2) + np.minimum(after, far) + 1, place, place + _AFTER))
+                order = np.argsort(owner, kind="stable")
+                yield pa.RecordBatch.from_arrays([names.values, _lists(owner[order], len(names.values), pa.array(value[order]))], ["w", "x"])
+
+    found = blocks.where(F.size("w") > 0).mapInArrow(find, "w binary, x array<long>")
+    # A word is rarer than all that have smaller numbers, so its places are a small part of all.
+    return materialize(spread(found, "w").groupBy("w").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x")))
+
+
+def _weights(step: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a class before, a class after and each place add for each class a word may have."""
+    classes = len(step) - 2
+    return step[:, :classes], step[:classes].T, np.log10(size[:classes] + SMOOTH)
+
+
+class Assigned:
+    """Words of a batch of ``contexts`` in the classes in which their neighbours are likeliest, ties to the lower class.
+
+    n, k: places and class of each; owner, before, after: word and neighbours of each
+    place; pair, pair_owner: places where two such words meet."""
+
+    def __init__(self, x: pa.ListArray, far: int, cls: np.ndarray, weights: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        value, owner = x.flatten().to_numpy(), x.value_parent_indices().to_numpy()
+        place = value < _PAIR
+        self.pair, self.pair_owner = value[~place] - _PAIR, owner[~place]
+        self.owner, value = owner[place], value[place]
+        self.before, self.after = value // (far + 2) - 1, value % (far + 2) - 1
+        self.n = np.bincount(self.owner, minlength=len(x))
+        into, out, cost = weights
+        gain = -self.n[:, None] * cost
+        for i in range(0, len(value), 10_000):
+            part = slice(i, i + 10_000)
+            o = self.owner[part]
+            first = np.flatnonzero(np.diff(o, prepend=-1))
+            gain[o[first]] += np.add.reduceat(into[cls[self.before[part]]] + out[cls[self.after[part]]], first)
+        self.k = gain.argmax(1)
+
+
+def assign(found: DataFrame, far: int, cls: np.ndarray, step: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(w, n, k): the words of ``contexts``, their counts and classes. ``cls``: of the words with smaller numbers, of all others and of the end."""
+    weights = _weights(step, size)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = Assigned(batch.column(1), far, cls, weights)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a.n), pa.array(a.k, pa.int32())], ["w", "n", "k"])
+
+    return materialize(found.mapInArrow(best, "w binary, n long, k int"))
+
+
+def beside(found: DataFrame, far: int, cls: np.ndarray, step: np.ndarray, size: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Counts of class after class where a word of ``contexts`` stands, in the class ``assign`` gives it; its neighbours have classes ``later``."""
+    kinds, weights = len(step), _weights(step, size)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(p: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "c", "n"])
+
+        m = np.zeros(kinds * kinds, np.int64)
+        for batch in batches:
+            a = Assigned(batch.column(1), far, cls, weights)
+            k, before, after = a.k[a.owner], a.before != far, a.after != far
+            m += np.bincount(later[a.before[before]] * kinds + k[before], minlength=kinds * kinds)
+            m += np.bincount(k[after] * kinds + later[a.after[after]], minlength=kinds * kinds)
+            second, k = a.pair >= _AFTER, a.k[a.pair_owner]
+            yield rows(a.pair - second * _AFTER, np.where(second, k, k * kinds), np.zeros(len(k)))
+        cell = np.flatnonzero(m)
+        yield rows(-1 - cell, np.zeros(len(cell)), m[cell])
+
+    # Two rows of each place where two far words meet add up to the cell of their classes.
+    met = found.mapInArrow(tell, "p long, c long, n long").groupBy("p").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+    cell, n = F.when(F.col("p") < 0, -1 - F.col("p")).otherwise(F.col("c")), F.when(F.col("p") < 0, F.col("n")).otherwise(1)
+    out = np.zeros(kinds * kinds)
+    for c, n in met.groupBy(cell.alias("c")).agg(F.sum(n).alias("n")).collect():
+        out[c] = n
+    return out.reshape(kinds, kinds)
+
+
+def near_counts(blocks: DataFrame, cls: np.ndarray, kinds: int, first: int) -> tuple[DataFrame, np.ndarray]:
+    """Counts of classes before and after each word with a number from ``first`` on that has a class, and of class after class where neither word is far.
+
+    Words are dealt in turn to slices of ``WORDS``; ``near_classes`` reads them. ``cls`` ends with the class of far words and that of the end."""
+    far, width = len(cls) - 2, WORDS * 2 * kinds
+    slices = -(-(far - first) // WORDS)
+    i = np.arange(far - first)
+    place = np.full(far + 2, -1)
+    place[first:far] = i % max(slices, 1) * width + i // max(slices, 1) * 2 * kinds
+
+    def cells(x: np.ndarray) -> np.ndarray:
+        x = np.minimum(x, far)
+        k, at, near = cls[x], place[x], x < far
+        before, after = at[1:] >= 0, at[:-1] >= 0
+        both = near[1:] & near[:-1]
+        return np.concatenate(((at[1:] + k[:-1])[before], (at[:-1] + kinds + k[1:])[after], (slices * width + k[:-1] * kinds + k[1:])[both]))
+
+    found = cell_counts(blocks, cells, slices * width + kinds * kinds, width)
+    steps = found.where(F.col("s") >= slices).select(F.col("s") - slices, "x")
+    return found.where(F.col("s") < slices), dense(steps, kinds * kinds, width).reshape(kinds, kinds)
+
+
+def near_classes(found: DataFrame, far: int, first: int, step: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Classes of the words ``near_counts`` counts beside, as ``assign`` takes them."""
     kinds = len(step)
-    classes = kinds - 2
-    cost = np.log10(size[:classes] + SMOOTH)
-    into, out = step[:, :classes], step[:classes].T
+    slices, (into, out, cost) = -(-(far - first) // WORDS), _weights(step, size)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = np.concatenate([np.zeros(0, int), *batch["x"]]).astype(int)
-            row = np.repeat(np.arange(len(batch)), [len(x) for x in batch["x"]])
-            seen = np.bincount(row * 2 * kinds + (code >> 48), code & ((1 << 48) - 1), len(batch) * 2 * kinds).reshape(-1, 2 * kinds)
-            n = seen[:, :kinds].sum(1)
-            k = (seen[:, :kinds] @ into + seen[:, kinds:] @ out - n[:, None] * cost).argmax(1)
-            yield pd.DataFrame({"w": batch["w"], "n": n.astype(int), "k": k})
-
-    # At most 2 * kinds numbers a word.
-    each = spread(found, "w").groupBy("w", "c").agg(F.sum("n").alias("n")).groupBy("w").agg(F.collect_list(F.col("c") * F.lit(1 << 48) + F.col("n")).alias("x"))
-    return materialize(each.mapInPandas(best, "w binary, n long, k int"))
-
-
-def transitions(found: DataFrame, far: DataFrame, kinds: int) -> np.ndarray:
-    """Counts of class after class from what ``neighbours`` finds ``apart`` and the classes of the far words."""
-    found = materialize(found)
-    k, after = far.select("w", "k"), far.select(F.col("w").alias("v"), F.col("k").alias("l"))
-    side = found.where("w is not null and v is null").groupBy("w", "c").agg(F.sum("n").alias("n")).join(k, "w")
-    two = found.where("v is not null").groupBy("w", "v").agg(F.sum("n").alias("n")).join(k, "w").join(after, "v")
-    pair = F.when(F.col("c") < kinds, F.col("c") * kinds + F.col("k")).otherwise(F.col("k") * kinds + F.col("c") - kinds)
-    rows = found.where("w is null").select("c", "n").unionAll(side.select(pair.alias("c"), "n")).unionAll(two.select((F.col("k") * kinds + F.col("l")).alias("c"), "n"))
-    got = rows.groupBy("c").agg(F.sum("n").alias("n")).toPandas()
-    m = np.zeros(kinds * kinds)
-    m[got["c"].to_numpy(int)] = got["n"].to_numpy(float)
-    return m.reshape(kinds, kinds)
+            for s, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen = unpack(x, WORDS * 2 * kinds, np.int64).reshape(-1, 2 * kinds)[: len(range(first + s, far, slices))]
+                k = (seen[:, :kinds] @ into + seen[:, kinds:] @ out - seen[:, :kinds].sum(1)[:, None] * cost).argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(range(first + s, far, slices), pa.int32()), pa.array(k, pa.int32())], ["i", "k"])
+
+    got = found.mapInArrow(best, "i int, k int").toPandas()
+    cls = np.zeros(far - first, int)
+    cls[got["i"].to_numpy(int) - first] = got["k"].to_numpy(int)
+    return cls
 
 
 def _steps(m: np.ndarray) -> np.ndarray:
@@ -242,65 +395,45 @@ def learn(docs: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, n
 
     ``clustered`` words have classes found by exchange, which bounds the bigram
     table of words; all others are assigned in ``ROUNDS`` rounds. The ``near_words``
-    commonest words travel with the tasks; counts and classes of all words stay a
-    table. While words are assigned, neighbours that don't travel count as one class."""
+    commonest words travel with the tasks; what stands beside the others (far words)
+    is gathered once for all rounds. While words are assigned, far neighbours count as one class."""
     counts = materialize(word_counts(docs))
     said = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    ends = docs.count()
     near = frequent(counts, near_words)
-    first = near[:clustered]
-    rest, end = len(first), len(first) + 1
-    width = end + 1
-    number = {w: i for i, (w, _) in enumerate(first)}
+    rest, far = min(clustered, len(near)), len(near)
+    width = rest + 2
+    blocks = coded(docs, [w for w, _ in near])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            for text in batch["text"]:
-                x = np.array([end, *[number.get(w, rest) for w in tokens(text)], end])
-                held.append(x[:-1] * width + x[1:])
-                size += len(x)
-                if size >= 8 * FLUSH:
-                    pair, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pd.DataFrame({"pair": pair, "n": n})
-                    held, size = [], 0
-        if held:
-            pair, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pd.DataFrame({"pair": pair, "n": n})
+    def pairs_of(x: np.ndarray) -> np.ndarray:
+        x = np.where(x < 0, rest + 1, np.minimum(x, rest)).astype(np.int64)
+        return x[:-1] * width + x[1:]
 
-    found = docs.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    pairs = np.zeros(width * width)
-    pairs[found["pair"].to_numpy(int)] = found["n"].to_numpy(float)
-    cls = exchange(pairs.reshape(width, width), classes)
+    pairs = dense(cell_counts(blocks, pairs_of, width * width, 1 << 15), width * width, 1 << 15).reshape(width, width)
+    cls = exchange(pairs, classes)
     one = np.eye(classes + 2)[cls]
-    m = one.T @ pairs.reshape(width, width) @ one
-    kinds, words = classes + 2, [w for w, _ in near]
-    own = np.full(len(near) + 1, classes)
+    m, ends = one.T @ pairs @ one, int(pairs[-1].sum())
+    kinds, end = classes + 2, classes + 1
+    own = np.append(np.full(far + 1, classes), end)
     own[:rest] = cls[:rest]
-    tail = docs.sparkSession.createDataFrame(pd.DataFrame({"w": words[rest:], "i": np.arange(rest, len(near))}), "w binary, i int")
-    for _ in range(ROUNDS):
-        far = assign(neighbours(docs, words, own, kinds, rest, False), np.log10(_steps(m)), m.sum(0))
+    found = contexts(blocks, far)
+    beside_near, _ = near_counts(blocks, own, kinds, rest)
+    for i in range(ROUNDS):
+        before, step, size = own, np.log10(_steps(m)), m.sum(0)
         own = own.copy()
-        for r in far.join(F.broadcast(tail), "w").select("i", "k").collect():
-            own[r["i"]] = r["k"]
-        m = transitions(neighbours(docs, words, own, kinds, len(near), True), far, kinds)
+        own[rest:far] = near_classes(beside_near, far, rest, step, size)
+        beside_near, m = near_counts(blocks, own, kinds, rest if i < ROUNDS - 1 else far)
+        m = m + beside(found, far, before, step, size, own)
+    known = assign(found, far, before, step, size)
     total, distinct = int(said["n"]) + ends, int(said["v"]) + (ends > 0)
     # A word never met is as likely as in the base model, whatever comes before it.
     step, new = _steps(m), SMOOTH / (total + SMOOTH * (distinct + 2))
     step[:, classes] = 0
     step *= (1 - new) / step.sum(1, keepdims=True)
     step[:, classes] = new
-    return Model(near, np.append(own[:-1], [classes, classes + 1]), np.log10(step), m.sum(0), total, distinct, ends, far)
+    return Model(near, np.append(own[:-2], [classes, end]), np.log10(step), m.sum(0), total, distinct, ends, known)
 
 
-_SCORED = "n_tokens long, n_known long, base_score double, score double, far array<struct<w: binary, a: int, b: int, n: long>>, pairs array<struct<w: binary, v: binary, n: long>>"
-
-
-def _lists(owner: np.ndarray, owners: int, **fields: pa.Array) -> pa.ListArray:
-    """For each of ``owners`` owners the list of its entries; ``owner`` ascends."""
-    at = np.searchsorted(owner, np.arange(owners + 1))
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+_SCORED = "n_tokens long, n_known long, base_score double, score double, far array<binary>, places array<long>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -323,8 +456,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     words = [w for w, _ in near]
 
     of_number = np.append(cls[:-1], -1)  # words beyond the near ones: not known before the join
+    kinds1 = kinds + 1
 
-    def told(held: list[np.ndarray], met: dict[bytes, int]) -> pa.StructArray:
+    def told(held: list[np.ndarray], met: list[bytes]) -> pa.StructArray:
         """What several texts are told by, each given by its words' numbers and -1 at its end."""
         far, texts = len(words), len(held)
         size = np.array([len(x) for x in held])
@@ -336,69 +470,62 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         total = np.bincount(row[both], step[p[both], q[both]], texts) + np.bincount(row[word], emit[np.minimum(this[word], far)], texts).astype(float)
         plain = np.bincount(row[word], base[np.minimum(this[word], far)], texts) + base_end
         at = np.flatnonzero(this >= far)
-        names = pa.array(list(met), pa.binary())
-        many, kinds1 = max(1, len(met)), kinds + 1
-        key, n = np.unique(((row[at] * many + this[at] - far) * kinds1 + k[at] + 1) * kinds1 + k[at + 2] + 1, return_counts=True)
-        owner, w = np.divmod(key // kinds1**2, many)
-        one = _lists(owner, texts, w=names.take(pa.array(w)), a=pa.array(key // kinds1 % kinds1 - 1, pa.int32()), b=pa.array(key % kinds1 - 1, pa.int32()), n=pa.array(n))
-        at = at[x[at + 2] >= far]
-        key, n = np.unique((row[at] * many + this[at] - far) * many + x[at + 2] - far, return_counts=True)
-        owner, w = np.divmod(key // many, many)
-        two = _lists(owner, texts, w=names.take(pa.array(w)), v=names.take(pa.array(key % many)), n=pa.array(n))
-        known = size - 1 - np.bincount(row[this >= far], minlength=texts) + (n_end > 0)
-        fields = {"n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(plain), "score": pa.array(total), "far": one, "pairs": two}
+        many = max(1, len(met))
+        # Each text's far words, and for each of their places the word's number among them, the class before and the class after, both + 1.
+        w, j = np.unique(row[at] * many + this[at] - far, return_inverse=True)
+        j -= np.searchsorted(w, row[at] * many)
+        one = _lists(w // many, texts, pa.array(met, pa.binary()).take(pa.array(w % many)))
+        two = _lists(row[at], texts, pa.array((j * kinds1 + k[at] + 1) * kinds1 + k[at + 2] + 1))
+        known = size - 1 - np.bincount(row[at], minlength=texts) + (n_end > 0)
+        fields = {"n_tokens": pa.array(size), "n_known": pa.array(known), "base_score": pa.array(plain), "score": pa.array(total), "far": one, "places": two}
         return pa.StructArray.from_arrays(list(fields.values()), list(fields))
 
     @F.arrow_udf(_SCORED)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        number = {w: i for i, w in enumerate(words)}
-        far = len(words)
+        number = Numbers(zip(words, range(len(words)), strict=True))
         for texts in batches:
-            held, met, size = [], {}, 0
+            held, size = [], 0
             for text in texts:
                 t = tokens(text.as_py())
-                x = np.array([*[number.get(w, far) for w in t], -1], int)
-                for i in np.flatnonzero(x == far):
-                    x[i] = far + met.setdefault(t[i], len(met))
-                held.append(x)
-                size += len(x)
+                held.append(np.append(np.fromiter(map(number.__getitem__, t), np.int64, len(t)), -1))
+                size += len(t) + 1
                 if size >= FLUSH:
-                    yield told(held, met)
-                    held, met, size = [], {}, 0
+                    yield told(held, number.forget(len(words)))
+                    held, size = [], 0
             if held:
-                yield told(held, met)
-
-    @F.pandas_udf("double")
-    def one_word(c: pd.Series, k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        k, a, b = k.to_numpy(int), a.to_numpy(int), b.to_numpy(int)
-        own = np.where(k == rest, 0.0, np.log10(np.maximum(c.to_numpy(float), 1)) - size[k])
-        return pd.Series(own + np.where(a < 0, 0.0, step[a, k]) + np.where(b < 0, 0.0, step[k, b]))
-
-    @F.pandas_udf("double")
-    def two_words(k: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series(step[k.to_numpy(int), after.to_numpy(int)])
+                yield told(held, number.forget(len(words)))
+
+    @F.arrow_udf("known long, logs double, more double")
+    def rest_of(places: pa.Array, many: pa.Array, found: pa.Array) -> pa.Array:
+        """What far words add, from their places and the number, count and class of those the model has."""
+        texts = len(places)
+        start = np.append(0, np.cumsum(many.to_numpy(zero_copy_only=False)))
+        n, kind = np.zeros(start[-1]), np.full(start[-1], rest)
+        x = found.flatten()
+        at = start[found.value_parent_indices().to_numpy()] + x.field("j").to_numpy()
+        n[at], kind[at] = x.field("c").to_numpy(), x.field("k").to_numpy()
+        row, code = places.value_parent_indices().to_numpy(), places.flatten().to_numpy()
+        at, a, b = start[row] + code // kinds1**2, code // kinds1 % kinds1 - 1, code % kinds1 - 1
+        c, k = n[at], kind[at]
+        # Where the class after is not known, the next place is that of the next far word.
+        b = np.where(b < 0, np.append(k[1:], 0), b)
+        more = np.where(c > 0, np.log10(np.maximum(c, 1)) - size[k], 0.0) + np.where(a < 0, 0.0, step[a, k]) + step[k, b]
+        sums = [np.bincount(row[c > 0], minlength=texts), np.bincount(row, np.log10(c + SMOOTH) - np.log10(base_low), texts).astype(float), np.bincount(row, more, texts).astype(float)]
+        return pa.StructArray.from_arrays([pa.array(y) for y in sums], ["known", "logs", "more"])
 
     row = F.monotonically_increasing_id()
     part = materialize(docs.select(box(docs, "text"), row.alias("_row"), of("text").alias("_x")))
-    known, unknown = model.counts.select("w", F.col("n").alias("c"), "k"), F.lit(rest)
     # Only words that are not near meet the table of counts and classes.
-    far = part.select("_row", F.explode("_x.far").alias("f")).select("_row", "f.*").join(known, "w", "left")
-    far = far.select("_row", "n", "a", "b", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", unknown).alias("k"))
-    far = far.select(
-        "_row", "n", F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(F.col("c") + SMOOTH)).alias("logs"),
-        (F.col("n") * one_word("c", "k", "a", "b")).alias("more"))
-    pairs = part.select("_row", F.explode("_x.pairs").alias("f")).select("_row", "f.*").join(known.select("w", "k"), "w", "left")
-    pairs = pairs.join(known.select(F.col("w").alias("v"), F.col("k").alias("l")), "v", "left")
-    zero = F.lit(0).cast("long")
-    pairs = pairs.select("_row", zero, zero, F.lit(0.0), (F.col("n") * two_words(F.coalesce("k", unknown), F.coalesce("l", unknown))).alias("more"))
-    sums = far.unionAll(pairs).groupBy("_row").agg(*[F.sum(x).alias(x) for x in ("n", "known", "logs", "more")])
-    out = part.join(sums, "_row", "left")
-    n, logs = F.coalesce("n", F.lit(0)), F.coalesce("logs", F.lit(0.0))
+    names = part.select("_row", F.posexplode("_x.far").alias("j", "w"))
+    found = meet(names, model.counts.select("w", F.col("n").alias("c"), "k"), "w", unique=True)
+    found = spread(found, "_row").groupBy("_row").agg(F.collect_list(F.struct("j", "c", "k")).alias("f"))
+    part = part.select("doc", "_row", *[F.col("_x")[x].alias(f"_{x}") for x in ("n_tokens", "n_known", "base_score", "score", "places")], F.size("_x.far").alias("_many"))
+    out = meet(part, found, "_row", "left", unique=True)
+    out = out.withColumn("_f", rest_of("_places", "_many", F.coalesce("f", F.array().cast("array<struct<j: int, c: long, k: int>>"))))
     return out.select(
-        *unbox(docs, "text"), F.col("_x.n_tokens").alias("n_tokens"), (F.col("_x.n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        *unbox(docs, "text"), F.col("_n_tokens").alias("n_tokens"), (F.col("_n_known") + F.col("_f.known")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_x.base_score") + logs - n * float(np.log10(base_low))).alias("base_score"),
-        (F.col("_x.score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        (F.col("_base_score") + F.col("_f.logs")).alias("base_score"), (F.col("_score") + F.col("_f.more")).alias("score"))
 
 
 @query("op6_class_lm")

@@ -109,6 +109,50 @@ def test_rare_words_have_classes_too(spark, near):
         assert x["score"] == pytest.approx(want)
 
 
+def test_rounds_send_little(spark, monkeypatch):
+    """What stands beside far words is sent once, whatever the number of rounds."""
+    r = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 20_000)}" for x in r.zipf(1.2, 400)) for _ in range(400)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4).cache()
+    docs.count()
+    sent, models = [], []
+    for rounds in (1, 3):
+        monkeypatch.setattr("sylva.llm.classlm.ROUNDS", rounds)
+        written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = written()
+        models.append(learn(docs, classes=16, clustered=64, near_words=2_000))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        sent.append(written() - before)
+    docs.unpersist()
+    assert all(m.step.shape == (18, 18) and m.size.sum() == sum(len(t.split()) + 1 for t in texts) for m in models)
+    assert sent[1] - sent[0] < sent[0] / 2, sent
+
+
+def test_transitions_count_far_words(spark):
+    """Transitions as a plain count has them, with far words side by side, first and last in their texts."""
+    r = np.random.default_rng(6)
+    texts = [" ".join(f"{'ab'[i % 2]}{min(int(x), 60)}" for i, x in enumerate(r.zipf(1.3, int(r.integers(0, 40))))) for _ in range(200)] + [None, ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    near = learn(docs, classes=3, clustered=6, near_words=100_000)
+    model = learn(docs, classes=3, clustered=6, near_words=20)
+    words = [w for w, _ in model.near]
+    kind = dict(zip(words, model.cls, strict=False))
+    n = Counter(w for t in texts for w in tokens(t))
+    known = {bytes(x["w"]): x for x in model.counts.collect()}
+    assert kind.keys() | known.keys() == n.keys() and all(x["n"] == n[w] for w, x in known.items())
+    kind |= {w: x["k"] for w, x in known.items()}
+    m = np.zeros((5, 5))
+    for t in texts:
+        k = [4, *[kind[w] for w in tokens(t)], 4]
+        np.add.at(m, (k[:-1], k[1:]), 1)
+    assert model.size.tolist() == m.sum(0).tolist() and near.size.sum() == m.sum() and model.ends == len(texts)
+    want = (m + 5 * ((m.sum(0) + 0.1) / (m.sum() + 0.5))) / (m.sum(1, keepdims=True) + 5)
+    want[:, 3] = 0
+    want *= (1 - 10**model.step[:, 3:4]) / want.sum(1, keepdims=True)
+    assert np.allclose(10 ** np.delete(model.step, 3, 1), np.delete(want, 3, 1))
+
+
 def test_frequent_cuts_ties(spark):
     counts = spark.createDataFrame([(f"w{i}".encode(), 5 + (i == 7)) for i in range(100)], "w binary, n long")
     for most in (0, 1, 30, 99, 100, 200):

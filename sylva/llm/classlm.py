@@ -156,11 +156,13 @@ def _lists(owner: np.ndarray, owners: int, values: pa.Array) -> pa.ListArray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True)
+    """All lowest bytes first, then all second ones and so on, which takes less room."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), "zstd", asbytes=True)
 
 
 def unpack(x: pa.Scalar, n: int, kind: type = np.int32) -> np.ndarray:
-    return np.frombuffer(pa.decompress(x.as_buffer(), n * np.dtype(kind).itemsize, "zstd"), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(x.as_buffer(), n * size, "zstd"), np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
 class Numbers(dict):
@@ -176,7 +178,7 @@ class Numbers(dict):
 
 
 def coded(docs: DataFrame, words: list[bytes]) -> DataFrame:
-    """(x, m, w): blocks of whole texts as m numbers, those of ``words`` and, from there on, of the block's other words w; -1 ends a text."""
+    """(x, m, w, bytes): blocks of whole texts as m numbers, those of ``words`` and, from there on, of the block's other words w, with spaces between; -1 ends a text."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbers(zip(words, range(len(words)), strict=True))
@@ -185,20 +187,21 @@ def coded(docs: DataFrame, words: list[bytes]) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             x = np.concatenate(held)
-            return pa.RecordBatch.from_arrays([pa.array([pack(x)]), pa.array([len(x)]), pa.array([number.forget(len(words))], pa.list_(pa.binary()))], ["x", "m", "w"])
+            w = np.frombuffer(b" ".join(number.forget(len(words))), np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([pack(x)]), pa.array([len(x)]), pa.array([pack(w)]), pa.array([len(w)])], ["x", "m", "w", "bytes"])
 
         for batch in batches:
             for text in batch.column(0):
                 t = tokens(text.as_py())
                 held += [np.fromiter(map(number.__getitem__, t), np.int32, len(t)), _END]
                 size += len(t) + 1
-                if size >= FLUSH:
+                if size >= 4 * FLUSH:
                     yield block()
                     held, size = [], 0
         if held:
             yield block()
 
-    return materialize(docs.select("text").mapInArrow(code, "x binary, m long, w array<binary>"))
+    return materialize(docs.select("text").mapInArrow(code, "x binary, m long, w binary, bytes long"))
 
 
 def cell_counts(blocks: DataFrame, cells: Callable[[np.ndarray], np.ndarray], total: int, width: int) -> DataFrame:
@@ -257,7 +260,8 @@ def contexts(blocks: DataFrame, far: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for x, m, names in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for x, m, w, size in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                names = unpack(w, size, np.uint8).tobytes().split()
                 x = np.concatenate((_END, unpack(x, m))).astype(np.int64)
                 at = np.flatnonzero(x >= far)
                 w, after = x[at] - far, x[at + 1]
@@ -267,9 +271,9 @@ def contexts(blocks: DataFrame, far: int) -> DataFrame:
                 owner = np.concatenate((w, w[both], after[both] - far))
                 value = np.concatenate(((np.minimum(x[at - 1], far) + 1) * (far + 2) + np.minimum(after, far) + 1, place, place + _AFTER))
                 order = np.argsort(owner, kind="stable")
-                yield pa.RecordBatch.from_arrays([names.values, _lists(owner[order], len(names.values), pa.array(value[order]))], ["w", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _lists(owner[order], len(names), pa.array(value[order]))], ["w", "x"])
 
-    found = blocks.where(F.size("w") > 0).mapInArrow(find, "w binary, x array<long>")
+    found = blocks.where("bytes > 0").mapInArrow(find, "w binary, x array<long>")
     # A word is rarer than all that have smaller numbers, so its places are a small part of all.
     return materialize(spread(found, "w").groupBy("w").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x")))
 

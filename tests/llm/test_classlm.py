@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sylva.llm.classlm import exchange, frequent, learn, score, tokens
+from sylva.llm.classlm import exchange, frequent, learn, pack, score, tokens, unpack
 from tests.llm.fixtures import awkward, prose
 
 
@@ -45,6 +46,11 @@ def test_tokens():
     assert tokens(None) == [] == tokens(" \n")
 
 
+def test_packed_numbers_come_back():
+    for x in (np.zeros(0, np.int32), np.zeros(0, np.uint8), np.array([-1, 5, 70_000], np.int32), np.array([1, 1 << 40, -7])):
+        assert unpack(pa.scalar(pack(x)), len(x), x.dtype.type).tolist() == x.tolist()
+
+
 @pytest.mark.parametrize("near", [10, 100_000])
 def test_base_score_and_counts(spark, near):
     rows = awkward(spark).withColumnRenamed("lang", "known")
